@@ -2,8 +2,8 @@
 
 A word's symbols form a doubly linked list; a priority queue holds the merges
 that its neighbours allow, lowest rank first and leftmost first among equals.
-A queue entry names the two symbols that it saw; when either has changed since,
-the entry is stale and is skipped.  Decoding concatenates vocabulary strings.
+When the pair that an entry stands for has changed since, the entry is stale and
+is skipped.  Decoding concatenates vocabulary strings.
 
 Nulls encode as the empty text.  Texts of any length are encoded whole.  Equal
 texts get equal ids.  An empty table gives an empty table.
@@ -11,11 +11,12 @@ texts get equal ids.  An empty table gives an empty table.
 
 from __future__ import annotations
 
-import heapq
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,13 @@ from pyspark.sql import DataFrame
 # The pre-tokenizer pattern of the byte-level vocabulary.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Words whose ids a worker keeps; beyond it the memo starts anew.
-MEMO_WORDS = 400_000
+#: Words whose ids a worker keeps, in two generations: those found in the older move to the newer, which replaces it when full.
+MEMO_WORDS = 1_500_000
 #: Longer words are encoded each time they occur.
 MEMO_CHARS = 48
+#: Bits of a symbol's place in a queue entry.
+PLACE_BITS = 40
+PLACE_MASK = (1 << PLACE_BITS) - 1
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -62,31 +66,35 @@ class Vocabulary:
         self.memo = _Memo(self)
 
     def merge(self, word: bytes) -> list[int]:
-        """Token ids of one word."""
+        """Token ids of one word.
+
+        A queue entry is one integer: the merge's rank, then the left symbol's
+        place.  It is stale if the pair that is there now has another rank.
+        """
         ids = [self.of_byte[b] for b in word]
         n = len(ids)
         if n < 2:
             return ids
         merges = self.merges
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue = []
-        for i in range(n - 1):
-            if found := merges.get((ids[i], ids[i + 1])):
-                queue.append((found[0], i, ids[i], ids[i + 1], found[1]))
-        heapq.heapify(queue)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue = [found[0] << PLACE_BITS | i for i, pair in enumerate(zip(ids, ids[1:])) if (found := merges.get(pair))]
+        heapify(queue)
         while queue:
-            _, i, left, right, made = heapq.heappop(queue)
+            entry = heappop(queue)
+            i = entry & PLACE_MASK
             j = after[i]
-            if ids[i] != left or j < 0 or ids[j] != right:
+            if j >= n or (found := merges.get((ids[i], ids[j]))) is None or found[0] != entry >> PLACE_BITS:
                 continue  # stale
-            ids[i], ids[j] = made, -1
+            ids[i] = made = found[1]
+            ids[j] = -1
             after[i] = k = after[j]
-            if k >= 0:
+            after[j] = n  # entries that name the symbol merged away are stale
+            if k < n:
                 before[k] = i
                 if found := merges.get((made, ids[k])):
-                    heapq.heappush(queue, (found[0], i, made, ids[k], found[1]))
+                    heappush(queue, found[0] << PLACE_BITS | i)
             if (h := before[i]) >= 0 and (found := merges.get((ids[h], made))):
-                heapq.heappush(queue, (found[0], h, ids[h], made, found[1]))
+                heappush(queue, found[0] << PLACE_BITS | h)
         return [x for x in ids if x >= 0]
 
     def encode(self, text: str) -> bytes:
@@ -113,11 +121,15 @@ class _Memo(dict):
     def __init__(self, of: Vocabulary) -> None:
         super().__init__()
         self.of = of
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.of.merge(word.encode()), "<u4").tobytes()
+        ids = self.old.get(word)
+        if ids is None:
+            ids = array("I", self.of.merge(word.encode())).tobytes()
         if len(word) <= MEMO_CHARS:
-            if len(self) >= MEMO_WORDS:
+            if len(self) >= MEMO_WORDS // 2:
+                self.old = dict(self)
                 self.clear()
             self[word] = ids
         return ids

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, packing, sharding
-from .common import table
+from . import bpe, extract, fingerprint, langid, media, packing, sharding
+from .common import crc32_of_id, table
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -17,16 +18,35 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = (crc32_of_id(F.col("doc_id")) % 5) == 0
+    model = langid.learn(docs.filter(~held_out))
+    return langid.classify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), BPE, size=1024, end_id=2)
 
 
+def op5_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_edits(table(spark, sf_dir, "documents"))
+
+
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.inspect_media(media.store_texts(table(spark, sf_dir, "documents")))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), BPE)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op4_packing, op10_bpe)}
+    return {f.__name__: f for f in (op1_sharding, op3_langid, op4_packing, op5_extraction, op7_fingerprints, op8_media, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
