@@ -33,7 +33,9 @@ PIECES, PIECE_CHARS, TOTAL_BYTES = 160, 1200, 64_000_000
 LEAST_BYTES = 48_000
 #: Text is encoded in blocks of so many bytes, so that the dictionary and not the text's own past decides.
 BLOCK_BYTES = 1024
-LEVEL = 3
+LEVEL = 6
+#: Shorter texts are encoded at a level that searches more.
+SHORT_BYTES, SHORT_LEVEL = 256, 12
 #: Share of the second smallest size by which the smallest must be less.
 MIN_MARGIN = 0.002
 #: Score: odds double with so many bytes of difference.
@@ -79,13 +81,18 @@ def learn(docs: DataFrame, seed: int = 5, pieces: int = PIECES, piece_chars: int
     return {k: v[:length] for k, v in made.items()}
 
 
+Encoders = list[tuple[str, zstandard.ZstdCompressor]]
+
+
 @lru_cache(maxsize=2)
-def _encoders(model: tuple[tuple[str, bytes], ...]) -> list[tuple[str, zstandard.ZstdCompressor]]:
-    out = []
-    for lang, content in model:
-        d = zstandard.ZstdCompressionDict(content or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=LEVEL)
-        out.append((lang, zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)))
+def encoders(model: tuple[tuple[str, bytes], ...]) -> tuple[Encoders, Encoders]:
+    """Encoders by language, for texts in general and for short ones."""
+    out: tuple[Encoders, Encoders] = ([], [])
+    for level, made in zip((LEVEL, SHORT_LEVEL), out, strict=True):
+        for lang, content in model:
+            d = zstandard.ZstdCompressionDict(content or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=level)
+            made.append((lang, zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)))
     return out
 
 
@@ -98,14 +105,14 @@ def plain(text: str) -> str:
     return _OTHER.sub(" ", text.lower()).strip()
 
 
-def decide(text: str | None, encoders: list[tuple[str, zstandard.ZstdCompressor]]) -> tuple[str, float, float]:
+def decide(text: str | None, by_length: tuple[Encoders, Encoders]) -> tuple[str, float, float]:
     """Language, score and margin of one text."""
-    if not text or not encoders or not _LETTER.search(text):
+    if not text or not by_length[0] or not _LETTER.search(text):
         return UNDETERMINED, 0.0, 0.0
     data = plain(text).encode()
     blocks = [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
     sizes = []
-    for lang, c in encoders:
+    for lang, c in by_length[len(data) < SHORT_BYTES]:
         encode = c.compress
         sizes.append((sum(len(encode(b)) for b in blocks), lang))
     best, lang = min(sizes)
@@ -122,9 +129,9 @@ def classify(docs: DataFrame, model: dict[str, bytes], min_margin: float = MIN_M
     sent = spark.sparkContext.broadcast(tuple(sorted(model.items())))  # at most TOTAL_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoders = _encoders(sent.value)
+        by_length = encoders(sent.value)
         for b in batches:
-            found = [decide(t, encoders) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            found = [decide(t, by_length) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.float64()), pa.array([x[0] != UNDETERMINED and x[2] >= min_margin for x in found], pa.bool_())],
                 [*b.schema.names, "lang_pred", "score", "margin", "accepted"],

@@ -32,7 +32,7 @@ def _running(counts: DataFrame, within: list[str], order: str, total: str = "n")
 def interleave(docs: DataFrame, shards: int, seed: int = 17, rows_per_bucket: int = 20_000) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard``; the law is ``rows``."""
     n = docs.select(F.count(F.lit(1))).first()[0]
-    buckets = parts_for(n, rows_per_bucket, 8)
+    buckets = parts_for(n, rows_per_bucket, 64)
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select(
         "doc_id",
