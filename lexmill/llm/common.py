@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,15 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it again."""
+    spark = df.sparkSession
+    cut(spark.range(1))  # sees to the folder
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def crc32_of_id(doc_id) -> F.Column:
     """crc32 of an id written as text, the rule by which folds are formed."""
     return F.crc32(doc_id.cast("string").cast("binary"))

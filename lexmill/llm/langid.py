@@ -139,3 +139,10 @@ def classify(docs: DataFrame, model: dict[str, bytes], min_margin: float = MIN_M
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{kinds}, lang_pred string, score double, margin double, accepted boolean")
+
+
+def keep_identified(docs: DataFrame, min_margin: float = MIN_MARGIN) -> DataFrame:
+    """``docs`` without the rows that are rejected; learns from the rows with a language."""
+    model = learn(docs)
+    found = classify(docs.select(F.struct("*").alias("row"), "text"), model, min_margin)
+    return found.filter("accepted").select("row.*")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extract, fingerprint, langid, media, packing, sharding
+from . import bpe, extract, fingerprint, langid, media, neardup, packing, sharding, suffix
 from .common import crc32_of_id, table
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -18,6 +18,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents")).drop("key")
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = (crc32_of_id(F.col("doc_id")) % 5) == 0
@@ -41,12 +45,16 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.inspect_media(media.store_texts(table(spark, sf_dir, "documents")))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.measure_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), BPE)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_langid, op4_packing, op5_extraction, op7_fingerprints, op8_media, op10_bpe)}
+    return {f.__name__: f for f in (op1_sharding, op2_neardup, op3_langid, op4_packing, op5_extraction, op7_fingerprints, op8_media, op9_suffix_dedup, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
