@@ -15,8 +15,8 @@ task that reads it, and only vectors are shuffled.
 A null text is the empty text; its fingerprint is all zeros, and two empty
 texts have likeness 1.  Repeated rows give repeated rows.  A row without a
 doc_id has no next document: its edited text loses its last third and
-``near_next`` is 0.  Where several rows have the next doc_id, the greatest text
-is the next one.  An empty table gives an empty table.
+``near_next`` is 0.  Where several rows have the next doc_id, that with the
+greatest beginning is the next one.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -87,15 +87,14 @@ def likeness(a: str, b: str) -> F.Column:
     return F.when(F.col(f"{b}_exact").isNull(), 0.0).when(same, 1.0).when(of <= 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot(lanes(a), lanes(b)) / F.sqrt(of))))
 
 
-def next_ids(docs: DataFrame, ids_per_part: int = 20_000) -> DataFrame:
+def next_ids(docs: DataFrame, n_rows: int, ids_per_part: int = 20_000) -> DataFrame:
     """``doc_id`` and ``next_id``: the next smaller id; after the least comes the greatest.
 
     Ids are dealt out by range, ordered within each part, and only one row a
     part is needed to join the parts up.
     """
     ids = docs.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct()
-    n = docs.select(F.count(F.lit(1))).first()[0]
-    dealt = cut(ids.repartitionByRange(parts_for(n, ids_per_part), "doc_id").select("doc_id", F.spark_partition_id().alias("part")))
+    dealt = cut(ids.repartitionByRange(parts_for(n_rows, ids_per_part), "doc_id").select("doc_id", F.spark_partition_id().alias("part")))
     tops = dealt.groupBy("part").agg(F.max("doc_id").alias("top"))
     below = tops.select("part", F.lag("top").over(Window.orderBy("part")).alias("below"), F.max("top").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("greatest"))
     inside = dealt.withColumn("inner", F.lag("doc_id").over(Window.partitionBy("part").orderBy("doc_id")))
@@ -106,18 +105,27 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness.
 
     The edited text has its last third replaced by the beginning of the next
-    document, in descending order of doc_id.
+    document, in descending order of doc_id.  Texts are shuffled once: the rows
+    that lend their beginnings and those that take them read the same exchange.
     """
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("n_chars", F.length("text").cast("long")).withColumn("th", F.xxhash64("text"))
-    follows = cut(next_ids(docs))
-    third = F.expr("n_chars div 3")
-    wants = base.select("doc_id", "th", "n_chars").distinct().join(follows, "doc_id").select("next_id", "doc_id", "th", third.cast("int").alias("k"))
-    donors = base.groupBy(F.col("doc_id").alias("next_id")).agg(F.max("text").alias("donor"))
-    heads = wants.join(donors, "next_id").select("doc_id", "th", "next_id", F.substring(F.col("donor"), F.lit(1), F.col("k")).alias("head"), F.xxhash64("donor").alias("next_th"))
-    whole = base.join(heads, ["doc_id", "th"], "left").select(
-        "doc_id", "th", "n_chars", "next_id", "next_th", "text",
-        F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - third).cast("int")), F.coalesce("head", F.lit(""))).alias("edited"),
-    )
+    n_rows = docs.select(F.count(F.lit(1))).first()[0]
+    follows = cut(next_ids(docs, n_rows))
+    repeated = follows.count() < n_rows
+    every = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    base = every.filter(F.col("doc_id").isNotNull())
+    th, third = F.xxhash64("text"), F.expr("length(text) div 3").cast("int")
+    wants = base.select("doc_id", th.alias("of"), third.alias("k"))
+    wants = (wants.distinct() if repeated else wants).join(follows, "doc_id").select("next_id", F.col("doc_id").alias("to"), "of", "k")
+    lent = base.join(wants, F.col("doc_id") == F.col("next_id")).select("to", "of", "next_id", th.alias("next_th"), F.substring(F.col("text"), F.lit(1), F.col("k")).alias("head"))
+    if repeated:
+        lent = lent.groupBy("to", "of", "next_id").agg(F.max(F.struct("head", "next_th")).alias("x")).select("to", "of", "next_id", "x.next_th", "x.head")
+    mine = F.col("doc_id") == F.col("to")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - third), F.col("head"))
+    columns = ["doc_id", th.alias("th"), F.length("text").cast("long").alias("n_chars"), "next_id", "next_th", "text", edited.alias("edited")]
+    whole = base.join(lent, mine & (th == F.col("of")) if repeated else mine).select(*columns)
+    if repeated:  # as are rows that have no id
+        alone = every.filter(F.col("doc_id").isNull()).select("*", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("next_id"), F.lit(None).cast("long").alias("next_th"), F.lit("").alias("head"))
+        whole = whole.unionByName(alone.select(*columns))
     both = whole.select(
         "doc_id", "th", "n_chars", "next_id", "next_th", F.sha2("edited", 256).alias("edited_sha256"),
         F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("body")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("body")))).alias("x"),
