@@ -12,8 +12,9 @@ texts get equal ids.  An empty table gives an empty table.
 from __future__ import annotations
 
 import json
+import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import sha256
 from heapq import heapify, heappop, heappush
@@ -26,8 +27,8 @@ from pyspark.sql import DataFrame
 # The pre-tokenizer pattern of the byte-level vocabulary.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Words whose ids a worker keeps, in two generations: those found in the older move to the newer, which replaces it when full.
-MEMO_WORDS = 1_500_000
+#: Strings whose ids a memo keeps, in two generations: those found in the older move to the newer, which replaces it when full.
+MEMO_STRINGS = 700_000
 #: Longer words are encoded each time they occur.
 MEMO_CHARS = 48
 #: Bits of a symbol's place in a queue entry.
@@ -54,16 +55,19 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ids = {**ids, **self.special}
         self.of_byte = [ids[alphabet[b]] for b in range(256)]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: By left symbol and right symbol: the rank, shifted to make room for a place, and the symbol made.
+        self.right_of: list[dict[int, tuple[int, int]]] = [{} for _ in range(max(ids.values()) + 1)]
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[ids[left], ids[right]] = (rank, ids[left + right])
+            self.right_of[ids[left]][ids[right]] = (rank << PLACE_BITS, ids[left + right])
         self.strings = [b""] * (max(ids.values()) + 1)
         for token, i in ids.items():
             self.strings[i] = bytes(to_byte[c] for c in token) if all(c in to_byte for c in token) else token.encode()
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.words = regex.compile(WORDS)
-        self.memo = _Memo(self)
+        self.wide = re.compile(r" (?:\s|\Z)")
+        self.memo = _Memo(lambda word: array("I", self.merge(word.encode())).tobytes())
+        self.spaced = _Memo(self.chunk)
 
     def merge(self, word: bytes) -> list[int]:
         """Token ids of one word.
@@ -71,19 +75,19 @@ class Vocabulary:
         A queue entry is one integer: the merge's rank, then the left symbol's
         place.  It is stale if the pair that is there now has another rank.
         """
-        ids = [self.of_byte[b] for b in word]
+        ids = [*map(self.of_byte.__getitem__, word)]
         n = len(ids)
         if n < 2:
             return ids
-        merges = self.merges
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [found[0] << PLACE_BITS | i for i, pair in enumerate(zip(ids, ids[1:])) if (found := merges.get(pair))]
+        right_of = self.right_of
+        queue = [found[0] | i for i, (x, y) in enumerate(zip(ids, ids[1:])) if (found := right_of[x].get(y))]
         heapify(queue)
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
         while queue:
             entry = heappop(queue)
             i = entry & PLACE_MASK
             j = after[i]
-            if j >= n or (found := merges.get((ids[i], ids[j]))) is None or found[0] != entry >> PLACE_BITS:
+            if j >= n or (found := right_of[ids[i]].get(ids[j])) is None or found[0] != entry - i:
                 continue  # stale
             ids[i] = made = found[1]
             ids[j] = -1
@@ -91,24 +95,41 @@ class Vocabulary:
             after[j] = n  # entries that name the symbol merged away are stale
             if k < n:
                 before[k] = i
-                if found := merges.get((made, ids[k])):
-                    heappush(queue, found[0] << PLACE_BITS | i)
-            if (h := before[i]) >= 0 and (found := merges.get((ids[h], made))):
-                heappush(queue, found[0] << PLACE_BITS | h)
+                if found := right_of[made].get(ids[k]):
+                    heappush(queue, found[0] | i)
+            if (h := before[i]) >= 0 and (found := right_of[ids[h]].get(made)):
+                heappush(queue, found[0] | h)
         return [x for x in ids if x >= 0]
 
+    def chunk(self, text: str) -> bytes:
+        """Ids of a space and what follows it up to the next one."""
+        word = self.memo.__getitem__
+        if text.isalpha():  # the letters of the pattern
+            return word(" " + text)
+        if text[:-1].isalpha() and text[-1] in ".,;:!?":
+            return word(" " + text[:-1]) + word(text[-1])
+        return b"".join(map(word, self.words.findall(" " + text)))
+
     def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
-        memo, find = self.memo.__getitem__, self.words.findall
-        if self.split_special is None or not any(s in text for s in self.special):
-            return b"".join(map(memo, find(text)))
-        out = []
-        for piece in self.split_special.split(text):
-            if piece in self.special:
-                out.append(self.special[piece].to_bytes(4, "little"))
-            else:
-                out.extend(map(memo, find(piece)))
-        return b"".join(out)
+        """Ids of a text as little-endian unsigned 32-bit integers.
+
+        A space before a character that is no white space always begins a new
+        word, so where all spaces are such the text is cut there first, and what
+        lies between is looked up as a whole.
+        """
+        find, word = self.words.findall, self.memo.__getitem__
+        if self.split_special is not None and any(s in text for s in self.special):
+            out = []
+            for piece in self.split_special.split(text):
+                if piece in self.special:
+                    out.append(self.special[piece].to_bytes(4, "little"))
+                else:
+                    out.extend(map(word, find(piece)))
+            return b"".join(out)
+        if self.wide.search(text):
+            return b"".join(map(word, find(text)))
+        first, *rest = text.split(" ")
+        return b"".join(map(word, find(first))) + b"".join(map(self.spaced.__getitem__, rest))
 
     def decode(self, ids: bytes) -> bytes:
         """The text, in UTF-8, of ids in the form that encode() gives."""
@@ -116,22 +137,22 @@ class Vocabulary:
 
 
 class _Memo(dict):
-    """Ids of words seen before."""
+    """Ids of strings seen before, in two generations."""
 
-    def __init__(self, of: Vocabulary) -> None:
+    def __init__(self, make: Callable[[str], bytes]) -> None:
         super().__init__()
-        self.of = of
+        self.make = make
         self.old: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.old.get(word)
+    def __missing__(self, string: str) -> bytes:
+        ids = self.old.get(string)
         if ids is None:
-            ids = array("I", self.of.merge(word.encode())).tobytes()
-        if len(word) <= MEMO_CHARS:
-            if len(self) >= MEMO_WORDS // 2:
+            ids = self.make(string)
+        if len(string) <= MEMO_CHARS:
+            if len(self) >= MEMO_STRINGS // 2:
                 self.old = dict(self)
                 self.clear()
-            self[word] = ids
+            self[string] = ids
         return ids
 
 
