@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -24,11 +25,11 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lexmill-"))
-    out = df.checkpoint()
     # Shuffle files are deleted when the driver's JVM finds them unreachable; a
     # driver with a quiet heap would otherwise keep those of finished steps.
+    gc.collect()
     sc._jvm.System.gc()
-    return out
+    return df.checkpoint()
 
 
 def store(df: DataFrame) -> DataFrame:

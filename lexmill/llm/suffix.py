@@ -491,20 +491,24 @@ def repeated_strings(texts: DataFrame, shared: DataFrame, n_suffixes: int, lengt
 
 def covered(n: int, found: list[tuple[bytes, bytes]], length: int = LENGTH) -> np.ndarray:
     """Which of n bytes the strings cover."""
-    edges = np.zeros(n + 1, np.int64)
+    starts = []
     for p, m in found:
         places, mask = np.frombuffer(p, "<i8"), np.frombuffer(m, "<u4")
-        for a in range(length - ANCHOR + 1):
-            starts = places[(mask >> np.uint32(a)) & np.uint32(1) > 0] - a
-            np.add.at(edges, starts, 1)
-            np.add.at(edges, starts + length, -1)
+        bit = np.unpackbits(mask.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
+        row, a = np.nonzero(bit)
+        starts.append(places[row] - a)
+    if not starts:
+        return np.zeros(n, bool)
+    s = np.concatenate(starts)
+    edges = np.bincount(s, minlength=n + 1) - np.bincount(s + length, minlength=n + 1)
     return np.cumsum(edges[:-1]) > 0
 
 
 def _judged(docs: DataFrame, length: int) -> DataFrame:
-    """``row`` (the columns of ``docs``), its ``body``, ``least`` (whether the row has its text's least id) and ``found``."""
+    """``row`` (the columns of ``docs`` but the text), ``body`` and ``missing`` (the text, and whether it is null), ``least`` (whether the row has its text's least id) and ``found``."""
     last = F.lit((1 << 63) - 1)
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("body"), F.coalesce("doc_id", last).alias("own_id")).withColumn("th", F.xxhash64("body"))
+    row = F.struct(*[F.col(c) for c in docs.columns if c != "text"])
+    rows = docs.select(row.alias("row"), F.coalesce("text", F.lit("")).alias("body"), F.col("text").isNull().alias("missing"), F.coalesce("doc_id", last).alias("own_id")).withColumn("th", F.xxhash64("body"))
     heads = cut(rows.select("th", "own_id", F.octet_length("body").cast("long").alias("bytes")).groupBy("th").agg(F.min("own_id").alias("id"), F.max("bytes").alias("bytes")))
     n_bytes = heads.agg(F.sum("bytes")).first()[0] or 0
     long = rows.filter(F.octet_length("body") >= length).select("th", "own_id", F.col("body").alias("text"))
@@ -513,7 +517,7 @@ def _judged(docs: DataFrame, length: int) -> DataFrame:
     texts = long.join(heads.filter(F.col("bytes") >= length), "th").filter("own_id = id").select("th", "id", "text")
     found = cut(repeated_strings(texts, shared, int(n_suffixes), length))
     side = heads.select("th", "id").join(found.groupBy("th").agg(F.collect_list(F.struct("places", "mask")).alias("found")), "th", "left")
-    return rows.join(side, "th").select("row", "body", (F.col("own_id") == F.col("id")).alias("least"), "found")
+    return rows.join(side, "th").select("row", "body", "missing", (F.col("own_id") == F.col("id")).alias("least"), "found")
 
 
 def _kept(text: str, least: bool, found: list[dict] | None, length: int) -> tuple[bytes, np.ndarray]:
@@ -559,7 +563,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             out.append(np.frombuffer(data, np.uint8)[~gone].tobytes().decode("utf-8", "ignore") if gone.any() else t)
         return type(text)(out, dtype=object)
 
-    new = F.when(F.col("row.text").isNotNull(), cut_out("body", "least", "found"))
+    new = F.when(~F.col("missing"), cut_out("body", "least", "found"))
     out = _judged(docs, length).select("row", new.alias("new"))
     kept = lambda c: F.col("row").getField(c)
     made = {"text": F.col("new"), "n_chars": F.length("new")}
