@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extract, fingerprint, langid, media, neardup, packing, sharding, suffix
+from . import bpe, extract, fingerprint, langid, lm, media, neardup, packing, sharding, suffix
 from .common import crc32_of_id, table
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -37,6 +37,10 @@ def op5_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"), held_out=(crc32_of_id(F.col("doc_id")) % 7) == 2)
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edits(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_neardup, op3_langid, op4_packing, op5_extraction, op7_fingerprints, op8_media, op9_suffix_dedup, op10_bpe)}
+    return {f.__name__: f for f in (op1_sharding, op2_neardup, op3_langid, op4_packing, op5_extraction, op6_lm_scoring, op7_fingerprints, op8_media, op9_suffix_dedup, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -48,33 +48,34 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte of every word of a buffer."""
-    hashes, starts, at = [], [], 0
+def word_hashes(data: np.ndarray, is_word: np.ndarray = _IS_WORD, values: np.ndarray = _BYTE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end of every word of a buffer; words are runs of bytes that ``is_word`` has, and ``values`` are the bytes' own hashes."""
+    hashes, starts, ends, at = [], [], [], 0
     while at < len(data):
         end = min(len(data), at + SEGMENT)
         if end < len(data):  # end between words
-            back = np.flatnonzero(~_IS_WORD[data[at:end]])
+            back = np.flatnonzero(~is_word[data[at:end]])
             if len(back):
                 end = at + int(back[-1]) + 1
             else:
-                more = np.flatnonzero(~_IS_WORD[data[end:]])
+                more = np.flatnonzero(~is_word[data[end:]])
                 end = end + int(more[0]) + 1 if len(more) else len(data)
         part = data[at:end]
         inside = np.zeros(len(part) + 2, bool)
-        inside[1:-1] = _IS_WORD[part]
+        inside[1:-1] = is_word[part]
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         s, e = edges[0::2], edges[1::2]
         up, down = _powers(max(20, int(len(part) - 1).bit_length() if len(part) > 1 else 1))
         sums = np.zeros(len(part) + 1, U)
-        np.cumsum(_BYTE[part] * up[: len(part)], out=sums[1:])
+        np.cumsum(values[part] * up[: len(part)], out=sums[1:])
         if len(s):
             hashes.append(mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U)))
             starts.append(s + at)
+            ends.append(e + at)
         at = end
     if not hashes:
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(starts)
+        return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(starts), np.concatenate(ends)
 
 
 _PLACE = numbers(64, 12) | U(1)
@@ -85,7 +86,7 @@ def shingles(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     bodies = [t.lower().encode() for t in texts]
     data = np.frombuffer(b"\n".join(bodies), np.uint8)
     ends = np.cumsum([len(b) + 1 for b in bodies])
-    words, starts = word_hashes(data)
+    words, starts, _ = word_hashes(data)
     of = np.searchsorted(ends, starts, side="right")
     n_words = np.bincount(of, minlength=len(texts))
     n = len(words) - width + 1
