@@ -15,11 +15,15 @@ documents, and has a floor, because a large group of near copies makes its own
 shingles frequent and must still be found.
 
 Equal texts are one candidate.  Within a band's bucket every text is compared
-with a leader, the least by hash; those unlike it get a leader of their own, and
-so on until none are left.  So a bucket takes as many comparisons as it has
-texts for each leader, and no pairs are formed between followers.  Members of a
-class that two leaders split meet again in other bands, which have other
-leaders.
+with a leader, the one whose shingles are the most frequent: of a group of near
+copies, the one that most resembles the others.  What is unlike its leader may
+still be like another text that is, so those left over are matched by an exact
+prefix filter: with shingles in order of frequency, two texts of the threshold's
+similarity share one in the rarest part of both, the part without which a text
+cannot reach the threshold.  The texts that have such a shingle in common are
+compared with leaders again (a fixed number at a time), those unlike them with
+others of their own, and so on until none are left.  So a bucket takes as many comparisons as it has texts for
+each leader, and no pairs are formed between followers.
 
 A null text is the empty text.  Texts without words are near only to equal
 texts.  Repeated rows are equal texts.  An empty table gives an empty table.
@@ -32,7 +36,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, parts_for
@@ -43,6 +47,8 @@ WIDTH, THRESHOLD = 5, 0.8
 #: At similarity 0.8 a pair shares none of 16 bands of 3 samples once in 90,000 times.
 BANDS, ROWS = 16, 3
 TABLE_BITS = 20
+#: Leaders at a time in what the bands leave over, in buckets of so many texts at most; in larger ones, one.
+LEADERS, SMALL = 12, 256
 #: Share of documents from which a shingle loses weight, and the least weight.
 COMMON, FLOOR = 0.01, 0.75
 #: Pre-drawn parameters of the sampling, picked by hash for each shingle and sample.
@@ -125,15 +131,18 @@ def samples(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.n
     return out
 
 
-def band_keys(texts: list[str], idf: np.ndarray, width: int = WIDTH) -> list[np.ndarray | None]:
-    """The keys of each text's bands; none for a text without words."""
+def band_keys(texts: list[str], idf: np.ndarray, frequencies: np.ndarray, width: int = WIDTH) -> tuple[list[np.ndarray | None], list[float]]:
+    """The keys of each text's bands (none for a text without words), and how rare its shingles are."""
     out: list[np.ndarray | None] = [None] * len(texts)
+    rarity = [0.0] * len(texts)
     for first, some in groups_of(texts):
         hashes, owner, counts = bags(some, width)
         if not len(hashes):
             continue
         starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-        weights = counts.astype(np.float32) * idf[(hashes & U(len(idf) - 1)).astype(np.int64)]
+        at = (hashes & U(len(idf) - 1)).astype(np.int64)
+        weights = counts.astype(np.float32) * idf[at]
+        sums = np.add.reduceat(-np.log(frequencies[at] + 1.0), starts)
         drawn = samples(hashes, weights, starts)
         keys = np.zeros((BANDS, len(starts)), U)
         for j in range(BANDS):
@@ -141,7 +150,18 @@ def band_keys(texts: list[str], idf: np.ndarray, width: int = WIDTH) -> list[np.
                 keys[j] = mix(keys[j] * U(0x9E3779B97F4A7C15) + drawn[j * ROWS + i] + U(j + 1))
         for i, who in enumerate(owner[starts]):
             out[first + who] = keys[:, i].view(np.int64)
-    return out
+            rarity[first + who] = float(sums[i]) / (np.append(starts, len(hashes))[i + 1] - starts[i])
+    return out, rarity
+
+
+def prefix(text: str, idf: np.ndarray, frequencies: np.ndarray, threshold: float, width: int = WIDTH) -> np.ndarray:
+    """The shingles, in order of frequency, up to the last from which on the weights still reach the threshold."""
+    hashes, _, counts = bags([text], width)
+    at = (hashes & U(len(idf) - 1)).astype(np.int64)
+    order = np.lexsort((hashes, frequencies[at]))
+    weights = (counts * idf[at])[order].astype(np.float64)
+    from_here = weights[::-1].cumsum()[::-1]
+    return hashes[order][from_here >= threshold * from_here[:1].sum() - 1e-6].view(np.int64)
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -174,42 +194,71 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
     """Verified links ``a``, ``b`` between different texts, and ``doc_id``, ``key`` of every row."""
     spark = docs.sparkSession
     n_docs = docs.select(F.count(F.lit(1))).first()[0]
-    idf = spark.sparkContext.broadcast(idf_weights(document_frequencies(docs, width), n_docs))  # 4 MB
+    counted = document_frequencies(docs, width)
+    frequencies = spark.sparkContext.broadcast(counted.astype(np.float32))  # 4 MB, as are the weights
+    idf = spark.sparkContext.broadcast(idf_weights(counted, n_docs))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = band_keys([t or "" for t in b.column(2).to_pylist()], idf.value, width)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "key", "bands"])
+            keys, rarity = band_keys([t or "" for t in b.column(2).to_pylist()], idf.value, frequencies.value, width)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rarity, pa.float32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "key", "rarity", "bands"])
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [prefix(t, idf.value, frequencies.value, threshold, width) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], ["key", "rarity", "bands"])
 
     keyed = docs.select("doc_id", text_key().alias("key"), "text")
-    signed = cut(keyed.mapInArrow(sign, f"doc_id {kind}, key binary, bands array<bigint>"))
-    distinct = signed.groupBy("key").agg(F.min(F.struct("doc_id", "bands")).alias("x")).select("key", "x.doc_id", "x.bands")
-    members = distinct.select("key", F.explode("bands").alias("band"))
-    crowded = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
-    left = cut(members.join(crowded, "band"))
-
-    bodies = None
-    links = None
-    while True:
-        led = left.join(left.groupBy("band").agg(F.min("key").alias("lead")), "band").filter("key != lead")
-        pairs = cut(led.select("lead", "key").distinct())
-        if pairs.isEmpty():
-            break
-        if bodies is None:  # the texts of all candidates, once
-            wanted = left.select("key").distinct().join(distinct.select("key", "doc_id"), "key")
-            bodies = cut(
-                docs.select(F.col("doc_id").alias("id"), text_key().alias("k"), F.coalesce("text", F.lit("")).alias("text"))
-                .join(wanted, (F.col("k") == F.col("key")) & F.col("id").eqNullSafe(F.col("doc_id")))
-                .select("key", "text")
-            ).dropDuplicates(["key"])
-        judged = cut(_verified(pairs, bodies, idf, threshold, width))
-        found = judged.filter("near").select(F.col("lead").alias("a"), F.col("key").alias("b"))
-        links = found if links is None else links.unionByName(found)
-        left = cut(led.join(judged.filter("not near").select("lead", "key"), ["lead", "key"], "left_semi").select("band", "key"))
-    if links is None:
-        links = spark.createDataFrame([], "a binary, b binary")
-    return links, signed.select("doc_id", "key")
+    signed = cut(keyed.mapInArrow(sign, f"doc_id {kind}, key binary, rarity float, bands array<bigint>"))
+    distinct = signed.groupBy("key").agg(F.min(F.struct("doc_id", "rarity", "bands")).alias("x")).select("key", "x.doc_id", "x.rarity", "x.bands")
+    left = cut(_crowded(distinct.select("key", "rarity", F.explode("bands").alias("band"))))
+    if left.isEmpty():
+        return spark.createDataFrame([], "a binary, b binary"), signed.select("doc_id", "key")
+    # The texts of all candidates, once.
+    wanted = left.select("key").distinct().join(distinct.select("key", "doc_id"), "key")
+    bodies = cut(
+        docs.select(F.col("doc_id").alias("id"), text_key().alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+        .join(wanted, (F.col("k") == F.col("key")) & F.col("id").eqNullSafe(F.col("doc_id")))
+        .select("key", "text")
+        .dropDuplicates(["key"])
+    )
+    judged, left = _compare(left, None, bodies, idf, threshold, width)
+    rest = left.select("key", "rarity").distinct().join(bodies, "key").select("key", "rarity", "text")
+    left = cut(_crowded(rest.mapInArrow(prefixes, "key binary, rarity float, bands array<bigint>").select("key", "rarity", F.explode("bands").alias("band"))))
+    while not left.isEmpty():
+        judged, left = _compare(left, judged, bodies, idf, threshold, width, LEADERS)
+    return judged.filter("near").select(F.col("lead").alias("a"), F.col("key").alias("b")), signed.select("doc_id", "key")
+
+
+def _crowded(members: DataFrame) -> DataFrame:
+    """Rows ``key``, ``rarity``, ``band`` of bands with several keys, and their number ``n``."""
+    several = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return members.join(several, "band")
+
+
+def _led(left: DataFrame, leaders: int) -> DataFrame:
+    """``band``, ``key``, ``rarity``, ``lead``: each member with its band's leader; in small bands with each of the first ``leaders`` before it."""
+    first = left.filter(F.col("n") > SMALL).groupBy("band").agg(F.min(F.struct("rarity", F.hex("key").alias("name"))).alias("x")).select("band", F.unhex("x.name").alias("lead"))
+    large = left.join(first, "band").filter("key != lead").select("band", "key", "rarity", F.lit(False).alias("leads"), "lead")
+    order = Window.partitionBy("band").orderBy("rarity", "key")  # over SMALL rows at most
+    placed = left.filter(F.col("n") <= SMALL).withColumn("place", F.row_number().over(order))
+    ahead = placed.filter(F.col("place") <= leaders).select("band", F.col("key").alias("lead"), F.col("place").alias("at"))
+    small = placed.join(ahead, "band").filter("at < place").select("band", "key", "rarity", (F.col("place") <= leaders).alias("leads"), "lead")
+    return large.unionByName(small)
+
+
+def _compare(left: DataFrame, judged: DataFrame | None, bodies: DataFrame, idf, threshold: float, width: int, leaders: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Compare each band's members with its leaders: all pairs judged so far, and the members left for another leader."""
+    led = cut(_led(left, leaders))
+    pairs = led.select("lead", "key").distinct()
+    if judged is not None:
+        pairs = pairs.join(judged, ["lead", "key"], "left_anti")
+    found = _verified(pairs, bodies, idf, threshold, width)
+    judged = cut(found if judged is None else judged.unionByName(found))
+    like = led.join(judged.filter("near"), ["lead", "key"]).select("band", "key").distinct()
+    rest = led.filter("not leads").select("band", "key", "rarity").distinct().join(like, ["band", "key"], "left_anti")
+    return judged, cut(_crowded(rest))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
