@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Strings whose ids a memo keeps, in two generations: those found in the older move to the newer, which replaces it when full.
-MEMO_STRINGS = 700_000
+MEMO_STRINGS = 1_600_000
 #: Longer words are encoded each time they occur.
 MEMO_CHARS = 48
 #: Bits of a symbol's place in a queue entry.
@@ -66,7 +66,7 @@ class Vocabulary:
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.words = regex.compile(WORDS)
         self.wide = re.compile(r" (?:\s|\Z)")
-        self.memo = _Memo(lambda word: array("I", self.merge(word.encode())).tobytes())
+        self.memo = _Memo(self.word_ids)
         self.spaced = _Memo(self.chunk)
 
     def merge(self, word: bytes) -> list[int]:
@@ -101,14 +101,16 @@ class Vocabulary:
                 heappush(queue, found[0] | h)
         return [x for x in ids if x >= 0]
 
+    def word_ids(self, word: str) -> bytes:
+        return array("I", self.merge(word.encode())).tobytes()
+
     def chunk(self, text: str) -> bytes:
         """Ids of a space and what follows it up to the next one."""
-        word = self.memo.__getitem__
         if text.isalpha():  # the letters of the pattern
-            return word(" " + text)
+            return self.word_ids(" " + text)
         if text[:-1].isalpha() and text[-1] in ".,;:!?":
-            return word(" " + text[:-1]) + word(text[-1])
-        return b"".join(map(word, self.words.findall(" " + text)))
+            return self.spaced[text[:-1]] + self.memo[text[-1]]
+        return b"".join(map(self.memo.__getitem__, self.words.findall(" " + text)))
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers.
