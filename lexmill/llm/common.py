@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps.
+
+    They are deleted when the driver's JVM finds them unreachable, which a quiet
+    heap may put off; the second collection meets what the first has released.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and cut its lineage.
 
@@ -25,10 +38,6 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lexmill-"))
-    # Shuffle files are deleted when the driver's JVM finds them unreachable; a
-    # driver with a quiet heap would otherwise keep those of finished steps.
-    gc.collect()
-    sc._jvm.System.gc()
     return df.checkpoint()
 
 

@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, parts_for
+from .common import cut, parts_for, tidy
 
 #: Paragraphs, and the clauses of long ones.
 CUTS = r"\n+|(?<=[.!?,;:])[ \t]+"
@@ -132,6 +132,7 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     ).select("doc_id", "th", "n_chars", "next_id", "next_th", "edited_sha256", "x.which", "x.body")
     keys = ["doc_id", "th", "n_chars", "next_id", "next_th", "edited_sha256", "which"]
     found = cut(fingerprints(both, keys, "body"))
+    tidy(docs.sparkSession)
     vec = ["exact", "signs", "units"]
     own = found.filter("which = 0").select(*keys[:-1], "copies", *[F.col(c).alias(f"a_{c}") for c in vec])
     edited = found.filter("which = 1").select(F.col("doc_id").alias("e_id"), F.col("th").alias("e_th"), *[F.col(c).alias(f"b_{c}") for c in vec])

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, parts_for
+from .common import cut, parts_for, tidy
 from .shingles import U, groups_of, mix, numbers, word_hashes
 
 #: Classes of one frequent token, and classes by ending.
@@ -286,6 +286,7 @@ def score_documents(docs: DataFrame, held_out: F.Column, rounds: int = ROUNDS) -
     n_blocks, n_buckets = parts_for(n_bytes, BLOCK_BYTES, 8), parts_for(n_bytes, BUCKET_BYTES, 8)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)))
     told = cut(token_counts(dealt, n_buckets))
+    tidy(docs.sparkSession)
 
     model = Model()
     by_class = {r["class"]: (r["n"], r["v"]) for r in told.filter("kind = 1").groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, parts_for
+from .common import cut, parts_for, tidy
 from .shingles import U, _powers, mix, numbers
 
 LENGTH, ANCHOR = 50, 24
@@ -513,9 +513,11 @@ def _judged(docs: DataFrame, length: int) -> DataFrame:
     n_bytes = heads.agg(F.sum("bytes")).first()[0] or 0
     long = rows.filter(F.octet_length("body") >= length).select("th", "own_id", F.col("body").alias("text"))
     shared = cut(shared_anchors(long, n_bytes, length))
+    tidy(docs.sparkSession)
     n_suffixes = shared.agg(F.sum(F.octet_length("places").cast("long")) / 8).first()[0] or 0
     texts = long.join(heads.filter(F.col("bytes") >= length), "th").filter("own_id = id").select("th", "id", "text")
     found = cut(repeated_strings(texts, shared, int(n_suffixes), length))
+    tidy(docs.sparkSession)
     side = heads.select("th", "id").join(found.groupBy("th").agg(F.collect_list(F.struct("places", "mask")).alias("found")), "th", "left")
     return rows.join(side, "th").select("row", "body", "missing", (F.col("own_id") == F.col("id")).alias("least"), "found")
 
@@ -526,7 +528,7 @@ def _kept(text: str, least: bool, found: list[dict] | None, length: int) -> tupl
         return data, np.zeros(len(data), bool)
     if not least:
         return data, np.ones(len(data), bool)
-    return data, covered(len(data), [(x["places"], x["mask"]) for x in found or []], length)
+    return data, covered(len(data), [(x["places"], x["mask"]) for x in ([] if found is None else found)], length)
 
 
 def measure_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
