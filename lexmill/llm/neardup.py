@@ -16,14 +16,14 @@ shingles frequent and must still be found.
 
 Equal texts are one candidate.  Within a band's bucket every text is compared
 with a leader, the one whose shingles are the most frequent: of a group of near
-copies, the one that most resembles the others.  What is unlike its leader may
-still be like another text that is, so those left over are matched by an exact
-prefix filter: with shingles in order of frequency, two texts of the threshold's
-similarity share one in the rarest part of both, the part without which a text
-cannot reach the threshold.  The texts that have such a shingle in common are
-compared with leaders again (a fixed number at a time), those unlike them with
-others of their own, and so on until none are left.  So a bucket takes as many comparisons as it has texts for
-each leader, and no pairs are formed between followers.
+copies, the one that most resembles the others.  Buckets whose texts are then in
+one class are done.  The texts of the others are matched by an exact prefix
+filter: with a text's shingles in order of frequency, those from the first that
+two texts share must weigh as much as the threshold asks of both together.  So
+texts of nearly equal weight meet at the shingles of a short, rare prefix, and
+only there; in each such list the texts outside of its largest class are compared
+with those of other classes, a fixed number of them at a time until all have
+been.  No pairs are formed within a class, nor by texts that the filter parts.
 
 A null text is the empty text.  Texts without words are near only to equal
 texts.  Repeated rows are equal texts.  An empty table gives an empty table.
@@ -36,7 +36,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, parts_for
@@ -47,8 +47,8 @@ WIDTH, THRESHOLD = 5, 0.8
 #: At similarity 0.8 a pair shares none of 16 bands of 3 samples once in 90,000 times.
 BANDS, ROWS = 16, 3
 TABLE_BITS = 20
-#: Leaders at a time in what the bands leave over, in buckets of so many texts at most; in larger ones, one.
-LEADERS, SMALL = 12, 256
+#: Texts of a list that are compared with the others at a time, and the ratio of a class of weights.
+LEADERS, CLASS_RATIO = 512, 1.1
 #: Share of documents from which a shingle loses weight, and the least weight.
 COMMON, FLOOR = 0.01, 0.75
 #: Pre-drawn parameters of the sampling, picked by hash for each shingle and sample.
@@ -154,14 +154,31 @@ def band_keys(texts: list[str], idf: np.ndarray, frequencies: np.ndarray, width:
     return out, rarity
 
 
-def prefix(text: str, idf: np.ndarray, frequencies: np.ndarray, threshold: float, width: int = WIDTH) -> np.ndarray:
-    """The shingles, in order of frequency, up to the last from which on the weights still reach the threshold."""
+def prefix(text: str, idf: np.ndarray, frequencies: np.ndarray, threshold: float, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Where a text looks for others: keys, whether it may be found there by heavier ones, weight from the key's shingle on, and its weight.
+
+    With weights V <= W and overlap from the first common shingle on of at most
+    s, a pair reaches the threshold t only if s >= t / (1 + t) * (V + W).  Keys
+    join a shingle with a class of weights: a text is found under its own class
+    where s allows for two texts of its weight, and looks for lighter ones under
+    each class down to t times its weight where s allows for the class's least.
+    """
     hashes, _, counts = bags([text], width)
     at = (hashes & U(len(idf) - 1)).astype(np.int64)
     order = np.lexsort((hashes, frequencies[at]))
-    weights = (counts * idf[at])[order].astype(np.float64)
-    from_here = weights[::-1].cumsum()[::-1]
-    return hashes[order][from_here >= threshold * from_here[:1].sum() - 1e-6].view(np.int64)
+    hashes, weights = hashes[order], (counts * idf[at])[order].astype(np.float64)
+    rest = weights[::-1].cumsum()[::-1]
+    whole = float(rest[0])
+    slack, share = 1e-6 * whole, threshold / (1.0 + threshold)
+    own = int(np.floor(np.log(whole) / np.log(CLASS_RATIO)))
+    low = int(np.floor(np.log(threshold * whole - slack) / np.log(CLASS_RATIO)))
+    keys, found, rests = [], [], []
+    for c in range(low, own + 1):
+        i = np.flatnonzero(rest >= share * (whole + min(whole, max(CLASS_RATIO**c, threshold * whole))) - slack)
+        keys.append(mix(hashes[i] * U(0x9E3779B97F4A7C15) + U(c + (1 << 20))).view(np.int64))
+        found.append((rest[i] >= 2 * share * whole - slack) & (c == own))
+        rests.append(rest[i])
+    return np.concatenate(keys), np.concatenate(found), np.concatenate(rests), whole
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -206,59 +223,72 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [prefix(t, idf.value, frequencies.value, threshold, width) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], ["key", "rarity", "bands"])
+            for i, t in enumerate(b.column(1).to_pylist()):
+                bands, found, rests, whole = prefix(t, idf.value, frequencies.value, threshold, width)
+                n = len(bands)
+                yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()] * n, pa.binary()), pa.array(bands), pa.array(found), pa.array(rests), pa.array(np.full(n, whole))], ["key", "band", "found", "rest", "whole"])
 
     keyed = docs.select("doc_id", text_key().alias("key"), "text")
     signed = cut(keyed.mapInArrow(sign, f"doc_id {kind}, key binary, rarity float, bands array<bigint>"))
     distinct = signed.groupBy("key").agg(F.min(F.struct("doc_id", "rarity", "bands")).alias("x")).select("key", "x.doc_id", "x.rarity", "x.bands")
-    left = cut(_crowded(distinct.select("key", "rarity", F.explode("bands").alias("band"))))
-    if left.isEmpty():
+    bands = cut(_crowded(distinct.select("key", "rarity", F.explode("bands").alias("band"))))
+    if bands.isEmpty():
         return spark.createDataFrame([], "a binary, b binary"), signed.select("doc_id", "key")
     # The texts of all candidates, once.
-    wanted = left.select("key").distinct().join(distinct.select("key", "doc_id"), "key")
+    wanted = bands.select("key").distinct().join(distinct.select("key", "doc_id"), "key")
     bodies = cut(
         docs.select(F.col("doc_id").alias("id"), text_key().alias("k"), F.coalesce("text", F.lit("")).alias("text"))
         .join(wanted, (F.col("k") == F.col("key")) & F.col("id").eqNullSafe(F.col("doc_id")))
         .select("key", "text")
         .dropDuplicates(["key"])
     )
-    judged, left = _compare(left, None, bodies, idf, threshold, width)
-    rest = left.select("key", "rarity").distinct().join(bodies, "key").select("key", "rarity", "text")
-    left = cut(_crowded(rest.mapInArrow(prefixes, "key binary, rarity float, bands array<bigint>").select("key", "rarity", F.explode("bands").alias("band"))))
-    while not left.isEmpty():
-        judged, left = _compare(left, judged, bodies, idf, threshold, width, LEADERS)
-    return judged.filter("near").select(F.col("lead").alias("a"), F.col("key").alias("b")), signed.select("doc_id", "key")
+    verified = lambda pairs: _verified(pairs, bodies, idf, threshold, width)
+    leaders = bands.groupBy("band").agg(F.min(F.struct("rarity", F.hex("key").alias("name"))).alias("x")).select("band", F.unhex("x.name").alias("lead"))
+    judged = cut(verified(_ordered(bands.join(leaders, "band").filter("key != lead"))))
+    links = judged.filter("near").select(F.col("lead").alias("a"), F.col("key").alias("b"))
+
+    classed = _classed(bands, components(links))
+    split = classed.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x != y").select("band")
+    rest = cut(classed.join(split, "band", "left_semi").select("key").distinct().join(bodies, "key").select("key", "text"))
+    if rest.isEmpty():
+        return links, signed.select("doc_id", "key")
+    lists = cut(_crowded(rest.mapInArrow(prefixes, "key binary, band long, found boolean, rest double, whole double")))
+    led = None
+    while True:
+        classed = _classed(lists, components(links))
+        sizes = classed.groupBy("band", "class").agg(F.count(F.lit(1)).alias("size"))
+        largest = sizes.groupBy("band").agg(F.max_by("class", "size").alias("largest"), F.count(F.lit(1)).alias("n_classes")).filter("n_classes > 1")
+        outside = classed.join(largest.select("band", "largest"), "band").filter("class != largest")
+        if led is not None:
+            outside = outside.join(led, ["band", "key"], "left_anti")
+        some = cut(outside.groupBy("band", F.pmod(F.xxhash64("key"), F.lit(LEADERS)).alias("k")).agg(F.min("key").alias("key")).select("band", "key"))
+        if some.isEmpty():
+            break
+        led = some if led is None else cut(led.unionByName(some))
+        lead = classed.join(some, ["band", "key"]).select("band", *[F.col(c).alias(f"lead_{c}") for c in ("key", "class", "found", "rest", "whole")])
+        met = classed.join(lead, "band").filter("class != lead_class and (found or lead_found)")
+        enough = threshold / (1 + threshold) * (F.col("whole") + F.col("lead_whole")) * (1 - 1e-6)
+        met = met.filter((F.least("rest", "lead_rest") >= enough) & (F.least("whole", "lead_whole") >= threshold * (1 - 1e-6) * F.greatest("whole", "lead_whole")))
+        pairs = _ordered(met.select("key", F.col("lead_key").alias("lead"))).join(judged, ["lead", "key"], "left_anti")
+        judged = cut(judged.unionByName(verified(pairs)))
+        links = judged.filter("near").select(F.col("lead").alias("a"), F.col("key").alias("b"))
+    return links, signed.select("doc_id", "key")
 
 
 def _crowded(members: DataFrame) -> DataFrame:
-    """Rows ``key``, ``rarity``, ``band`` of bands with several keys, and their number ``n``."""
-    several = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    """Rows of bands with several keys."""
+    several = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
     return members.join(several, "band")
 
 
-def _led(left: DataFrame, leaders: int) -> DataFrame:
-    """``band``, ``key``, ``rarity``, ``lead``: each member with its band's leader; in small bands with each of the first ``leaders`` before it."""
-    first = left.filter(F.col("n") > SMALL).groupBy("band").agg(F.min(F.struct("rarity", F.hex("key").alias("name"))).alias("x")).select("band", F.unhex("x.name").alias("lead"))
-    large = left.join(first, "band").filter("key != lead").select("band", "key", "rarity", F.lit(False).alias("leads"), "lead")
-    order = Window.partitionBy("band").orderBy("rarity", "key")  # over SMALL rows at most
-    placed = left.filter(F.col("n") <= SMALL).withColumn("place", F.row_number().over(order))
-    ahead = placed.filter(F.col("place") <= leaders).select("band", F.col("key").alias("lead"), F.col("place").alias("at"))
-    small = placed.join(ahead, "band").filter("at < place").select("band", "key", "rarity", (F.col("place") <= leaders).alias("leads"), "lead")
-    return large.unionByName(small)
-
-
-def _compare(left: DataFrame, judged: DataFrame | None, bodies: DataFrame, idf, threshold: float, width: int, leaders: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Compare each band's members with its leaders: all pairs judged so far, and the members left for another leader."""
-    led = cut(_led(left, leaders))
-    pairs = led.select("lead", "key").distinct()
-    if judged is not None:
-        pairs = pairs.join(judged, ["lead", "key"], "left_anti")
-    found = _verified(pairs, bodies, idf, threshold, width)
-    judged = cut(found if judged is None else judged.unionByName(found))
-    like = led.join(judged.filter("near"), ["lead", "key"]).select("band", "key").distinct()
-    rest = led.filter("not leads").select("band", "key", "rarity").distinct().join(like, ["band", "key"], "left_anti")
-    return judged, cut(_crowded(rest))
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Each pair of keys once, the lesser as ``lead``."""
+    return pairs.select(F.least("lead", "key").alias("lead"), F.greatest("lead", "key").alias("key")).distinct()
+
+
+def _classed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``members`` with the ``class`` of each key so far."""
+    return members.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("class", F.coalesce("root", "key")).drop("root")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
