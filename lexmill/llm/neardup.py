@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, parts_for
+from .common import cut, tidy
 from .graph import components
 from .shingles import U, bags, groups_of, mix, numbers
 
@@ -49,6 +49,8 @@ BANDS, ROWS = 16, 3
 TABLE_BITS = 20
 #: Texts of a list that are compared with the others at a time, and the ratio of a class of weights.
 LEADERS, CLASS_RATIO = 512, 1.1
+#: Size of the table of frequencies among candidates, which orders their shingles.
+ORDER_BITS = 22
 #: Share of documents from which a shingle loses weight, and the least weight.
 COMMON, FLOOR = 0.01, 0.75
 #: Pre-drawn parameters of the sampling, picked by hash for each shingle and sample.
@@ -61,11 +63,11 @@ def text_key() -> F.Column:
     return F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32))
 
 
-def document_frequencies(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
-    """How many documents have a shingle of each hash value; 2^TABLE_BITS counts, over all documents."""
+def document_frequencies(docs: DataFrame, width: int = WIDTH, bits: int = TABLE_BITS) -> np.ndarray:
+    """How many documents have a shingle of each hash value; 2^bits counts, over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << TABLE_BITS, np.int64)
+        table = np.zeros(1 << bits, np.int64)
         for b in batches:
             for _, texts in groups_of([t or "" for t in b.column(0).to_pylist()]):
                 table += np.bincount((bags(texts, width)[0] & U(len(table) - 1)).astype(np.int64), minlength=len(table))
@@ -82,7 +84,7 @@ def document_frequencies(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "counts"])
 
     schema = "part int, counts binary"
-    out = np.zeros((1 << (TABLE_BITS - _CHUNK_BITS), 1 << _CHUNK_BITS), np.int64)
+    out = np.zeros((1 << (bits - _CHUNK_BITS), 1 << _CHUNK_BITS), np.int64)
     for r in docs.select("text").mapInArrow(count, schema).repartition(8, "part").mapInArrow(add, schema).collect():
         out[r["part"]] = np.frombuffer(r["counts"], np.int64)
     return out.reshape(-1)
@@ -154,7 +156,7 @@ def band_keys(texts: list[str], idf: np.ndarray, frequencies: np.ndarray, width:
     return out, rarity
 
 
-def prefix(text: str, idf: np.ndarray, frequencies: np.ndarray, threshold: float, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def prefix(text: str, idf: np.ndarray, order_by: np.ndarray, threshold: float, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Where a text looks for others: keys, whether it may be found there by heavier ones, weight from the key's shingle on, and its weight.
 
     With weights V <= W and overlap from the first common shingle on of at most
@@ -164,9 +166,9 @@ def prefix(text: str, idf: np.ndarray, frequencies: np.ndarray, threshold: float
     each class down to t times its weight where s allows for the class's least.
     """
     hashes, _, counts = bags([text], width)
-    at = (hashes & U(len(idf) - 1)).astype(np.int64)
-    order = np.lexsort((hashes, frequencies[at]))
-    hashes, weights = hashes[order], (counts * idf[at])[order].astype(np.float64)
+    weights = counts * idf[(hashes & U(len(idf) - 1)).astype(np.int64)]
+    order = np.lexsort((hashes, order_by[(hashes & U(len(order_by) - 1)).astype(np.int64)]))
+    hashes, weights = hashes[order], weights[order].astype(np.float64)
     rest = weights[::-1].cumsum()[::-1]
     whole = float(rest[0])
     slack, share = 1e-6 * whole, threshold / (1.0 + threshold)
@@ -224,7 +226,7 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, t in enumerate(b.column(1).to_pylist()):
-                bands, found, rests, whole = prefix(t, idf.value, frequencies.value, threshold, width)
+                bands, found, rests, whole = prefix(t, idf.value, rarest.value, threshold, width)
                 n = len(bands)
                 yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()] * n, pa.binary()), pa.array(bands), pa.array(found), pa.array(rests), pa.array(np.full(n, whole))], ["key", "band", "found", "rest", "whole"])
 
@@ -249,29 +251,33 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
 
     classed = _classed(bands, components(links))
     split = classed.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x != y").select("band")
+    tidy(spark)
     rest = cut(classed.join(split, "band", "left_semi").select("key").distinct().join(bodies, "key").select("key", "text"))
     if rest.isEmpty():
         return links, signed.select("doc_id", "key")
-    lists = cut(_crowded(rest.mapInArrow(prefixes, "key binary, band long, found boolean, rest double, whole double")))
-    led = None
+    # Any order of shingles will do; one by frequency among these texts keeps the lists short.
+    rarest = spark.sparkContext.broadcast(document_frequencies(rest, width, ORDER_BITS).astype(np.float32))  # 16 MB
+    lists = _crowded(rest.mapInArrow(prefixes, "key binary, band long, found boolean, rest double, whole double"))
     while True:
-        classed = _classed(lists, components(links))
-        sizes = classed.groupBy("band", "class").agg(F.count(F.lit(1)).alias("size"))
-        largest = sizes.groupBy("band").agg(F.max_by("class", "size").alias("largest"), F.count(F.lit(1)).alias("n_classes")).filter("n_classes > 1")
-        outside = classed.join(largest.select("band", "largest"), "band").filter("class != largest")
-        if led is not None:
-            outside = outside.join(led, ["band", "key"], "left_anti")
-        some = cut(outside.groupBy("band", F.pmod(F.xxhash64("key"), F.lit(LEADERS)).alias("k")).agg(F.min("key").alias("key")).select("band", "key"))
-        if some.isEmpty():
+        lists = _classed(lists, components(links))
+        several = lists.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.max("found").alias("any")).filter("x != y and any").select("band")
+        lists = cut(lists.join(several, "band", "left_semi"))
+        if lists.isEmpty():
             break
-        led = some if led is None else cut(led.unionByName(some))
-        lead = classed.join(some, ["band", "key"]).select("band", *[F.col(c).alias(f"lead_{c}") for c in ("key", "class", "found", "rest", "whole")])
-        met = classed.join(lead, "band").filter("class != lead_class and (found or lead_found)")
+        sizes = lists.groupBy("band", "class").agg(F.count(F.lit(1)).alias("size"))
+        largest = sizes.groupBy("band").agg(F.max_by("class", "size").alias("largest"))
+        outside = lists.join(largest, "band").filter("class != largest")
+        some = cut(outside.groupBy("band", F.pmod(F.xxhash64("key"), F.lit(LEADERS)).alias("k")).agg(F.min("key").alias("key")).select("band", "key"))
+        lead = lists.join(some, ["band", "key"]).select("band", *[F.col(c).alias(f"lead_{c}") for c in ("key", "class", "found", "rest", "whole")])
+        met = lists.join(lead, "band").filter("class != lead_class and (found or lead_found)")
         enough = threshold / (1 + threshold) * (F.col("whole") + F.col("lead_whole")) * (1 - 1e-6)
         met = met.filter((F.least("rest", "lead_rest") >= enough) & (F.least("whole", "lead_whole") >= threshold * (1 - 1e-6) * F.greatest("whole", "lead_whole")))
         pairs = _ordered(met.select("key", F.col("lead_key").alias("lead"))).join(judged, ["lead", "key"], "left_anti")
         judged = cut(judged.unionByName(verified(pairs)))
         links = judged.filter("near").select(F.col("lead").alias("a"), F.col("key").alias("b"))
+        # Those that have been compared with all others of the list are done.
+        lists = lists.drop("class").join(some, ["band", "key"], "left_anti")
+        tidy(spark)
     return links, signed.select("doc_id", "key")
 
 
