@@ -20,9 +20,9 @@ def tidy(spark: SparkSession) -> None:
     """Let go of the shuffle files of finished steps.
 
     They are deleted when the driver's JVM finds them unreachable, which a quiet
-    heap may put off; the second collection meets what the first has released.
+    heap may put off; each collection meets what the one before has released.
     """
-    for _ in range(2):
+    for _ in range(4):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.4)

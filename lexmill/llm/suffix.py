@@ -44,8 +44,10 @@ LENGTH, ANCHOR = 50, 24
 PIECE = 1 << 20
 _PLACE_BITS = 22
 #: Anchors and suffixes that a task gathers before it sends them on, and that a bucket should hold.
-ANCHORS_A_FLUSH, ANCHORS_A_BUCKET = 1_500_000, 1_500_000
-SUFFIXES_A_FLUSH, SUFFIXES_A_BUCKET = 250_000, 200_000
+ANCHORS_A_FLUSH, ANCHORS_A_BUCKET = 800_000, 800_000
+SUFFIXES_A_FLUSH, SUFFIXES_A_BUCKET = 120_000, 100_000
+#: Bytes of a hash that are sent; its bucket tells the rest.
+KEY_BYTES = 5
 _BYTE = numbers(256, 31)
 
 
@@ -80,14 +82,17 @@ def pieces_of(text: bytes, length: int = LENGTH) -> Iterator[tuple[int, np.ndarr
         yield at, data[at : at + PIECE + length - 1]
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Numbers by byte planes, which compress better."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+def _planes(x: np.ndarray, width: int | None = None) -> bytes:
+    """Little-endian numbers by byte planes, which compress better; their lowest bytes alone if a width is given."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1)[:, :width].T).tobytes()
 
 
-def _from_planes(data: bytes, kind: str) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+def _from_planes(data: bytes, kind: str, width: int | None = None) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(data, np.uint8).reshape(width or size, -1)
+    whole = np.zeros((planes.shape[1], size), np.uint8)
+    whole[:, : width or size] = planes.T
+    return whole.view(kind).ravel()
 
 
 def _buckets(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
@@ -109,7 +114,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
-_ANCHOR_ROWS = pa.schema([("bucket", pa.int32()), ("th", pa.int64()), ("keys", pa.binary()), ("texts", pa.binary()), ("places", pa.binary())])
+_ANCHOR_ROWS = pa.schema([("bucket", pa.int32()), ("th", pa.int64()), ("keys", pa.binary()), ("table", pa.binary()), ("texts", pa.binary()), ("places", pa.binary())])
 _PLACE_ROWS = pa.schema([("th", pa.int64()), ("places", pa.binary())])
 
 
@@ -144,7 +149,7 @@ def shared_anchors(texts: DataFrame, n_bytes: int, length: int = LENGTH) -> Data
         run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(keys))))
         new_text = np.concatenate([[True], (owner[1:] != owner[:-1]) | (run[1:] != run[:-1])])
         known = np.flatnonzero(new_text & several[run])
-        rows = [(int(np.uint64(t & 0xFFFFFFFFFFFFFFFF) % np.uint64(n_buckets)), t, None, None, p.astype("<i8").tobytes()) for t, (p,) in _by_text(owner[known], places[known])]
+        rows = [(int(np.uint64(t & 0xFFFFFFFFFFFFFFFF) % np.uint64(n_buckets)), t, None, None, None, p.astype("<i8").tobytes()) for t, (p,) in _by_text(owner[known], places[known])]
         # Of a key that several texts here have, two suffice to tell the others.
         ordinal = np.cumsum(new_text) - 1
         ordinal -= ordinal[starts][run]
@@ -155,7 +160,8 @@ def shared_anchors(texts: DataFrame, n_bytes: int, length: int = LENGTH) -> Data
         for b in range(n_buckets):
             i = out[edges[b] : edges[b + 1]]
             if len(i):
-                rows.append((b, None, _planes(keys[i].astype("<u8")), _planes(owner[i].astype("<i8")), _planes(places[i].astype("<i8"))))
+                table, at = np.unique(owner[i], return_inverse=True)
+                rows.append((b, None, _planes((keys[i] // U(n_buckets)).astype("<u8"), KEY_BYTES), _planes(table.astype("<i8")), _planes(at.astype("<u4")), _planes(places[i].astype("<i8"))))
         yield _batch(rows, _ANCHOR_ROWS)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,8 +193,8 @@ def shared_anchors(texts: DataFrame, n_bytes: int, length: int = LENGTH) -> Data
             known = [(r["th"], r["places"]) for r in rows if r["th"] is not None]
             blobs = [r for r in rows if r["th"] is None]
             if blobs:
-                keys = np.concatenate([_from_planes(r["keys"], "<u8") for r in blobs])
-                owner = np.concatenate([_from_planes(r["texts"], "<i8") for r in blobs])
+                keys = np.concatenate([_from_planes(r["keys"], "<u8", KEY_BYTES) for r in blobs])
+                owner = np.concatenate([_from_planes(r["table"], "<i8")[_from_planes(r["texts"], "<u4")] for r in blobs])
                 places = np.concatenate([_from_planes(r["places"], "<i8") for r in blobs])
                 order, starts, several = _runs_of(keys, owner)
                 run = np.repeat(several, np.diff(np.append(starts, len(keys))))
@@ -197,7 +203,7 @@ def shared_anchors(texts: DataFrame, n_bytes: int, length: int = LENGTH) -> Data
             for k in range(0, len(known), 5000):
                 yield _batch(known[k : k + 5000], _PLACE_ROWS)
 
-    sent = texts.select("th", "text").mapInArrow(gather, "bucket int, th long, keys binary, texts binary, places binary")
+    sent = texts.select("th", "text").mapInArrow(gather, "bucket int, th long, keys binary, table binary, texts binary, places binary")
     return sent.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(find, "th long, places binary")
 
 
