@@ -72,24 +72,42 @@ def document_frequencies(docs: DataFrame, width: int = WIDTH, bits: int = TABLE_
             for _, texts in groups_of([t or "" for t in b.column(0).to_pylist()]):
                 table += np.bincount((bags(texts, width)[0] & U(len(table) - 1)).astype(np.int64), minlength=len(table))
         if table.any():
-            parts = table.astype("<u4" if table.max() < 1 << 32 else "<u8").reshape(-1, 1 << _CHUNK_BITS)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "counts"])
+            parts = table.reshape(-1, 1 << _CHUNK_BITS)
+            some = np.flatnonzero(parts.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([_packed(parts[k]) for k in some], pa.binary())], ["part", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(x, "<u4" if len(x) == 4 << _CHUNK_BITS else "<u8").astype(np.int64)
+                x = _unpacked(x)
                 sums[k] = sums[k] + x if k in sums else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_packed(x) for x in sums.values()], pa.binary())], ["part", "counts"])
 
     schema = "part int, counts binary"
     out = np.zeros((1 << (bits - _CHUNK_BITS), 1 << _CHUNK_BITS), np.int64)
     for r in docs.select("text").mapInArrow(count, schema).repartition(8, "part").mapInArrow(add, schema).collect():
-        out[r["part"]] = np.frombuffer(r["counts"], np.int64)
+        out[r["part"]] = _unpacked(r["counts"])
     return out.reshape(-1)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts as a list of those that are not zero, or all of them, whichever is shorter."""
+    at = np.flatnonzero(counts)
+    if 10 * len(at) < 4 * len(counts):
+        return b"s" + at.astype("<u2").tobytes() + counts[at].astype("<u8").tobytes()
+    return b"d" + counts.astype("<u4").tobytes() if counts.max() < 1 << 32 else b"D" + counts.astype("<u8").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    if data[:1] != b"s":
+        return np.frombuffer(data, "<u4" if data[:1] == b"d" else "<u8", offset=1).astype(np.int64)
+    n = (len(data) - 1) // 10
+    out = np.zeros(1 << _CHUNK_BITS, np.int64)
+    out[np.frombuffer(data, "<u2", n, 1)] = np.frombuffer(data, "<u8", n, 1 + 2 * n).astype(np.int64)
+    return out
+
+
 def idf_weights(frequencies: np.ndarray, n_docs: int) -> np.ndarray:
     """Weight of a shingle of each hash value."""
     share = np.maximum(frequencies, 1) / max(n_docs, 1)
@@ -236,6 +254,7 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
     bands = cut(_crowded(distinct.select("key", "rarity", F.explode("bands").alias("band"))))
     if bands.isEmpty():
         return spark.createDataFrame([], "a binary, b binary"), signed.select("doc_id", "key")
+    tidy(spark)
     # The texts of all candidates, once.
     wanted = bands.select("key").distinct().join(distinct.select("key", "doc_id"), "key")
     bodies = cut(
@@ -244,11 +263,13 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
         .select("key", "text")
         .dropDuplicates(["key"])
     )
+    tidy(spark)
     verified = lambda pairs: _verified(pairs, bodies, idf, threshold, width)
     leaders = bands.groupBy("band").agg(F.min(F.struct("rarity", F.hex("key").alias("name"))).alias("x")).select("band", F.unhex("x.name").alias("lead"))
     judged = cut(verified(_ordered(bands.join(leaders, "band").filter("key != lead"))))
     links = judged.filter("near").select(F.col("lead").alias("a"), F.col("key").alias("b"))
 
+    tidy(spark)
     classed = _classed(bands, components(links))
     split = classed.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x != y").select("band")
     tidy(spark)
@@ -305,11 +326,13 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -
     """
     links, rows = near_links(docs, threshold, width)
     links = cut(links)
+    tidy(docs.sparkSession)
     roots = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     of_text = cut(roots.join(degree, "node", "left"))
     rows = rows.join(of_text, F.col("key") == F.col("node"), "left").select("doc_id", "key", F.coalesce("root", "key").alias("class"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     rows = cut(rows)
+    tidy(docs.sparkSession)
     heads = rows.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_rows"))
     return rows.join(heads, "class").select("doc_id", "key", "class_id", "class_rows", "n_links")
 
