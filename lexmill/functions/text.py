@@ -33,23 +33,25 @@ def collapse(c: Column) -> Column:
 
 
 def first_sentence(c: Column, most_words: int = 30) -> Column:
-    """First sentence behind a leading header line; without a sentence end, the first words."""
-    body = collapse(strip(F.regexp_replace(c, r"(?dU)\A#+\s+.+\n", "")))
+    """First sentence behind a leading header line; without a sentence end, the first words.
+
+    Only what is found is stripped and collapsed, not the whole text.
+    """
+    body = F.regexp_replace(c, r"(?dU)\A#+\s+.+\n", "")
+    found = F.regexp_extract(body, f"(?s)({SENTENCE})", 1)
     some = F.slice(words(body), 1, most_words)
     rest = F.concat(F.array_join(some, " "), F.when(F.size(some) == most_words, "...").otherwise(""))
-    found = F.regexp_extract(body, f"(?s)({SENTENCE})", 1)
-    return F.when(found != "", strip(found)).otherwise(rest)
+    return F.when(found != "", strip(collapse(found))).otherwise(rest)
 
 
 def last_sentence(c: Column, most_words: int = 30) -> Column:
-    """Last sentence; without a sentence end, the last words."""
-    body = strip(collapse(c))
-    every = words(body)
+    """Last sentence; without a sentence end, the last words.  Found from the end, in the text reversed."""
+    found = F.regexp_extract(F.reverse(c), r"(?s)\A[^.!?]*([.!?][^.!?]*)", 1)
+    every = words(c)
     n = F.size(every)
     some = F.slice(every, F.greatest(n - most_words + 1, F.lit(1)), F.lit(most_words))
     rest = F.concat(F.when(n > most_words, "...").otherwise(""), F.array_join(some, " "))
-    found = F.regexp_extract_all(body, F.lit(f"(?s)({SENTENCE})"), F.lit(1))
-    return F.when(F.size(found) > 0, strip(F.element_at(found, F.greatest(F.size(found), F.lit(1))))).otherwise(rest)
+    return F.when(found != "", strip(collapse(F.reverse(found)))).otherwise(rest)
 
 
 def chunk_id(header: Column, content: Column) -> Column:
