@@ -38,7 +38,7 @@ def first_sentence(c: Column, most_words: int = 30) -> Column:
     Only what is found is stripped and collapsed, not the whole text.
     """
     body = F.regexp_replace(c, r"(?dU)\A#+\s+.+\n", "")
-    found = F.regexp_extract(body, f"(?s)({SENTENCE})", 1)
+    found = F.regexp_extract(body, rf"(?s)\A({SENTENCE})", 1)  # anchored: a text without a sentence end is read once
     some = F.slice(words(body), 1, most_words)
     rest = F.concat(F.array_join(some, " "), F.when(F.size(some) == most_words, "...").otherwise(""))
     return F.when(found != "", strip(collapse(found))).otherwise(rest)
