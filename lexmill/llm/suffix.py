@@ -45,7 +45,7 @@ PIECE = 1 << 20
 _PLACE_BITS = 22
 #: Anchors and suffixes that a task gathers before it sends them on, and that a bucket should hold.
 ANCHORS_A_FLUSH, ANCHORS_A_BUCKET = 800_000, 800_000
-SUFFIXES_A_FLUSH, SUFFIXES_A_BUCKET = 120_000, 100_000
+SUFFIXES_A_FLUSH, SUFFIXES_A_BUCKET = 120_000, 400_000
 #: Bytes of a hash that are sent; its bucket tells the rest.
 KEY_BYTES = 5
 _BYTE = numbers(256, 31)
