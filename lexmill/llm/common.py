@@ -50,6 +50,19 @@ def store(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def narrow(df: DataFrame, rows_per_part: int, least: int = 4) -> DataFrame:
+    """A computed table in as many partitions as its rows need: what follows then writes fewer, larger shuffle files."""
+    return df.coalesce(parts_for(df.count(), rows_per_part, least))
+
+
+def drop_stored(df: DataFrame) -> None:
+    """Delete the folder of a table that store() wrote."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent() if df.inputFiles() else None
+    if path is not None and path.getName().startswith("table-"):
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def crc32_of_id(doc_id) -> F.Column:
     """crc32 of an id written as text, the rule by which folds are formed."""
     return F.crc32(doc_id.cast("string").cast("binary"))

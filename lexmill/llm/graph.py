@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, parts_for
+
+#: Links in a partition.
+LINKS_A_PART = 200_000
 
 
 def _state(links: DataFrame) -> tuple:
@@ -22,15 +25,17 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
     before = _state(links)
+    n = parts_for(before[0], LINKS_A_PART, 4)  # links never grow in number
+    links = links.coalesce(n)
     while before[0]:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).coalesce(n)
         # large star: larger neighbours link to the least
-        links = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+        links = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").coalesce(n).distinct().coalesce(n)
         # small star: smaller neighbours and the node itself link to the least
         least = links.groupBy("a").agg(F.min("b").alias("m"))
-        joined = links.join(least, "a")
-        links = cut(joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b"))).filter("a != b").distinct())
+        joined = links.join(least, "a").coalesce(n)
+        links = cut(joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b"))).filter("a != b").distinct().coalesce(n))
         after = _state(links)
         if after == before:
             break

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, tidy
+from .common import cut, drop_stored, narrow, store, tidy
 from .graph import components
 from .shingles import U, bags, groups_of, mix, numbers
 
@@ -49,6 +49,8 @@ BANDS, ROWS = 16, 3
 TABLE_BITS = 20
 #: Texts of a list that are compared with the others at a time, and the ratio of a class of weights.
 LEADERS, CLASS_RATIO = 512, 1.1
+#: Rows of pairs and lists in a partition.
+PAIRS_A_PART = 100_000
 #: Size of the table of frequencies among candidates, which orders their shingles.
 ORDER_BITS = 22
 #: Share of documents from which a shingle loses weight, and the least weight.
@@ -257,7 +259,7 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
     tidy(spark)
     # The texts of all candidates, once.
     wanted = bands.select("key").distinct().join(distinct.select("key", "doc_id"), "key")
-    bodies = cut(
+    bodies = store(
         docs.select(F.col("doc_id").alias("id"), text_key().alias("k"), F.coalesce("text", F.lit("")).alias("text"))
         .join(wanted, (F.col("k") == F.col("key")) & F.col("id").eqNullSafe(F.col("doc_id")))
         .select("key", "text")
@@ -266,7 +268,7 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
     tidy(spark)
     verified = lambda pairs: _verified(pairs, bodies, idf, threshold, width)
     leaders = bands.groupBy("band").agg(F.min(F.struct("rarity", F.hex("key").alias("name"))).alias("x")).select("band", F.unhex("x.name").alias("lead"))
-    judged = cut(verified(_ordered(bands.join(leaders, "band").filter("key != lead"))))
+    judged = narrow(cut(verified(_ordered(bands.join(leaders, "band").filter("key != lead")))), PAIRS_A_PART)
     links = judged.filter("near").select(F.col("lead").alias("a"), F.col("key").alias("b"))
 
     tidy(spark)
@@ -275,6 +277,7 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
     tidy(spark)
     rest = cut(classed.join(split, "band", "left_semi").select("key").distinct().join(bodies, "key").select("key", "text"))
     if rest.isEmpty():
+        drop_stored(bodies)
         return links, signed.select("doc_id", "key")
     # Any order of shingles will do; one by frequency among these texts keeps the lists short.
     rarest = spark.sparkContext.broadcast(document_frequencies(rest, width, ORDER_BITS).astype(np.float32))  # 16 MB
@@ -282,23 +285,24 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
     while True:
         lists = _classed(lists, components(links))
         several = lists.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.max("found").alias("any")).filter("x != y and any").select("band")
-        lists = cut(lists.join(several, "band", "left_semi"))
+        lists = narrow(cut(lists.join(several, "band", "left_semi")), PAIRS_A_PART)
         if lists.isEmpty():
             break
         sizes = lists.groupBy("band", "class").agg(F.count(F.lit(1)).alias("size"))
         largest = sizes.groupBy("band").agg(F.max_by("class", "size").alias("largest"))
         outside = lists.join(largest, "band").filter("class != largest")
-        some = cut(outside.groupBy("band", F.pmod(F.xxhash64("key"), F.lit(LEADERS)).alias("k")).agg(F.min("key").alias("key")).select("band", "key"))
+        some = narrow(cut(outside.groupBy("band", F.pmod(F.xxhash64("key"), F.lit(LEADERS)).alias("k")).agg(F.min("key").alias("key")).select("band", "key")), PAIRS_A_PART)
         lead = lists.join(some, ["band", "key"]).select("band", *[F.col(c).alias(f"lead_{c}") for c in ("key", "class", "found", "rest", "whole")])
         met = lists.join(lead, "band").filter("class != lead_class and (found or lead_found)")
         enough = threshold / (1 + threshold) * (F.col("whole") + F.col("lead_whole")) * (1 - 1e-6)
         met = met.filter((F.least("rest", "lead_rest") >= enough) & (F.least("whole", "lead_whole") >= threshold * (1 - 1e-6) * F.greatest("whole", "lead_whole")))
         pairs = _ordered(met.select("key", F.col("lead_key").alias("lead"))).join(judged, ["lead", "key"], "left_anti")
-        judged = cut(judged.unionByName(verified(pairs)))
+        judged = narrow(cut(judged.unionByName(verified(pairs))), PAIRS_A_PART)
         links = judged.filter("near").select(F.col("lead").alias("a"), F.col("key").alias("b"))
         # Those that have been compared with all others of the list are done.
         lists = lists.drop("class").join(some, ["band", "key"], "left_anti")
         tidy(spark)
+    drop_stored(bodies)
     return links, signed.select("doc_id", "key")
 
 
