@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, drop_stored, narrow, store, tidy
 from .graph import components
-from .shingles import U, bags, groups_of, mix, numbers
+from .shingles import U, bags, groups_of, mix, numbers, slices_of
 
 WIDTH, THRESHOLD = 5, 0.8
 #: At similarity 0.8 a pair shares none of 16 bands of 3 samples once in 90,000 times.
@@ -69,10 +69,12 @@ def document_frequencies(docs: DataFrame, width: int = WIDTH, bits: int = TABLE_
     """How many documents have a shingle of each hash value; 2^bits counts, over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << bits, np.int64)
+        table = np.zeros(1 << bits, np.uint32)  # a task has fewer texts
         for b in batches:
-            for _, texts in groups_of([t or "" for t in b.column(0).to_pylist()]):
-                table += np.bincount((bags(texts, width)[0] & U(len(table) - 1)).astype(np.int64), minlength=len(table))
+            for _, some in slices_of(b.column(0)):
+                for _, texts in groups_of(some):
+                    at, n = np.unique((bags(texts, width)[0] & U(len(table) - 1)).astype(np.uint32), return_counts=True)
+                    table[at] += n.astype(np.uint32)
         if table.any():
             parts = table.reshape(-1, 1 << _CHUNK_BITS)
             some = np.flatnonzero(parts.any(axis=1))
@@ -220,9 +222,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float, width:
     """``pairs`` of keys ``lead``, ``key`` with ``near``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bag_of = lru_cache(maxsize=64)(lambda t: weighted_bag(t, idf.value, width))  # leaders recur
+        bag_of = lru_cache(maxsize=16)(lambda t: weighted_bag(t, idf.value, width))  # leaders recur
         for b in batches:
-            near = [weighted_jaccard(bag_of(x), weighted_bag(y, idf.value, width)) >= threshold for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            near = []
+            for (_, xs), (_, ys) in zip(slices_of(b.column(2)), slices_of(b.column(3)), strict=True):
+                near += [weighted_jaccard(bag_of(x), weighted_bag(y, idf.value, width)) >= threshold for x, y in zip(xs, ys, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.bool_())], ["lead", "key", "near"])
 
     left = texts.select(F.col("key").alias("lead"), F.col("text").alias("lead_text"))
@@ -240,12 +244,16 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, rarity = band_keys([t or "" for t in b.column(2).to_pylist()], idf.value, frequencies.value, width)
+            keys, rarity = [], []
+            for _, some in slices_of(b.column(2)):
+                k, r = band_keys(some, idf.value, frequencies.value, width)
+                keys += k
+                rarity += r
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rarity, pa.float32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "key", "rarity", "bands"])
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, t in enumerate(b.column(1).to_pylist()):
+            for i, t in ((k + j, t) for k, some in slices_of(b.column(1)) for j, t in enumerate(some)):
                 bands, found, rests, whole = prefix(t, idf.value, rarest.value, threshold, width)
                 n = len(bands)
                 yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()] * n, pa.binary()), pa.array(bands), pa.array(found), pa.array(rests), pa.array(np.full(n, whole))], ["key", "band", "found", "rest", "whole"])

@@ -130,3 +130,9 @@ def groups_of(texts: list[str], most_chars: int = 1 << 20, most_texts: int = 1 <
         size += len(t)
     if first < len(texts):
         yield first, texts[first:]
+
+
+def slices_of(column, rows: int = 400) -> Iterator[tuple[int, list]]:  # noqa: ANN001
+    """An Arrow column as lists of some rows at a time, with the number of the first; nulls are empty texts."""
+    for k in range(0, len(column), rows):
+        yield k, [x if x is not None else "" for x in column.slice(k, rows).to_pylist()]
