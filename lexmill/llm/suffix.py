@@ -115,6 +115,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 _ANCHOR_ROWS = pa.schema([("bucket", pa.int32()), ("th", pa.int64()), ("keys", pa.binary()), ("table", pa.binary()), ("texts", pa.binary()), ("places", pa.binary())])
+_PART_ROWS = pa.schema([("bucket", pa.int32()), ("ths", pa.binary()), ("sizes", pa.binary()), ("places", pa.binary())])
 _PLACE_ROWS = pa.schema([("th", pa.int64()), ("places", pa.binary())])
 
 
@@ -200,11 +201,37 @@ def shared_anchors(texts: DataFrame, n_bytes: int, length: int = LENGTH) -> Data
                 run = np.repeat(several, np.diff(np.append(starts, len(keys))))
                 i = order[run]
                 known += [(t, p.astype("<i8").tobytes()) for t, (p,) in _by_text(owner[i], places[i])]
-            for k in range(0, len(known), 5000):
-                yield _batch(known[k : k + 5000], _PLACE_ROWS)
+            if known:
+                yield _batch(_parted(known, n_buckets), _PART_ROWS)
+
+    def regroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _buckets(batches):
+            ths = np.concatenate([_from_planes(r["ths"], "<i8") for r in rows])
+            sizes = np.concatenate([_from_planes(r["sizes"], "<u4") for r in rows]).astype(np.int64)
+            places = np.concatenate([_from_planes(r["places"], "<i8") for r in rows])
+            told = [(t, p.astype("<i8").tobytes()) for t, (p,) in _by_text(np.repeat(ths, sizes), places)]
+            for k in range(0, len(told), 5000):
+                yield _batch(told[k : k + 5000], _PLACE_ROWS)
 
     sent = texts.select("th", "text").mapInArrow(gather, "bucket int, th long, keys binary, table binary, texts binary, places binary")
-    return sent.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(find, "th long, places binary")
+    found = sent.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(find, "bucket int, ths binary, sizes binary, places binary")
+    # A text's places come from many buckets; they go to the text's part in blobs, and leave it as one row a text.
+    return found.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(regroup, "th long, places binary")
+
+
+def _parted(known: list[tuple[int, bytes]], n_parts: int) -> list[tuple]:
+    """Texts and their places, as one row for each part that their texts belong to."""
+    ths = np.array([t for t, _ in known], np.int64)
+    part = (ths.view(U) % U(n_parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    edges = np.searchsorted(part[order], np.arange(n_parts + 1))
+    rows = []
+    for k in np.unique(part):
+        i = order[edges[k] : edges[k + 1]]
+        sizes = np.array([len(known[j][1]) // 8 for j in i], "<u4")
+        places = np.frombuffer(b"".join(known[j][1] for j in i), "<i8")
+        rows.append((int(k), _planes(ths[i]), _planes(sizes), _planes(places)))
+    return rows
 
 
 # Suffixes: contexts of anchors, with the strings that belong to them.
