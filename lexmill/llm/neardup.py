@@ -331,7 +331,11 @@ def _classed(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """``doc_id``, ``key``, ``class_id`` (the least doc_id of the class), ``class_rows``, ``n_links`` (of its text) of every row.
+    """``doc_id``, ``key``, ``class_key``, ``class_id`` (the least doc_id of the class), ``class_rows``, ``n_links`` (of its text) of every row.
+
+    ``class_key``, the key of one of its texts, tells classes apart.  ``class_id``
+    does not where ids are null or repeat: it is null for a class without ids, and
+    classes with the same least id share it.
 
     ``n_links`` counts the verified links of the row's text with other texts;
     equal texts need none.
@@ -342,21 +346,22 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -
     roots = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     of_text = cut(roots.join(degree, "node", "left"))
-    rows = rows.join(of_text, F.col("key") == F.col("node"), "left").select("doc_id", "key", F.coalesce("root", "key").alias("class"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    rows = rows.join(of_text, F.col("key") == F.col("node"), "left").select("doc_id", "key", F.coalesce("root", "key").alias("class_key"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     rows = cut(rows)
     tidy(docs.sparkSession)
-    heads = rows.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_rows"))
-    return rows.join(heads, "class").select("doc_id", "key", "class_id", "class_rows", "n_links")
+    heads = rows.groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_rows"))
+    return rows.join(heads, "class_key").select("doc_id", "key", "class_key", "class_id", "class_rows", "n_links")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """``docs`` with one document of each class: that of the least doc_id (of its repeated rows, one)."""
     found = classes(docs, threshold, width)
-    heads = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("n"))
+    heads = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_key").agg(F.min("class_id").alias("class_id"), F.min("key").alias("head"), F.count(F.lit(1)).alias("n"))
     heads = cut(heads)
     rows = docs.select(F.struct("*").alias("row"), "doc_id", text_key().alias("key"))
-    kept = rows.join(heads, rows["doc_id"].eqNullSafe(heads["class_id"]) & (rows["key"] == heads["head"])).select(rows["row"], rows["doc_id"])
+    # A text is in one class, so a head's text stands for its class.
+    kept = rows.join(heads, rows["doc_id"].eqNullSafe(heads["class_id"]) & (rows["key"] == heads["head"])).select(rows["row"], rows["key"])
     # A class holds several rows of its least doc_id only if rows or ids repeat.
     if not heads.filter("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
+        kept = kept.dropDuplicates(["key"])
     return kept.select("row.*")

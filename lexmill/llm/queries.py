@@ -19,7 +19,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.classes(table(spark, sf_dir, "documents")).drop("key")
+    return neardup.classes(table(spark, sf_dir, "documents")).withColumn("class_key", F.hex("class_key")).drop("key")
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

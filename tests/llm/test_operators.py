@@ -106,6 +106,18 @@ def test_near_duplicates_of_awkward_rows(docs, rows, nothing):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter({r["class_id"] for r in got})
 
 
+def test_near_duplicates_keep_every_class(spark, docs):
+    say = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    more = [(None, say("a", 30)), (None, say("a", 30)), (None, say("a", 29)), (None, say("b", 30)), (3, say("c", 30)), (3, say("c", 30)), (4, say("c", 29))]
+    every = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string")).cache()
+    class_of = {bytes(r["key"]): bytes(r["class_key"]) for r in neardup.classes(every).collect()}
+    key = lambda t: hashlib.sha256((t or "").encode()).digest()[:16]
+    assert class_of[key(say("a", 30))] == class_of[key(say("a", 29))] != class_of[key(say("b", 30))]
+    kept = neardup.keep_one(every).collect()
+    assert Counter(class_of[key(r["text"])] for r in kept) == Counter(set(class_of.values()))
+    assert Counter(r["doc_id"] for r in kept)[3] == 3 and Counter(r["doc_id"] for r in kept)[None] == 2
+
+
 def test_samples_follow_weighted_jaccard():
     rng = np.random.default_rng(0)
     close = []
