@@ -331,26 +331,27 @@ def _classed(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """``doc_id``, ``key``, ``class_key``, ``class_id`` (the least doc_id of the class), ``class_rows``, ``n_links`` (of its text) of every row.
+    """``doc_id``, ``key``, ``class_key``, ``class_id`` (the least doc_id of the class), ``class_rows``, ``n_leader_links`` (of its text) of every row.
 
     ``class_key``, the key of one of its texts, tells classes apart.  ``class_id``
     does not where ids are null or repeat: it is null for a class without ids, and
     classes with the same least id share it.
 
-    ``n_links`` counts the verified links of the row's text with other texts;
-    equal texts need none.
+    ``n_leader_links`` counts the links of the row's text that were verified: with
+    a bucket's leader, as one, and between classes.  It is not the number of near
+    texts, as pairs within a class are not compared; equal texts need none.
     """
     links, rows = near_links(docs, threshold, width)
     links = cut(links)
     tidy(docs.sparkSession)
     roots = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_leader_links"))
     of_text = cut(roots.join(degree, "node", "left"))
-    rows = rows.join(of_text, F.col("key") == F.col("node"), "left").select("doc_id", "key", F.coalesce("root", "key").alias("class_key"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    rows = rows.join(of_text, F.col("key") == F.col("node"), "left").select("doc_id", "key", F.coalesce("root", "key").alias("class_key"), F.coalesce("n_leader_links", F.lit(0).cast("long")).alias("n_leader_links"))
     rows = cut(rows)
     tidy(docs.sparkSession)
     heads = rows.groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_rows"))
-    return rows.join(heads, "class_key").select("doc_id", "key", "class_key", "class_id", "class_rows", "n_links")
+    return rows.join(heads, "class_key").select("doc_id", "key", "class_key", "class_id", "class_rows", "n_leader_links")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
