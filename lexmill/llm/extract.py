@@ -1,9 +1,9 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one for each block of the page.  The text lengths
-of lines, zero where the markup marks a menu, advert, form and the like, are
-summed over a sliding window of lines.  Where the sums surge, the main text
-begins; where they dive to nothing, it ends.  Text between the surge and dive
+of lines are summed over a sliding window of lines.  Those that the markup marks as
+a menu, advert, form and the like are left out, so text goes on behind them.
+Where the sums surge, the main text begins; where they dive to nothing, it ends.  Text between the surge and dive
 points with the most text is kept.  An ``article`` or ``main`` element bounds
 the search and holds the sums up inside it.
 
@@ -165,10 +165,10 @@ def main_text(page: str | None) -> str:
     """Main text of one page: its blocks joined by newlines."""
     if not page:
         return ""
-    lines = lines_of(page)
+    lines = [line for line in lines_of(page) if line[3]]  # marked lines do not part the text around them
     start, end = between(lines)
-    inside = {c for _, _, c, keep in lines[start:end] if keep and c}
-    return "\n".join(t for t, _, c, keep in lines[start:end] if keep and (not inside or c in inside))
+    inside = {c for _, _, c, _ in lines[start:end] if c}
+    return "\n".join(t for t, _, c, _ in lines[start:end] if not inside or c in inside)
 
 
 def extract(pages: DataFrame) -> DataFrame:

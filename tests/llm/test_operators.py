@@ -241,6 +241,16 @@ def test_extraction_of_the_pages(spark, data):
         assert r["text"] and r["n_chars"] == len(r["text"]) and "track(" not in r["text"]
 
 
+PARA = "A paragraph of the page with quite a few words in it, which must be kept."
+
+
+@pytest.mark.parametrize("around", ["<article>%s</article>", "<div>%s</div>"])
+@pytest.mark.parametrize("between", ["<aside><h3>Related</h3><ul><li>One</li><li>Two</li><li>Three</li></ul></aside>", "<nav><div>a</div><div>b</div><div>c</div><div>d</div></nav>", "<div class=advert><div>Buy</div><div>this</div><div>thing</div><div>now</div></div>"])
+def test_extraction_goes_on_behind_marked_blocks(around, between):
+    page = around % (f"<p>{PARA} 1</p>" + between + f"<p>{PARA} 2</p><p>{PARA} 3</p>" + between + f"<p>{PARA} 4</p>")
+    assert extract.main_text(page) == "\n".join(f"{PARA} {k}" for k in (1, 2, 3, 4))
+
+
 # 6: language model
 
 
