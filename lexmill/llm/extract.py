@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # Element names and class words with their roles.
-RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "select", "object", "canvas", "audio", "video", "head")
+RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "select", "object", "canvas", "audio", "video", "title")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody tfoot thead tr ul".split())
+BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody tfoot thead tr ul".split())
 BOILERPLATE = frozenset("nav footer aside form dialog menu button search fieldset".split())
 BOILERPLATE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer masthead menu modal nav navbar navigation newsletter notice notification pagination popup promo promoted promotion recommended related replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
@@ -59,7 +59,7 @@ def _marked(name: str, attributes: str) -> bool:
 
 def lines_of(page: str) -> list[tuple[str, int, int, int]]:
     """Blocks in page order: text, characters that count, container's number (0: none), and whether it holds the page's text."""
-    page = _GONE.sub(lambda m: " " if m[1] is None else "\n<p>" if m[1].lower() == "head" else " ", page)
+    page = _GONE.sub(" ", page)
     out: list[tuple[str, int, int, int]] = []
     text: list[str] = []
     linked = 0
@@ -106,7 +106,7 @@ def lines_of(page: str) -> list[tuple[str, int, int, int]]:
                 continue
             if name not in BLOCKS and name not in ("span", "ins"):
                 continue
-            marked = name not in ("html", "body") and _marked(name, m[3]) or name == "header" and not container
+            marked = name not in ("html", "head", "body") and _marked(name, m[3]) or name == "header" and not container
             if name in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6") and not marked:
                 continue  # they hold no blocks that matter, and are often left open
             stack.append((name, marked, container))

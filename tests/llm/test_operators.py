@@ -251,6 +251,11 @@ def test_extraction_goes_on_behind_marked_blocks(around, between):
     assert extract.main_text(page) == "\n".join(f"{PARA} {k}" for k in (1, 2, 3, 4))
 
 
+@pytest.mark.parametrize("head", ["<head><title>t</title><style>p{}</style><body>", "<head><meta charset=utf-8><title>t</title><script>x()</script>", "<HEAD><TITLE>t</TITLE></HEAD><BODY>", "<title>t</title>", "<head class=banner><link rel=x>"])
+def test_extraction_without_the_end_of_the_head(head):
+    assert extract.main_text(f"<html>{head}<article><p>{PARA}</p></article>") == PARA
+
+
 # 6: language model
 
 
