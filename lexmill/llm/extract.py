@@ -4,8 +4,10 @@ Markup is stripped to lines, one for each block of the page.  The text lengths
 of lines are summed over a sliding window of lines.  Those that the markup marks as
 a menu, advert, form and the like are left out, so text goes on behind them.
 Where the sums surge, the main text begins; where they dive to nothing, it ends.  Text between the surge and dive
-points with the most text is kept.  An ``article`` or ``main`` element bounds
-the search and holds the sums up inside it.
+points with the most text is kept.  Where ``article`` and ``main`` elements hold
+as much text as there is between any such points outside of them, theirs is
+kept, of all of them.  Those in asides and among comments do not count, nor do
+articles that are marked themselves.
 
 Null and empty pages, and pages of nothing but boilerplate, give the empty
 text.  Pages of any length are read whole.  Repeated rows give repeated rows.
@@ -31,6 +33,9 @@ BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary searc
 _GONE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(" + "|".join(RAW) + r")(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>")
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Marks that hold for articles inside, and class names of articles that tell the topic or what is absent.
+_FIRM = re.compile(r"comment|disqus|replies|respond|related|recommended", re.I)
+_TOPIC = re.compile(r"(?<![\w-])(?:category|tag|has|no|with)-[^\s\"'>]*", re.I)
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -57,13 +62,24 @@ def _marked(name: str, attributes: str) -> bool:
     return False
 
 
+def _closes(page: str, name: str, at: int) -> bool:
+    """Whether an element that begins before ``at`` has an end tag."""
+    depth = 1
+    for m in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])", re.I).finditer(page, at):
+        depth += -1 if m[1] else 1
+        if not depth:
+            return True
+    return False
+
+
 def lines_of(page: str) -> list[tuple[str, int, int, int]]:
     """Blocks in page order: text, characters that count, container's number (0: none), and whether it holds the page's text."""
     page = _GONE.sub(" ", page)
     out: list[tuple[str, int, int, int]] = []
     text: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, int]] = []  # name, boilerplate, container
+    stack: list[tuple[str, bool, int, int]] = []  # name, boilerplate, container, where a firm mark begins (0: not firm)
+    closed: dict[int, bool] = {}
     off, container, containers, in_link = 0, 0, 0, 0
 
     def close() -> None:
@@ -95,26 +111,33 @@ def lines_of(page: str) -> list[tuple[str, int, int, int]]:
             continue
         if not end:
             if name in ("article", "main"):
-                # An unclosed menu or advert before the text does not swallow it.
+                if name == "article" and _marked(name, _TOPIC.sub("", m[3])):
+                    stack.append((name, True, container, at))
+                    off += 1
+                    continue
+                # An unclosed menu or advert before the text does not swallow it; asides and comments hold theirs.
                 if off and not container:
-                    stack = [(n, False, c) for n, _, c in stack]
-                    off = 0
-                if not container:
+                    for _, _, _, firm in stack:
+                        if firm and firm not in closed:
+                            closed[firm] = _closes(page, next(n for n, _, _, f in stack if f == firm), firm)
+                    stack = [(n, marked and closed.get(firm, False), c, firm) for n, marked, c, firm in stack]
+                    off = sum(marked for _, marked, _, _ in stack)
+                if not container and not off:
                     containers += 1
                     container = containers
-                stack.append((name, False, container))
+                stack.append((name, False, container, 0))
                 continue
             if name not in BLOCKS and name not in ("span", "ins"):
                 continue
             marked = name not in ("html", "head", "body") and _marked(name, m[3]) or name == "header" and not container
             if name in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6") and not marked:
                 continue  # they hold no blocks that matter, and are often left open
-            stack.append((name, marked, container))
+            stack.append((name, marked, container, at if marked and (name == "aside" or _FIRM.search(m[3])) else 0))
             off += marked
         else:
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), -1)
             if k >= 0:
-                for _, marked, _ in stack[k:]:
+                for _, marked, _, _ in stack[k:]:
                     off -= marked
                 del stack[k:]
                 container = stack[-1][2] if stack else 0
@@ -123,21 +146,9 @@ def lines_of(page: str) -> list[tuple[str, int, int, int]]:
     return out
 
 
-def between(lines: list[tuple[str, int, int, int]]) -> tuple[int, int]:
-    """First line of the main text and the first after it, by surges and dives of the window sums."""
-    n = len(lines)
-    if not n:
-        return 0, 0
-    held: dict[int, int] = {}
-    for _, counted, container, _ in lines:
-        if container:
-            held[container] = held.get(container, 0) + counted
-    if held and max(held.values()) > 0:
-        # The container holds the sums up from its first line to its last, and nothing outside counts.
-        inside = min(held, key=lambda k: (-held[k], k))
-        length = [(SURGE if container == inside and keep else 0) + counted if container == inside else 0 for _, counted, container, keep in lines]
-    else:
-        length = [counted for _, counted, _, _ in lines]
+def between(length: list[int]) -> tuple[int, int, int]:
+    """Of lines that count so much: first of the main text, the first after it, and its sum, by surges and dives of the window sums."""
+    n = len(length)
     sums = [sum(length[i : i + WINDOW]) for i in range(n)]
     best, at = (0, 0, 0), 0
     while at < n:
@@ -158,7 +169,7 @@ def between(lines: list[tuple[str, int, int, int]]) -> tuple[int, int]:
         start += 1
     while end > start and not length[end - 1]:
         end -= 1
-    return start, end
+    return start, end, total
 
 
 def main_text(page: str | None) -> str:
@@ -166,9 +177,15 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines = [line for line in lines_of(page) if line[3]]  # marked lines do not part the text around them
-    start, end = between(lines)
-    inside = {c for _, _, c, _ in lines[start:end] if c}
-    return "\n".join(t for t, _, c, _ in lines[start:end] if not inside or c in inside)
+    held: dict[int, int] = {}
+    for _, counted, container, _ in lines:
+        if container:
+            held[container] = held.get(container, 0) + counted
+    inside = sum(held.values())
+    if inside and inside >= between([counted for _, counted, container, _ in lines if not container])[2]:
+        return "\n".join(t for t, _, c, _ in lines if held.get(c))
+    start, end, _ = between([counted for _, counted, _, _ in lines])
+    return "\n".join(t for t, _, _, _ in lines[start:end])
 
 
 def extract(pages: DataFrame) -> DataFrame:

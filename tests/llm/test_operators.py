@@ -256,6 +256,28 @@ def test_extraction_without_the_end_of_the_head(head):
     assert extract.main_text(f"<html>{head}<article><p>{PARA}</p></article>") == PARA
 
 
+LONG = "".join(f"<p>{PARA} {k}</p>" for k in range(4))
+LONG_TEXT = "\n".join(f"{PARA} {k}" for k in range(4))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div>{LONG}</div><aside><article><p>{PARA} teaser</p></article></aside>",
+        f"<div>{LONG}</div><article class='comment'><p>{PARA} comment</p></article>",
+        f"<article>{LONG}</article><article class='comment'>{LONG}{LONG}</article>",
+        f"<article>{LONG}</article><section id='comments'><article>{LONG}{LONG}</article></section>",
+        f"<div>{LONG}</div><div><a href=1>a</a></div>" + "<div><a href=1>more</a></div>" * 5 + f"<article><p>{PARA} teaser</p></article>",
+        f"<article><p>{PARA} 0</p><p>{PARA} 1</p></article><article><p>{PARA} 2</p><p>{PARA} 3</p></article>",
+        f"<aside><p>Not closed<article>{LONG}</article>",
+        f"<div class=advert><article class='post tag-social category-newsletter'>{LONG}</article>",
+        f"<form><main>{LONG}</main></form>",
+    ],
+)
+def test_extraction_weighs_containers(page):
+    assert extract.main_text(page) == LONG_TEXT
+
+
 # 6: language model
 
 
