@@ -301,6 +301,12 @@ def _toc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toc.build(chunks, posts, "documents", F.lit("2024-01-01 00:00:00").cast("timestamp"))
 
 
+def _whole_toc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index with the signposts of all documents."""
+    chunks = _doc_chunks(spark, sf_dir)
+    return toc.build(chunks, signposts.generate(chunks), "documents", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+
+
 _SQL_TOC = f"""{_SQL_SIGNPOSTS}, one AS (SELECT chunk_id, max_by(signpost, doc_id) AS signpost FROM posts WHERE doc_id % 3 <> 0 GROUP BY ALL),
   toc AS (SELECT p.doc_id, p.chunk_id, coalesce(o.signpost, '') AS dense_signpost, d.source AS header, d.text FROM posts p JOIN documents d USING (doc_id) LEFT JOIN one o ON o.chunk_id = p.chunk_id)"""
 
@@ -387,7 +393,7 @@ def route_by_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def retrieve_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return retrieve.retrieve(asked, _toc(spark, sf_dir))
+    return retrieve.retrieve(asked, _whole_toc(spark, sf_dir))
 
 
 @query()
