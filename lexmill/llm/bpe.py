@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -43,6 +44,21 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
 
 
+@lru_cache(maxsize=1)
+def unknown_characters() -> str:
+    """Characters that the pattern's engine takes for letters, digits or spaces and the tokenizers library, of an older Unicode, does not.
+
+    Only those that are new since Python's own Unicode can be; each is tried.
+    """
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    split = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+    words = regex.compile(WORDS)
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    new = (c for c in regex.findall(r"[\p{L}\p{N}\s]", every) if unicodedata.category(c) == "Cn")
+    return "".join(c for c in new if [m.span() for m in words.finditer(f"a{c}1{c}! {c}")] != [at for _, at in split(f"a{c}1{c}! {c}")])
+
+
 class Vocabulary:
     """Merge ranks and token strings of one vocabulary file."""
 
@@ -65,6 +81,12 @@ class Vocabulary:
             self.strings[i] = bytes(to_byte[c] for c in token) if all(c in to_byte for c in token) else token.encode()
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.words = regex.compile(WORDS)
+        unknown = unknown_characters()
+        self.least_unknown = min(unknown, default="")
+        self.unknown = regex.compile(f"[{unknown}]") if unknown else None
+        # The same pattern with these characters as neither letters nor digits nor spaces.
+        known = {kind: f"[{kind}--[{unknown}]]" for kind in (r"\p{L}", r"\p{N}", r"\s")}
+        self.known_words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?{known[r'\p{L}']}+| ?{known[r'\p{N}']}+| ?(?:[{unknown}]|[^\s\p{{L}}\p{{N}}])+|{known[r'\s']}+(?!\S)|{known[r'\s']}+", regex.V1) if unknown else self.words
         self.wide = re.compile(r" (?:\s|\Z)")
         self.memo = _Memo(self.word_ids)
         self.spaced = _Memo(self.chunk)
@@ -120,6 +142,9 @@ class Vocabulary:
         lies between is looked up as a whole.
         """
         find, word = self.words.findall, self.memo.__getitem__
+        odd = self.unknown is not None and not text.isascii() and max(text) >= self.least_unknown and self.unknown.search(text)
+        if odd:
+            find = self.known_words.findall
         if self.split_special is not None and any(s in text for s in self.special):
             out = []
             for piece in self.split_special.split(text):
@@ -128,7 +153,7 @@ class Vocabulary:
                 else:
                     out.extend(map(word, find(piece)))
             return b"".join(out)
-        if self.wide.search(text):
+        if odd or self.wide.search(text):
             return b"".join(map(word, find(text)))
         first, *rest = text.split(" ")
         return b"".join(map(word, find(first))) + b"".join(map(self.spaced.__getitem__, rest))
@@ -164,6 +189,35 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+#: Longer runs without a space, or of white space, are left to the priority queue.
+PLAIN_RUN = 400
+
+
+@lru_cache(maxsize=2)
+def fast_encoder(path: str) -> Callable[[str], bytes]:
+    """What Vocabulary.encode() does, by a compiled encoder that keeps no memo.
+
+    It merges by the rank of what a merge makes, which is the same where each
+    merge makes a string of its own, as is checked here.  It walks long runs
+    without word bounds slowly, so texts with such are left to the vocabulary.
+    """
+    import tiktoken
+
+    v = vocabulary(path)
+    made = sorted((found[0], i) for pairs in v.right_of for found in pairs.values() for i in [found[1]])
+    ranked = [*v.of_byte, *(i for _, i in made)]
+    if len(set(ranked)) != len(ranked):
+        return v.encode
+    encoding = tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks={v.strings[i]: k for k, i in enumerate(ranked)}, special_tokens={s: len(ranked) + k for k, s in enumerate(v.special)})
+    ids = np.array([*ranked, *v.special.values()], "<u4")
+    long_run = re.compile(rf"\S{{{PLAIN_RUN}}}|\s{{{PLAIN_RUN}}}")
+
+    def encode(text: str) -> bytes:
+        return v.encode(text) if long_run.search(text) else ids[encoding.encode_to_numpy(text, allowed_special="all")].tobytes()
+
+    return encode
+
+
 def encode_column(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key`` and ``ids``: the ids of each text as little-endian unsigned 32-bit integers in one binary."""
 

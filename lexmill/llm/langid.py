@@ -10,7 +10,9 @@ narrow is a rejection.
 Nulls and texts without any letter are ``und`` with score 0 and are rejected;
 so is every text if there is nothing labelled to learn from.  Ties go to the
 language that sorts first.  Repeated rows get equal results.  Whole texts are
-encoded, however long.  An empty table gives an empty table.
+encoded, however long, at one level.  An empty table gives an empty table.
+Columns beyond ``doc_id``, ``text`` and ``lang`` are passed through, but one
+named like a result gives way to it.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import regex
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 UNDETERMINED = "und"
 #: Bounds of the sample that dictionaries are made of: pieces of a language, their characters, and bytes of all dictionaries together.
@@ -33,9 +36,7 @@ PIECES, PIECE_CHARS, TOTAL_BYTES = 160, 1200, 64_000_000
 LEAST_BYTES = 48_000
 #: Text is encoded in blocks of so many bytes, so that the dictionary and not the text's own past decides.
 BLOCK_BYTES = 1024
-LEVEL = 6
-#: Shorter texts are encoded at a level that searches more.
-SHORT_BYTES, SHORT_LEVEL = 256, 12
+LEVEL = 12
 #: Share of the second smallest size by which the smallest must be less.
 MIN_MARGIN = 0.002
 #: Score: odds double with so many bytes of difference.
@@ -85,14 +86,13 @@ Encoders = list[tuple[str, zstandard.ZstdCompressor]]
 
 
 @lru_cache(maxsize=2)
-def encoders(model: tuple[tuple[str, bytes], ...]) -> tuple[Encoders, Encoders]:
-    """Encoders by language, for texts in general and for short ones."""
-    out: tuple[Encoders, Encoders] = ([], [])
-    for level, made in zip((LEVEL, SHORT_LEVEL), out, strict=True):
-        for lang, content in model:
-            d = zstandard.ZstdCompressionDict(content or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=level)
-            made.append((lang, zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)))
+def encoders(model: tuple[tuple[str, bytes], ...]) -> Encoders:
+    """Encoders by language."""
+    out = []
+    for lang, content in model:
+        d = zstandard.ZstdCompressionDict(content or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=LEVEL)
+        out.append((lang, zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)))
     return out
 
 
@@ -105,14 +105,14 @@ def plain(text: str) -> str:
     return _OTHER.sub(" ", text.lower()).strip()
 
 
-def decide(text: str | None, by_length: tuple[Encoders, Encoders]) -> tuple[str, float, float]:
+def decide(text: str | None, by_language: Encoders) -> tuple[str, float, float]:
     """Language, score and margin of one text."""
-    if not text or not by_length[0] or not _LETTER.search(text):
+    if not text or not by_language or not _LETTER.search(text):
         return UNDETERMINED, 0.0, 0.0
     data = plain(text).encode()
     blocks = [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
     sizes = []
-    for lang, c in by_length[len(data) < SHORT_BYTES]:
+    for lang, c in by_language:
         encode = c.compress
         sizes.append((sum(len(encode(b)) for b in blocks), lang))
     best, lang = min(sizes)
@@ -123,26 +123,50 @@ def decide(text: str | None, by_length: tuple[Encoders, Encoders]) -> tuple[str,
     return lang, score, (rest[1] - best) / rest[1]
 
 
-def classify(docs: DataFrame, model: dict[str, bytes], min_margin: float = MIN_MARGIN) -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score``, ``margin``, ``accepted``; map-only."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(tuple(sorted(model.items())))  # at most TOTAL_BYTES
+#: Rows that are turned into Python strings at a time.
+ROWS_AT_ONCE = 200
+
+
+def _decided(batches: Iterator[pa.RecordBatch], by_language: Encoders) -> Iterator[tuple[pa.RecordBatch, list[tuple[str, float, float]]]]:
+    """Some rows at a time, with what is found of each."""
+    for b in batches:
+        for k in range(0, b.num_rows, ROWS_AT_ONCE):
+            some = b.slice(k, ROWS_AT_ONCE)
+            yield some, [decide(t, by_language) for t in some.column(some.schema.get_field_index("text")).to_pylist()]
+
+
+RESULTS = {"lang_pred": "string", "score": "double", "margin": "double", "accepted": "boolean"}
+
+
+def _ddl(schema: StructType) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema)
+
+
+def classify(docs: DataFrame, model: dict[str, bytes], min_margin: float = MIN_MARGIN, keep_text: bool = True) -> DataFrame:
+    """``docs`` with ``lang_pred``, ``score``, ``margin``, ``accepted``, and without the text if it isn't to be kept; map-only."""
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(sorted(model.items())))  # at most TOTAL_BYTES
+    docs = docs.drop(*RESULTS)
+    kept = docs if keep_text else docs.drop("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_length = encoders(sent.value)
-        for b in batches:
-            found = [decide(t, by_length) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.float64()), pa.array([x[0] != UNDETERMINED and x[2] >= min_margin for x in found], pa.bool_())],
-                [*b.schema.names, "lang_pred", "score", "margin", "accepted"],
-            )
+        for some, found in _decided(batches, encoders(sent.value)):
+            lang, score, margin = ([x[i] for x in found] for i in range(3))
+            accepted = [x != UNDETERMINED and m >= min_margin for x, m in zip(lang, margin, strict=True)]
+            made = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64()), pa.array(accepted, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept.columns), *made], [*kept.columns, *RESULTS])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, lang_pred string, score double, margin double, accepted boolean")
+    return docs.mapInArrow(run, ", ".join([_ddl(kept.schema), *(f"{k} {v}" for k, v in RESULTS.items())]))
 
 
 def keep_identified(docs: DataFrame, min_margin: float = MIN_MARGIN) -> DataFrame:
-    """``docs`` without the rows that are rejected; learns from the rows with a language."""
-    model = learn(docs)
-    found = classify(docs.select(F.struct("*").alias("row"), "text"), model, min_margin)
-    return found.filter("accepted").select("row.*")
+    """``docs`` without the rows that are rejected; learns from the rows with a language.
+
+    Each row goes to a Python worker once, and only those that stay come back.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(sorted(learn(docs).items())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some, found in _decided(batches, encoders(sent.value)):
+            yield some.filter(pa.array([x != UNDETERMINED and m >= min_margin for x, _, m in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

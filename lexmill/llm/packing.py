@@ -7,8 +7,10 @@ When a bin more would be open than allowed, the fullest closes.
 
 Only documents longer than a sequence are cut: full pieces stand alone and the
 rest, which comes first, is packed like any document.  Nulls pack as the empty
-text, which is one end token.  Repeated rows are packed one by one.  An empty
-table gives an empty table.
+text, which is one end token.  Repeated rows are packed one by one, ties in the
+order of a hash.  An empty table gives an empty table; columns beyond ``doc_id``
+and ``text`` are not read, whatever their names.  Texts of any length are
+tokenized whole.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import vocabulary
+from .bpe import fast_encoder
 from .common import parts_for
+from .shingles import slices_of
 
 
 class BestFit:
@@ -66,12 +69,12 @@ def token_pieces(docs: DataFrame, path: str, size: int, end_id: int) -> DataFram
     """``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32`` of every piece; map-only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
+        encode = fast_encoder(path)
         end = end_id.to_bytes(4, "little")
         for b in batches:
             at, piece, start, length, crc = [], [], [], [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                ids = v.encode(t or "") + end
+            for i, t in ((first + j, t) for first, some in slices_of(b.column(1)) for j, t in enumerate(some)):
+                ids = encode(t) + end
                 n = len(ids) // 4
                 s = 0
                 e = n % size or size

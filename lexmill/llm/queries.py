@@ -26,7 +26,7 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = (crc32_of_id(F.col("doc_id")) % 5) == 0
     model = langid.learn(docs.filter(~held_out))
-    return langid.classify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+    return langid.classify(docs.select("doc_id", held_out.alias("held_out"), "text"), model, keep_text=False)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
