@@ -146,16 +146,17 @@ def classify(docs: DataFrame, model: dict[str, bytes], min_margin: float = MIN_M
     """``docs`` with ``lang_pred``, ``score``, ``margin``, ``accepted``, and without the text if it isn't to be kept; map-only."""
     sent = docs.sparkSession.sparkContext.broadcast(tuple(sorted(model.items())))  # at most TOTAL_BYTES
     docs = docs.drop(*RESULTS)
-    kept = docs if keep_text else docs.drop("text")
+    kept = docs.schema if keep_text else docs.drop("text").schema
+    names = kept.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some, found in _decided(batches, encoders(sent.value)):
             lang, score, margin = ([x[i] for x in found] for i in range(3))
             accepted = [x != UNDETERMINED and m >= min_margin for x, m in zip(lang, margin, strict=True)]
             made = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64()), pa.array(accepted, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept.columns), *made], [*kept.columns, *RESULTS])
+            yield pa.RecordBatch.from_arrays([*(some.column(some.schema.get_field_index(c)) for c in names), *made], [*names, *RESULTS])
 
-    return docs.mapInArrow(run, ", ".join([_ddl(kept.schema), *(f"{k} {v}" for k, v in RESULTS.items())]))
+    return docs.mapInArrow(run, ", ".join([_ddl(kept), *(f"{k} {v}" for k, v in RESULTS.items())]))
 
 
 def keep_identified(docs: DataFrame, min_margin: float = MIN_MARGIN) -> DataFrame:
