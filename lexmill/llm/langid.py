@@ -4,13 +4,14 @@ Each language has a raw-content zstandard dictionary made of text in it, without
 the lines that several of its pieces share (licenses and the like), and equally
 long.  A text, in lower case and with one space for whatever is no letter, is
 encoded in blocks against every dictionary and gets the language whose encoding
-is smallest.  A margin between the smallest and the next that is too
+is smallest; where the two smallest are within a few bytes, encoders that search
+more are asked instead.  A margin between the smallest and the next that is too
 narrow is a rejection.
 
 Nulls and texts without any letter are ``und`` with score 0 and are rejected;
 so is every text if there is nothing labelled to learn from.  Ties go to the
 language that sorts first.  Repeated rows get equal results.  Whole texts are
-encoded, however long, at one level.  An empty table gives an empty table.
+encoded, however long.  An empty table gives an empty table.
 Columns beyond ``doc_id``, ``text`` and ``lang`` are passed through, but one
 named like a result gives way to it.
 """
@@ -36,7 +37,9 @@ PIECES, PIECE_CHARS, TOTAL_BYTES = 160, 1200, 64_000_000
 LEAST_BYTES = 48_000
 #: Text is encoded in blocks of so many bytes, so that the dictionary and not the text's own past decides.
 BLOCK_BYTES = 1024
-LEVEL = 12
+LEVEL = 6
+#: Where the two smallest encodings differ by fewer bytes, whatever the text's size, encoders that search more decide.
+CLOSE_BYTES, CLOSE_LEVEL = 16, 12
 #: Share of the second smallest size by which the smallest must be less.
 MIN_MARGIN = 0.002
 #: Score: odds double with so many bytes of difference.
@@ -86,13 +89,14 @@ Encoders = list[tuple[str, zstandard.ZstdCompressor]]
 
 
 @lru_cache(maxsize=2)
-def encoders(model: tuple[tuple[str, bytes], ...]) -> Encoders:
-    """Encoders by language."""
-    out = []
-    for lang, content in model:
-        d = zstandard.ZstdCompressionDict(content or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=LEVEL)
-        out.append((lang, zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)))
+def encoders(model: tuple[tuple[str, bytes], ...]) -> tuple[Encoders, Encoders]:
+    """Encoders by language, for all texts and for close calls."""
+    out: tuple[Encoders, Encoders] = ([], [])
+    for level, made in zip((LEVEL, CLOSE_LEVEL), out, strict=True):
+        for lang, content in model:
+            d = zstandard.ZstdCompressionDict(content or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=level)
+            made.append((lang, zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)))
     return out
 
 
@@ -105,34 +109,37 @@ def plain(text: str) -> str:
     return _OTHER.sub(" ", text.lower()).strip()
 
 
-def decide(text: str | None, by_language: Encoders) -> tuple[str, float, float]:
+def _sizes(blocks: list[bytes], by_language: Encoders) -> list[tuple[int, str]]:
+    """Bytes of the blocks' encodings, smallest first."""
+    return sorted((sum(map(len, map(c.compress, blocks))), lang) for lang, c in by_language)
+
+
+def decide(text: str | None, by_level: tuple[Encoders, Encoders]) -> tuple[str, float, float]:
     """Language, score and margin of one text."""
-    if not text or not by_language or not _LETTER.search(text):
+    if not text or not by_level[0] or not _LETTER.search(text):
         return UNDETERMINED, 0.0, 0.0
     data = plain(text).encode()
     blocks = [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
-    sizes = []
-    for lang, c in by_language:
-        encode = c.compress
-        sizes.append((sum(len(encode(b)) for b in blocks), lang))
-    best, lang = min(sizes)
+    sizes = _sizes(blocks, by_level[0])
     if len(sizes) == 1:
-        return lang, 1.0, 1.0
-    rest = sorted(s for s, _ in sizes)
-    score = 1.0 / sum(math.exp2(-min(500.0, (s - best) / BYTES_A_DOUBLING)) for s in rest)
-    return lang, score, (rest[1] - best) / rest[1]
+        return sizes[0][1], 1.0, 1.0
+    if sizes[1][0] - sizes[0][0] < CLOSE_BYTES:
+        sizes = _sizes(blocks, by_level[1])
+    (best, lang), (second, _) = sizes[:2]
+    score = 1.0 / sum(math.exp2(-min(500.0, (s - best) / BYTES_A_DOUBLING)) for s, _ in sizes)
+    return lang, score, (second - best) / second
 
 
 #: Rows that are turned into Python strings at a time.
 ROWS_AT_ONCE = 200
 
 
-def _decided(batches: Iterator[pa.RecordBatch], by_language: Encoders) -> Iterator[tuple[pa.RecordBatch, list[tuple[str, float, float]]]]:
+def _decided(batches: Iterator[pa.RecordBatch], by_level: tuple[Encoders, Encoders]) -> Iterator[tuple[pa.RecordBatch, list[tuple[str, float, float]]]]:
     """Some rows at a time, with what is found of each."""
     for b in batches:
         for k in range(0, b.num_rows, ROWS_AT_ONCE):
             some = b.slice(k, ROWS_AT_ONCE)
-            yield some, [decide(t, by_language) for t in some.column(some.schema.get_field_index("text")).to_pylist()]
+            yield some, [decide(t, by_level) for t in some.column(some.schema.get_field_index("text")).to_pylist()]
 
 
 RESULTS = {"lang_pred": "string", "score": "double", "margin": "double", "accepted": "boolean"}
