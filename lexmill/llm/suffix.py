@@ -44,7 +44,7 @@ LENGTH, ANCHOR = 50, 24
 PIECE = 1 << 20
 _PLACE_BITS = 22
 #: Anchors and suffixes that a task gathers before it sends them on, and that a bucket should hold.
-ANCHORS_A_FLUSH, ANCHORS_A_BUCKET = 800_000, 800_000
+ANCHORS_A_FLUSH, ANCHORS_A_BUCKET = 500_000, 800_000
 SUFFIXES_A_FLUSH, SUFFIXES_A_BUCKET = 120_000, 400_000
 #: Bytes of a hash that are sent; its bucket tells the rest.
 KEY_BYTES = 5
@@ -95,6 +95,12 @@ def _from_planes(data: bytes, kind: str, width: int | None = None) -> np.ndarray
     return whole.view(kind).ravel()
 
 
+def _rows(batch: pa.RecordBatch, *columns: int, at_once: int = 200) -> Iterator[tuple]:
+    """Values of some columns, row by row; few rows are Python objects at a time."""
+    for k in range(0, batch.num_rows, at_once):
+        yield from zip(*(batch.column(c).slice(k, at_once).to_pylist() for c in columns), strict=True)
+
+
 def _buckets(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
     """Rows of each bucket, from rows in order of buckets."""
     at, held = None, []
@@ -176,7 +182,7 @@ def shared_anchors(texts: DataFrame, n_bytes: int, length: int = LENGTH) -> Data
             yield from send(keys, owner, places)
 
         for b in batches:
-            for th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for th, text in _rows(b, 0, 1):
                 for base, piece in pieces_of(text.encode(), length):
                     at, keys, _, _ = anchors(piece, length)
                     held[0].append(keys)
@@ -494,7 +500,7 @@ def repeated_strings(texts: DataFrame, shared: DataFrame, n_suffixes: int, lengt
         held: list[Suffixes] = []
         size = 0
         for b in batches:
-            for th, doc_id, text, places in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            for th, doc_id, text, places in _rows(b, 0, 1, 2, 3):
                 shared_places = np.concatenate([np.frombuffer(p, "<i8") for p in places])
                 s = suffixes_of(th, doc_id, text.encode(), shared_places, length)
                 if s is not None:
@@ -571,7 +577,7 @@ def measure_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for text, least, found in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            for text, least, found in _rows(b, 1, 2, 3):
                 data, gone = _kept(text, least, found, length)
                 spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])) if len(gone) else 0
                 n = int(np.count_nonzero(gone))
