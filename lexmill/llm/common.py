@@ -2,65 +2,67 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's setting by which the shuffle files of an execution go when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished steps.
-
-    They are deleted when the driver's JVM finds them unreachable, which a quiet
-    heap may put off; each collection meets what the one before has released.
-    """
-    for _ in range(4):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
+@contextmanager
+def step(spark: SparkSession) -> Iterator[None]:
+    """What is executed in here leaves no shuffle files behind, as nothing reads them again."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage.
+def _folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; where it names none, one in the warehouse.
 
-    The files go to the folder that the cluster names in
-    ``spark.checkpoint.dir``, so they outlive the executors that wrote them.  A
-    folder of our own is used only where the session names none.
+    Both are shared, so what is written there outlives the executors that wrote it.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lexmill-"))
-    return df.checkpoint()
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lexmill-checkpoints")
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage, by a checkpoint in the shared folder."""
+    _folder(df.sparkSession)
+    with step(df.sparkSession):
+        return df.checkpoint()
 
 
 def store(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again."""
     spark = df.sparkSession
-    cut(spark.range(1))  # sees to the folder
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
-def narrow(df: DataFrame, rows_per_part: int, least: int = 4) -> DataFrame:
-    """A computed table in as many partitions as its rows need: what follows then writes fewer, larger shuffle files."""
-    return df.coalesce(parts_for(df.count(), rows_per_part, least))
+    path = f"{_folder(spark)}/table-{uuid.uuid4().hex}"
+    with step(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Delete the folder of a table that store() wrote."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent() if df.inputFiles() else None
-    if path is not None and path.getName().startswith("table-"):
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete the folders of tables that store() wrote and nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent() if df.inputFiles() else None
+        if path is not None and path.getName().startswith("table-"):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def crc32_of_id(doc_id) -> F.Column:
@@ -71,3 +73,50 @@ def crc32_of_id(doc_id) -> F.Column:
 def parts_for(n: int, per_part: int, least: int = 1) -> int:
     """How many partitions hold ``n`` units at ``per_part`` each."""
     return max(least, -(-int(n) // per_part))
+
+
+#: A key with more than this share of all rows, and this many, is heavy.  So heavy keys are at most 1 / HEAVY_SHARE.
+HEAVY_SHARE, HEAVY_LEAST = 1 / 1000, 100
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, on: str, size: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``facts``, which has one row a key; ``size`` there tells how many of the ``total`` rows have it.
+
+    The facts of heavy keys, at most a thousand, are broadcast, so their rows stay
+    where they are.  Only rows of other keys are shuffled.
+    """
+    limit = F.lit(int(max(HEAVY_LEAST, total * HEAVY_SHARE)))
+    heavy = F.broadcast(facts.filter(F.col(size) > limit))
+    light = rows.join(heavy.select(on), on, "left_anti").join(facts.filter(F.col(size) <= limit), on, how)
+    return rows.join(heavy, on).unionByName(light)
+
+
+#: Words of 64 bits in a bitmap of hashes, at most: 2^20 rows to broadcast.
+BITMAP_WORDS = 1 << 20
+
+
+def _bitmap_place(h: F.Column, words: int) -> tuple[F.Column, F.Column]:
+    return h.bitwiseAND(F.lit(words - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(63))
+
+
+def bitmap(hashes: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """A bitmap of the column ``h`` (some n 64-bit hashes): rows ``word`` and ``bits``, and how many words it may have.
+
+    It has 16 bits for each hash, until it has BITMAP_WORDS words.  With more
+    hashes than those are for, more strangers pass; no member is ever missed.
+    """
+    words = 1 << 10
+    while words < min(n // 4, BITMAP_WORDS):
+        words *= 2
+    word, bit = _bitmap_place(F.col("h"), words)
+    marks = hashes.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, cast(_bit as int))")).alias("_bits"))
+    return marks, words
+
+
+def maybe_in(rows: DataFrame, h: F.Column, marks: tuple[DataFrame, int], keep: bool = True) -> DataFrame:
+    """The rows whose hash a bitmap may have, or else (not ``keep``) those that it surely lacks."""
+    made, words = marks
+    word, bit = _bitmap_place(h, words)
+    found = rows.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(made), "_word", "left")
+    has = F.expr("_bits is not null and (shiftrightunsigned(_bits, cast(_bit as int)) & 1L) = 1L")
+    return found.filter(has if keep else ~has).drop("_word", "_bit", "_bits")

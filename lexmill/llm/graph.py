@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, parts_for
-
-#: Links in a partition.
-LINKS_A_PART = 200_000
+from .common import drop_stored, spread_join, step, store
 
 
 def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 30)))).first())
+    with step(links.sparkSession):
+        return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+
+
+def _with_least(links: DataFrame, total: int) -> DataFrame:
+    """``links`` with ``m``, the least neighbour of ``a`` or ``a`` itself; no node's neighbours are gathered."""
+    least = links.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("_n")).select("a", F.least("a", "m").alias("m"), "_n")
+    return spread_join(links, least, "a", "_n", total).select("a", "b", "m")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,24 +24,37 @@ def components(links: DataFrame) -> DataFrame:
 
     Large-star and small-star steps alternate until nothing changes.  A step
     aggregates the least neighbour of each node (partially before the shuffle)
-    and joins it back, so no node's neighbours are gathered; the number of links
-    never grows.
+    and joins it back; the links of a node that has many stay where they are.
+    The number of links never grows.
     """
-    links = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
+    links = store(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
     before = _state(links)
-    n = parts_for(before[0], LINKS_A_PART, 4)  # links never grow in number
-    links = links.coalesce(n)
     while before[0]:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).coalesce(n)
         # large star: larger neighbours link to the least
-        links = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").coalesce(n).distinct().coalesce(n)
+        larger = _with_least(both, 2 * before[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         # small star: smaller neighbours and the node itself link to the least
-        least = links.groupBy("a").agg(F.min("b").alias("m"))
-        joined = links.join(least, "a").coalesce(n)
-        links = cut(joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b"))).filter("a != b").distinct().coalesce(n))
-        after = _state(links)
+        joined = _with_least(larger, before[0])
+        made = store(joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b"))).filter("a != b").distinct())
+        drop_stored(links)
+        links, after = made, _state(made)
         if after == before:
             break
         before = after
-    return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+    return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def extended(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components of what ``labels`` (``node``, ``root``) already joins and of new ``links``; stored.
+
+    Only the roots that new links join are looked at again.
+    """
+    if labels is None:
+        return store(components(links))
+    root_of = lambda x: labels.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+    between = links.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    moved = store(components(between))
+    to = moved.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    out = store(labels.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root")).unionByName(moved.join(labels, "node", "left_anti")))
+    drop_stored(moved, labels)
+    return out

@@ -32,15 +32,16 @@ texts.  Repeated rows are equal texts.  An empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_stored, narrow, store, tidy
-from .graph import components
+from .common import bitmap, drop_stored, maybe_in, spread_join, step, store
+from .graph import extended
 from .shingles import U, bags, groups_of, mix, numbers, slices_of
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -49,8 +50,8 @@ BANDS, ROWS = 16, 3
 TABLE_BITS = 20
 #: Texts of a list that are compared with the others at a time, and the ratio of a class of weights.
 LEADERS, CLASS_RATIO = 512, 1.1
-#: Rows of pairs and lists in a partition.
-PAIRS_A_PART = 100_000
+#: Tasks whose counts are added up first.
+TASKS_A_GROUP = 64
 #: Size of the table of frequencies among candidates, which orders their shingles.
 ORDER_BITS = 22
 #: Share of documents from which a shingle loses weight, and the least weight.
@@ -66,7 +67,11 @@ def text_key() -> F.Column:
 
 
 def document_frequencies(docs: DataFrame, width: int = WIDTH, bits: int = TABLE_BITS) -> np.ndarray:
-    """How many documents have a shingle of each hash value; 2^bits counts, over all documents."""
+    """How many documents have a shingle of each hash value; 2^bits counts, over all documents.
+
+    Tasks' counts are added up in two steps, first within groups of tasks, so
+    that the number of those that add grows with the number of tasks.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << bits, np.uint32)  # a task has fewer texts
@@ -78,20 +83,23 @@ def document_frequencies(docs: DataFrame, width: int = WIDTH, bits: int = TABLE_
         if table.any():
             parts = table.reshape(-1, 1 << _CHUNK_BITS)
             some = np.flatnonzero(parts.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([_packed(parts[k]) for k in some], pa.binary())], ["part", "counts"])
+            group = [TaskContext.get().partitionId() // TASKS_A_GROUP] * len(some)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(group, pa.int32()), pa.array([_packed(parts[k]) for k in some], pa.binary())], ["part", "of_tasks", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
-            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for k, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
                 x = _unpacked(x)
                 sums[k] = sums[k] + x if k in sums else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_packed(x) for x in sums.values()], pa.binary())], ["part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([0] * len(sums), pa.int32()), pa.array([_packed(x) for x in sums.values()], pa.binary())], ["part", "of_tasks", "counts"])
 
-    schema = "part int, counts binary"
+    schema = "part int, of_tasks int, counts binary"
+    made = docs.select("text").mapInArrow(count, schema).repartition("part", "of_tasks").mapInArrow(add, schema).repartition("part").mapInArrow(add, schema)
     out = np.zeros((1 << (bits - _CHUNK_BITS), 1 << _CHUNK_BITS), np.int64)
-    for r in docs.select("text").mapInArrow(count, schema).repartition(8, "part").mapInArrow(add, schema).collect():
-        out[r["part"]] = _unpacked(r["counts"])
+    with step(docs.sparkSession):
+        for r in made.collect():
+            out[r["part"]] = _unpacked(r["counts"])
     return out.reshape(-1)
 
 
@@ -186,11 +194,13 @@ def prefix(text: str, idf: np.ndarray, order_by: np.ndarray, threshold: float, w
     join a shingle with a class of weights: a text is found under its own class
     where s allows for two texts of its weight, and looks for lighter ones under
     each class down to t times its weight where s allows for the class's least.
+    Shingles of a table place that only one text is counted for get no keys.
     """
     hashes, _, counts = bags([text], width)
     weights = counts * idf[(hashes & U(len(idf) - 1)).astype(np.int64)]
-    order = np.lexsort((hashes, order_by[(hashes & U(len(order_by) - 1)).astype(np.int64)]))
-    hashes, weights = hashes[order], weights[order].astype(np.float64)
+    places = order_by[(hashes & U(len(order_by) - 1)).astype(np.int64)]
+    order = np.lexsort((hashes, places))
+    hashes, weights, shared = hashes[order], weights[order].astype(np.float64), places[order] > 1
     rest = weights[::-1].cumsum()[::-1]
     whole = float(rest[0])
     slack, share = 1e-6 * whole, threshold / (1.0 + threshold)
@@ -198,7 +208,7 @@ def prefix(text: str, idf: np.ndarray, order_by: np.ndarray, threshold: float, w
     low = int(np.floor(np.log(threshold * whole - slack) / np.log(CLASS_RATIO)))
     keys, found, rests = [], [], []
     for c in range(low, own + 1):
-        i = np.flatnonzero(rest >= share * (whole + min(whole, max(CLASS_RATIO**c, threshold * whole))) - slack)
+        i = np.flatnonzero(shared & (rest >= share * (whole + min(whole, max(CLASS_RATIO**c, threshold * whole))) - slack))
         keys.append(mix(hashes[i] * U(0x9E3779B97F4A7C15) + U(c + (1 << 20))).view(np.int64))
         found.append((rest[i] >= 2 * share * whole - slack) & (c == own))
         rests.append(rest[i])
@@ -219,7 +229,7 @@ def weighted_bag(text: str, idf: np.ndarray, width: int = WIDTH) -> tuple[np.nda
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float, width: int) -> DataFrame:
-    """``pairs`` of keys ``lead``, ``key`` with ``near``."""
+    """``pairs`` of keys ``lead``, ``key`` with ``near``.  Both joins read one exchange of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bag_of = lru_cache(maxsize=16)(lambda t: weighted_bag(t, idf.value, width))  # leaders recur
@@ -229,14 +239,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float, width:
                 near += [weighted_jaccard(bag_of(x), weighted_bag(y, idf.value, width)) >= threshold for x, y in zip(xs, ys, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.bool_())], ["lead", "key", "near"])
 
-    left = texts.select(F.col("key").alias("lead"), F.col("text").alias("lead_text"))
-    return pairs.join(texts, "key").join(left, "lead").select("lead", "key", "lead_text", "text").mapInArrow(run, "lead binary, key binary, near boolean")
+    one, two = texts.alias("one"), texts.alias("two")
+    of_key = pairs.join(one, F.col("key") == F.col("one.id")).select("lead", "key", F.col("one.text").alias("text"))
+    both = of_key.join(two, F.col("lead") == F.col("two.id")).select("lead", "key", F.col("two.text").alias("lead_text"), of_key["text"])
+    return both.mapInArrow(run, "lead binary, key binary, near boolean")
 
 
-def near_links(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """Verified links ``a``, ``b`` between different texts, and ``doc_id``, ``key`` of every row."""
+def signatures(docs: DataFrame, threshold: float, width: int) -> tuple[DataFrame, object, object, int]:
+    """Each distinct text's ``key``, ``least`` (doc_id), ``copies``, ``rarity`` and ``bands``, stored; the broadcast weights and frequencies; the number of rows."""
     spark = docs.sparkSession
-    n_docs = docs.select(F.count(F.lit(1))).first()[0]
+    with step(spark):
+        n_docs = docs.select(F.count(F.lit(1))).first()[0]
     counted = document_frequencies(docs, width)
     frequencies = spark.sparkContext.broadcast(counted.astype(np.float32))  # 4 MB, as are the weights
     idf = spark.sparkContext.broadcast(idf_weights(counted, n_docs))
@@ -244,80 +257,114 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, rarity = [], []
-            for _, some in slices_of(b.column(2)):
-                k, r = band_keys(some, idf.value, frequencies.value, width)
-                keys += k
-                rarity += r
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rarity, pa.float32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "key", "rarity", "bands"])
+            for first, some in slices_of(b.column(2)):
+                keys, rarity = band_keys(some, idf.value, frequencies.value, width)
+                ids, names = (b.column(k).slice(first, len(some)) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([ids, names, pa.array(rarity, pa.float32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "key", "rarity", "bands"])
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, t in ((k + j, t) for k, some in slices_of(b.column(1)) for j, t in enumerate(some)):
-                bands, found, rests, whole = prefix(t, idf.value, rarest.value, threshold, width)
-                n = len(bands)
-                yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()] * n, pa.binary()), pa.array(bands), pa.array(found), pa.array(rests), pa.array(np.full(n, whole))], ["key", "band", "found", "rest", "whole"])
-
-    keyed = docs.select("doc_id", text_key().alias("key"), "text")
-    signed = cut(keyed.mapInArrow(sign, f"doc_id {kind}, key binary, rarity float, bands array<bigint>"))
-    distinct = signed.groupBy("key").agg(F.min(F.struct("doc_id", "rarity", "bands")).alias("x")).select("key", "x.doc_id", "x.rarity", "x.bands")
-    bands = cut(_crowded(distinct.select("key", "rarity", F.explode("bands").alias("band"))))
-    if bands.isEmpty():
-        return spark.createDataFrame([], "a binary, b binary"), signed.select("doc_id", "key")
-    tidy(spark)
+    signed = docs.select("doc_id", text_key().alias("key"), "text").mapInArrow(sign, f"doc_id {kind}, key binary, rarity float, bands array<bigint>")
+    texts = signed.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("rarity").alias("rarity"), F.first("bands").alias("bands"))
+    return store(texts), idf, frequencies, n_docs
+
+
+def _bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``id`` (the key) and ``text`` of the texts ``wanted`` (``key``, ``least``), once each.
+
+    A bitmap of what is wanted spares most other texts the shuffle.
+    """
+    n = wanted.count()
+    name = F.xxhash64("key", "least")
+    rows = docs.select(text_key().alias("key"), F.col("doc_id").alias("least"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = maybe_in(rows, name, bitmap(wanted.select(name.alias("h")), n)).alias("r")
+    w = wanted.alias("w")
+    found = store(rows.join(w, (F.col("r.key") == F.col("w.key")) & F.col("r.least").eqNullSafe(F.col("w.least"))).select(F.col("r.key").alias("id"), "text"))
+    if found.count() == n:
+        return found
+    once = store(found.dropDuplicates(["id"]))  # rows are repeated
+    drop_stored(found)
+    return once
+
+
+def near_links(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Verified links ``a``, ``b`` between different texts; ``node``, ``root`` of the texts that have any; ``key``, ``least``, ``copies`` of every text; the number of rows."""
+    spark = docs.sparkSession
+    signed, idf, _, n_docs = signatures(docs, threshold, width)
+    texts = signed.select("key", "least", "copies")
+    members = signed.select("key", "rarity", F.explode("bands").alias("band"))
+    buckets = store(members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rarity", "key")).alias("x")).filter("n > 1").select("band", "n", F.col("x.key").alias("lead")))
+    n_crowded = buckets.agg(F.sum("n")).first()[0] or 0
+    if not n_crowded:
+        none = spark.createDataFrame([], "a binary, b binary")
+        return none, none.toDF("node", "root"), texts, n_docs
+    crowded = store(spread_join(members.select("key", "band"), buckets, "band", "n", n_crowded))  # band, key, n, lead
     # The texts of all candidates, once.
-    wanted = bands.select("key").distinct().join(distinct.select("key", "doc_id"), "key")
-    bodies = store(
-        docs.select(F.col("doc_id").alias("id"), text_key().alias("k"), F.coalesce("text", F.lit("")).alias("text"))
-        .join(wanted, (F.col("k") == F.col("key")) & F.col("id").eqNullSafe(F.col("doc_id")))
-        .select("key", "text")
-        .dropDuplicates(["key"])
-    )
-    tidy(spark)
-    verified = lambda pairs: _verified(pairs, bodies, idf, threshold, width)
-    leaders = bands.groupBy("band").agg(F.min(F.struct("rarity", F.hex("key").alias("name"))).alias("x")).select("band", F.unhex("x.name").alias("lead"))
-    judged = narrow(cut(verified(_ordered(bands.join(leaders, "band").filter("key != lead")))), PAIRS_A_PART)
-    links = judged.filter("near").select(F.col("lead").alias("a"), F.col("key").alias("b"))
-
-    tidy(spark)
-    classed = _classed(bands, components(links))
-    split = classed.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x != y").select("band")
-    tidy(spark)
-    rest = cut(classed.join(split, "band", "left_semi").select("key").distinct().join(bodies, "key").select("key", "text"))
-    if rest.isEmpty():
-        drop_stored(bodies)
-        return links, signed.select("doc_id", "key")
-    # Any order of shingles will do; one by frequency among these texts keeps the lists short.
-    rarest = spark.sparkContext.broadcast(document_frequencies(rest, width, ORDER_BITS).astype(np.float32))  # 16 MB
-    lists = _crowded(rest.mapInArrow(prefixes, "key binary, band long, found boolean, rest double, whole double"))
-    while True:
-        lists = _classed(lists, components(links))
-        several = lists.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.max("found").alias("any")).filter("x != y and any").select("band")
-        lists = narrow(cut(lists.join(several, "band", "left_semi")), PAIRS_A_PART)
+    bodies = _bodies(docs, store(texts.join(crowded.select("key").distinct(), "key").select("key", "least")))
+    verified = lambda pairs: store(_verified(pairs, bodies, idf, threshold, width))
+    near = lambda judged: judged.filter("near").select(F.col("lead").alias("a"), F.col("key").alias("b"))
+    judged = [verified(_ordered(crowded.filter("key != lead")))]
+    labels = extended(None, near(judged[0]))
+
+    classed = store(_classed(crowded.select("band", "key"), labels))
+    split = classed.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count(F.lit(1)).alias("n")).filter("x != y").select("band", "n")
+    rest = store(spread_join(classed, split, "band", "n", n_crowded).select("key").distinct().join(bodies, F.col("key") == F.col("id")).select("key", "text"))
+    drop_stored(buckets, crowded, classed)
+    lists = _lists(rest, idf, threshold, width)
+    while lists is not None:
+        lists = _open_lists(lists, labels)
         if lists.isEmpty():
             break
-        sizes = lists.groupBy("band", "class").agg(F.count(F.lit(1)).alias("size"))
-        largest = sizes.groupBy("band").agg(F.max_by("class", "size").alias("largest"))
-        outside = lists.join(largest, "band").filter("class != largest")
-        some = narrow(cut(outside.groupBy("band", F.pmod(F.xxhash64("key"), F.lit(LEADERS)).alias("k")).agg(F.min("key").alias("key")).select("band", "key")), PAIRS_A_PART)
+        some = store(_leaders(lists))
         lead = lists.join(some, ["band", "key"]).select("band", *[F.col(c).alias(f"lead_{c}") for c in ("key", "class", "found", "rest", "whole")])
         met = lists.join(lead, "band").filter("class != lead_class and (found or lead_found)")
         enough = threshold / (1 + threshold) * (F.col("whole") + F.col("lead_whole")) * (1 - 1e-6)
         met = met.filter((F.least("rest", "lead_rest") >= enough) & (F.least("whole", "lead_whole") >= threshold * (1 - 1e-6) * F.greatest("whole", "lead_whole")))
-        pairs = _ordered(met.select("key", F.col("lead_key").alias("lead"))).join(judged, ["lead", "key"], "left_anti")
-        judged = narrow(cut(judged.unionByName(verified(pairs))), PAIRS_A_PART)
-        links = judged.filter("near").select(F.col("lead").alias("a"), F.col("key").alias("b"))
+        pairs = _ordered(met.select("key", F.col("lead_key").alias("lead")))
+        for before in judged:
+            pairs = pairs.join(before, ["lead", "key"], "left_anti")
+        judged.append(verified(pairs))
+        labels = extended(labels, near(judged[-1]))
         # Those that have been compared with all others of the list are done.
-        lists = lists.drop("class").join(some, ["band", "key"], "left_anti")
-        tidy(spark)
-    drop_stored(bodies)
-    return links, signed.select("doc_id", "key")
+        left = store(lists.drop("class").join(some, ["band", "key"], "left_anti"))
+        drop_stored(lists, some)
+        lists = left
+    drop_stored(bodies, rest)
+    links = reduce(DataFrame.unionByName, map(near, judged))
+    return links, labels, texts, n_docs
+
+
+def _lists(rest: DataFrame, idf, threshold: float, width: int) -> DataFrame | None:
+    """Where the texts ``rest`` look for each other: ``key``, ``band`` and what prefix() says; stored.  None if there are no such texts."""
+    if rest.isEmpty():
+        return None
+    # Any order of shingles will do; one by frequency among these texts keeps the lists short.
+    rarest = rest.sparkSession.sparkContext.broadcast(document_frequencies(rest, width, ORDER_BITS).astype(np.float32))  # 16 MB
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, t in ((k + j, t) for k, some in slices_of(b.column(1)) for j, t in enumerate(some)):
+                bands, found, rests, whole = prefix(t, idf.value, rarest.value, threshold, width)
+                n = len(bands)
+                if n:
+                    yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()] * n, pa.binary()), pa.array(bands), pa.array(found), pa.array(rests), pa.array(np.full(n, whole))], ["key", "band", "found", "rest", "whole"])
 
+    return store(rest.mapInArrow(prefixes, "key binary, band long, found boolean, rest double, whole double"))
 
-def _crowded(members: DataFrame) -> DataFrame:
-    """Rows of bands with several keys."""
-    several = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
-    return members.join(several, "band")
+
+def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of the lists that have texts of several classes, with the ``class``; stored."""
+    classed = _classed(lists, labels)
+    several = classed.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.max("found").alias("any"), F.count(F.lit(1)).alias("_n")).filter("x != y and any").select("band", "_n")
+    out = store(spread_join(classed, several, "band", "_n", 0).drop("_n"))
+    drop_stored(lists)
+    return out
+
+
+def _leaders(lists: DataFrame) -> DataFrame:
+    """``band`` and ``key`` of at most LEADERS texts of each list, outside of its largest class."""
+    sizes = lists.groupBy("band", "class").agg(F.count(F.lit(1)).alias("size"))
+    largest = sizes.groupBy("band").agg(F.max_by("class", "size").alias("largest"), F.sum("size").alias("_n"))
+    outside = spread_join(lists, largest, "band", "_n", 0).filter("class != largest")
+    return outside.groupBy("band", F.pmod(F.xxhash64("key"), F.lit(LEADERS)).alias("k")).agg(F.min("key").alias("key")).select("band", "key")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -325,9 +372,21 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("lead", "key").alias("lead"), F.greatest("lead", "key").alias("key")).distinct()
 
 
-def _classed(members: DataFrame, roots: DataFrame) -> DataFrame:
+def _classed(members: DataFrame, labels: DataFrame) -> DataFrame:
     """``members`` with the ``class`` of each key so far."""
-    return members.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("class", F.coalesce("root", "key")).drop("root")
+    return members.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("class", F.coalesce("root", "key")).drop("root")
+
+
+def _text_classes(docs: DataFrame, threshold: float, width: int) -> tuple[DataFrame, int]:
+    """Of every text: ``key``, ``copies``, ``class_key``, ``class_id``, ``class_rows``, ``head`` (key of a text of the class's least id), ``n_leader_links``; stored.  And the number of rows."""
+    links, labels, texts, n_docs = near_links(docs, threshold, width)
+    degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_leader_links"))
+    linked = store(texts.join(labels.withColumnRenamed("node", "key"), "key").join(degree, "key", "left").withColumnRenamed("root", "class_key"))
+    heads = linked.groupBy("class_key").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_rows"), F.min(F.struct(F.col("least").isNull().alias("none"), "least", "key")).alias("x"), F.count(F.lit(1)).alias("_n")).select("class_key", "class_id", "class_rows", F.col("x.key").alias("head"), "_n")
+    columns = ["key", "copies", "class_key", "class_id", "class_rows", "head", F.coalesce("n_leader_links", F.lit(0).cast("long")).alias("n_leader_links")]
+    several = spread_join(linked, heads, "class_key", "_n", linked.count()).select(*columns)
+    alone = texts.join(labels.select(F.col("node").alias("key")), "key", "left_anti").select("key", "copies", F.col("key").alias("class_key"), F.col("least").alias("class_id"), F.col("copies").alias("class_rows"), F.col("key").alias("head"), F.lit(0).cast("long").alias("n_leader_links"))
+    return store(several.unionByName(alone)), n_docs
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
@@ -339,30 +398,34 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -
 
     ``n_leader_links`` counts the links of the row's text that were verified: with
     a bucket's leader, as one, and between classes.  It is not the number of near
-    texts, as pairs within a class are not compared; equal texts need none.
+    texts, as pairs within a class are not compared; equal texts need none.  It
+    depends on which texts lead, that is on the other rows of the table.
     """
-    links, rows = near_links(docs, threshold, width)
-    links = cut(links)
-    tidy(docs.sparkSession)
-    roots = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_leader_links"))
-    of_text = cut(roots.join(degree, "node", "left"))
-    rows = rows.join(of_text, F.col("key") == F.col("node"), "left").select("doc_id", "key", F.coalesce("root", "key").alias("class_key"), F.coalesce("n_leader_links", F.lit(0).cast("long")).alias("n_leader_links"))
-    rows = cut(rows)
-    tidy(docs.sparkSession)
-    heads = rows.groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_rows"))
-    return rows.join(heads, "class_key").select("doc_id", "key", "class_key", "class_id", "class_rows", "n_leader_links")
+    of_text, n_docs = _text_classes(docs, threshold, width)
+    rows = docs.select("doc_id", text_key().alias("key"))
+    return spread_join(rows, of_text, "key", "copies", n_docs).select("doc_id", "key", "class_key", "class_id", "class_rows", "n_leader_links")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """``docs`` with one document of each class: that of the least doc_id (of its repeated rows, one)."""
-    found = classes(docs, threshold, width)
-    heads = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_key").agg(F.min("class_id").alias("class_id"), F.min("key").alias("head"), F.count(F.lit(1)).alias("n"))
-    heads = cut(heads)
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", text_key().alias("key"))
-    # A text is in one class, so a head's text stands for its class.
-    kept = rows.join(heads, rows["doc_id"].eqNullSafe(heads["class_id"]) & (rows["key"] == heads["head"])).select(rows["row"], rows["key"])
-    # A class holds several rows of its least doc_id only if rows or ids repeat.
-    if not heads.filter("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["key"])
-    return kept.select("row.*")
+    """``docs`` with one document of each class: that of the least doc_id (of its repeated rows, one).
+
+    Most rows that are alone in their class stay where they are: a bitmap of the
+    others tells which have to be looked up, and only rows that are kept are shuffled.
+    """
+    of_text, _ = _text_classes(docs, threshold, width)
+    several = of_text.filter("class_rows > 1").select(F.col("key").alias("_key"), "class_id", "head", "copies")
+    n_several, n_rows = several.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    in_several = bitmap(several.select(F.xxhash64("_key").alias("h")), n_several)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_doc"), text_key().alias("_key"))
+    # Which of the rows that the bitmap has stay: heads, and rows that only seem to be among several.
+    asked = maybe_in(rows.select("_doc", "_key"), F.xxhash64("_key"), in_several)
+    head = F.col("_doc").eqNullSafe(F.col("class_id")) & (F.col("_key") == F.col("head"))
+    staying = spread_join(asked, several, "_key", "copies", n_rows, "left").filter(F.col("copies").isNull() | head)
+    staying = store(staying.groupBy("_doc", "_key").agg(F.count(F.lit(1)).alias("_n")))
+    n_staying, most = staying.agg(F.count(F.lit(1)), F.max("_n")).first()
+    name = F.xxhash64("_doc", "_key")
+    r, k = maybe_in(rows, name, bitmap(staying.select(name.alias("h")), n_staying)).alias("r"), staying.alias("k")
+    kept = r.join(k, F.col("r._doc").eqNullSafe(F.col("k._doc")) & (F.col("r._key") == F.col("k._key"))).select("r.row", "r._doc", "r._key")
+    if (most or 0) > 1:  # rows are repeated
+        kept = kept.dropDuplicates(["_doc", "_key"])
+    return maybe_in(rows, F.xxhash64("_key"), in_several, keep=False).select("row.*").unionByName(kept.select("row.*"))

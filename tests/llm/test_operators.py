@@ -103,7 +103,8 @@ def test_near_duplicates_of_awkward_rows(docs, rows, nothing):
     assert neardup.classes(nothing).count() == 0 and neardup.keep_one(nothing).columns == nothing.columns
     kept = neardup.keep_one(docs)
     assert kept.columns == docs.columns
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter({r["class_id"] for r in got})
+    # Two texts have the id 3, each a class of its own.
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(dict({bytes(r["class_key"]): r["class_id"] for r in got}).values())
 
 
 def test_near_duplicates_keep_every_class(spark, docs):
