@@ -18,12 +18,21 @@ ones are found by sorting suffixes:
    merge yields tell which strings are equal, without comparing them again.
 4. Masks of repeated strings go back to their texts.
 
+A bucket holds all contexts of its anchors.  Those of heavy anchors, which many
+tasks have met, are dealt out by their contexts as well: the strings of such a
+suffix fall into four groups by where they start, and a group goes by the bytes
+that all its strings have in common, most of the ``length``.
+
 Equal texts are one text, the one of the least id; the others are repeated as a
-whole (if they have ``length`` bytes).  Strings are judged on the input.
+whole (if they have ``length`` bytes).  Strings are judged on the input.  Texts
+are told apart by 16 bytes of their SHA-256, strings by their bytes: hashes only
+bring together what may be equal.
 
 A null text is the empty text.  Texts shorter than ``length`` bytes keep all.
 Rows that repeat a doc_id do not make each other repeated.  A null doc_id comes
-after all others.  An empty table gives an empty table.
+after all others; ids are integers.  Texts of any length are read in pieces.  Ties
+between equal strings go to the least id.  Columns beyond ``doc_id`` and ``text``
+are passed through, whatever their names.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -36,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, parts_for
+from .common import cut, parts_for, step
 from .shingles import U, _powers, mix, numbers
 
 LENGTH, ANCHOR = 50, 24
@@ -48,7 +57,29 @@ ANCHORS_A_FLUSH, ANCHORS_A_BUCKET = 500_000, 800_000
 SUFFIXES_A_FLUSH, SUFFIXES_A_BUCKET = 120_000, 400_000
 #: Bytes of a hash that are sent; its bucket tells the rest.
 KEY_BYTES = 5
+LOW = U((1 << 40) - 1)
 _BYTE = numbers(256, 31)
+#: An anchor is heavy if this many texts at least were sent for it, and this share of all; so heavy ones, of which 8 bytes are broadcast, are at most 1 / HEAVY_SHARE.
+HEAVY_LEAST, HEAVY_SHARE = 32, 2.5e-7
+#: First and last string, by bytes before the anchor, of the groups of a heavy anchor's strings.
+GROUPS = ((0, 6), (7, 13), (14, 20), (21, 26))
+#: Bytes of a text's name.
+NAME = 16
+
+
+def names_of(data: bytes) -> list[bytes]:
+    return [data[i : i + NAME] for i in range(0, len(data), NAME)]
+
+
+def numbered(names: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """Distinct names, and the number of each name among them."""
+    seen: dict[bytes, int] = {}
+    at = np.array([seen.setdefault(x, len(seen)) for x in names], np.int64)
+    return list(seen), at
+
+
+def part_of(name: bytes, n_parts: int) -> int:
+    return int.from_bytes(name[:8], "little") % n_parts
 
 
 def anchors(piece: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -120,9 +151,9 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
-_ANCHOR_ROWS = pa.schema([("bucket", pa.int32()), ("th", pa.int64()), ("keys", pa.binary()), ("table", pa.binary()), ("texts", pa.binary()), ("places", pa.binary())])
-_PART_ROWS = pa.schema([("bucket", pa.int32()), ("ths", pa.binary()), ("sizes", pa.binary()), ("places", pa.binary())])
-_PLACE_ROWS = pa.schema([("th", pa.int64()), ("places", pa.binary())])
+_ANCHOR_ROWS = pa.schema([("bucket", pa.int32()), ("th", pa.binary()), ("keys", pa.binary()), ("table", pa.binary()), ("texts", pa.binary()), ("places", pa.binary())])
+_PART_ROWS = pa.schema([("bucket", pa.int32()), ("ths", pa.binary()), ("sizes", pa.binary()), ("places", pa.binary()), ("heavy", pa.binary())])
+_PLACE_ROWS = pa.schema([("th", pa.binary()), ("places", pa.binary()), ("heavy", pa.binary())])
 
 
 def _by_text(texts: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -146,17 +177,19 @@ def _runs_of(keys: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def shared_anchors(texts: DataFrame, n_bytes: int, length: int = LENGTH) -> DataFrame:
     """``th`` and ``places`` (binary, int64): where a text has an anchor that another text has too.
 
-    Of an anchor that recurs in a text, one place is given.
+    Of an anchor that recurs in a text, one place is given.  Rows without ``th``
+    have in ``heavy`` the hashes (binary, uint64) of heavy anchors.
     """
     n_buckets = parts_for(n_bytes // 14, ANCHORS_A_BUCKET, 8)
+    heavy_from = max(HEAVY_LEAST, int(HEAVY_SHARE * n_bytes / 14))
 
-    def send(keys: np.ndarray, owner: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def send(keys: np.ndarray, owner: np.ndarray, places: np.ndarray, names: list[bytes]) -> Iterator[pa.RecordBatch]:
         order, starts, several = _runs_of(keys, owner)
         keys, owner, places = keys[order], owner[order], places[order]
         run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(keys))))
         new_text = np.concatenate([[True], (owner[1:] != owner[:-1]) | (run[1:] != run[:-1])])
         known = np.flatnonzero(new_text & several[run])
-        rows = [(int(np.uint64(t & 0xFFFFFFFFFFFFFFFF) % np.uint64(n_buckets)), t, None, None, None, p.astype("<i8").tobytes()) for t, (p,) in _by_text(owner[known], places[known])]
+        rows = [(part_of(names[t], n_buckets), names[t], None, None, None, p.astype("<i8").tobytes()) for t, (p,) in _by_text(owner[known], places[known])]
         # Of a key that several texts here have, two suffice to tell the others.
         ordinal = np.cumsum(new_text) - 1
         ordinal -= ordinal[starts][run]
@@ -168,76 +201,82 @@ def shared_anchors(texts: DataFrame, n_bytes: int, length: int = LENGTH) -> Data
             i = out[edges[b] : edges[b + 1]]
             if len(i):
                 table, at = np.unique(owner[i], return_inverse=True)
-                rows.append((b, None, _planes((keys[i] // U(n_buckets)).astype("<u8"), KEY_BYTES), _planes(table.astype("<i8")), _planes(at.astype("<u4")), _planes(places[i].astype("<i8"))))
+                rows.append((b, None, _planes((keys[i] // U(n_buckets)).astype("<u8"), KEY_BYTES), b"".join(names[t] for t in table), _planes(at.astype("<u4")), _planes(places[i].astype("<i8"))))
         yield _batch(rows, _ANCHOR_ROWS)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[], [], []]
+        names: list[bytes] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal names, size
             keys, owner, places = (np.concatenate(x) for x in held)
+            of, names, size = names, [], 0
             for x in held:
                 x.clear()
-            yield from send(keys, owner, places)
+            yield from send(keys, owner, places, of)
 
         for b in batches:
             for th, text in _rows(b, 0, 1):
+                names.append(th)
                 for base, piece in pieces_of(text.encode(), length):
                     at, keys, _, _ = anchors(piece, length)
                     held[0].append(keys)
-                    held[1].append(np.full(len(at), th, np.int64))
+                    held[1].append(np.full(len(at), len(names) - 1, np.int64))
                     held[2].append(at + base)
                     size += len(at)
                 if size >= ANCHORS_A_FLUSH:
                     yield from flush()
-                    size = 0
         if size:
             yield from flush()
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _buckets(batches):
+        for bucket, rows in _buckets(batches):
             known = [(r["th"], r["places"]) for r in rows if r["th"] is not None]
             blobs = [r for r in rows if r["th"] is None]
             if blobs:
                 keys = np.concatenate([_from_planes(r["keys"], "<u8", KEY_BYTES) for r in blobs])
-                owner = np.concatenate([_from_planes(r["table"], "<i8")[_from_planes(r["texts"], "<u4")] for r in blobs])
+                tables = [names_of(r["table"]) for r in blobs]
+                names, number = numbered([x for t in tables for x in t])
+                firsts = np.cumsum([0, *map(len, tables)])
+                owner = number[np.concatenate([_from_planes(r["texts"], "<u4").astype(np.int64) + k for r, k in zip(blobs, firsts, strict=False)])]
                 places = np.concatenate([_from_planes(r["places"], "<i8") for r in blobs])
                 order, starts, several = _runs_of(keys, owner)
-                run = np.repeat(several, np.diff(np.append(starts, len(keys))))
-                i = order[run]
-                known += [(t, p.astype("<i8").tobytes()) for t, (p,) in _by_text(owner[i], places[i])]
+                sizes = np.diff(np.append(starts, len(keys)))
+                i = order[np.repeat(several, sizes)]
+                known += [(names[t], p.astype("<i8").tobytes()) for t, (p,) in _by_text(owner[i], places[i])]
+                # Of a hash its lowest bytes and its bucket are known here.
+                heavy = keys[order][starts[sizes >= heavy_from]] * U(n_buckets) + U(bucket)
+                if len(heavy):
+                    yield _batch([(0, None, None, None, (heavy & LOW).astype("<u8").tobytes())], _PART_ROWS)
             if known:
                 yield _batch(_parted(known, n_buckets), _PART_ROWS)
 
     def regroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _buckets(batches):
-            ths = np.concatenate([_from_planes(r["ths"], "<i8") for r in rows])
-            sizes = np.concatenate([_from_planes(r["sizes"], "<u4") for r in rows]).astype(np.int64)
-            places = np.concatenate([_from_planes(r["places"], "<i8") for r in rows])
-            told = [(t, p.astype("<i8").tobytes()) for t, (p,) in _by_text(np.repeat(ths, sizes), places)]
+            told = [(None, None, r["heavy"]) for r in rows if r["heavy"] is not None]
+            rows = [r for r in rows if r["heavy"] is None]
+            if rows:
+                names, number = numbered([x for r in rows for x in names_of(r["ths"])])
+                sizes = np.concatenate([_from_planes(r["sizes"], "<u4") for r in rows]).astype(np.int64)
+                places = np.concatenate([_from_planes(r["places"], "<i8") for r in rows])
+                told += [(names[t], p.astype("<i8").tobytes(), None) for t, (p,) in _by_text(np.repeat(number, sizes), places)]
             for k in range(0, len(told), 5000):
                 yield _batch(told[k : k + 5000], _PLACE_ROWS)
 
-    sent = texts.select("th", "text").mapInArrow(gather, "bucket int, th long, keys binary, table binary, texts binary, places binary")
-    found = sent.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(find, "bucket int, ths binary, sizes binary, places binary")
+    sent = texts.select("th", "text").mapInArrow(gather, "bucket int, th binary, keys binary, table binary, texts binary, places binary")
+    found = sent.repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(find, "bucket int, ths binary, sizes binary, places binary, heavy binary")
     # A text's places come from many buckets; they go to the text's part in blobs, and leave it as one row a text.
-    return found.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(regroup, "th long, places binary")
+    return found.repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(regroup, "th binary, places binary, heavy binary")
 
 
-def _parted(known: list[tuple[int, bytes]], n_parts: int) -> list[tuple]:
+def _parted(known: list[tuple[bytes, bytes]], n_parts: int) -> list[tuple]:
     """Texts and their places, as one row for each part that their texts belong to."""
-    ths = np.array([t for t, _ in known], np.int64)
-    part = (ths.view(U) % U(n_parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    edges = np.searchsorted(part[order], np.arange(n_parts + 1))
-    rows = []
-    for k in np.unique(part):
-        i = order[edges[k] : edges[k + 1]]
-        sizes = np.array([len(known[j][1]) // 8 for j in i], "<u4")
-        places = np.frombuffer(b"".join(known[j][1] for j in i), "<i8")
-        rows.append((int(k), _planes(ths[i]), _planes(sizes), _planes(places)))
-    return rows
+    by_part: dict[int, list[tuple[bytes, bytes]]] = {}
+    for x in known:
+        by_part.setdefault(part_of(x[0], n_parts), []).append(x)
+    return [(k, b"".join(t for t, _ in of), _planes(np.array([len(p) // 8 for _, p in of], "<u4")), _planes(np.frombuffer(b"".join(p for _, p in of), "<i8")), None) for k, of in sorted(by_part.items())]
 
 
 # Suffixes: contexts of anchors, with the strings that belong to them.
@@ -248,19 +287,21 @@ class Suffixes:
 
     ``right``: bytes from the anchor on, zeros behind the last that counts;
     ``left``: bytes before it, nearest first; bit a of ``mask``: the string that
-    starts a bytes before the anchor.
+    starts a bytes before the anchor; ``th``: the text's number in a list of
+    names; ``anchor``: the anchor's hash, known where the suffix is cut.
     """
 
-    KINDS = {"ids": "<i8", "th": "<i8", "places": "<i8", "mask": "<u4"}
+    KINDS = {"ids": "<i8", "th": "<u4", "places": "<i8", "mask": "<u4"}
+    COLUMNS = ("right", "left", "ids", "th", "places", "mask", "anchor")
 
-    def __init__(self, right: np.ndarray, left: np.ndarray, ids: np.ndarray, th: np.ndarray, places: np.ndarray, mask: np.ndarray) -> None:
-        self.right, self.left, self.ids, self.th, self.places, self.mask = right, left, ids, th, places, mask
+    def __init__(self, *columns: np.ndarray) -> None:
+        self.right, self.left, self.ids, self.th, self.places, self.mask, self.anchor = columns
 
     def __len__(self) -> int:
         return len(self.mask)
 
     def take(self, i: np.ndarray) -> Suffixes:
-        return Suffixes(*(x[i] for x in (self.right, self.left, self.ids, self.th, self.places, self.mask)))
+        return Suffixes(*(getattr(self, k)[i] for k in self.COLUMNS))
 
     def trim(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Blank what no string of the mask covers; returns how many bytes count on the right and left."""
@@ -273,7 +314,7 @@ class Suffixes:
 
     @staticmethod
     def join(parts: list[Suffixes]) -> Suffixes:
-        return Suffixes(*(np.concatenate([getattr(p, k) for p in parts]) for k in ("right", "left", "ids", "th", "places", "mask")))
+        return Suffixes(*(np.concatenate([getattr(p, k) for p in parts]) for k in Suffixes.COLUMNS))
 
 
 def suffixes_of(th: int, doc_id: int, text: bytes, shared: np.ndarray, length: int = LENGTH) -> Suffixes | None:
@@ -289,14 +330,14 @@ def suffixes_of(th: int, doc_id: int, text: bytes, shared: np.ndarray, length: i
         i = np.flatnonzero(np.isin(keys, told))
         if not len(i):
             continue
-        at, first, last = at[i], first[i], last[i]
+        at, first, last, keys = at[i], first[i], last[i], keys[i]
         padded = np.concatenate([np.zeros(back, np.uint8), piece, np.zeros(length, np.uint8)])
         right = padded[at[:, None] + (back + np.arange(length))]
         left = padded[at[:, None] + (back - 1 - np.arange(back))]
         low, high = (at - last).astype(np.uint64), (at - first).astype(np.uint64)
         mask = ((U(1) << (high + U(1))) - (U(1) << low)).astype(np.uint32)
         n = len(i)
-        parts.append(Suffixes(right, left, np.full(n, doc_id, np.int64), np.full(n, th, np.int64), at + base, mask))
+        parts.append(Suffixes(right, left, np.full(n, doc_id, np.int64), np.full(n, th, np.int64), at + base, mask, keys))
     return Suffixes.join(parts) if parts else None
 
 
@@ -329,8 +370,11 @@ def settle(s: Suffixes, prefixes: np.ndarray) -> np.ndarray:
             group = np.cumsum(prefixes < length - a).astype(U)
             name = mix(group[i] * U(0x9E3779B97F4A7C15) + mix(before[i] + U(a)))
             order = np.argsort(name, kind="stable")
-            name, i = name[order], i[order]
-            starts = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+            if _differ(group[i[order]], s.left[i[order], :a], name[order]):  # two strings have one name
+                order = np.lexsort((*s.left[i, :a].T, group[i]))
+            i = i[order]
+            same = (group[i][1:] == group[i][:-1]) & (s.left[i[1:], :a] == s.left[i[:-1], :a]).all(axis=1)
+            starts = np.flatnonzero(np.concatenate([[True], ~same]))
             ids = s.ids[i]
             least = np.repeat(np.minimum.reduceat(ids, starts), np.diff(np.append(starts, len(ids))))
             repeated[i[ids > least]] |= np.uint32(1 << a)
@@ -339,6 +383,12 @@ def settle(s: Suffixes, prefixes: np.ndarray) -> np.ndarray:
     return repeated
 
 
+def _differ(group: np.ndarray, left: np.ndarray, name: np.ndarray) -> bool:
+    """Whether neighbours have one name and yet differ."""
+    same = name[1:] == name[:-1]
+    return bool((same & ((group[1:] != group[:-1]) | (left[1:] != left[:-1]).any(axis=1))).any())
+
+
 def front_code(s: Suffixes, prefixes: np.ndarray, rights: np.ndarray, lefts: np.ndarray) -> dict[str, bytes]:
     """A sorted run: of each suffix only what follows the prefix it shares with the one before."""
     length, back = s.right.shape[1], s.left.shape[1]
@@ -367,7 +417,7 @@ def decode(run: dict[str, bytes], length: int = LENGTH) -> tuple[Suffixes, np.nd
     left[np.arange(back) < backs[:, None]] = np.frombuffer(run["left"], np.uint8)
     columns = {k: _from_planes(run[k], kind) for k, kind in Suffixes.KINDS.items()}
     # Behind its last byte a suffix is zeros, so that prefixes may be longer than what was coded.
-    return Suffixes(right, left, columns["ids"], columns["th"], columns["places"], columns["mask"]), common_prefixes(right)
+    return Suffixes(right, left, columns["ids"], columns["th"].astype(np.int64), columns["places"], columns["mask"], np.zeros(len(shared), U)), common_prefixes(right)
 
 
 class LoserTree:
@@ -444,13 +494,13 @@ class LoserTree:
 
 
 _RUN_COLUMNS = ("shared", "ends", "rest", "backs", "left", "ids", "places", "mask")
-_RUN_ROWS = pa.schema([("bucket", pa.int32()), ("th", pa.int64()), *[(k, pa.binary()) for k in _RUN_COLUMNS], ("ths", pa.binary())])
-_MASK_ROWS = pa.schema([("th", pa.int64()), ("places", pa.binary()), ("mask", pa.binary())])
+_RUN_ROWS = pa.schema([("bucket", pa.int32()), ("th", pa.binary()), *[(k, pa.binary()) for k in _RUN_COLUMNS], ("ths", pa.binary()), ("names", pa.binary())])
+_MASK_ROWS = pa.schema([("th", pa.binary()), ("places", pa.binary()), ("mask", pa.binary())])
 
 
-def _masks(s: Suffixes, repeated: np.ndarray) -> list[tuple[int, bytes, bytes]]:
+def _masks(s: Suffixes, repeated: np.ndarray, names: list[bytes]) -> list[tuple[bytes, bytes, bytes]]:
     i = np.flatnonzero(repeated)
-    return [(t, p.astype("<i8").tobytes(), m.astype("<u4").tobytes()) for t, (p, m) in _by_text(s.th[i], s.places[i], repeated[i])]
+    return [(names[t], p.astype("<i8").tobytes(), m.astype("<u4").tobytes()) for t, (p, m) in _by_text(s.th[i], s.places[i], repeated[i])]
 
 
 def merge_runs(runs: list[tuple[Suffixes, np.ndarray]]) -> tuple[Suffixes, np.ndarray]:
@@ -473,59 +523,93 @@ def repeated_strings(texts: DataFrame, shared: DataFrame, n_suffixes: int, lengt
     ``texts``: ``th``, ``id``, ``text``, one row a text.
     """
     n_buckets = parts_for(n_suffixes, SUFFIXES_A_BUCKET, 8)
-
-    def send(s: Suffixes) -> Iterator[pa.RecordBatch]:
+    spark = texts.sparkSession
+    with step(spark):
+        heavy = np.frombuffer(b"".join(sorted(r[0] for r in shared.filter("heavy is not null").select("heavy").collect())), "<u8")  # at most 1 / HEAVY_SHARE
+    sent_heavy = spark.sparkContext.broadcast(heavy)
+
+    def dealt(s: Suffixes) -> tuple[Suffixes, np.ndarray]:
+        """Suffixes with their buckets; those of heavy anchors in groups of their strings."""
+        plain = mix(s.anchor)
+        is_heavy = np.isin(s.anchor & LOW, sent_heavy.value) if len(sent_heavy.value) else np.zeros(len(s), bool)
+        parts, keys = [s.take(np.flatnonzero(~is_heavy))], [plain[~is_heavy]]
+        for low, high in GROUPS if is_heavy.any() else ():
+            part = s.take(np.flatnonzero(is_heavy & ((s.mask & np.uint32(_bits(low, high))) != 0)))
+            part.mask = part.mask & np.uint32(_bits(low, high))
+            key = mix(part.anchor + U(low + 1))
+            for column in (*part.left[:, :low].T, *part.right[:, ANCHOR : length - high].T):
+                key = key * U(0x9E3779B97F4A7C15) + _BYTE[column]
+            parts.append(part)
+            keys.append(mix(key))
+        return Suffixes.join(parts), (np.concatenate(keys) % U(n_buckets)).astype(np.int64)
+
+    def send(s: Suffixes, names: list[bytes]) -> Iterator[pa.RecordBatch]:
         s, prefixes = sort_suffixes(s)
         repeated = settle(s, prefixes)
-        rows = [(int(np.uint64(t & 0xFFFFFFFFFFFFFFFF) % np.uint64(n_buckets)), t, *[None] * 6, p, m, None) for t, p, m in _masks(s, repeated)]
+        rows = [(part_of(t, n_buckets), t, *[None] * 6, p, m, None, None) for t, p, m in _masks(s, repeated, names)]
         s.mask = s.mask & ~repeated
         s = s.take(np.flatnonzero(s.mask))
         if len(s):
-            of_anchor = np.zeros(len(s), U)
-            for k in range(ANCHOR):
-                of_anchor = of_anchor * U(0x9E3779B97F4A7C15) + _BYTE[s.right[:, k]]
-            bucket = (mix(of_anchor) % U(n_buckets)).astype(np.int64)
+            s, bucket = dealt(s)
             rights, lefts = s.trim(length)
-            for b in np.unique(bucket):
-                i = np.flatnonzero(bucket == b)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) > 0, [True]]))
+            for first, end in zip(edges[:-1], edges[1:], strict=True):
+                i = order[first:end]
                 part = s.take(i)
                 # Blanking leaves the order as it was or makes it right again.
-                order = np.argsort(np.ascontiguousarray(part.right).view(f"S{length}").ravel(), kind="stable")
-                part = part.take(order)
-                run = front_code(part, common_prefixes(part.right), rights[i][order], lefts[i][order])
-                rows.append((int(b), None, *[run[k] for k in _RUN_COLUMNS], run["th"]))
+                ranked = np.argsort(np.ascontiguousarray(part.right).view(f"S{length}").ravel(), kind="stable")
+                part = part.take(ranked)
+                table, part.th = np.unique(part.th, return_inverse=True)
+                run = front_code(part, common_prefixes(part.right), rights[i][ranked], lefts[i][ranked])
+                rows.append((int(bucket[i[0]]), None, *[run[k] for k in _RUN_COLUMNS], run["th"], b"".join(names[t] for t in table)))
         yield _batch(rows, _RUN_ROWS)
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Suffixes] = []
+        names: list[bytes] = []
         size = 0
         for b in batches:
             for th, doc_id, text, places in _rows(b, 0, 1, 2, 3):
                 shared_places = np.concatenate([np.frombuffer(p, "<i8") for p in places])
-                s = suffixes_of(th, doc_id, text.encode(), shared_places, length)
+                s = suffixes_of(len(names), doc_id, text.encode(), shared_places, length)
+                names.append(th)
                 if s is not None:
                     held.append(s)
                     size += len(s)
                 if size >= SUFFIXES_A_FLUSH:
-                    yield from send(Suffixes.join(held))
-                    held, size = [], 0
+                    yield from send(Suffixes.join(held), names)
+                    held, names, size = [], [], 0
         if held:
-            yield from send(Suffixes.join(held))
+            yield from send(Suffixes.join(held), names)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _buckets(batches):
             found = [(r["th"], r["places"], r["mask"]) for r in rows if r["th"] is not None]
-            runs = [decode({**{k: r[k] for k in _RUN_COLUMNS}, "th": r["ths"]}, length) for r in rows if r["th"] is None]
+            runs, names = [], []
+            for r in rows:
+                if r["th"] is None:
+                    s, prefixes = decode({**{k: r[k] for k in _RUN_COLUMNS}, "th": r["ths"]}, length)
+                    s.th += len(names)
+                    names += names_of(r["names"])
+                    runs.append((s, prefixes))
             if runs:
+                # A text's name comes with each of its runs.
+                names, number = numbered(names)
                 s, prefixes = merge_runs(runs)
-                found += _masks(s, settle(s, prefixes))
+                s.th = number[s.th]
+                found += _masks(s, settle(s, prefixes), names)
             for k in range(0, len(found), 5000):
                 yield _batch(found[k : k + 5000], _MASK_ROWS)
 
-    told = shared.groupBy("th").agg(F.collect_list("places").alias("places"))  # at most a text's anchors
-    kinds = "bucket int, th long, " + ", ".join(f"{k} binary" for k in _RUN_COLUMNS) + ", ths binary"
+    told = shared.filter("th is not null").groupBy("th").agg(F.collect_list("places").alias("places"))  # at most a text's anchors
+    kinds = "bucket int, th binary, " + ", ".join(f"{k} binary" for k in _RUN_COLUMNS) + ", ths binary, names binary"
     sent = texts.join(told, "th").select("th", "id", "text", "places").mapInArrow(cut_up, kinds)
-    return sent.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, "th long, places binary, mask binary")
+    return sent.repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(merge, "th binary, places binary, mask binary")
+
+
+def _bits(low: int, high: int) -> int:
+    return (1 << (high + 1)) - (1 << low)
 
 
 def covered(n: int, found: list[tuple[bytes, bytes]], length: int = LENGTH) -> np.ndarray:
@@ -547,12 +631,14 @@ def _judged(docs: DataFrame, length: int) -> DataFrame:
     """``row`` (the columns of ``docs`` but the text), ``body`` and ``missing`` (the text, and whether it is null), ``least`` (whether the row has its text's least id) and ``found``."""
     last = F.lit((1 << 63) - 1)
     row = F.struct(*[F.col(c) for c in docs.columns if c != "text"])
-    rows = docs.select(row.alias("row"), F.coalesce("text", F.lit("")).alias("body"), F.col("text").isNull().alias("missing"), F.coalesce("doc_id", last).alias("own_id")).withColumn("th", F.xxhash64("body"))
+    rows = docs.select(row.alias("row"), F.coalesce("text", F.lit("")).alias("body"), F.col("text").isNull().alias("missing"), F.coalesce("doc_id", last).alias("own_id")).withColumn("th", F.unhex(F.substring(F.sha2("body", 256), 1, 2 * NAME)))
     heads = cut(rows.select("th", "own_id", F.octet_length("body").cast("long").alias("bytes")).groupBy("th").agg(F.min("own_id").alias("id"), F.max("bytes").alias("bytes")))
-    n_bytes = heads.agg(F.sum("bytes")).first()[0] or 0
+    with step(docs.sparkSession):
+        n_bytes = heads.agg(F.sum("bytes")).first()[0] or 0
     long = rows.filter(F.octet_length("body") >= length).select("th", "own_id", F.col("body").alias("text"))
     shared = cut(shared_anchors(long, n_bytes, length))
-    n_suffixes = shared.agg(F.sum(F.octet_length("places").cast("long")) / 8).first()[0] or 0
+    with step(docs.sparkSession):
+        n_suffixes = shared.agg(F.sum(F.octet_length("places").cast("long")) / 8).first()[0] or 0
     texts = long.join(heads.filter(F.col("bytes") >= length), "th").filter("own_id = id").select("th", "id", "text")
     found = cut(repeated_strings(texts, shared, int(n_suffixes), length))
     side = heads.select("th", "id").join(found.groupBy("th").agg(F.collect_list(F.struct("places", "mask")).alias("found")), "th", "left")

@@ -426,6 +426,37 @@ def test_repeats_of_a_small_alphabet(spark):
     assert measured(df) == as_counter(rows)
 
 
+def test_repeats_at_heavy_anchors(spark, monkeypatch):
+    """A passage between other words each time, with every shared anchor heavy and all buckets and flushes small."""
+    for name, value in (("HEAVY_LEAST", 2), ("HEAVY_SHARE", 0.0), ("ANCHORS_A_FLUSH", 60), ("ANCHORS_A_BUCKET", 40), ("SUFFIXES_A_FLUSH", 50), ("SUFFIXES_A_BUCKET", 30)):
+        monkeypatch.setattr(suffix, name, value)
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7)))
+    passages = [" ".join(word() for _ in range(30)) for _ in range(3)]
+    rows = [(i, " ".join([*(word() for _ in range(rng.randint(0, 12))), rng.choice(passages)[rng.randint(0, 20) :], *(word() for _ in range(rng.randint(0, 12)))])) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    shared = suffix.shared_anchors(df.selectExpr("unhex(substring(sha2(text, 256), 1, 32)) as th", "text"), 10_000)
+    assert shared.filter("heavy is not null").count() > 0
+    assert measured(df) == as_counter(rows)
+
+
+def test_one_name_for_two_strings():
+    """Strings whose hashes agree are still told apart."""
+    n = 6
+    right = np.zeros((n, 50), np.uint8)
+    right[:, :24] = 7
+    left = np.zeros((n, 26), np.uint8)
+    left[:, 0] = [1, 2, 1, 2, 3, 3]
+    s = suffix.Suffixes(right, left, np.array([5, 5, 6, 4, 9, 9]), np.arange(n), np.arange(n), np.full(n, 2, np.uint32), np.zeros(n, np.uint64))
+    true_mix = suffix.mix
+    try:
+        suffix.mix = lambda x: np.zeros_like(x)
+        got = suffix.settle(s, suffix.common_prefixes(right))
+    finally:
+        suffix.mix = true_mix
+    assert got.tolist() == [0, 2, 2, 0, 0, 0]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.text(alphabet="ab", min_size=6, max_size=6), max_size=12), min_size=1, max_size=7))
 def test_loser_tree(runs):

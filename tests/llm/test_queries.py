@@ -7,6 +7,7 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from lexmill.llm import queries as llm
+from tests.oracle import compare, connect
 
 
 def test_all_ten_are_registered():
@@ -23,6 +24,11 @@ def test_query(spark, data, name):
     assert found >= n if name.startswith("op4") else found == n
 
 
+@pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
+def test_query_against_sql(spark, data, name):
+    compare(entry.queries()[name](spark, data), connect(data), llm.oracle_sql()[name])
+
+
 def test_pipeline(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     before = docs.count()
