@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -279,6 +280,52 @@ def test_extraction_weighs_containers(page):
     assert extract.main_text(page) == LONG_TEXT
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "".join(f"<p>{PARA} {k}</p>" for k in range(5)) + "<div class=advert>" + "<p>Buy now</p>" * 4 + "</div>" + "".join(f"<p>{PARA} {k}</p>" for k in range(5, 9)),
+        "".join(f"<p>{PARA} {k}</p>" for k in range(5)) + "<p><a href=x>Buy now</a></p>" * 4 + "".join(f"<p>{PARA} {k}</p>" for k in range(5, 9)),
+        "<article>" + "".join(f"<p>{PARA} {k}</p>" for k in range(4)) + "</article><article>" + "".join(f"<p>{PARA} {k}</p>" for k in range(4, 9)) + "</article>",
+    ],
+)
+def test_extraction_keeps_all_runs(page):
+    assert extract.main_text(page) == "\n".join(f"{PARA} {k}" for k in range(9))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 70), st.booleans()), max_size=25))
+def test_extraction_against_line_blocks(blocks):
+    """Window by window, as the method is defined, on pages without articles."""
+    lines = [("x" * n, linked) for n, linked in blocks if n]
+    weights = [0 if linked else len(t) for t, linked in lines]
+    sums = [sum(weights[i : i + extract.WINDOW]) for i in range(len(weights))]
+    kept, on = [], False
+    for i, total in enumerate(sums):
+        on = total >= extract.SURGE or on and total > 0  # a surge begins a run, a dive ends it
+        kept.append(on)
+    out = []
+    for i in range(len(lines)):
+        if kept[i]:
+            first = next(k for k in range(i, -1, -1) if k == 0 or not kept[k - 1])
+            last = next(k for k in range(i, len(lines)) if k == len(lines) - 1 or not kept[k + 1])
+            out += [lines[i][0]] * (any(weights[first : i + 1]) and any(weights[i : last + 1]))
+    page = "".join(f"<div><a href=1>{t}</a></div>" if linked else f"<div>{t}</div>" for t, linked in lines)
+    assert extract.main_text(page) == "\n".join(out if any(kept) else [t for t, _ in lines])
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<div>", "</span><div>", "<p class='x", '<a title="x', "<!--", "<script>", "<", "&amp", "<p>x", "<aside><article>", "<svg/>", " "])
+def test_extraction_is_linear(piece):
+    page = piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    extract.main_text(page)
+    assert time.process_time() - began < 20  # a quadratic scan takes hours
+
+
+def test_extraction_of_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "u", f"<p>{PARA}</p>", "t", 5)], "page_id long, url string, html string, text string, n_chars int")
+    assert [tuple(r) for r in extract.extract(df).collect()] == [(1, "u", PARA, len(PARA))]
+
+
 # 6: language model
 
 
