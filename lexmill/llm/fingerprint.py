@@ -1,22 +1,28 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs.
 
-A text is cut into paragraphs, and long ones at the ends of their clauses.
-Each is hashed to a wide vector; a document's fingerprint is the sum of them,
-lane by lane, modulo powers of two.  So order does not matter, equal multisets
-have equal fingerprints, and a paragraph is inserted or deleted by adding or
-subtracting its vector.  The vector has two parts: 8 lanes of a SHA-256, summed
-modulo 2^32, that tell multisets apart, and 96 lanes of single bits, packed
-three to a word of 60 bits, whose sums give the likeness of two multisets: read
-as random signs, they estimate the cosine between them.
+A text's paragraphs are its lines, empty ones too.  Each is hashed to a wide
+vector; a document's fingerprint is the sum of them, lane by lane, modulo powers
+of two.  So the order of paragraphs does not matter, equal multisets of
+paragraphs have equal fingerprints, and a paragraph is inserted or deleted by
+adding or subtracting its vector.
+
+The vector has two parts.  8 lanes of the paragraph's SHA-256, summed modulo
+2^32, tell multisets apart.  80 lanes count bits of the SHA-256 of its clauses,
+two lanes to a word; read as random signs, they estimate the cosine between the
+clauses of two texts, which is their likeness.  A lane has 31 bits, more than a
+text that fits a column has clauses.
 
 Built from DataFrame operations only; a document's paragraphs are summed in the
-task that reads it, and only vectors are shuffled.
-
-A null text is the empty text; its fingerprint is all zeros, and two empty
-texts have likeness 1.  Repeated rows give repeated rows.  A row without a
-doc_id has no next document: its edited text loses its last third and
-``near_next`` is 0.  Where several rows have the next doc_id, that with the
-greatest beginning is the next one.  An empty table gives an empty table.
+task that reads it, and only vectors are shuffled.  Running tables of one row a
+part (20,000 ids) are ordered in one task.
+
+A null text is the empty text, which has no paragraphs; its fingerprint is all
+zeros, and two empty texts have likeness 1.  Repeated rows give repeated rows.
+Texts of any length are read whole.  A row without a doc_id has no next document:
+its edited text loses its last third and ``near_next`` is 0.  Where several rows
+have the next doc_id, that with the greatest beginning is the next one.  An empty
+table gives an empty table.  Columns beyond ``doc_id`` and ``text`` are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -26,33 +32,46 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, parts_for
+from .common import cut, parts_for, step
 
-#: Paragraphs, and the clauses of long ones.
-CUTS = r"\n+|(?<=[.!?,;:])[ \t]+"
-EXACT, SIGNS = 8, 32
-_SPREAD = 1 | 1 << 20 | 1 << 40
-_LANE = (1 << 20) - 1
+#: Where a paragraph is cut into clauses.
+CLAUSE_END = r"(?<=[.!?,;:])[ \t]+"
+#: Words of the two parts; a word of the second has two lanes.
+EXACT, SIGNS = 8, 40
+LANE_BITS = 31
+_SPREAD = 1 | 1 << LANE_BITS
+_LANE = (1 << LANE_BITS) - 1
+#: Hexadecimal digits of a clause's digest that make a number, and the words taken from it.
+DIGITS, WORDS_A_NUMBER = 15, 20
 
 
-def vector_of(unit: F.Column) -> list[F.Column]:
-    """The lanes of one paragraph, as columns to be summed."""
-    digest = F.sha2(unit, 256)
-    exact = [F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long") for i in range(EXACT)]
-    bits = [F.xxhash64(F.lit(k), unit) for k in range(2)]
-    signs = [F.shiftrightunsigned(bits[j % 2], j // 2).bitwiseAND(F.lit(_SPREAD)) for j in range(SIGNS)]
-    return exact + signs
+def _number(digest: F.Column, first: int, digits: int) -> F.Column:
+    return F.conv(F.substring(digest, first + 1, digits), 16, 10).cast("long")
 
 
 def fingerprints(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """``keys`` and the arrays ``exact`` and ``signs`` and the count ``units`` of each distinct key, with ``copies``.
+    """``keys`` and the arrays ``exact`` and ``signs`` and the count ``units`` (clauses) of each distinct key, with ``copies``.
 
     Rows that agree in all keys must have equal texts; they are counted in
     ``copies`` and summed once.
     """
-    cut_up = texts.select(*keys, F.posexplode_outer(F.filter(F.split(text, CUTS), lambda x: x != "")).alias("pos", "unit"))
-    lanes = [F.coalesce(v, F.lit(0).cast("long")) for v in vector_of(F.col("unit"))]
-    named = cut_up.select(*keys, "pos", F.col("unit").isNotNull().cast("long").alias("u"), *[v.alias(f"v{i}") for i, v in enumerate(lanes)])
+    paragraphs = F.when(F.col(text) == "", F.array().cast("array<string>")).otherwise(F.split(F.col(text), "\n"))
+    clauses = F.filter(F.flatten(F.transform(paragraphs, lambda p: F.split(p, CLAUSE_END))), lambda c: c != "")
+    kinds = F.concat(F.transform(paragraphs, lambda p: F.struct(F.lit(True).alias("whole"), p.alias("s"))), F.transform(clauses, lambda c: F.struct(F.lit(False).alias("whole"), c.alias("s"))))
+    units = texts.select(*keys, F.posexplode_outer(kinds).alias("pos", "unit")).select(*keys, "pos", F.col("unit.whole").alias("whole"), F.sha2("unit.s", 256).alias("digest"))
+    # Lanes of the first part from paragraphs, words of the second from clauses.
+    digests = units.select(
+        *keys, "pos", "whole",
+        *[F.when(F.col("whole"), _number(F.col("digest"), 8 * i, 8)).alias(f"v{i}") for i in range(EXACT)],
+        *[F.when(~F.col("whole"), _number(F.col("digest"), DIGITS * k, DIGITS)).alias(f"n{k}") for k in range(SIGNS // WORDS_A_NUMBER)],
+    )
+    none = F.lit(0).cast("long")
+    signs = [F.shiftrightunsigned(F.col(f"n{j // WORDS_A_NUMBER}"), j % WORDS_A_NUMBER).bitwiseAND(F.lit(_SPREAD)) for j in range(SIGNS)]
+    named = digests.select(
+        *keys, "pos", F.coalesce((~F.col("whole")).cast("long"), none).alias("u"),
+        *[F.coalesce(f"v{i}", none).alias(f"v{i}") for i in range(EXACT)],
+        *[F.coalesce(x, none).alias(f"v{EXACT + j}") for j, x in enumerate(signs)],
+    )
     sums = named.groupBy(*keys).agg(
         F.sum(F.when(F.coalesce("pos", F.lit(0)) == 0, 1).otherwise(0)).cast("long").alias("copies"),
         F.sum("u").alias("u"),
@@ -78,7 +97,7 @@ def likeness(a: str, b: str) -> F.Column:
     """Likeness, 0 to 1, of the fingerprints in the columns ``{a}_exact`` and so on."""
 
     def lanes(at: str) -> F.Column:
-        counts = F.flatten(F.transform(F.col(f"{at}_signs"), lambda x: F.array(*[F.shiftright(x, 20 * k).bitwiseAND(F.lit(_LANE)) for k in range(3)])))
+        counts = F.flatten(F.transform(F.col(f"{at}_signs"), lambda x: F.array(*[F.shiftright(x, LANE_BITS * k).bitwiseAND(F.lit(_LANE)) for k in range(2)])))
         return F.transform(counts, lambda c: (c * 2 - F.col(f"{at}_units")).cast("double"))
 
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
@@ -108,9 +127,10 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     document, in descending order of doc_id.  Texts are shuffled once: the rows
     that lend their beginnings and those that take them read the same exchange.
     """
-    n_rows = docs.select(F.count(F.lit(1))).first()[0]
-    follows = cut(next_ids(docs, n_rows))
-    repeated = follows.count() < n_rows
+    with step(docs.sparkSession):
+        n_rows = docs.select(F.count(F.lit(1))).first()[0]
+        follows = cut(next_ids(docs, n_rows))
+        repeated = follows.count() < n_rows
     every = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     base = every.filter(F.col("doc_id").isNotNull())
     th, third = F.xxhash64("text"), F.expr("length(text) div 3").cast("int")

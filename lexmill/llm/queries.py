@@ -86,5 +86,42 @@ FROM d LEFT JOIN gone USING (doc_id)
 """
 
 
+def _op7_sql() -> str:
+    """Fingerprints of texts and of edited texts, from SHA-256 of lines and of their clauses."""
+    number = lambda first, digits: f"CAST('0x' || substr(digest, {first + 1}, {digits}) AS BIGINT)"
+    per_number = fingerprint.WORDS_A_NUMBER
+    exact = ", ".join(f"sum({number(8 * i, 8)}) AS e{i}" for i in range(fingerprint.EXACT))
+    word = lambda j: f"(({number(fingerprint.DIGITS * (j // per_number), fingerprint.DIGITS)} >> {j % per_number}) & {1 | 1 << fingerprint.LANE_BITS})"
+    signs = ", ".join(f"sum({word(j)}) AS s{j}" for j in range(fingerprint.SIGNS))
+    hexes = " || ".join([*(f"printf('%08x', coalesce(e{i}, 0) % 4294967296)" for i in range(fingerprint.EXACT)), "printf('%016x', coalesce(units, 0))", *(f"printf('%016x', coalesce(s{j}, 0))" for j in range(fingerprint.SIGNS))])
+    lane = (1 << fingerprint.LANE_BITS) - 1
+    lanes = ", ".join(f"2 * ((coalesce(s{j}, 0) >> {shift}) & {lane}) - coalesce(units, 0)" for j in range(fingerprint.SIGNS) for shift in (0, fingerprint.LANE_BITS))
+    like = lambda a, b: f"CASE WHEN {b}.print IS NULL THEN 0.0 WHEN {a}.print = {b}.print THEN 1.0 WHEN {a}.square * {b}.square <= 0 THEN 0.0 ELSE least(1.0, greatest(0.0, list_dot_product({a}.lanes, {b}.lanes) / sqrt({a}.square * {b}.square))) END"
+    return rf"""
+WITH d AS MATERIALIZED (
+    SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents
+), ranked AS (
+    SELECT doc_id, t, n, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS after_t, coalesce(lead(doc_id) OVER (ORDER BY doc_id DESC), first_value(doc_id) OVER (ORDER BY doc_id DESC)) AS next_id FROM d
+), body AS MATERIALIZED (
+    SELECT doc_id, false AS edited, t FROM d
+    UNION ALL SELECT doc_id, true, substr(t, 1, n - n // 3) || substr(after_t, 1, n // 3) FROM ranked
+), lines AS MATERIALIZED (
+    SELECT doc_id, edited, unnest(string_split(t, chr(10))) AS line FROM body WHERE t <> ''
+), exact AS MATERIALIZED (
+    SELECT doc_id, edited, {exact} FROM (SELECT doc_id, edited, sha256(line) AS digest FROM lines) GROUP BY ALL
+), clauses AS (
+    SELECT doc_id, edited, unnest(string_split(regexp_replace(line, '([.!?,;:])[ \t]+', '\1' || chr(1), 'g'), chr(1))) AS clause FROM lines
+), signs AS MATERIALIZED (
+    SELECT doc_id, edited, count(*) AS units, {signs} FROM (SELECT doc_id, edited, sha256(clause) AS digest FROM clauses WHERE clause <> '') GROUP BY ALL
+), found AS MATERIALIZED (
+    SELECT doc_id, edited, print, lanes, list_dot_product(lanes, lanes) AS square
+    FROM (SELECT doc_id, edited, {hexes} AS print, CAST([{lanes}] AS DOUBLE[]) AS lanes FROM body LEFT JOIN exact USING (doc_id, edited) LEFT JOIN signs USING (doc_id, edited))
+)
+SELECT doc_id, CAST(r.n AS BIGINT) AS n_chars, sha256(b.t) AS edited_sha256, x.print AS fingerprint, y.print AS edited_fingerprint, {like('x', 'y')} AS near_edited, {like('x', 'z')} AS near_next
+FROM ranked AS r JOIN body AS b USING (doc_id) JOIN found AS x USING (doc_id) JOIN found AS y USING (doc_id) JOIN found AS z ON z.doc_id = r.next_id
+WHERE b.edited AND NOT x.edited AND y.edited AND NOT z.edited
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_suffix_dedup": OP9_SQL}
+    return {"op7_fingerprints": _op7_sql(), "op9_suffix_dedup": OP9_SQL}
