@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import drop_stored, spread_join, step, store
 
 
+#: So few links may meet in one task.
+FEW_LINKS = 20_000
+
+
 def _state(links: DataFrame) -> tuple:
     with step(links.sparkSession):
         return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
@@ -16,7 +20,8 @@ def _state(links: DataFrame) -> tuple:
 def _with_least(links: DataFrame, total: int) -> DataFrame:
     """``links`` with ``m``, the least neighbour of ``a`` or ``a`` itself; no node's neighbours are gathered."""
     least = links.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("_n")).select("a", F.least("a", "m").alias("m"), "_n")
-    return spread_join(links, least, "a", "_n", total).select("a", "b", "m")
+    joined = spread_join(links, least, "a", "_n", total) if total > FEW_LINKS else links.join(least, "a")
+    return joined.select("a", "b", "m")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -17,13 +17,15 @@ shingles frequent and must still be found.
 Equal texts are one candidate.  Within a band's bucket every text is compared
 with a leader, the one whose shingles are the most frequent: of a group of near
 copies, the one that most resembles the others.  Buckets whose texts are then in
-one class are done.  The texts of the others are matched by an exact prefix
-filter: with a text's shingles in order of frequency, those from the first that
-two texts share must weigh as much as the threshold asks of both together.  So
-texts of nearly equal weight meet at the shingles of a short, rare prefix, and
-only there; in each such list the texts outside of its largest class are compared
-with those of other classes, a fixed number of them at a time until all have
-been.  No pairs are formed within a class, nor by texts that the filter parts.
+one class are done.  The others are joined up by the texts that they share.
+Where few texts hang together so, one task compares all of them by an index of
+their shingles.  Where many do, they are matched by an exact prefix filter: with
+a text's shingles in order of frequency, those from the first that two texts
+share must weigh as much as the threshold asks of both together.  So texts of
+nearly equal weight meet at the shingles of a short, rare prefix, and only there;
+in each such list the texts outside of its largest class are compared with those
+of other classes, a fixed number of them at a time until all have been.  No pairs
+are sent within a class, nor of texts that the filter parts.
 
 A null text is the empty text.  Texts without words are near only to equal
 texts.  Repeated rows are equal texts.  An empty table gives an empty table.
@@ -36,12 +38,13 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bitmap, drop_stored, maybe_in, spread_join, step, store
-from .graph import extended
+from .graph import components, extended
 from .shingles import U, bags, groups_of, mix, numbers, slices_of
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -53,7 +56,9 @@ LEADERS, CLASS_RATIO = 512, 1.1
 #: Tasks whose counts are added up first.
 TASKS_A_GROUP = 64
 #: Size of the table of frequencies among candidates, which orders their shingles.
-ORDER_BITS = 22
+ORDER_BITS = 20
+#: Texts, and bytes of them, that one task compares with each other.
+TOGETHER_TEXTS, TOGETHER_BYTES = 512, 8_000_000
 #: Share of documents from which a shingle loses weight, and the least weight.
 COMMON, FLOOR = 0.01, 0.75
 #: Pre-drawn parameters of the sampling, picked by hash for each shingle and sample.
@@ -96,9 +101,9 @@ def document_frequencies(docs: DataFrame, width: int = WIDTH, bits: int = TABLE_
 
     schema = "part int, of_tasks int, counts binary"
     made = docs.select("text").mapInArrow(count, schema).repartition("part", "of_tasks").mapInArrow(add, schema).repartition("part").mapInArrow(add, schema)
-    out = np.zeros((1 << (bits - _CHUNK_BITS), 1 << _CHUNK_BITS), np.int64)
+    out = np.zeros((1 << (bits - _CHUNK_BITS), 1 << _CHUNK_BITS), np.float32)
     with step(docs.sparkSession):
-        for r in made.collect():
+        for r in made.toLocalIterator():
             out[r["part"]] = _unpacked(r["counts"])
     return out.reshape(-1)
 
@@ -228,6 +233,40 @@ def weighted_bag(text: str, idf: np.ndarray, width: int = WIDTH) -> tuple[np.nda
     return hashes, counts.astype(np.float32) * idf[(hashes & U(len(idf) - 1)).astype(np.int64)]
 
 
+def near_within(texts: list[str], idf: np.ndarray, threshold: float, width: int = WIDTH) -> list[tuple[int, int]]:
+    """Links that join up all texts between which there are chains of near ones; every two are compared."""
+    found = [weighted_bag(t, idf, width) for t in texts]
+    n = len(texts)
+    shared = np.zeros((n, n))
+    hashes, weights = np.concatenate([h for h, _ in found]), np.concatenate([w for _, w in found]).astype(np.float64)
+    owner = np.repeat(np.arange(n), [len(h) for h, _ in found])
+    order = np.argsort(hashes, kind="stable")
+    hashes, weights, owner = hashes[order], weights[order], owner[order]
+    starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1], [True]]))
+    sizes = np.diff(starts)
+    for size in np.unique(sizes[sizes > 1]):  # shingles that as many texts have, at once
+        for some in np.array_split(starts[:-1][sizes == size], max(1, int(size * size * (sizes == size).sum()) >> 22)):
+            at = some[:, None] + np.arange(size)
+            who, w = owner[at], weights[at]
+            np.add.at(shared, (np.repeat(who, size, axis=1).ravel(), np.tile(who, size).ravel()), np.minimum(np.repeat(w, size, axis=1), np.tile(w, size)).ravel())
+    total = np.array([w.sum(dtype=np.float64) for _, w in found])
+    both = total[:, None] + total[None, :] - shared
+    near = np.triu((shared > 0) & (shared >= threshold * both - 1e-9), 1)
+    parent, out = list(range(n)), []
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, j in zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True):
+        if (a := root(i)) != (b := root(j)):
+            parent[max(a, b)] = min(a, b)
+            out.append((i, j))
+    return out
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float, width: int) -> DataFrame:
     """``pairs`` of keys ``lead``, ``key`` with ``near``.  Both joins read one exchange of the texts."""
 
@@ -251,7 +290,7 @@ def signatures(docs: DataFrame, threshold: float, width: int) -> tuple[DataFrame
     with step(spark):
         n_docs = docs.select(F.count(F.lit(1))).first()[0]
     counted = document_frequencies(docs, width)
-    frequencies = spark.sparkContext.broadcast(counted.astype(np.float32))  # 4 MB, as are the weights
+    frequencies = spark.sparkContext.broadcast(counted)  # 4 MB, as are the weights
     idf = spark.sparkContext.broadcast(idf_weights(counted, n_docs))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -305,10 +344,23 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
     labels = extended(None, near(judged[0]))
 
     classed = store(_classed(crowded.select("band", "key"), labels))
-    split = classed.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count(F.lit(1)).alias("n")).filter("x != y").select("band", "n")
-    rest = store(spread_join(classed, split, "band", "n", n_crowded).select("key").distinct().join(bodies, F.col("key") == F.col("id")).select("key", "text"))
+    split = classed.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count(F.lit(1)).alias("n"), F.min("key").alias("b")).filter("x != y").select("band", "n", "b")
+    hanging = components(spread_join(classed, split, "band", "n", n_crowded).select(F.col("key").alias("a"), "b").filter("a != b"))
+    rest = store(hanging.join(bodies, F.col("node") == F.col("id")).select(F.col("root").alias("group"), F.col("node").alias("key"), "text"))
     drop_stored(buckets, crowded, classed)
-    lists = _lists(rest, idf, threshold, width)
+    groups = rest.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes"))
+    groups = store(groups.select("group", ((F.col("n") <= TOGETHER_TEXTS) & (F.col("bytes") <= TOGETHER_BYTES)).alias("small"), "n"))
+
+    def compare(some: pa.Table) -> pa.Table:
+        order = pc.sort_indices(some, [("key", "ascending")])
+        keys, texts = (some[c].take(order).to_pylist() for c in ("key", "text"))
+        links = near_within(texts, idf.value, threshold, width)
+        return pa.table([pa.array([keys[k[i]] for k in links], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+    together = store(rest.join(groups.filter("small"), "group").select("group", "key", "text").groupBy("group").applyInArrow(compare, "a binary, b binary"))
+    labels = extended(labels, together)
+    n_rest = rest.count()
+    lists = _lists(store(spread_join(rest, groups.filter("not small"), "group", "n", n_rest).select("key", "text")), idf, threshold, width)
     while lists is not None:
         lists = _open_lists(lists, labels)
         if lists.isEmpty():
@@ -328,7 +380,7 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
         drop_stored(lists, some)
         lists = left
     drop_stored(bodies, rest)
-    links = reduce(DataFrame.unionByName, map(near, judged))
+    links = reduce(DataFrame.unionByName, map(near, judged), together)
     return links, labels, texts, n_docs
 
 
@@ -337,7 +389,7 @@ def _lists(rest: DataFrame, idf, threshold: float, width: int) -> DataFrame | No
     if rest.isEmpty():
         return None
     # Any order of shingles will do; one by frequency among these texts keeps the lists short.
-    rarest = rest.sparkSession.sparkContext.broadcast(document_frequencies(rest, width, ORDER_BITS).astype(np.float32))  # 16 MB
+    rarest = rest.sparkSession.sparkContext.broadcast(document_frequencies(rest, width, ORDER_BITS))  # 4 MB
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -397,7 +449,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -
     classes with the same least id share it.
 
     ``n_leader_links`` counts the links of the row's text that were verified: with
-    a bucket's leader, as one, and between classes.  It is not the number of near
+    a bucket's leader, as one, and those that join classes.  It is not the number of near
     texts, as pairs within a class are not compared; equal texts need none.  It
     depends on which texts lead, that is on the other rows of the table.
     """

@@ -98,6 +98,39 @@ def test_near_duplicates(spark):
     assert sorted(r["doc_id"] for r in kept) == sorted({root(i) for i in range(len(texts))})
 
 
+@pytest.mark.parametrize("together", [0, 512])
+def test_near_duplicates_by_either_way(spark, monkeypatch, together):
+    """A family of texts around the threshold: classes are those of all pairs, whether one task compares them or lists do."""
+    monkeypatch.setattr(neardup, "TOGETHER_TEXTS", together)
+    rng = random.Random(4)
+    vocab = [f"w{k}" for k in range(3000)]
+    base = [rng.choice(vocab) for _ in range(150)]
+    texts = []
+    for _ in range(70):
+        c = list(base)
+        for _ in range(rng.randint(0, 9)):
+            c[rng.randrange(len(c))] = rng.choice(vocab)
+        texts.append(" ".join(c))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    idf = neardup.idf_weights(neardup.document_frequencies(df), len(texts))
+    bags = [neardup.weighted_bag(t, idf) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if neardup.weighted_jaccard(bags[i], bags[j]) >= 0.8:
+            a, b = sorted((root(i), root(j)))
+            parent[b] = a
+    assert 2 < len({root(i) for i in range(len(texts))}) < len(texts)
+    assert {r["doc_id"]: r["class_id"] for r in neardup.classes(df).collect()} == {i: root(i) for i in range(len(texts))}
+    links = neardup.near_within(texts, idf, 0.8)
+    assert len(links) == len(texts) - len({root(i) for i in range(len(texts))}) and all(root(i) == root(j) for i, j in links)
+
+
 def test_near_duplicates_of_awkward_rows(docs, rows, nothing):
     got = neardup.classes(docs).collect()
     same_rows(got, rows)
