@@ -1,53 +1,66 @@
 """Language-model scoring by a hashed maximum-entropy model.
 
-The probability of a token is that of its class, given the tokens before it,
-times its own within the class.  Classes are the most frequent tokens, each
-alone, and the rest by a hash of their last two bytes.  The class has a softmax
-over hashed features of the context: the token before (n-gram), the one before
-that (skip), and the endings of both.  Within a class a token has its smoothed
-share of the training counts; each class keeps room for one unseen token.
-
-Counting: documents are dealt into blocks.  A block sends the hashes of its
-distinct tokens with their training counts to buckets of hashes; the buckets
+The probability of a token is a product of softmaxes down a tree of classes: of
+its class given the tokens before it, of its class within that one, and so on to
+the token itself.  A class has two parts, so a softmax has two branches and one
+weight a feature.  The features are hashed: each joins the class with the token
+before (n-gram), the one before that (skip) or the endings of both.  The most
+frequent tokens have leaves of their own, in order of a hash of their last two
+bytes, so those with one ending are in one class.  The others
+share leaves by a hash of their last two bytes; within such a leaf a token has
+its smoothed share of the training counts, whatever the context, and the leaf
+keeps room for one unseen token.  So the probabilities of all known tokens and of
+an unseen one add up to 1 (for each leaf of the last kind).
+
+Counting: documents are dealt into blocks by a hash.  A block sends the hashes of
+its distinct tokens with their training counts to buckets of hashes; the buckets
 add up and send each block the totals of its tokens.  So counts cover all
 training documents, every block gets those it needs, and nothing that grows with
 the corpus is collected or broadcast.  (Tokens are told apart by 64-bit hashes.)
 
-Training: every task updates its own copy of the weights by gradient steps on
-batches of all its training tokens; a feature's weights are then averaged over
-tasks by the tokens that had the feature; and so on for a number of rounds.
-Scoring works on batches of tokens in numpy, with only the weight rows that
-their features name.
+Training: every block updates its own copy of the weights by gradient steps on
+batches of all its training tokens, in an order that hashes fix; a row's weights
+are then averaged over blocks by the tokens that had it, in two steps, and so on for a number of rounds.  So the model depends on the rows of the table and not
+on its files.  The table of weights grows with the input up to MOST_ROWS rows.
+Scoring works on batches of tokens in numpy, with only the rows that their
+features name.
 
 A null text is the empty text, which has one token, the end.  A row without a
 doc_id counts as a training row.  Repeated rows are counted and scored each.
+Ties in frequency go to the lesser hash.  Texts of any length are scored whole.
 Without training rows nothing is known.  An empty table gives an empty table.
+Columns beyond ``doc_id`` and ``text`` are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, parts_for
-from .shingles import U, groups_of, mix, numbers, word_hashes
-
-#: Classes of one frequent token, and classes by ending.
-SINGLES, ENDINGS = 20, 12
-CLASSES = SINGLES + ENDINGS
-#: Hash values of each kind of feature.
-ROWS, KINDS = 1 << 13, 3
+from .common import cut, parts_for, step
+from .shingles import U, groups_of, mix, numbers, slices_of, word_hashes
+
+#: Levels of classes, and the leaves: those of one token, and those by ending.
+LEVELS = 14
+LEAVES = 1 << LEVELS
+ENDINGS = LEAVES // 8
+SINGLES = LEAVES - ENDINGS
+#: Kinds of features, and weights: one for so many bytes of text, within bounds.
+KINDS = 3
+BYTES_A_WEIGHT, LEAST_WEIGHTS, MOST_WEIGHTS = 16, 1 << 16, 1 << 20
 #: Passes over the training tokens, step size, tokens in a batch.
-ROUNDS, RATE, BATCH = 1, 0.1, 1 << 12
-#: A feature's weights are drawn to zero as if it had been seen so many times more without effect.
-SHRINK = 30.0
+ROUNDS, RATE, BATCH = 1, 0.4, 1 << 14
+#: A weight is drawn to zero as if its feature had been seen so many times more without effect.
+SHRINK = 10.0
 BLOCK_BYTES, BUCKET_BYTES = 16_000_000, 48_000_000
+#: Blocks whose weights are added up first, and weights that are sent together.
+BLOCKS_A_GROUP, WEIGHTS_A_PART = 64, 4096
 END = U(0xE2D0F00DC0FFEE11)
 END_ENDING = U(0x1234567)
 
@@ -68,17 +81,16 @@ class Tokens:
     owner: np.ndarray
     n_texts: int
 
-    def features(self) -> np.ndarray:
-        """Rows of the weights, one column a kind."""
+    def contexts(self) -> np.ndarray:
+        """Hashes of each token's context, one row a kind."""
         n = len(self.hashes)
         back = [np.concatenate([np.zeros(k, x.dtype), x[: n - k]]) for x in (self.hashes, self.endings) for k in (1, 2)]
         for k, x in zip((1, 2, 1, 2), back, strict=True):  # nothing before a text's first token
-            x[:k] = 0
+            x[:k] = U(7)
             if n > k:
                 x[k:][self.owner[k:] != self.owner[:-k]] = U(7)
         one, two, end_one, end_two = back
-        named = (one + U(1), two + U(2), mix(end_one * U(0x9E3779B97F4A7C15) + end_two) + U(3))
-        return np.stack([(mix(x) % U(ROWS)).astype(np.int64) + k * ROWS for k, x in enumerate(named)], axis=1)
+        return np.stack([mix(one + U(1)), mix(two + U(2)), mix(mix(end_one * U(0x9E3779B97F4A7C15) + end_two) + U(3))])
 
 
 def tokens_of(texts: list[str]) -> Tokens:
@@ -98,16 +110,23 @@ def tokens_of(texts: list[str]) -> Tokens:
 
 @dataclass
 class Model:
-    """What scoring needs besides counts: sizes, classes and weights; of bounded size."""
+    """What scoring needs besides counts: sizes, leaves and weights; of bounded size."""
 
     n: int = 0
     v: int = 0
-    singles: list[int] = field(default_factory=list)  # hashes, as signed
-    room: np.ndarray = field(default_factory=lambda: np.ones(ENDINGS))  # tokens, distinct tokens and one, of each class by ending
-    bias: np.ndarray = field(default_factory=lambda: np.zeros(CLASSES, np.float32))
-    weights: np.ndarray = field(default_factory=lambda: np.zeros((KINDS * ROWS, CLASSES), np.float32))
-
-    def classes(self, t: Tokens) -> np.ndarray:
+    singles: list[int] = field(default_factory=list)  # hashes, as signed, in order of leaves
+    room: np.ndarray = field(default_factory=lambda: np.ones(ENDINGS))  # tokens, distinct tokens and one, of each leaf by ending
+    prior: np.ndarray = field(default_factory=lambda: np.ones(LEAVES))  # tokens of each leaf, and one
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(LEAST_WEIGHTS, np.float32))
+
+    def __post_init__(self) -> None:
+        #: Log odds of the second branch of each class; classes are numbered from the root, 1, and k has 2 k and 2 k + 1.
+        self.bias = np.zeros(LEAVES, np.float32)
+        for level in range(LEVELS):
+            first, second = self.prior.reshape(1 << level, 2, -1).sum(axis=2).T
+            self.bias[1 << level : 2 << level] = np.log(second / first)
+
+    def leaves(self, t: Tokens) -> np.ndarray:
         out = SINGLES + (t.endings % U(ENDINGS)).astype(np.int64)
         if self.singles:
             names = np.array(self.singles, np.int64).view(U)
@@ -117,43 +136,58 @@ class Model:
             out[hit] = order[at[hit]]
         return out
 
-    def probabilities(self, features: np.ndarray) -> np.ndarray:
-        """Softmax over classes of each token's context."""
-        x = self.bias + self.weights[features[:, 0]]
-        for k in range(1, KINDS):
-            x += self.weights[features[:, k]]
-        x -= x.max(axis=1, keepdims=True)
-        np.exp(x, out=x)
-        x /= x.sum(axis=1, keepdims=True)
-        return x
+    def steps(self, contexts: np.ndarray, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each level and token: places of the weights (one for each kind, first), log odds of the second branch, whether it is taken."""
+        nodes = (leaves.astype(np.int32) + LEAVES) >> np.arange(LEVELS, 0, -1, dtype=np.int32)[:, None]
+        taken = (leaves.astype(np.int32) >> np.arange(LEVELS - 1, -1, -1, dtype=np.int32)[:, None]) & 1
+        names = nodes.astype(U)
+        names *= U(0xD6E8FEB86659FD93)
+        odds = self.bias.take(nodes)
+        places = np.empty((KINDS, *nodes.shape), np.int32)
+        x = np.empty_like(names)
+        for k in range(KINDS):
+            np.bitwise_xor(contexts[k], names, out=x)
+            x *= U(0x9E3779B97F4A7C15)
+            x >>= U(65 - len(self.weights).bit_length())
+            places[k] = x
+            odds += self.weights.take(places[k])
+        return places, odds, taken
 
     def score(self, t: Tokens, counts: np.ndarray) -> np.ndarray:
         """log10 probability of each text; ``counts``: training count of each token."""
-        features, own = t.features(), self.classes(t)
-        of_class = np.empty(len(own))
-        for s in range(0, len(own), BATCH):
-            p = self.probabilities(features[s : s + BATCH])
-            of_class[s : s + BATCH] = p[np.arange(len(p)), own[s : s + BATCH]]
-        inside = np.where(own < SINGLES, 0.0, np.log10(counts + 1.0) - np.log10(self.room)[np.maximum(own - SINGLES, 0)])
-        return np.bincount(t.owner, np.log10(np.maximum(of_class, 1e-30)) + inside, t.n_texts)
-
-    def train(self, t: Tokens, squares: np.ndarray, seen: np.ndarray) -> None:
-        """Gradient steps on batches of the tokens, scaled for each feature by its past gradients."""
-        features, own = t.features(), self.classes(t)
-        for s in range(0, len(own), BATCH):
-            f, y = features[s : s + BATCH], own[s : s + BATCH]
-            g = self.probabilities(f)
-            g[np.arange(len(g)), y] -= 1.0
-            for k in range(KINDS):
-                order = np.argsort(f[:, k], kind="stable")
-                rows = f[order, k]
-                starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-                rows = rows[starts]
-                step = np.add.reduceat(g[order], starts, axis=0)
-                n = np.diff(np.append(starts, len(g)))
-                squares[rows] += (step * step).mean(axis=1)
-                seen[rows] += n
-                self.weights[rows] -= RATE * step / np.sqrt(squares[rows] + 1e-6)[:, None]
+        contexts, leaves = t.contexts(), self.leaves(t)
+        of_leaf = np.empty(len(leaves))
+        for s in range(0, len(leaves), BATCH):
+            _, odds, taken = self.steps(contexts[:, s : s + BATCH], leaves[s : s + BATCH])
+            np.negative(odds, out=odds, where=taken.astype(bool))
+            np.exp(np.minimum(odds, 40, out=odds), out=odds)
+            of_leaf[s : s + BATCH] = -np.log10(np.prod(1 + odds, axis=0, dtype=np.float64))
+        inside = np.where(leaves < SINGLES, 0.0, np.log10(counts + 1.0) - np.log10(self.room)[np.maximum(leaves - SINGLES, 0)])
+        return np.bincount(t.owner, of_leaf + inside, t.n_texts)
+
+
+class Trainer:
+    """A copy of a model's weights that learns, how often each had its feature, and room for its steps."""
+
+    def __init__(self, model: Model) -> None:
+        self.model = replace(model, weights=model.weights.copy())
+        self.squares = np.full(len(model.weights), 1e-6, np.float32)
+        self.seen, self.step, self.spare = (np.zeros(len(model.weights), np.float32) for _ in range(3))
+
+    def train(self, t: Tokens) -> None:
+        """Gradient steps on batches of the tokens, scaled for each weight by its past gradients."""
+        contexts, leaves = t.contexts(), self.model.leaves(t)
+        for s in range(0, len(leaves), BATCH):
+            places, odds, taken = self.model.steps(contexts[:, s : s + BATCH], leaves[s : s + BATCH])
+            g = (1 / (1 + np.exp(-odds)) - taken).astype(np.float32).ravel()
+            self.step.fill(0)
+            for of_kind in places.reshape(KINDS, -1):
+                np.add.at(self.step, of_kind, g)
+                np.add.at(self.seen, of_kind, np.ones_like(g))
+            self.squares += np.multiply(self.step, self.step, out=self.spare)
+            self.step /= np.sqrt(self.squares, out=self.spare)
+            self.step *= np.float32(RATE)
+            self.model.weights -= self.step
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -196,7 +230,7 @@ def token_counts(rows: DataFrame, n_buckets: int) -> DataFrame:
         train = ~np.array(block["held_out"].to_pylist(), bool)
         names, first, inverse = np.unique(t.hashes, return_index=True, return_inverse=True)
         counts = np.bincount(inverse, train[t.owner], len(names)).astype("<u4")
-        endings = (t.endings[first] % U(ENDINGS)).astype(np.uint8)
+        endings = (t.endings[first] % U(ENDINGS)).astype("<u2")
         at = block["block"][0].as_py()
         out = [(b, at, _planes(names[i].astype("<u8")), _planes(counts[i]), endings[i].tobytes()) for b, i in _bucketed(names, n_buckets)]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SENT, strict=True)], schema=_SENT)
@@ -206,7 +240,7 @@ def token_counts(rows: DataFrame, n_buckets: int) -> DataFrame:
             names = np.concatenate([_from_planes(r["hashes"], "<u8") for r in held])
             sizes = [len(r["hashes"]) // 8 for r in held]
             counts = np.concatenate([_from_planes(r["counts"], "<u4") for r in held])
-            endings = np.concatenate([np.frombuffer(r["endings"], np.uint8) for r in held])
+            endings = np.concatenate([np.frombuffer(r["endings"], "<u2") for r in held])
             names, first, inverse = np.unique(names, return_index=True, return_inverse=True)
             total = np.bincount(inverse, counts, len(names)).astype(np.int64)
             endings = endings[first]
@@ -214,17 +248,17 @@ def token_counts(rows: DataFrame, n_buckets: int) -> DataFrame:
             edges = np.cumsum([0, *sizes])
             out = [(0, r["block"], b, _planes(told[s:e].astype("<u8")), None, None, None, None) for r, s, e in zip(held, edges[:-1], edges[1:], strict=True)]
             known = total > 0
-            for k in range(ENDINGS):
-                i = (endings == k) & known
-                out.append((1, None, b, None, k, None, int(total[i].sum()), int(i.sum())))
-            for i in np.argsort(-total, kind="stable")[:SINGLES]:
+            n, v = np.bincount(endings[known], total[known], ENDINGS).astype(np.int64), np.bincount(endings[known], minlength=ENDINGS)
+            out += [(1, None, b, None, int(k), None, int(n[k]), int(v[k])) for k in np.flatnonzero(v)]
+            # The most frequent of all are spread over the buckets by a hash.
+            for i in np.lexsort((names, -total))[: min(SINGLES, 64 + 4 * SINGLES // n_buckets)]:
                 if total[i]:
                     out.append((2, None, b, None, int(endings[i]), int(names[i].view(np.int64)), int(total[i]), None))
             for k in range(0, len(out), 2000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[k : k + 2000], strict=True), _TOLD, strict=True)], schema=_TOLD)
 
     sent = rows.groupBy("block").applyInArrow(send, "bucket int, block long, hashes binary, counts binary, endings binary")
-    told = sent.repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "block")
+    told = sent.repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("bucket", "block")
     return told.mapInArrow(add, "kind int, block long, bucket int, counts binary, class int, hash long, n long, v long")
 
 
@@ -241,38 +275,79 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict
         yield at, held
 
 
-def _averaged(rows: DataFrame, model: Model) -> Model:
-    """One round: gradient steps in every task, then the average."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)  # as large as its weights
-    per = 512
+def _averaged(dealt: DataFrame, model: Model) -> Model:
+    """One round: gradient steps in every block, then the average."""
+    spark = dealt.sparkSession
+    sent = spark.sparkContext.broadcast(model)  # as large as its weights
+
+    def steps(block: pa.Table) -> pa.Table:
+        trainer = Trainer(sent.value)
+        # In an order of their own, as rows come in any order.
+        order = pc.sort_indices(block, [("name", "ascending"), ("text", "ascending")])
+        for _, some in slices_of(block["text"].take(order)):
+            for _, texts in groups_of(some):
+                trainer.train(tokens_of(texts))
+        weights, seen = trainer.model.weights, trainer.seen
+        parts = [k for k in range(0, len(weights), WEIGHTS_A_PART) if seen[k : k + WEIGHTS_A_PART].any()]
+        at = [slice(k, k + WEIGHTS_A_PART) for k in parts]
+        blobs = [np.stack([weights[i] * seen[i], seen[i]]).astype("<f4").tobytes() for i in at]
+        of = block["block"][0].as_py() if len(block) else 0
+        return pa.table([pa.array(parts, pa.int32()), pa.array([of // BLOCKS_A_GROUP] * len(parts), pa.int64()), pa.array([of] * len(parts), pa.int64()), pa.array(blobs, pa.binary())], ["part", "of_blocks", "block", "sums"])
+
+    def add(kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[tuple[int, int], np.ndarray] = {}
+            for b in batches:
+                for k, group, x in zip(*(b.column(i).to_pylist() for i in (0, 1, 3)), strict=True):
+                    x = np.frombuffer(x, kind).astype(np.float64)
+                    sums[k, group] = sums[k, group] + x if (k, group) in sums else x
+            keys = list(sums)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int32()), pa.array([0] * len(keys), pa.int64()), pa.array([g for _, g in keys], pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "of_blocks", "block", "sums"])
+
+        return run
+
+    schema = "part int, of_blocks long, block long, sums binary"
+    made = dealt.filter("not held_out").groupBy("block").applyInArrow(steps, schema)
+    # In a fixed order, so that the sums are the same whenever a task runs again.
+    made = made.repartition("part", "of_blocks").sortWithinPartitions("part", "of_blocks", "block").mapInArrow(add("<f4"), schema)
+    made = made.repartition("part").sortWithinPartitions("part", "block").mapInArrow(add("<f8"), schema)
+    weights = model.weights.copy()
+    with step(spark):
+        for r in made.collect():
+            sums, seen = np.frombuffer(r["sums"]).reshape(2, -1)
+            some = seen > 0
+            weights[r["part"] : r["part"] + len(seen)][some] = (sums[some] / (seen[some] + SHRINK)).astype(np.float32)
+    return replace(model, weights=weights)
 
-    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        m = Model(m.n, m.v, m.singles, m.room, m.bias, m.weights.copy())
-        squares, seen = np.zeros(len(m.weights), np.float32), np.zeros(len(m.weights), np.float64)
-        for b in batches:
-            for _, texts in groups_of([t or "" for t in b.column(0).to_pylist()]):
-                m.train(tokens_of(texts), squares, seen)
-        parts = [k for k in range(0, len(m.weights), per) if seen[k : k + per].any()]
-        blobs = [np.column_stack([m.weights[k : k + per] * seen[k : k + per, None], seen[k : k + per]]).astype("<f4").tobytes() for k in parts]
-        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([TaskContext.get().partitionId()] * len(parts), pa.int32()), pa.array(blobs, pa.binary())], ["part", "task", "sums"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
-                x = np.frombuffer(x, "<f4").astype(np.float64)
-                sums[k] = sums[k] + x if k in sums else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "sums"])
-
-    made = rows.select("text").mapInArrow(steps, "part int, task int, sums binary")
-    weights = model.weights.copy()
-    # In a fixed order, so that the sums are the same whenever a task runs again.
-    for r in made.repartition(8, "part").sortWithinPartitions("part", "task").mapInArrow(add, "part int, sums binary").collect():
-        x = np.frombuffer(r["sums"]).reshape(-1, CLASSES + 1)
-        some = x[:, -1] > 0
-        weights[r["part"] : r["part"] + len(x)][some] = (x[some, :-1] / (x[some, -1:] + SHRINK)).astype(np.float32)
-    return Model(model.n, model.v, model.singles, model.room, model.bias, weights)
+def _dealt(docs: DataFrame, held_out: F.Column) -> tuple[DataFrame, int, int]:
+    """Rows with their blocks, the number of buckets, and the number of weights."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    with step(docs.sparkSession):
+        n_bytes = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n_weights = LEAST_WEIGHTS
+    while n_weights < min(n_bytes // BYTES_A_WEIGHT, MOST_WEIGHTS):
+        n_weights *= 2
+    name = F.xxhash64("doc_id", "text")
+    return rows.withColumn("name", name).withColumn("block", F.pmod("name", F.lit(parts_for(n_bytes, BLOCK_BYTES, 8)))), parts_for(n_bytes, BUCKET_BYTES, 8), n_weights
+
+
+def learn(dealt: DataFrame, told: DataFrame, n_weights: int, rounds: int = ROUNDS) -> Model:
+    """The model of the training rows among ``dealt``, whose counts are ``told``."""
+    with step(dealt.sparkSession):
+        by_ending = {r["class"]: (r["n"], r["v"]) for r in told.filter("kind = 1").groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
+        top = told.filter("kind = 2").select("class", "hash", "n").orderBy(F.desc("n"), "hash").limit(SINGLES).collect()
+    top.sort(key=lambda r: (r["class"], -r["n"], r["hash"]))
+    n, v = (np.array([by_ending.get(k, (0, 0))[i] for k in range(ENDINGS)], np.float64) for i in range(2))
+    sizes = int(n.sum()), int(v.sum())
+    for r in top:
+        n[r["class"]] -= r["n"]
+        v[r["class"]] -= 1
+    prior = np.concatenate([np.pad(np.array([r["n"] for r in top], np.float64), (0, SINGLES - len(top))), n]) + 1
+    model = Model(*sizes, [r["hash"] for r in top], n + v + 1, prior, np.zeros(n_weights, np.float32))
+    for _ in range(rounds):
+        model = _averaged(dealt, model)
+    return model
 
 
 def score_documents(docs: DataFrame, held_out: F.Column, rounds: int = ROUNDS) -> DataFrame:
@@ -281,27 +356,9 @@ def score_documents(docs: DataFrame, held_out: F.Column, rounds: int = ROUNDS) -
     Learns from the rows for which ``held_out`` is not true.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    n_bytes = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    n_blocks, n_buckets = parts_for(n_bytes, BLOCK_BYTES, 8), parts_for(n_bytes, BUCKET_BYTES, 8)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)))
-    told = cut(token_counts(dealt, n_buckets))
-
-    model = Model()
-    by_class = {r["class"]: (r["n"], r["v"]) for r in told.filter("kind = 1").groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
-    top = told.filter("kind = 2").orderBy(F.desc("n"), "hash").limit(SINGLES).collect()
-    n, v = (np.array([by_class.get(k, (0, 0))[i] for k in range(ENDINGS)], np.float64) for i in range(2))
-    model.n, model.v = int(n.sum()), int(v.sum())
-    for r in top:
-        n[r["class"]] -= r["n"]
-        v[r["class"]] -= 1
-    model.singles = [r["hash"] for r in top]
-    model.room = n + v + 1
-    prior = np.concatenate([np.pad(np.array([r["n"] for r in top], np.float64), (0, SINGLES - len(top))), n]) + 1
-    model.bias = np.log(prior / prior.sum()).astype(np.float32)
-    for _ in range(rounds):
-        model = _averaged(rows.filter(~F.col("held_out")), model)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    dealt, n_buckets, n_weights = _dealt(docs, held_out)
+    told = cut(token_counts(dealt.select("block", "held_out", "text"), n_buckets))
+    sent = docs.sparkSession.sparkContext.broadcast(learn(dealt.select("block", "name", "held_out", "text"), told, n_weights, rounds))
 
     def score(block: pa.Table, counts: pa.Table) -> pa.Table:
         m = sent.value
@@ -321,4 +378,4 @@ def score_documents(docs: DataFrame, held_out: F.Column, rounds: int = ROUNDS) -
 
     replies = told.filter("kind = 0").select("block", "bucket", "counts")
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, schema)
+    return dealt.select("block", "doc_id", "held_out", "text").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, schema)
