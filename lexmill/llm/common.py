@@ -44,7 +44,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and cut its lineage, by a checkpoint in the shared folder."""
     _folder(df.sparkSession)
     with step(df.sparkSession):
-        return df.checkpoint()
+        return df.select("*").checkpoint()  # planned in here, so that the setting holds
 
 
 def store(df: DataFrame) -> DataFrame:

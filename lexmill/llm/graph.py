@@ -9,7 +9,7 @@ from .common import drop_stored, spread_join, step, store
 
 
 #: So few links may meet in one task.
-FEW_LINKS = 20_000
+FEW_LINKS = 100_000
 
 
 def _state(links: DataFrame) -> tuple:
@@ -20,7 +20,7 @@ def _state(links: DataFrame) -> tuple:
 def _with_least(links: DataFrame, total: int) -> DataFrame:
     """``links`` with ``m``, the least neighbour of ``a`` or ``a`` itself; no node's neighbours are gathered."""
     least = links.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("_n")).select("a", F.least("a", "m").alias("m"), "_n")
-    joined = spread_join(links, least, "a", "_n", total) if total > FEW_LINKS else links.join(least, "a")
+    joined = spread_join(links, store(least), "a", "_n", total) if total > FEW_LINKS else links.join(least, "a")
     return joined.select("a", "b", "m")
 
 
@@ -38,10 +38,11 @@ def components(links: DataFrame) -> DataFrame:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: larger neighbours link to the least
         larger = _with_least(both, 2 * before[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+        larger = store(larger)  # else the plan of the next step holds several copies of this one
         # small star: smaller neighbours and the node itself link to the least
         joined = _with_least(larger, before[0])
         made = store(joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b"))).filter("a != b").distinct())
-        drop_stored(links)
+        drop_stored(links, larger)
         links, after = made, _state(made)
         if after == before:
             break

@@ -345,9 +345,10 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
 
     classed = store(_classed(crowded.select("band", "key"), labels))
     split = classed.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count(F.lit(1)).alias("n"), F.min("key").alias("b")).filter("x != y").select("band", "n", "b")
+    split = store(split)
     hanging = components(spread_join(classed, split, "band", "n", n_crowded).select(F.col("key").alias("a"), "b").filter("a != b"))
     rest = store(hanging.join(bodies, F.col("node") == F.col("id")).select(F.col("root").alias("group"), F.col("node").alias("key"), "text"))
-    drop_stored(buckets, crowded, classed)
+    drop_stored(buckets, crowded, classed, split)
     groups = rest.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes"))
     groups = store(groups.select("group", ((F.col("n") <= TOGETHER_TEXTS) & (F.col("bytes") <= TOGETHER_BYTES)).alias("small"), "n"))
 
@@ -363,7 +364,7 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
     lists = _lists(store(spread_join(rest, groups.filter("not small"), "group", "n", n_rest).select("key", "text")), idf, threshold, width)
     while lists is not None:
         lists = _open_lists(lists, labels)
-        if lists.isEmpty():
+        if not lists.count():
             break
         some = store(_leaders(lists))
         lead = lists.join(some, ["band", "key"]).select("band", *[F.col(c).alias(f"lead_{c}") for c in ("key", "class", "found", "rest", "whole")])
@@ -404,9 +405,9 @@ def _lists(rest: DataFrame, idf, threshold: float, width: int) -> DataFrame | No
 
 def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of the lists that have texts of several classes, with the ``class``; stored."""
-    classed = _classed(lists, labels)
+    classed = store(_classed(lists, labels))
     several = classed.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.max("found").alias("any"), F.count(F.lit(1)).alias("_n")).filter("x != y and any").select("band", "_n")
-    out = store(spread_join(classed, several, "band", "_n", 0).drop("_n"))
+    out = store(spread_join(classed, store(several), "band", "_n", 0).drop("_n"))
     drop_stored(lists)
     return out
 
@@ -415,7 +416,7 @@ def _leaders(lists: DataFrame) -> DataFrame:
     """``band`` and ``key`` of at most LEADERS texts of each list, outside of its largest class."""
     sizes = lists.groupBy("band", "class").agg(F.count(F.lit(1)).alias("size"))
     largest = sizes.groupBy("band").agg(F.max_by("class", "size").alias("largest"), F.sum("size").alias("_n"))
-    outside = spread_join(lists, largest, "band", "_n", 0).filter("class != largest")
+    outside = spread_join(lists, store(largest), "band", "_n", 0).filter("class != largest")
     return outside.groupBy("band", F.pmod(F.xxhash64("key"), F.lit(LEADERS)).alias("k")).agg(F.min("key").alias("key")).select("band", "key")
 
 
@@ -436,7 +437,7 @@ def _text_classes(docs: DataFrame, threshold: float, width: int) -> tuple[DataFr
     linked = store(texts.join(labels.withColumnRenamed("node", "key"), "key").join(degree, "key", "left").withColumnRenamed("root", "class_key"))
     heads = linked.groupBy("class_key").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_rows"), F.min(F.struct(F.col("least").isNull().alias("none"), "least", "key")).alias("x"), F.count(F.lit(1)).alias("_n")).select("class_key", "class_id", "class_rows", F.col("x.key").alias("head"), "_n")
     columns = ["key", "copies", "class_key", "class_id", "class_rows", "head", F.coalesce("n_leader_links", F.lit(0).cast("long")).alias("n_leader_links")]
-    several = spread_join(linked, heads, "class_key", "_n", linked.count()).select(*columns)
+    several = spread_join(linked, store(heads), "class_key", "_n", linked.count()).select(*columns)
     alone = texts.join(labels.select(F.col("node").alias("key")), "key", "left_anti").select("key", "copies", F.col("key").alias("class_key"), F.col("least").alias("class_id"), F.col("copies").alias("class_rows"), F.col("key").alias("head"), F.lit(0).cast("long").alias("n_leader_links"))
     return store(several.unionByName(alone)), n_docs
 
