@@ -5,27 +5,31 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def hashes(items: list[bytes], seeds: np.ndarray | int = 0) -> np.ndarray:
+    """The public 32-bit hash function of that name, unsigned, of many strings at once."""
+    sizes = np.array([len(x) for x in items], np.uint32)
+    words = -(-int(sizes.max(initial=0)) // 4)
+    padded = np.frombuffer(b"".join(x.ljust(4 * words, b"\0") for x in items), "<u4").reshape(len(items), words)
+    turn = lambda x, n: (x << np.uint32(n)) | (x >> np.uint32(32 - n))
+    h = np.zeros(len(items), np.uint32) + np.asarray(seeds, np.uint32)
+    whole, rest = sizes // 4, sizes % 4 > 0
+    for i in range(words):
+        k = turn(padded[:, i] * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        h = np.where(i < whole, turn(h ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64), np.where((i == whole) & rest, h ^ k, h))
+    h = h ^ sizes
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return h ^ (h >> np.uint32(16))
+
+
 def murmur3(data: bytes, seed: int = 0) -> int:
-    """The public 32-bit hash function of that name, unsigned."""
-    mask, h = 0xFFFFFFFF, seed
-    n = len(data) // 4 * 4
-    for i in range(0, n, 4):
-        k = int.from_bytes(data[i : i + 4], "little") * 0xCC9E2D51 & mask
-        k = ((k << 15 | k >> 17) & mask) * 0x1B873593 & mask
-        h ^= k
-        h = ((h << 13 | h >> 19) & mask) * 5 + 0xE6546B64 & mask
-    if tail := data[n:]:
-        k = int.from_bytes(tail, "little") * 0xCC9E2D51 & mask
-        h ^= ((k << 15 | k >> 17) & mask) * 0x1B873593 & mask
-    h ^= len(data)
-    h = (h ^ h >> 16) * 0x85EBCA6B & mask
-    h = (h ^ h >> 13) * 0xC2B2AE35 & mask
-    return h ^ h >> 16
+    return int(hashes([data], seed)[0])
 
 
 @dataclass(frozen=True)
@@ -43,17 +47,21 @@ class Bloom:
     def hashes(self) -> int:
         return max(1, int(self.bits / self.items * math.log(2)))
 
-    def places(self, item: str) -> list[int]:
-        h1 = murmur3(item.encode())
-        h2 = murmur3(item.encode(), h1)
-        return [(h1 + i * h2) % self.bits for i in range(self.hashes)]
+    def places(self, items: list[str]) -> np.ndarray:
+        """Bit places of each item, one row an item."""
+        data = [x.encode() for x in items]
+        first = hashes(data)
+        second = hashes(data, first)
+        return (first.astype(np.int64)[:, None] + np.arange(self.hashes) * second.astype(np.int64)[:, None]) % self.bits
 
     def places_of(self, column: F.Column) -> F.Column:
         """Bit places of each value."""
 
         @F.arrow_udf("array<long>")
         def places(v: pa.Array) -> pa.Array:
-            return pa.array([None if x is None else self.places(x) for x in v.to_pylist()], pa.list_(pa.int64()))
+            items = v.to_pylist()
+            out = self.places([x or "" for x in items]).tolist()
+            return pa.array([None if x is None else p for x, p in zip(items, out, strict=True)], pa.list_(pa.int64()))
 
         return places(column)
 

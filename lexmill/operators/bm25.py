@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..steps import keep
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -15,44 +16,63 @@ def entry_text(toc: DataFrame) -> DataFrame:
     return toc.withColumn("body", F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("first_sentence", "last_sentence", "header", "dense_signpost")], F.substring(F.coalesce("raw_markdown", F.lit("")), 1, 1000)))
 
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``term``, ``tf``, ``dl``: occurrences of each term and the length of its document."""
-    terms = docs.select(key, X.tokens(F.coalesce(text, F.lit(""))).alias("terms"))
-    return terms.select(key, F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+def tokenized(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key`` and ``terms`` of each document."""
+    return docs.select(key, X.tokens(F.coalesce(text, F.lit(""))).alias("terms"))
 
 
-def corpus(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def term_counts(terms: DataFrame) -> DataFrame:
+    """``term``, ``df`` and, of the one row without a term, the number of documents as ``df`` and of their tokens as ``tokens``.
+
+    One pass; counts are added up in every task before they are shuffled.
+    """
+    each = terms.select(F.size("terms").alias("dl"), F.explode(F.array_append(F.array_distinct("terms"), F.lit(None).cast("string"))).alias("term"))
+    return each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("tokens"))
+
+
+def corpus(counts: DataFrame) -> DataFrame:
     """One row: number of documents and their mean length."""
-    return docs.select(F.size(X.tokens(F.coalesce(text, F.lit("")))).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    return counts.filter("term is null").select(F.col("df").alias("n"), (F.col("tokens") / F.col("df")).alias("avgdl"))
 
 
-def idf(posted: DataFrame, stats: DataFrame, never_negative: bool = False) -> DataFrame:
-    """``term`` and ``idf``.
+def idf(counts: DataFrame, never_negative: bool = False) -> DataFrame:
+    """``term`` and ``idf`` of every term.
 
     Terms in more than half of the documents have a negative one, replaced by a
     share of the mean over all terms; with ``never_negative`` the variant that
     adds one inside the logarithm is used instead.
     """
-    df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = counts.filter("term is not null").join(F.broadcast(corpus(counts)), how="cross")  # one row
     n = F.col("n")
     if never_negative:
-        return df.join(F.broadcast(stats), how="cross").select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    raw = df.join(F.broadcast(stats), how="cross").select("term", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+        return df.select("term", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    raw = df.select("term", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row
     return raw.join(F.broadcast(mean), how="cross").select("term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
+#: Rows of queries' terms, at most, that are broadcast.
+MOST_BROADCAST = 200_000
+
+
 def search(docs: DataFrame, queries: DataFrame, top_k: int = 5, key: str = "doc_id", text: str = "text", never_negative: bool = False) -> DataFrame:
     """``query_id``, ``rank``, ``key``, ``score`` of the best documents for ``queries`` (``query_id``, ``query``).
 
-    Only postings of query terms are scored.  Ties go to the smaller key.
+    Documents are read twice, to count terms and to score.  Tokens that no query
+    asks for are dropped where they are read, if the queries' terms are few
+    enough to be broadcast, so common words that are not asked for are never
+    shuffled.  Ties go to the smaller key.
     """
-    posted = postings(docs, key, text)
-    stats = corpus(docs, key, text)
+    terms = tokenized(docs, key, text)
+    counts = keep(term_counts(terms))
     asked = queries.select("query_id", F.explode(X.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    weight = idf(posted, stats, never_negative)
+    weights = keep(asked.join(idf(counts, never_negative), "term"))
+    few = weights.count() <= MOST_BROADCAST
+    small = F.broadcast if few else lambda x: x
+    tokens = terms.select(key, F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(small(weights.select("term").distinct()), "term", "left_semi")
+    posted = tokens.groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     tf, dl = F.col("tf"), F.col("dl")
     part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
-    scored = asked.join(weight, "term").join(posted, "term").join(F.broadcast(stats), how="cross").groupBy("query_id", key).agg(F.sum(part).alias("score"))
+    scored = posted.join(small(weights), "term").join(F.broadcast(corpus(counts)), how="cross").groupBy("query_id", key).agg(F.sum(part).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key)
     return scored.withColumn("rank", F.row_number().over(order)).filter((F.col("rank") <= top_k) & (F.col("score") > 0)).select("query_id", "rank", key, "score")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import urls as L
+from ..steps import keep
 
 
 def is_success(status: str = "status_code", error: str = "error") -> F.Column:
@@ -30,20 +31,21 @@ def unique_urls(pages: DataFrame, url: str = "url") -> DataFrame:
 def crawl(links: DataFrame, seeds: DataFrame, max_depth: int = 3, same_domain: bool = True, max_pages: int | None = None, failed: DataFrame | None = None) -> DataFrame:
     """``seed``, ``url``, ``depth``, ``parent_url`` of the pages that a breadth-first crawl visits.
 
-    One join and one anti join a level; a URL is visited at its least depth and,
+    One join and one anti join a level, and each level is kept, so the work and the
+    plans grow with the depth and no more; a URL is visited at its least depth and,
     within a level, by the least parent.  Links are followed only on the seed's
     own domain if ``same_domain``.  ``failed`` (``url``) are visited and not
     expanded.  With ``max_pages`` the first pages by depth and URL are kept.
     """
     level = seeds.select(L.normalize(F.col("url")).alias("seed")).distinct().select("seed", F.col("seed").alias("url"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent_url"))
-    seen = level
+    level = seen = keep(level)
     for depth in range(1, max_depth + 1):
         from_pages = level if failed is None else level.join(failed.select("url").distinct(), "url", "left_anti")
         step = from_pages.join(links, from_pages["url"] == links["src"]).select("seed", F.col("dst").alias("url"), F.col("src").alias("parent_url"))
         if same_domain:
             step = step.filter(L.same_domain(F.col("url"), F.col("seed")))
         step = step.groupBy("seed", "url").agg(F.min("parent_url").alias("parent_url"))
-        level = step.join(seen.select("seed", "url"), ["seed", "url"], "left_anti").select("seed", "url", F.lit(depth).alias("depth"), "parent_url")
+        level = keep(step.join(seen.select("seed", "url"), ["seed", "url"], "left_anti").select("seed", "url", F.lit(depth).alias("depth"), "parent_url"))
         seen = seen.unionByName(level)
     if max_pages is not None:
         order = Window.partitionBy("seed").orderBy("depth", "url")

@@ -7,6 +7,7 @@ batch and never gather rows.  A null page is an empty page.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -48,22 +49,51 @@ class Node:
     children: list[Node | str | Comment] = field(default_factory=list)
 
     def walk(self) -> Iterator[Node]:
-        """Elements below this one, in document order; children removed on the way are not entered."""
-        for child in list(self.children):
-            if isinstance(child, Node) and any(child is c for c in self.children):
-                yield child
-                yield from child.walk()
+        """Elements below this one, in document order, however deep."""
+        todo = self.children[::-1]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, Node):
+                yield x
+                todo += x.children[::-1]
 
     def text(self) -> str:
         """All text, each string stripped."""
-        return "".join(c.strip() if isinstance(c, str) else c.text() if isinstance(c, Node) else "" for c in self.children)
+        out, todo = [], self.children[::-1]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, str):
+                out.append(x.strip())
+            elif isinstance(x, Node):
+                todo += x.children[::-1]
+        return "".join(out)
 
     def __str__(self) -> str:
-        inner = "".join(escape(c, quote=False) if isinstance(c, str) and self.name not in ("script", "style") else f"<!--{c.text}-->" if isinstance(c, Comment) else str(c) for c in self.children)
-        if not self.name:
-            return inner
-        attrs = "".join(f' {k}="{escape(v or "")}"' for k, v in self.attrs.items())
-        return f"<{self.name}{attrs}/>" if self.name in VOID else f"<{self.name}{attrs}>{inner}</{self.name}>"
+        out: list[str] = []
+        todo: list[tuple[Node | str | Comment, str]] = [(self, "")]  # with the name of the parent; end tags come as strings of no parent
+        while todo:
+            x, parent = todo.pop()
+            if isinstance(x, str):
+                out.append(x if parent in ("script", "style", "/") else escape(x, quote=False))
+            elif isinstance(x, Comment):
+                out.append(f"<!--{x.text}-->")
+            else:
+                if x.name:
+                    attrs = "".join(f' {k}="{escape(v or "")}"' for k, v in x.attrs.items())
+                    out.append(f"<{x.name}{attrs}/>" if x.name in VOID else f"<{x.name}{attrs}>")
+                    if x.name in VOID:
+                        continue
+                    todo.append((f"</{x.name}>", "/"))
+                todo += [(c, x.name) for c in x.children[::-1]]
+        return "".join(out)
+
+
+def text_lengths(root: Node) -> dict[int, int]:
+    """Length of each element's text, by the element's identity, in one pass."""
+    out: dict[int, int] = {}
+    for n in reversed([root, *root.walk()]):
+        out[id(n)] = sum(len(c.strip()) if isinstance(c, str) else out[id(c)] if isinstance(c, Node) else 0 for c in n.children)
+    return out
 
 
 class _Builder(HTMLParser):
@@ -71,6 +101,7 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("")
         self.open = [self.root]
+        self.at: dict[str, list[int]] = {}  # places of open elements, by name
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in CLOSES_P:
@@ -80,6 +111,7 @@ class _Builder(HTMLParser):
         node = Node(tag, dict(attrs))
         self.open[-1].children.append(node)
         if tag not in VOID:
+            self.at.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -87,13 +119,15 @@ class _Builder(HTMLParser):
         if tag not in VOID:
             self.handle_endtag(tag)
 
+    def _innermost(self, names: set[str]) -> int:
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=0)
+
     def _close(self, names: set[str], stops: set[str]) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].name in stops:
-                return
-            if self.open[k].name in names:
-                del self.open[k:]
-                return
+        """Close the innermost element of one of the names, if no stop is open inside of it."""
+        k = self._innermost(names)
+        if k > self._innermost(stops):
+            while len(self.open) > k:
+                self.at[self.open.pop().name].pop()
 
     def handle_endtag(self, tag: str) -> None:
         self._close({tag}, set())
@@ -143,37 +177,37 @@ class Pruner:
         """Pruned HTML and how many elements went for each reason, each outermost one counted once."""
         root, gone = parse(html), Counter()
 
-        def sweep(why: Callable[[Node | str | Comment], str], node: Node) -> None:
-            kept = []
-            for child in node.children:
-                if reason := why(child):
-                    gone[reason] += 1
-                    continue
-                kept.append(child)
-                if isinstance(child, Node):
-                    sweep(why, child)
-            node.children = kept
-
-        sweep(lambda c: "comment" if isinstance(c, Comment) else "", root)
-        sweep(lambda c: c.name if isinstance(c, Node) and c.name in ALWAYS_REMOVED else "", root)
-        sweep(lambda c: self.reason(c) if isinstance(c, Node) else "", root)
+        def sweep(why: Callable[[Node | str | Comment], str]) -> None:
+            todo = [root]
+            while todo:
+                node = todo.pop()
+                reasons = [why(c) for c in node.children]
+                gone.update(filter(None, reasons))
+                node.children = [c for c, reason in zip(node.children, reasons, strict=True) if not reason]
+                todo += [c for c in node.children if isinstance(c, Node)]
+
+        sweep(lambda c: "comment" if isinstance(c, Comment) else "")
+        sweep(lambda c: c.name if isinstance(c, Node) and c.name in ALWAYS_REMOVED else "")
+        sweep(lambda c: self.reason(c) if isinstance(c, Node) else "")
         for _ in range(3 * self.remove_empty):
-            sweep(lambda c: "empty" if isinstance(c, Node) and c.name in EMPTYABLE and len(c.text()) < self.min_text_length else "", root)
+            size = text_lengths(root)
+            sweep(lambda c: "empty" if isinstance(c, Node) and c.name in EMPTYABLE and size[id(c)] < self.min_text_length else "")  # noqa: B023
         out = str(find(root, "body") or root)
         return re.sub(r"  +", " ", re.sub(r"\n\s*\n", "\n", out)), dict(gone)
 
     def main_content(self, html: str) -> str:
         """The page's main element, article or content-like container; else the pruned page."""
         root = parse(html)
+        size = text_lengths(root)
         for name in ("main", "article"):
             node = find(root, name)
-            if node is not None and len(node.text()) > 100:
+            if node is not None and size[id(node)] > 100:
                 return str(node)
         boxes = [n for n in root.walk() if n.name in ("div", "section")]
         for pattern in CONTENT_NAMES:
             for attribute in ("class", "id"):
                 for n in boxes:
-                    if pattern in (n.attrs.get(attribute) or "").lower() and len(n.text()) > 200:
+                    if pattern in (n.attrs.get(attribute) or "").lower() and size[id(n)] > 200:
                         return str(n)
         return self.prune(html)[0]
 
@@ -236,7 +270,12 @@ class Splitter:
 
 def to_markdown(html: str) -> str:
     """Markdown of HTML by rules: headings, lists, tables, code, links, images and emphasis."""
-    out = _blocks(parse(html))
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, 10_000_000))  # these functions call each other and nothing native between, so depth costs heap alone
+    try:
+        out = _blocks(parse(html))
+    finally:
+        sys.setrecursionlimit(before)
     return re.sub(r"\n{3,}", "\n\n", out).strip()
 
 

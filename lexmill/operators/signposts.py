@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..steps import keep
 from .completion import Completer, complete
 
-SYSTEM = "Describe the text in one line of the form [theme] + [entities, separated by commas] + [questions it answers]. Answer with that line alone."
+# Fixed value: the form of a signpost.
+SYSTEM = "You label passages. Reply with one line and nothing else, in the form [theme] + [names, separated by commas] + [questions that the passage answers, separated by commas]."
 
 
 def prompts(chunks: DataFrame) -> DataFrame:
     """``chunks`` with the ``prompt`` for each."""
-    template = "Write a signpost for this text.\n\nHeader: %s\n\nContent:\n%s\n\nFirst sentence: %s\nLast sentence: %s"
+    template = "Passage titled %s:\n%s\n\nIt begins: %s\nIt ends: %s"
     return chunks.withColumn("prompt", F.format_string(template, "header", F.substring("content", 1, 2000), "first_sentence", "last_sentence"))
 
 
@@ -29,7 +31,7 @@ def from_answers(answered: DataFrame) -> DataFrame:
 def generate(chunks: DataFrame, completer: Completer | None = None, top_terms: int = 3) -> DataFrame:
     """Signposts of all chunks, by the given model or, without one, by term statistics."""
     if completer is not None:
-        return from_answers(complete(prompts(chunks), completer, SYSTEM, max_tokens=50))
+        return from_answers(keep(complete(prompts(chunks), completer, SYSTEM, max_tokens=50)))
     return from_answers(by_terms(chunks, top_terms))
 
 

@@ -33,7 +33,7 @@ def entries(toc: DataFrame) -> DataFrame:
 
 def lookup(toc: DataFrame, ids: DataFrame) -> DataFrame:
     """Entries of the ``chunk_id``s in ``ids``."""
-    return entries(toc).join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    return entries(toc.join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi"))
 
 
 def signposts_only(toc: DataFrame) -> DataFrame:

@@ -9,13 +9,16 @@ from ..functions import answers as A
 from ..functions import text as X
 from ..operators import bm25
 from ..operators.completion import Completer, complete
-from ..operators.toc import entries
-
-SIEVE = "Take the query apart. Answer with a JSON object: action (search or expand), queries (a list of at most three)."
-ROUTE = "Choose the sections that answer the query. Answer with a JSON array of 1 to 5 chunk ids."
-EXTRACT = "List the facts in the section that answer the query. Answer NO_RELEVANT_FACTS if there are none, or {\"action\": \"explore_parent\", \"target\": id} if the parent section is needed."
-SYNTHESIZE = "Answer the query from the facts alone."
-FALLBACK = "Answer the query from the context alone."
+from ..operators.toc import entries, lookup
+from ..steps import keep
+
+SIEVE = "You plan searches over an index. Reply with JSON only, an object with the keys action (the word search, or expand where the question has several parts) and queries (one to three strings to search for)."
+ROUTE = "You pick sections from a list by their ids. Reply with JSON only, an array of at most five ids, best first."
+# The reply without facts, and the action and its keys that ask for a parent.
+EXTRACT = "You copy out what a section says about a question, one statement a line. Reply NO_RELEVANT_FACTS where it says nothing. Where only the enclosing section can tell, reply {\"action\": \"explore_parent\", \"target\": its id}."
+SYNTHESIZE = "You answer questions from notes. Use the notes only."
+FALLBACK = "You answer questions from one passage. Use the passage only."
+# Fixed value: the phrase by which an answer counts as none.
 NOT_FOUND = "I could not find relevant information to answer this query."
 SIGNPOSTS, ROUTES, CONTEXT, PARENTS = 50, 5, 3000, 2
 
@@ -25,7 +28,7 @@ def sieve(queries: DataFrame, completer: Completer | None = None) -> DataFrame:
     rows = queries.select("query_id", "query")
     if completer is None:
         return rows.select("*", F.lit("search").alias("action"), F.array("query").alias("queries"), F.lit("").alias("reasoning"))
-    asked = complete(rows.withColumn("prompt", F.format_string("Analyze this query: %s", "query")), completer, SIEVE, temperature=0.3)
+    asked = keep(complete(rows.withColumn("prompt", F.format_string("Question:\n%s", "query")), completer, SIEVE, temperature=0.3))
     return asked.withColumn("s", A.sieved(F.coalesce("answer", F.lit("")), F.col("query"))).select("query_id", "query", "s.*")
 
 
@@ -42,12 +45,12 @@ def route(subqueries: DataFrame, toc: DataFrame, completer: Completer | None = N
     """
     if completer is None:
         return _route_by_words(subqueries, toc, most)
-    line = F.format_string("- %s: %s (Header: %s)", "chunk_id", "dense_signpost", "header")
+    line = F.format_string("%s | %s | %s", "chunk_id", "header", "dense_signpost")
     shown = visible_signposts(toc, most).select(F.struct("doc_id", "pos", line.alias("line")).alias("x"))
     listed = shown.agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("listed"))
-    template = "Query: %s\n\nTable of Contents:\n%s\n\nReturn the chunk_ids of relevant sections as a JSON array:"
+    template = "Question:\n%s\n\nSections, each with its id:\n%s"
     prompts = subqueries.join(F.broadcast(listed), how="cross").select("query_id", "sub", F.format_string(template, "subquery", "listed").alias("prompt"))
-    asked = complete(prompts, completer, ROUTE).select("query_id", "sub", A.routed(F.coalesce("answer", F.lit(""))).alias("ids"))
+    asked = keep(complete(prompts, completer, ROUTE)).select("query_id", "sub", A.routed(F.coalesce("answer", F.lit(""))).alias("ids"))
     named = asked.select("query_id", "sub", F.size("ids").alias("n"), F.posexplode_outer("ids").alias("k", "chunk_id"))
     valid = named.join(toc.select("chunk_id").distinct().withColumn("known", F.lit(True)), "chunk_id", "left")
     found = F.transform(F.array_sort(F.collect_list(F.when(F.col("known"), F.struct("k", "chunk_id")))), lambda x: x["chunk_id"])
@@ -73,14 +76,14 @@ def _facts_by_words(query: F.Column, content: F.Column) -> F.Column:
 
 def extract(wanted: DataFrame, toc: DataFrame, completer: Completer | None = None) -> DataFrame:
     """``facts``, ``needs_parent``, ``parent_target`` for each of ``wanted`` (``query_id``, ``query``, ``rank``, ``chunk_id``) that the index has."""
-    rows = wanted.join(entries(toc).select("chunk_id", "header", "parent_id", "raw_markdown"), "chunk_id")
+    rows = wanted.join(lookup(toc, wanted).select("chunk_id", "header", "parent_id", "raw_markdown"), "chunk_id")
     part = F.substring("raw_markdown", 1, CONTEXT)
     if completer is None:
         none = F.lit(None).cast("string")
         return rows.select("query_id", "query", "rank", "chunk_id", "parent_id", _facts_by_words(F.col("query"), part).alias("facts"), F.lit(False).alias("needs_parent"), none.alias("parent_target"))
-    template = "Query: %s\n\nChunk ID: %s\nHeader: %s\nParent ID: %s\n\nContent:\n%s\n\nExtract relevant facts:"
-    prompts = rows.select("query_id", "query", "rank", "chunk_id", "parent_id", F.format_string(template, "query", "chunk_id", "header", F.coalesce(F.nullif("parent_id", F.lit("")), F.lit("None")), part).alias("prompt"))
-    asked = complete(prompts, completer, EXTRACT)
+    template = "Question:\n%s\n\nSection %s, titled %s, inside of section %s:\n%s"
+    prompts = rows.select("query_id", "query", "rank", "chunk_id", "parent_id", F.format_string(template, "query", "chunk_id", "header", F.coalesce(F.nullif("parent_id", F.lit("")), F.lit("none")), part).alias("prompt"))
+    asked = keep(complete(prompts, completer, EXTRACT))
     return asked.withColumn("e", A.extracted(F.coalesce("answer", F.lit("")), F.col("parent_id"))).select("query_id", "query", "rank", "chunk_id", "parent_id", "e.*")
 
 
@@ -107,6 +110,8 @@ def explore(wanted: DataFrame, toc: DataFrame, completer: Completer | None = Non
             fresh = fresh.withColumn("spent", F.lit(0))
         order = Window.partitionBy("query_id").orderBy("rank")
         todo = fresh.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") + spent <= most_parents).select("query_id", "query", "rank", "chunk_id")
+        if completer is not None:
+            todo = keep(todo)
         counted = todo.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("spent"))
         used = counted if used is None else used.unionByName(counted).groupBy("query_id").agg(F.sum("spent").cast("int").alias("spent"))
         explored = explored.unionByName(todo)
@@ -118,8 +123,8 @@ def explore(wanted: DataFrame, toc: DataFrame, completer: Completer | None = Non
     nothing = F.coalesce(X.strip(F.col("told")), F.lit("")) == ""
     if completer is None:
         return rows.select("query_id", F.when(nothing, NOT_FOUND).otherwise(F.col("told")).alias("answer"), "chunks_explored", "parent_explorations")
-    prompt = F.when(~nothing, F.format_string("Query: %s\n\nExtracted Facts:\n%s\n\nSynthesize a complete answer:", "query", "told"))
-    asked = complete(rows.withColumn("prompt", prompt), completer, SYNTHESIZE, temperature=0.3)
+    prompt = F.when(~nothing, F.format_string("Question:\n%s\n\nNotes:\n%s", "query", "told"))
+    asked = keep(complete(rows.withColumn("prompt", prompt), completer, SYNTHESIZE, temperature=0.3))
     return asked.select("query_id", F.when(nothing, NOT_FOUND).otherwise(X.strip(F.col("answer"))).alias("answer"), "chunks_explored", "parent_explorations")
 
 
@@ -127,28 +132,34 @@ def retrieve(queries: DataFrame, toc: DataFrame, completer: Completer | None = N
     """``query_id``, ``query``, ``answer``, ``layer_used``, ``chunks_used``, ``success`` for every query.
 
     Queries that routing finds sections for are explored; the others, by an anti
-    join, fall back to BM25 and are answered from its best entry.
+    join, fall back to BM25 and are answered from its best entry.  A model's
+    answers are kept before they are used, so every prompt is asked once.
     """
     sieved = sieve(queries, completer)
     subs = sieved.select("query_id", F.posexplode("queries").alias("sub", "subquery"))
-    routes = route(subs, toc, completer, signposts)
+    routes = keep(route(subs, toc, completer, signposts))
     chosen = routes.select("query_id", "sub", F.posexplode("chunk_ids").alias("k", "chunk_id")).groupBy("query_id", "chunk_id").agg(F.min(F.struct("sub", "k")).alias("at"))
     ranked = chosen.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("at"))).select("query_id", "rank", "chunk_id")
     wanted = ranked.join(queries.select("query_id", "query"), "query_id")
     explored = explore(wanted.select("query_id", "query", "rank", "chunk_id"), toc, completer).select("query_id", "answer", F.lit("explorer").alias("layer_used"), F.col("chunks_explored").alias("chunks_used"))
     missed = queries.select("query_id", "query").join(ranked, "query_id", "left_anti")
-    indexed = bm25.entry_text(entries(toc))
-    best = bm25.search(indexed, missed, 1, "chunk_id", "body").select("query_id", "chunk_id")
-    context = missed.join(best, "query_id", "left").join(entries(toc).select("chunk_id", F.substring("raw_markdown", 1, CONTEXT).alias("context")), "chunk_id", "left")
+    if missed.isEmpty():  # the whole index is searched for those alone
+        return _results(queries, explored)
+    best = keep(bm25.search(bm25.entry_text(entries(toc)), missed, 1, "chunk_id", "body").select("query_id", "chunk_id"))
+    context = missed.join(best, "query_id", "left").join(lookup(toc, best).select("chunk_id", F.substring("raw_markdown", 1, CONTEXT).alias("context")), "chunk_id", "left")
     if completer is None:
         answer = F.when(F.col("context").isNull(), NOT_FOUND).otherwise(F.coalesce(F.nullif(_facts_by_words(F.col("query"), F.col("context")), F.lit("")), F.lit(NOT_FOUND)))
         fallen = context.select("query_id", answer.alias("answer"))
     else:
-        prompt = F.when(F.col("context").isNotNull(), F.format_string("Query: %s\n\nContext:\n%s\n\nAnswer the query using only the context above:", "query", "context"))
-        asked = complete(context.withColumn("prompt", prompt), completer, FALLBACK)
+        prompt = F.when(F.col("context").isNotNull(), F.format_string("Question:\n%s\n\nPassage:\n%s", "query", "context"))
+        asked = keep(complete(context.withColumn("prompt", prompt), completer, FALLBACK))
         fallen = asked.select("query_id", F.when(F.col("context").isNull(), NOT_FOUND).otherwise(X.strip(F.col("answer"))).alias("answer"))
     fallen = fallen.select("query_id", "answer", F.lit("bm25_fallback").alias("layer_used"), F.lit(0).alias("chunks_used"))
-    return queries.select("query_id", "query").join(explored.unionByName(fallen), "query_id").withColumn("success", X.is_answer(F.coalesce("answer", F.lit(""))))
+    return _results(queries, explored.unionByName(fallen))
+
+
+def _results(queries: DataFrame, answered: DataFrame) -> DataFrame:
+    return queries.select("query_id", "query").join(answered, "query_id").withColumn("success", X.is_answer(F.coalesce("answer", F.lit(""))))
 
 
 def characters(answers: DataFrame) -> DataFrame:

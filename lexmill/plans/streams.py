@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder where the cluster keeps shared files; a local one only where none is named."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lexmill-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from ..steps import shared_folder
 
 
 def read_stream(spark: SparkSession, path: str, files_at_a_time: int = 4) -> DataFrame:
@@ -24,7 +19,7 @@ def read_stream(spark: SparkSession, path: str, files_at_a_time: int = 4) -> Dat
 def run_available(stream: DataFrame) -> DataFrame:
     """Run over all that is there, in micro-batches, and read what was written."""
     spark = stream.sparkSession
-    folder = shared_folder(spark)
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")

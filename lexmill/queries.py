@@ -98,24 +98,24 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.edges(table(spark, sf_dir, "pages")).distinct()
 
 
-def _tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Links between the pages of the table by their numbers, seeds, and pages that fail."""
-    pages = table(spark, sf_dir, "pages").select("page_id", L.normalize(F.col("url")).alias("url"))
-    to = F.array(*[F.col("page_id") * 2 + k for k in (1, 2)], F.col("page_id") * 5 + 3)
-    links = pages.select(F.col("url").alias("src"), F.explode(to).alias("to")).join(pages.select(F.col("page_id").alias("to"), F.col("url").alias("dst")), "to").select("src", "dst")
-    return links, pages.filter("page_id < 2").select("url"), pages.filter("page_id % 11 = 5").select("url")
-
-
-@query(f"""WITH RECURSIVE p AS (SELECT page_id, {sql_normal('url')} AS url FROM pages),
-  links AS (SELECT DISTINCT a.url AS src, b.url AS dst FROM p a JOIN p b ON b.page_id IN (a.page_id * 2 + 1, a.page_id * 2 + 2, a.page_id * 5 + 3)),
-  failed AS (SELECT url FROM p WHERE page_id % 11 = 5), seeds AS (SELECT DISTINCT url AS seed FROM p WHERE page_id < 2),
-  walk AS (SELECT seed, seed AS url, 0 AS depth FROM seeds UNION SELECT seed, dst, depth + 1 FROM walk JOIN links ON src = url WHERE depth < 4 AND url NOT IN (SELECT url FROM failed)),
-  found AS (SELECT seed, url, min(depth)::INT AS depth FROM walk GROUP BY ALL),
-  parents AS (SELECT f.seed, f.url, min(src) AS parent_url FROM found f JOIN links ON dst = f.url JOIN found g ON g.seed = f.seed AND g.url = src AND g.depth = f.depth - 1 WHERE src NOT IN (SELECT url FROM failed) GROUP BY ALL)
+def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The pages' own links, with one from each page to the pages of twice its number, as their own lead out of the table; and all pages as seeds."""
+    pages = table(spark, sf_dir, "pages")
+    numbered = pages.select("page_id", L.normalize(F.col("url")).alias("url"))
+    to = F.array(*[F.col("page_id") * 2 + k for k in (1, 2)])
+    between = numbered.select(F.col("url").alias("src"), F.explode(to).alias("to")).join(numbered.select(F.col("page_id").alias("to"), F.col("url").alias("dst")), "to").select("src", "dst")
+    return crawl.edges(pages).unionByName(between), pages.select("url")
+
+
+@query(f"""WITH RECURSIVE p AS MATERIALIZED (SELECT page_id, {sql_normal('url')} AS url FROM pages),
+  links AS MATERIALIZED (SELECT DISTINCT a.url AS src, b.url AS dst FROM p a JOIN p b ON b.page_id IN (a.page_id * 2 + 1, a.page_id * 2 + 2) UNION SELECT src, dst FROM ({_SQL_EDGES})),
+  walk AS (SELECT DISTINCT url AS seed, url, 0 AS depth FROM p UNION SELECT seed, dst, depth + 1 FROM walk JOIN links ON src = url WHERE depth < 4),
+  found AS MATERIALIZED (SELECT seed, url, min(depth)::INT AS depth FROM walk GROUP BY ALL),
+  parents AS (SELECT f.seed, f.url, min(src) AS parent_url FROM found f JOIN links ON dst = f.url JOIN found g ON g.seed = f.seed AND g.url = src AND g.depth = f.depth - 1 GROUP BY ALL)
   SELECT f.seed, f.url, f.depth, parent_url FROM found f LEFT JOIN parents USING (seed, url)""")
 def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links, seeds, failed = _tree(spark, sf_dir)
-    return crawl.crawl(links, seeds, max_depth=4, same_domain=False, failed=failed)
+    links, seeds = _links(spark, sf_dir)
+    return crawl.crawl(links, seeds, max_depth=4, same_domain=False)
 
 
 @query("SELECT page_id, content_hash FROM (SELECT page_id, substr(sha256(html), 1, 16) AS content_hash, row_number() OVER (PARTITION BY sha256(html) ORDER BY page_id DESC) AS k FROM pages) WHERE k = 1")
@@ -139,11 +139,14 @@ def page_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter(crawl.is_success() & crawl.is_html(F.col("content_type"))).select("page_id", "status_code", "content_type")
 
 
-@query(f"SELECT DISTINCT {sql_normal('url')} AS url, true AS maybe FROM pages")
+@query(f"""WITH u AS (SELECT DISTINCT {sql_normal('url')} AS url FROM pages), asked AS (SELECT url FROM u UNION SELECT url || '/absent' FROM u UNION SELECT reverse(url) FROM u)
+  SELECT url, url IN (SELECT url FROM u) AS maybe FROM asked""")
 def bloom_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs that are in the filter, and URLs that are not; it is so large that none of those is taken for a member."""
     urls = crawl.unique_urls(table(spark, sf_dir, "pages"))
+    asked = urls.select(F.explode(F.array("url", F.concat("url", F.lit("/absent")), F.reverse("url"))).alias("url")).distinct()
     b = bloom.Bloom(1_000_000, 0.01)
-    return b.contains(b.build(urls, "url"), urls, "url").select("url", "maybe")
+    return b.contains(b.build(urls, "url"), asked, "url").select("url", "maybe")
 
 
 @query()
@@ -284,8 +287,8 @@ def _doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_SQL_SIGNPOSTS = f"""t AS (SELECT doc_id, unnest({sql_tokens('text')}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
-  df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL), w AS (SELECT doc_id, term, round(tf * ln((SELECT count(*) FROM documents) / df), 9) AS weight FROM tf JOIN df USING (term)),
+_SQL_SIGNPOSTS = f"""t AS (SELECT doc_id, unnest({sql_tokens('text')}) AS term FROM documents), tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+  df AS MATERIALIZED (SELECT term, count(*) AS df FROM tf GROUP BY ALL), w AS (SELECT doc_id, term, round(tf * ln((SELECT count(*) FROM documents) / df), 9) AS weight FROM tf JOIN df USING (term)),
   top AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS k FROM w), listed AS (SELECT doc_id, string_agg(term, ', ' ORDER BY k) AS terms FROM top WHERE k <= 3 GROUP BY ALL),
   posts AS (SELECT doc_id, substr(sha256('root:' || substr(text, 1, 100)), 1, 12) AS chunk_id, '[' || source || '] + [' || coalesce(terms, source) || '] + [What is ' || source || '?]' AS signpost FROM documents LEFT JOIN listed USING (doc_id))"""
 
@@ -296,18 +299,12 @@ def signposts_by_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _toc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = _doc_chunks(spark, sf_dir)
-    posts = signposts.generate(chunks).filter("doc_id % 3 <> 0")
-    return toc.build(chunks, posts, "documents", F.lit("2024-01-01 00:00:00").cast("timestamp"))
-
-
-def _whole_toc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index with the signposts of all documents."""
     chunks = _doc_chunks(spark, sf_dir)
     return toc.build(chunks, signposts.generate(chunks), "documents", F.lit("2024-01-01 00:00:00").cast("timestamp"))
 
 
-_SQL_TOC = f"""{_SQL_SIGNPOSTS}, one AS (SELECT chunk_id, max_by(signpost, doc_id) AS signpost FROM posts WHERE doc_id % 3 <> 0 GROUP BY ALL),
+_SQL_TOC = f"""{_SQL_SIGNPOSTS}, one AS (SELECT chunk_id, max_by(signpost, doc_id) AS signpost FROM posts GROUP BY ALL),
   toc AS (SELECT p.doc_id, p.chunk_id, coalesce(o.signpost, '') AS dense_signpost, d.source AS header, d.text FROM posts p JOIN documents d USING (doc_id) LEFT JOIN one o ON o.chunk_id = p.chunk_id)"""
 
 
@@ -316,7 +313,7 @@ def toc_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _toc(spark, sf_dir).select("doc_id", "chunk_id", "dense_signpost", "header", "first_sentence")
 
 
-@query(f"WITH {_SQL_TOC} SELECT chunk_id, min(doc_id) AS doc_id, min_by(header, doc_id) AS header FROM toc WHERE doc_id % 1 = 0 GROUP BY chunk_id".replace(" WHERE doc_id % 1 = 0", ""))
+@query(f"WITH {_SQL_TOC} SELECT chunk_id, min(doc_id) AS doc_id, min_by(header, doc_id) AS header FROM toc GROUP BY chunk_id")
 def toc_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index_ = _toc(spark, sf_dir)
     return toc.lookup(index_, index_.select("chunk_id")).select("chunk_id", "doc_id", "header")
@@ -362,15 +359,15 @@ def _empty_signposts(spark: SparkSession) -> DataFrame:
 
 # Ranking and retrieval.
 
-_SQL_BM25 = f"""t AS (SELECT doc_id, len({sql_tokens('text')}) AS dl, unnest({sql_tokens('text')}) AS term FROM documents), posted AS (SELECT doc_id, term, dl, count(*) AS tf FROM t GROUP BY ALL),
-  stats AS (SELECT count(*) AS n, avg(len({sql_tokens('text')})) AS avgdl FROM documents), df AS (SELECT term, count(*) AS df FROM posted GROUP BY ALL), raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, stats),
-  idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
+_SQL_BM25 = f"""l AS MATERIALIZED (SELECT doc_id, {sql_tokens('text')} AS terms FROM documents), posted AS MATERIALIZED (SELECT doc_id, term, dl, count(*) AS tf FROM (SELECT doc_id, len(terms) AS dl, unnest(terms) AS term FROM l) GROUP BY ALL),
+  stats AS MATERIALIZED (SELECT count(*) AS n, avg(len(terms)) AS avgdl FROM l), df AS MATERIALIZED (SELECT term, count(*) AS df FROM posted GROUP BY ALL), raw AS MATERIALIZED (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, stats),
+  idf AS MATERIALIZED (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
 
 
 @query(f"WITH {_SQL_BM25} SELECT term, round(idf, 6) AS idf FROM idf")
 def bm25_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return bm25.idf(bm25.postings(docs), bm25.corpus(docs)).select("term", F.round("idf", 6).alias("idf"))
+    return bm25.idf(bm25.term_counts(bm25.tokenized(docs))).select("term", F.round("idf", 6).alias("idf"))
 
 
 @query(f"""WITH {_SQL_BM25}, q AS (SELECT item_id AS query_id, unnest({sql_tokens('text')}) AS term FROM benchmark), asked AS (SELECT query_id, term, count(*) AS times FROM q GROUP BY ALL),
@@ -393,7 +390,7 @@ def route_by_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def retrieve_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return retrieve.retrieve(asked, _whole_toc(spark, sf_dir))
+    return retrieve.retrieve(asked, _toc(spark, sf_dir))
 
 
 @query()

@@ -6,6 +6,7 @@ import http.server
 import json
 import threading
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -145,13 +146,13 @@ def test_retrieve_by_rules(spark, index):
 
 def scripted(system, prompt, temperature, max_tokens):
     """A model whose answers are fixed by what it is asked."""
-    if prompt.startswith("Analyze"):
+    if system == retrieve.SIEVE:
         return '<think>t</think>{"action": "expand", "queries": ["a", "b"]}'
-    if "Table of Contents" in prompt:
-        return '["rate1", "nowhere", "auth1"]' if "Query: a\n" in prompt else "[]"
-    if "Extract relevant facts" in prompt:
-        return '{"action": "explore_parent", "target": "error1"}' if "Chunk ID: rate1" in prompt else f"fact of {prompt.split('Chunk ID: ')[1].split()[0]}"
-    if "Extracted Facts" in prompt:
+    if system == retrieve.ROUTE:
+        return '["rate1", "nowhere", "auth1"]' if prompt.startswith("Question:\na\n") else "[]"
+    if system == retrieve.EXTRACT:
+        return '{"action": "explore_parent", "target": "error1"}' if "Section rate1" in prompt else f"fact of {prompt.split('Section ')[1].split(',')[0]}"
+    if system == retrieve.SYNTHESIZE:
         return " and ".join(x.split(":")[0] for x in prompt.split("From ")[1:])
     raise ValueError("unexpected")
 
@@ -162,6 +163,68 @@ def test_retrieve_by_model(spark, index):
     assert (r["answer"], r["layer_used"], r["chunks_used"]) == ("error1 and auth1", "explorer", 3)
 
 
+def test_every_prompt_is_asked_once(spark, index, monkeypatch, tmp_path):
+    """One sieve, two routes, two chunks and a parent, one synthesis."""
+    path = str(tmp_path / "calls")
+
+    def counted(system, prompt, temperature, max_tokens):
+        with open(path, "a") as f:
+            f.write(json.dumps([system, prompt]) + "\n")
+        return scripted(system, prompt, temperature, max_tokens)
+
+    q = spark.createDataFrame([(0, "how")], "query_id long, query string")
+    assert retrieve.retrieve(q, index, counted).first()["answer"] == "error1 and auth1"
+    calls = [json.loads(x) for x in open(path)]
+    assert len(calls) == len({tuple(x) for x in calls}) == 1 + 2 + 3 + 1
+
+
+def test_signposts_may_be_missing(spark, index):
+    chunks = index.selectExpr("doc_id", "pos", "chunk_id", "raw_markdown as content", "header", "header_level", "first_sentence", "last_sentence", "parent_id", "children_ids", "source_url")
+    some = signposts.generate(chunks).filter("chunk_id <> 'rate1'")
+    got = {r["chunk_id"]: r["dense_signpost"] for r in toc.build(chunks, some, "api").collect()}
+    assert len(got) == 3 and got["rate1"] == "" and got["auth1"]
+
+
+def test_crawl_of_a_tree(spark):
+    """Failed pages are visited and not expanded; plans grow with the depth and no more."""
+    n = 60
+    links = [(f"http://h/{i}", f"http://h/{j}") for i in range(n) for j in (2 * i + 1, 2 * i + 2, 5 * i + 3) if j < n]
+    failed = {f"http://h/{i}" for i in range(5, n, 11)}
+    want = {"http://h/0": (0, None)}
+    level = ["http://h/0"]
+    for depth in range(1, 5):
+        steps = {}
+        for a, b in links:
+            if a in level and a not in failed and b not in want:
+                steps[b] = min(a, steps.get(b, a))
+        want |= {b: (depth, a) for b, a in steps.items()}
+        level = list(steps)
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    found = crawl.crawl(df(links, "src string, dst string"), df([("http://h/0",)], "url string"), 4, failed=df([(x,) for x in failed], "url string"))
+    assert {r["url"]: (r["depth"], r["parent_url"]) for r in found.collect()} == want
+    joins = [crawl.crawl(df(links, "src string, dst string"), df([("http://h/0",)], "url string"), d)._jdf.queryExecution().optimizedPlan().toString().count("Join") for d in (2, 7)]
+    assert joins == [0, 0]
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "x" * 30 + "</div>" * 100_000, "<div>" + "<p>a paragraph of some length</p>" * 100_000 + "</div>", "<span>" * 100_000 + "<b>" * 100_000 + "text"])
+def test_pages_of_any_shape(page):
+    pruner = dom.Pruner()
+    pruner.prune(page)
+    assert isinstance(pruner.main_content(page), str) and dom.to_markdown(page).strip()
+
+
+def test_rows_of_one_key_stay_apart(spark):
+    rows = [(1, "<p>" + "one " * 30 + "</p>"), (1, "<p>" + "two " * 30 + "</p>"), (1, "<p>" + "one " * 30 + "</p>"), (2, None)]
+    got = convert.convert(spark.createDataFrame(rows, "doc_id long, html string")).collect()
+    assert sorted((r["doc_id"], r["markdown"][:3]) for r in got) == [(1, "one"), (1, "two"), (2, "")]
+
+
+def test_bloom_hash():
+    """Published values of the hash function."""
+    assert bloom.hashes([b"", b"test", b"Hello, world!", b"The quick brown fox jumps over the lazy dog"]).tolist() == [0, 0xBA6BD213, 0xC0363E43, 0x2E4FF723]
+    assert bloom.hashes([b"test"], np.array([0x9747B28C], np.uint32)).tolist() == [0x704B81DC]
+
+
 def test_a_failed_call_costs_one_row(spark):
     html = spark.createDataFrame([(1, "<p>" + LONG + "</p>")], "doc_id long, html string")
     def broken(*args):
