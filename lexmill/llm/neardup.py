@@ -245,7 +245,7 @@ def near_within(texts: list[str], idf: np.ndarray, threshold: float, width: int
     starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1], [True]]))
     sizes = np.diff(starts)
     for size in np.unique(sizes[sizes > 1]):  # shingles that as many texts have, at once
-        for some in np.array_split(starts[:-1][sizes == size], max(1, int(size * size * (sizes == size).sum()) >> 22)):
+        for some in np.array_split(starts[:-1][sizes == size], max(1, int(size * size * (sizes == size).sum()) >> 19)):
             at = some[:, None] + np.arange(size)
             who, w = owner[at], weights[at]
             np.add.at(shared, (np.repeat(who, size, axis=1).ravel(), np.tile(who, size).ravel()), np.minimum(np.repeat(w, size, axis=1), np.tile(w, size)).ravel())

@@ -186,6 +186,7 @@ def shared_anchors(texts: DataFrame, n_bytes: int, length: int = LENGTH) -> Data
     def send(keys: np.ndarray, owner: np.ndarray, places: np.ndarray, names: list[bytes]) -> Iterator[pa.RecordBatch]:
         order, starts, several = _runs_of(keys, owner)
         keys, owner, places = keys[order], owner[order], places[order]
+        del order
         run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(keys))))
         new_text = np.concatenate([[True], (owner[1:] != owner[:-1]) | (run[1:] != run[:-1])])
         known = np.flatnonzero(new_text & several[run])
@@ -195,8 +196,10 @@ def shared_anchors(texts: DataFrame, n_bytes: int, length: int = LENGTH) -> Data
         ordinal -= ordinal[starts][run]
         out = np.flatnonzero(new_text & (ordinal < 2))
         bucket = (keys[out] % U(n_buckets)).astype(np.int64)
-        out = out[np.argsort(bucket, kind="stable")]
-        edges = np.searchsorted(np.sort(bucket), np.arange(n_buckets + 1))
+        order = np.argsort(bucket, kind="stable")
+        out, bucket = out[order], bucket[order]
+        edges = np.searchsorted(bucket, np.arange(n_buckets + 1))
+        del order, run, new_text, ordinal, starts, several, bucket
         for b in range(n_buckets):
             i = out[edges[b] : edges[b + 1]]
             if len(i):
@@ -223,7 +226,7 @@ def shared_anchors(texts: DataFrame, n_bytes: int, length: int = LENGTH) -> Data
                 for base, piece in pieces_of(text.encode(), length):
                     at, keys, _, _ = anchors(piece, length)
                     held[0].append(keys)
-                    held[1].append(np.full(len(at), len(names) - 1, np.int64))
+                    held[1].append(np.full(len(at), len(names) - 1, np.int32))
                     held[2].append(at + base)
                     size += len(at)
                 if size >= ANCHORS_A_FLUSH:
