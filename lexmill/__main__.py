@@ -26,6 +26,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--depth", type=int, default=2)
     c.add_argument("--pages", type=int, default=50)
     c.add_argument("--output")
+    c.add_argument("--js", action="store_true", help="render pages in a browser: not supported, ends with status 2")
     c = sub.add_parser("convert", help="HTML files to Markdown")
     c.add_argument("input")
     c.add_argument("--output")
@@ -51,6 +52,7 @@ def crawl(spark: SparkSession, opts: options.Options, url: str, depth: int, most
     """Fetch level by level; a level's new URLs are found by an anti join with those seen."""
     pages.register(spark)
     level = [url]
+    fetched: list[DataFrame] = []
     seen: DataFrame | None = None
     store: DataFrame | None = None
     n = 0
@@ -66,8 +68,11 @@ def crawl(spark: SparkSession, opts: options.Options, url: str, depth: int, most
         links = got.filter("error is null").select(F.explode(L.links(F.col("content"), F.col("url"))).alias("url")).distinct()
         fresh = links.filter(L.same_domain(F.col("url"), F.lit(url))).join(seen, "url", "left_anti")
         level = [r["url"] for r in fresh.orderBy("url").limit(max(0, most - n)).collect()]  # bounded by the page limit
+        fetched.append(got)
     if store is not None:
         files.write_pages(store.filter("error is null"), output)
+    for got in fetched:
+        got.unpersist()
     return n
 
 
@@ -82,6 +87,9 @@ def stored_pages(spark: SparkSession, path: str) -> DataFrame:
 def run(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(args)
     opts = options.load()
+    if getattr(a, "js", False):
+        print("pages are not rendered in a browser; leave --js out to fetch them as they are", file=sys.stderr)
+        return 2
     spark = spark or SparkSession.builder.appName("lexmill").getOrCreate()
     completer: Completer | None = http_completer(opts.llm_base_url, opts.llm_model, opts.llm_api_key, opts.llm_timeout) if a.model else None
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -79,6 +79,19 @@ class Bloom:
         found = asked.join(built, "bucket", "left").groupBy(column).agg((F.min(is_set) == 1).alias("maybe"))
         return items.join(found, column, "left")
 
+    def empty(self, spark: SparkSession) -> DataFrame:
+        """A filter without items."""
+        return spark.createDataFrame([], "bucket long, bits binary")
+
+    def add(self, built: DataFrame, items: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+        """The filter with ``items`` added, and the distinct items that it did not have: surely new ones.
+
+        Bitmaps of the new items are made by themselves and merged by bucket.
+        """
+        fresh = self.contains(built, items.select(column).filter(F.col(column).isNotNull()).distinct(), column).filter("not maybe").select(column)
+        both = built.unionByName(self.build(fresh, column))
+        return both.groupBy("bucket").agg(F.expr("bitmap_or_agg(bits)").alias("bits")), fresh
+
     def fill(self, built: DataFrame) -> DataFrame:
         """``n_set``, ``fill`` and ``fp_rate``: bits set, their share, and the rate of false positives it gives."""
         n = built.agg(F.coalesce(F.sum(F.expr("bitmap_count(bits)")), F.lit(0)).alias("n_set"))

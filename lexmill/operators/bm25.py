@@ -55,16 +55,23 @@ def idf(counts: DataFrame, never_negative: bool = False) -> DataFrame:
 MOST_BROADCAST = 200_000
 
 
-def search(docs: DataFrame, queries: DataFrame, top_k: int = 5, key: str = "doc_id", text: str = "text", never_negative: bool = False) -> DataFrame:
+def prepared(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """What searches need of the documents, made once: their terms, and the counts of those."""
+    terms = keep(tokenized(docs, key, text))
+    return terms, keep(term_counts(terms))
+
+
+def search(docs: DataFrame, queries: DataFrame, top_k: int = 5, key: str = "doc_id", text: str = "text", never_negative: bool = False, ready: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """``query_id``, ``rank``, ``key``, ``score`` of the best documents for ``queries`` (``query_id``, ``query``).
 
-    Documents are read twice, to count terms and to score.  Tokens that no query
-    asks for are dropped where they are read, if the queries' terms are few
-    enough to be broadcast, so common words that are not asked for are never
-    shuffled.  Ties go to the smaller key.
+    Documents are read twice, to count terms and to score; with ``ready``, what
+    prepared() made of them is read instead.  Tokens that no query asks for are
+    dropped where they are read, if the queries' terms are few enough to be
+    broadcast, so common words that are not asked for are never shuffled.  Ties
+    go to the smaller key.
     """
-    terms = tokenized(docs, key, text)
-    counts = keep(term_counts(terms))
+    terms = tokenized(docs, key, text) if ready is None else ready[0]
+    counts = keep(term_counts(terms)) if ready is None else ready[1]
     asked = queries.select("query_id", F.explode(X.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     weights = keep(asked.join(idf(counts, never_negative), "term"))
     few = weights.count() <= MOST_BROADCAST

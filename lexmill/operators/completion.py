@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -10,6 +14,8 @@ from pyspark.sql import DataFrame
 
 #: system text, prompt, temperature, most tokens -> answer
 Completer = Callable[[str, str, float, int], str]
+#: Statuses of a server that may answer later: too early, too many requests, and its own faults.
+LATER = (408, 425, 429)
 
 
 def complete(prompts: DataFrame, completer: Completer, system: str = "", temperature: float = 0.1, max_tokens: int = 2048) -> DataFrame:
@@ -35,30 +41,78 @@ def complete(prompts: DataFrame, completer: Completer, system: str = "", tempera
 
 
 def http_completer(base_url: str, model: str, api_key: str = "", timeout: float = 120.0, attempts: int = 3) -> Completer:
-    """A completer for a server with a chat-completions endpoint; lost connections are tried again."""
+    """A completer for a server with a chat-completions endpoint; lost connections and busy servers are tried again."""
     return partial(_post, base_url.rstrip("/") + "/chat/completions", model, api_key, timeout, attempts)
 
 
-def _post(url: str, model: str, api_key: str, timeout: float, attempts: int, system: str, prompt: str, temperature: float, max_tokens: int) -> str:
-    import json
-    import time
-    import urllib.error
-    import urllib.request
+def http_stream(base_url: str, model: str, api_key: str = "", timeout: float = 120.0) -> Callable[[str, str, float, int], Iterator[str]]:
+    """As http_completer(), but the answer's tokens come one by one, as the server sends them."""
+    return partial(_stream, base_url.rstrip("/") + "/chat/completions", model, api_key, timeout)
+
+
+def is_alive(completer: Completer) -> bool:
+    """Whether a model answers."""
+    try:
+        return bool(completer("", "Say 'ok'", 0.0, 5).strip())
+    except Exception:
+        return False
+
+
+def flush_cache(completer: Completer) -> bool:
+    """Ask a model for next to nothing, so that a server drops what it keeps of the prompts before; whether it answered."""
+    try:
+        completer("", ".", 0.0, 1)
+    except Exception:
+        return False
+    return True
+
 
+def _request(url: str, model: str, api_key: str, system: str, prompt: str, temperature: float, max_tokens: int, **more: object) -> urllib.request.Request:
     messages = [{"role": "system", "content": system}] * bool(system) + [{"role": "user", "content": prompt}]
-    body = json.dumps({"model": model, "messages": messages, "temperature": temperature, "max_tokens": max_tokens}).encode()
-    request = urllib.request.Request(url, body, {"Content-Type": "application/json", "Authorization": f"Bearer {api_key}"})
+    body = json.dumps({"model": model, "messages": messages, "temperature": temperature, "max_tokens": max_tokens, **more}).encode()
+    return urllib.request.Request(url, body, {"Content-Type": "application/json", "Authorization": f"Bearer {api_key}"})
+
+
+def _post(url: str, model: str, api_key: str, timeout: float, attempts: int, system: str, prompt: str, temperature: float, max_tokens: int) -> str:
+    request = _request(url, model, api_key, system, prompt, temperature, max_tokens)
     for k in range(attempts):
         try:
             with urllib.request.urlopen(request, timeout=timeout) as r:
                 return text_of(json.load(r))
-        except (urllib.error.URLError, TimeoutError):
-            if k == attempts - 1:
+        except (urllib.error.URLError, TimeoutError) as e:
+            refused = isinstance(e, urllib.error.HTTPError) and e.code < 500 and e.code not in LATER
+            if refused or k == attempts - 1:
                 raise
             time.sleep(min(10.0, 2.0**k))
     raise AssertionError
 
 
+def _stream(url: str, model: str, api_key: str, timeout: float, system: str, prompt: str, temperature: float, max_tokens: int) -> Iterator[str]:
+    with urllib.request.urlopen(_request(url, model, api_key, system, prompt, temperature, max_tokens, stream=True), timeout=timeout) as r:
+        for line in r:
+            name, _, data = line.decode("utf-8", "replace").strip().partition(":")
+            if name != "data" or not data.strip():
+                continue
+            if data.strip() == "[DONE]":
+                return
+            delta = ((json.loads(data).get("choices") or [{}])[0].get("delta") or {}).get("content")
+            if delta:
+                yield delta
+
+
+def without_thinking(tokens: Iterator[str]) -> Iterator[str]:
+    """Tokens of one answer without what its think tags hold."""
+    from ..streaming.thinking import step
+
+    buffer, inside = "", False
+    for t in tokens:
+        shown, buffer, inside = step(buffer, inside, t)
+        if shown:
+            yield shown
+    if buffer and not inside:
+        yield buffer
+
+
 def text_of(response: object) -> str:
     """Text of a response: a string, a list of blocks, or the old ``text`` field."""
     if isinstance(response, str):

@@ -28,6 +28,13 @@ def unique_urls(pages: DataFrame, url: str = "url") -> DataFrame:
     return pages.select(L.normalize(F.col(url)).alias("url")).distinct()
 
 
+def count_urls(pages: DataFrame, url: str = "url", error: float = 0.01) -> DataFrame:
+    """One row: ``n_urls``, distinct normalized URLs, and ``n_urls_about``, the same by a sketch within some relative error."""
+    u = L.normalize(F.col(url)).alias("url")
+    about = pages.select(u).agg(F.approx_count_distinct("url", error).alias("n_urls_about"))
+    return pages.select(u).agg(F.count_distinct("url").alias("n_urls")).join(about, how="cross")  # one row each
+
+
 def crawl(links: DataFrame, seeds: DataFrame, max_depth: int = 3, same_domain: bool = True, max_pages: int | None = None, failed: DataFrame | None = None) -> DataFrame:
     """``seed``, ``url``, ``depth``, ``parent_url`` of the pages that a breadth-first crawl visits.
 

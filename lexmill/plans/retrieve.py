@@ -128,12 +128,18 @@ def explore(wanted: DataFrame, toc: DataFrame, completer: Completer | None = Non
     return asked.select("query_id", F.when(nothing, NOT_FOUND).otherwise(X.strip(F.col("answer"))).alias("answer"), "chunks_explored", "parent_explorations")
 
 
-def retrieve(queries: DataFrame, toc: DataFrame, completer: Completer | None = None, signposts: int = SIGNPOSTS) -> DataFrame:
+def prepared(toc: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the fallback's search needs of an index, made once for many calls of retrieve()."""
+    return bm25.prepared(bm25.entry_text(entries(toc)), "chunk_id", "body")
+
+
+def retrieve(queries: DataFrame, toc: DataFrame, completer: Completer | None = None, signposts: int = SIGNPOSTS, ready: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """``query_id``, ``query``, ``answer``, ``layer_used``, ``chunks_used``, ``success`` for every query.
 
     Queries that routing finds sections for are explored; the others, by an anti
     join, fall back to BM25 and are answered from its best entry.  A model's
     answers are kept before they are used, so every prompt is asked once.
+    ``ready``: what prepared() made of the index.
     """
     sieved = sieve(queries, completer)
     subs = sieved.select("query_id", F.posexplode("queries").alias("sub", "subquery"))
@@ -145,7 +151,7 @@ def retrieve(queries: DataFrame, toc: DataFrame, completer: Completer | None = N
     missed = queries.select("query_id", "query").join(ranked, "query_id", "left_anti")
     if missed.isEmpty():  # the whole index is searched for those alone
         return _results(queries, explored)
-    best = keep(bm25.search(bm25.entry_text(entries(toc)), missed, 1, "chunk_id", "body").select("query_id", "chunk_id"))
+    best = keep(bm25.search(bm25.entry_text(entries(toc)), missed, 1, "chunk_id", "body", ready=ready).select("query_id", "chunk_id"))
     context = missed.join(best, "query_id", "left").join(lookup(toc, best).select("chunk_id", F.substring("raw_markdown", 1, CONTEXT).alias("context")), "chunk_id", "left")
     if completer is None:
         answer = F.when(F.col("context").isNull(), NOT_FOUND).otherwise(F.coalesce(F.nullif(_facts_by_words(F.col("query"), F.col("context")), F.lit("")), F.lit(NOT_FOUND)))

@@ -149,6 +149,23 @@ def bloom_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.contains(b.build(urls, "url"), asked, "url").select("url", "maybe")
 
 
+@query(f"""WITH u AS (SELECT DISTINCT {sql_normal('url')} AS url FROM pages), l AS (SELECT DISTINCT dst AS url FROM ({_SQL_EDGES}) UNION SELECT url FROM u)
+  SELECT url, true AS maybe FROM l WHERE url NOT IN (SELECT url FROM u)""")
+def bloom_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links added to a filter of pages: those that were new to it, and that it has them now."""
+    pages = table(spark, sf_dir, "pages")
+    urls = crawl.unique_urls(pages)
+    b = bloom.Bloom(1_000_000, 0.01)
+    both, fresh = b.add(b.build(urls, "url"), urls.unionByName(crawl.edges(pages).select(F.col("dst").alias("url"))), "url")
+    return b.contains(both, fresh, "url").select("url", "maybe")
+
+
+@query(f"SELECT count(DISTINCT {sql_normal('url')}) AS n_urls, true AS about_right FROM pages")
+def url_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = crawl.count_urls(table(spark, sf_dir, "pages"))
+    return found.select("n_urls", (F.abs(F.col("n_urls_about") - F.col("n_urls")) <= 0.05 * F.col("n_urls")).alias("about_right"))
+
+
 @query()
 def bloom_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bloom.Bloom(100_000, 0.01)

@@ -1,23 +1,12 @@
-"""Row types of the engine, as Spark schemas."""
+"""Row types of the engine's files and sources, as Spark schemas."""
 
 from __future__ import annotations
 
 from pyspark.sql import types as T
 
-CRAWL_TASK = "url string, depth int, parent_url string"
 PAGE = "url string, status_code int, content string, content_type string, content_length int, crawled_at timestamp, depth int, links array<string>, error string"
-RENDERED = "url string, final_url string, content string, title string, rendered_at timestamp, render_time_ms double, error string"
-PRUNED = "original_size int, pruned_size int, pruned_html string, elements_removed map<string,int>"
-HTML_CHUNK = "content string, token_count int, chunk_index int, total_chunks int, split_tag string"
-CONVERSION = "markdown string, source_url string, original_html_size int, markdown_size int, chunks_processed int"
-CHUNK = "chunk_id string, content string, header string, header_level int, first_sentence string, last_sentence string, parent_id string, children_ids array<string>, source_url string, char_count int, word_count int"
-SIGNPOST = "chunk_id string, signpost string, core_theme string, key_entities array<string>, questions_answered array<string>, token_count int"
 TOC_ENTRY = "chunk_id string, dense_signpost string, first_sentence string, last_sentence string, raw_markdown string, header string, header_level int, parent_id string, children_ids array<string>, source_url string, core_theme string, key_entities array<string>, questions_answered array<string>"
 TOC_FILE = f"version string, source_name string, created_at string, entry_count int, entries array<struct<{TOC_ENTRY.replace(' ', ':').replace(',:', ', ')}>>"
-SIEVED = "original_query string, action string, queries array<string>, reasoning string"
-ROUTED = "query string, chunk_ids array<string>, confidence double"
-EXTRACTION = "chunk_id string, facts string, needs_parent boolean, parent_target string"
-RESPONSE = "content string, finish_reason string, prompt_tokens int, completion_tokens int, total_tokens int"
 
 
 def struct(ddl: str) -> T.StructType:

@@ -57,13 +57,20 @@ def write_toc(toc: DataFrame, path: str) -> None:
     toc_documents(toc).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def read_toc(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_toc(spark: SparkSession, path: str) -> DataFrame:
     """Entries of the indexes in JSON files: ``source_name``, ``created_at``, ``doc_id``, ``pos`` and the entry's columns.
 
-    Files that are not of the format are skipped.
+    A file has one index a line, or one that takes many lines.  Files that are
+    not of the format are skipped.
     """
     kinds = schemas.struct(schemas.TOC_FILE).add("_corrupt_record", "string")
-    read = spark.read.schema(kinds).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").option("multiLine", multi_line).json(path)
-    good = read.filter(F.col("_corrupt_record").isNull() & F.col("entries").isNotNull())
+    reader = spark.read.schema(kinds).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
+    read = reader.json(path)
+    well = F.col("_corrupt_record").isNull() & F.col("entries").isNotNull()
+    told = read.select("version", well.alias("well"), F.col("_metadata.file_path").alias("file")).groupBy("file").agg(F.max("well").alias("by_line"))
+    indented = [r["file"] for r in told.filter("not by_line").collect()]  # names of files, which the driver lists anyway
+    if indented:
+        read = read.unionByName(reader.option("multiLine", True).json(indented))
+    good = read.filter(well)
     rows = good.select(F.coalesce("version", F.lit("1.0")).alias("version"), "source_name", F.to_timestamp("created_at").alias("created_at"), F.posexplode("entries").alias("pos", "e"))
     return rows.select("version", "source_name", "created_at", F.lit(0).cast("long").alias("doc_id"), "pos", "e.*")
