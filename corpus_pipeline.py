@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexmill.llm import langid, neardup, packing, suffix
-from lexmill.llm.common import store, table
+from lexmill.llm.common import frugal_workers, store, table
 from lexmill.llm.queries import BPE
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -22,6 +22,7 @@ ORACLE_SQL = None
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; those rejected go."""
+    frugal_workers(spark)  # before the first worker starts
     return langid.keep_identified(docs)
 
 
