@@ -13,26 +13,24 @@ from pyspark.sql import functions as F
 _IN_A_STEP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
-#: Python workers outlive their tasks.  These let them give large arrays back to the system at once, Arrow's too.
-_WORKERS = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20)}
+#: Python workers outlive their tasks.  These let them give large arrays back to the system at once, Arrow's too; numpy steps take some more CPU time with them.
+_WORKERS = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_MMAP_THRESHOLD_": str(8 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20)}
 
 
 def frugal_workers(spark: SparkSession) -> None:
-    """Give Python workers that start from now on _WORKERS; what is set already holds."""
+    """Start the Python workers of functions planned from now on with _WORKERS; what is set already holds."""
     for k, v in _WORKERS.items():
         spark.sparkContext.environment.setdefault(k, v)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
-    frugal_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 @contextmanager
 def step(spark: SparkSession) -> Iterator[None]:
     """What is executed in here leaves no shuffle files behind, as nothing reads them again."""
-    frugal_workers(spark)
     before = {k: spark.conf.get(k) for k in _IN_A_STEP}
     for k, v in _IN_A_STEP.items():
         spark.conf.set(k, v)
