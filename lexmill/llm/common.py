@@ -91,7 +91,7 @@ def parts_for(n: int, per_part: int, least: int = 1) -> int:
 HEAVY_SHARE, HEAVY_LEAST = 1 / 1000, 100
 
 
-def spread_join(rows: DataFrame, facts: DataFrame, on: str, size: str, total: int, how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, facts: DataFrame, on: str | list[str], size: str, total: int, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``facts``, which has one row a key; ``size`` there tells how many of the ``total`` rows have it.
 
     The facts of heavy keys, at most a thousand, are broadcast, so their rows stay

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extract, fingerprint, langid, lm, media, neardup, packing, sharding, suffix
+from . import bpe, extract, fingerprint, langid, lm, media, neardup, packing, resample, sharding, simhash, suffix
 from .common import crc32_of_id, table
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,8 +57,16 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), BPE)
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, least_words=20, seed=7)
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components_of(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_neardup, op3_langid, op4_packing, op5_extraction, op6_lm_scoring, op7_fingerprints, op8_media, op9_suffix_dedup, op10_bpe)}
+    return {f.__name__: f for f in (op1_sharding, op2_neardup, op3_langid, op4_packing, op5_extraction, op6_lm_scoring, op7_fingerprints, op8_media, op9_suffix_dedup, op10_bpe, op11_resampling, op12_simhash)}
 
 
 #: Strings of 50 bytes, in hexadecimal, and the least document that each starts in.
@@ -123,5 +131,44 @@ WHERE b.edited AND NOT x.edited AND y.edited AND NOT z.edited
 """
 
 
+def _op11_sql() -> str:
+    """Buckets by crc32, from its table by the rule of its polynomial; gains, scores and the draw by windows."""
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    upper = resample.UPPER
+    words = lambda t: f"list_filter(string_split_regex(translate(coalesce({t}, ''), '{upper}', '{upper.lower()}'), '{resample.SEPARATOR}'), lambda x: x <> '')"
+    features = "list_concat(w, list_transform(list_zip(w[1:len(w) - 1], w[2:]), lambda p: p[1] || ' ' || p[2]))"
+    byte = "list_transform(range(octet_length(encode(feature))), lambda i: CAST('0x' || substr(hex(encode(feature)), 2 * i + 1, 2) AS BIGINT))"
+    crc = f"xor(list_reduce({byte}, lambda c, x: xor(c >> 8, CAST({table} AS BIGINT[])[CAST(xor(c, x) & 255 AS INT) + 1]), 4294967295), 4294967295)"
+    k = resample.BUCKETS
+    return rf"""
+WITH d AS MATERIALIZED (
+    SELECT row_number() OVER () AS rid, doc_id, {words('text')} AS w FROM documents
+), f AS MATERIALIZED (
+    SELECT rid, unnest({features}) AS feature FROM d
+), g AS MATERIALIZED (
+    SELECT unnest({features}) AS feature FROM (SELECT {words('text')} AS w FROM benchmark)
+), b AS MATERIALIZED (
+    SELECT feature, {crc} % {k} AS bucket FROM (SELECT feature FROM f UNION SELECT feature FROM g)
+), s AS (SELECT bucket, count(*) AS s FROM f JOIN b USING (feature) GROUP BY ALL), t AS (SELECT bucket, count(*) AS t FROM g JOIN b USING (feature) GROUP BY ALL),
+gains AS MATERIALIZED (
+    SELECT bucket, CAST(floor(1000 * ln((CAST(coalesce(t, 0) + 1 AS DOUBLE) * ((SELECT count(*) FROM f) + {k})) / (CAST(coalesce(s, 0) + 1 AS DOUBLE) * ((SELECT count(*) FROM g) + {k})))) AS BIGINT) AS gain
+    FROM (SELECT unnest(range({k})) AS bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)
+), sums AS (
+    SELECT rid, count(*) AS n, CAST(sum(gain) AS BIGINT) AS total FROM f JOIN b USING (feature) JOIN gains USING (bucket) GROUP BY rid
+), scored AS (
+    SELECT rid, doc_id, len(w) >= 20 AS enough, coalesce(n, 0) AS n_features, CASE WHEN n IS NULL THEN 0 ELSE (total - (total % n + n) % n) // n END AS weight,
+        CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS noise
+    FROM d LEFT JOIN sums USING (rid)
+), placed AS (
+    SELECT *, weight + noise AS score, row_number() OVER (PARTITION BY enough ORDER BY weight + noise DESC, doc_id) AS place FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN enough AND place <= (SELECT 25 * count(*) // 100 FROM placed WHERE enough) THEN place END AS rank FROM placed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_fingerprints": _op7_sql(), "op9_suffix_dedup": OP9_SQL}
+    return {"op7_fingerprints": _op7_sql(), "op9_suffix_dedup": OP9_SQL, "op11_resampling": _op11_sql()}

@@ -13,12 +13,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lexmill.llm import bpe, extract, fingerprint, graph, langid, lm, media, neardup, packing, queries, sharding, shingles, suffix
+from lexmill.llm import bpe, extract, fingerprint, graph, langid, lm, media, neardup, packing, queries, resample, sharding, shingles, simhash, suffix
 from lexmill.llm.common import crc32_of_id
 
 LAST = (1 << 63) - 1
@@ -632,3 +633,144 @@ def test_bpe_columns(docs, rows, nothing):
     got = bpe.round_trip(docs, queries.BPE).collect()
     same_rows(got, rows)
     assert bpe.round_trip(nothing, queries.BPE).count() == 0
+
+
+# 11: importance resampling
+
+
+def _words(text):
+    return [w.decode() for w in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode().lower())]
+
+
+def _resampled(rows, target, percent, least, seed=7, k=10_000):
+    """doc_id, n_features, weight, score and rank by the definition; rows in any order."""
+    feats = lambda w: w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+    of = [feats(_words(t)) for _, t in rows]
+    s, t = (Counter(zlib.crc32(f.encode()) % k for fs in x for f in fs) for x in (of, [feats(_words(x)) for x in target]))
+    big, small = sum(s.values()), sum(t.values())
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (big + k) / ((s[b] + 1) * (small + k)))) for b in range(k)]
+    out = []
+    for (i, text), fs in zip(rows, of, strict=True):
+        weight = sum(gain[zlib.crc32(f.encode()) % k] for f in fs) // len(fs) if fs else 0
+        h = int(hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        out.append((i, len(fs), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), len(_words(text)) >= least))
+    order = sorted((x for x in out if x[4]), key=lambda x: (-x[3], x[0] is None, x[0] or 0))
+    drawn = percent * len(order) // 100
+    ranked = [(*x[:4], k + 1 if k < drawn else None) for k, x in enumerate(order)]
+    return Counter(ranked + [(*x[:4], None) for x in out if not x[4]])
+
+
+@pytest.mark.parametrize(("percent", "least", "ranges"), [(25, 20, 500_000), (60, 1, 7), (100, 0, 5), (0, 20, 5)])
+def test_resampling(spark, docs, rows, monkeypatch, percent, least, ranges):
+    monkeypatch.setattr(resample, "ROWS_A_RANGE", ranges)
+    target = ["ab cab dad", None, "", rows[3][1], "È ÀB été\x00a1b"]
+    goal = spark.createDataFrame([(t,) for t in target], "text string")
+    got = resample.resample(docs, goal, percent, least).collect()
+    want = _resampled([r[:2] for r in rows], target, percent, least)
+    assert Counter((r["doc_id"], r["n_features"], r["weight"], r["score"], r["rank"]) for r in got) == want
+    assert sorted(r["rank"] for r in got if r["rank"]) == list(range(1, len([x for x in want.elements() if x[4]]) + 1))
+
+
+def test_resampling_of_copies_and_of_nothing(spark, docs, nothing, rows):
+    hot = spark.createDataFrame([(1, "one two three " * 9)] * 200 + [(None, "four five six " * 9)] * 100 + [(2, "seven")], "doc_id long, text string")
+    goal = spark.createDataFrame([("one two",)], "text string")
+    got = resample.resample(hot, goal, 50).collect()
+    assert sorted(r["rank"] for r in got if r["rank"]) == list(range(1, 151)) and len(got) == 301
+    assert resample.resample(nothing, goal).count() == 0
+    assert resample.resample(docs, nothing.select("text")).count() == len(rows)
+
+
+# 12: SimHash
+
+
+def _fingerprint(text):
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", (text or "").encode().lower()) if w]
+    shingles = [b" ".join(words[k : k + 4]) for k in range(max(1, len(words) - 3))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def _simhash_classes(pairs, most=4):
+    """The least id that each (id, fingerprint) reaches, over all pairs."""
+    root = {f: f for _, f in pairs}
+
+    def find(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for a, b in itertools.combinations(root, 2):
+        if (a ^ b).bit_count() <= most:
+            root[find(a)] = find(b)
+    least = {}
+    for i, f in pairs:
+        if i is not None:
+            least[find(f)] = min(i, least.get(find(f), i))
+    return Counter((i, f"{f:016x}", least.get(find(f))) for i, f in pairs)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.text(alphabet="ABab\u00c9\u00a0 \t\n\v\x1c", max_size=60))
+def test_simhash_fingerprint(text):
+    assert simhash.fingerprint(text.encode()) == _fingerprint(text)
+
+
+def test_simhash_of_awkward_rows(docs, rows, nothing):
+    got = Counter(map(tuple, simhash.components_of(docs).collect()))
+    assert got == _simhash_classes([(r[0], _fingerprint(r[1])) for r in rows])
+    assert simhash.components_of(nothing).count() == 0
+    long = ("The END of it\t" * 40_000).encode()
+    assert simhash.fingerprint(long) == _fingerprint(long.decode())
+
+
+def _prints(spark, values):
+    return spark.createDataFrame([(int(v) - (1 << 64) if int(v) >> 63 else int(v),) for v in sorted(set(map(int, values)))], "fp long")
+
+
+@pytest.mark.parametrize("block", [5, 2048])
+def test_simhash_links_lose_nothing(spark, block):
+    """Fingerprints in chains of few differing bits, just within and just beyond the limit, and strangers."""
+    rng = random.Random(12)
+    values = [0, 1, 31, 63, (1 << 64) - 1]
+    for _ in range(60):
+        v = rng.getrandbits(64)
+        for _ in range(rng.randint(1, 6)):
+            values.append(v)
+            for b in rng.sample(range(64), rng.choice([1, 3, 4, 4, 5, 6])):
+                v ^= 1 << b
+    found = simhash.links(_prints(spark, values), len(set(values)), block=block).collect()
+    assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= 4 for a, b in found)
+    linked = {v: v for v in values}
+
+    def find(v):
+        while linked[v] != v:
+            v = linked[v]
+        return v
+
+    for a, b in found:
+        linked[find(a % (1 << 64))] = find(b % (1 << 64))
+    whole = _simhash_classes([(k, v) for k, v in enumerate(values)])
+    least = {}
+    for k, v in enumerate(values):
+        least[find(v)] = min(k, least.get(find(v), k))
+    assert Counter((k, f"{v:016x}", least[find(v)]) for k, v in enumerate(values)) == whole
+
+
+def test_simhash_meets_in_one_block_pair_at_a_time(spark):
+    """A key with many fingerprints is dealt out: no group has more than two blocks, and one link a fingerprint is given at most."""
+    base = 0x0123456789ABCDEF
+    values = {base ^ (1 << a) ^ (1 << b) for a in range(30, 64) for b in range(a)}
+    distinct = _prints(spark, values)
+    keys = simhash.keyed(distinct)
+    groups = simhash.grouped(keys, 10 * len(values), block=50).groupBy("which", "bits", "pair").count()
+    assert groups.agg({"count": "max"}).first()[0] <= 150
+    assert simhash.links(distinct, len(values)).groupBy("a", "b").count().filter("a = b").isEmpty()
+    assert len(simhash.links_of(np.array(sorted(values), np.uint64), 0)) < len(values)
+
+
+@given(st.integers(0, (1 << 64) - 1), st.sets(st.integers(0, 63), max_size=4))
+def test_simhash_ring_has_a_start_for_every_near_pair(v, bits):
+    """Two fingerprints within the limit share a key, and keep to the budgets of all chains from its start."""
+    apart = sum(1 << b for b in bits)
+    keep = lambda start: all((apart & m).bit_count() <= 4 * k // 5 for k, m in enumerate(simhash.chain_masks(start), 1))
+    assert any(apart & m == 0 and keep(start) for start, m in simhash.key_masks())
