@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from ..steps import shared_folder
 
 
-def read_stream(spark: SparkSession, path: str, files_at_a_time: int = 4) -> DataFrame:
-    """A table's files as a stream; the table is a folder or a file."""
+def read_stream(spark: SparkSession, path: str, files_at_a_time: int = 4, **options: object) -> DataFrame:
+    """A table's files as a stream; the table is a folder or a file.  More options go to the reader."""
     schema = spark.read.parquet(path).schema
     pattern = f"{path[:-1]}[{path[-1]}]"  # a stream reads a single file only if it is asked for by a pattern
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_a_time).parquet(pattern)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_a_time).options(**options).parquet(pattern)
 
 
 def run_available(stream: DataFrame) -> DataFrame:
