@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import argparse
 import sys
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import options, service
-from .functions import urls as L
 from .operators import convert, toc
 from .operators.completion import Completer, http_completer
 from .plans.index import index_markdown
 from .plans.retrieve import retrieve
-from .sources import files, pages
+from .sources import files
+from .steps import shared_folder
+from .streaming import frontier
 
 
 def parser() -> argparse.ArgumentParser:
@@ -26,6 +28,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--depth", type=int, default=2)
     c.add_argument("--pages", type=int, default=50)
     c.add_argument("--output")
+    c.add_argument("--state", help="folder of the crawl's frontier and pages; given again, the crawl goes on where it was")
     c.add_argument("--js", action="store_true", help="render pages in a browser: not supported, ends with status 2")
     c = sub.add_parser("convert", help="HTML files to Markdown")
     c.add_argument("input")
@@ -48,40 +51,18 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def crawl(spark: SparkSession, opts: options.Options, url: str, depth: int, most: int, output: str) -> int:
-    """Fetch level by level; a level's new URLs are found by an anti join with those seen."""
-    pages.register(spark)
-    level = [url]
-    fetched: list[DataFrame] = []
-    seen: DataFrame | None = None
-    store: DataFrame | None = None
-    n = 0
-    for k in range(depth + 1):
-        level = level[: most - n]
-        if not level:
-            break
-        got = spark.read.format("pages").options(urls="\n".join(level), agent=opts.user_agent, delay_ms=str(opts.crawl_delay_ms), parallel=str(opts.max_concurrent_requests), depth=str(k)).load().persist()
-        n += got.count()
-        store = got if store is None else store.unionByName(got)
-        asked = spark.createDataFrame([(u,) for u in level], "url string").select(L.normalize(F.col("url")).alias("url"))
-        seen = asked if seen is None else seen.unionByName(asked)
-        links = got.filter("error is null").select(F.explode(L.links(F.col("content"), F.col("url"))).alias("url")).distinct()
-        fresh = links.filter(L.same_domain(F.col("url"), F.lit(url))).join(seen, "url", "left_anti")
-        level = [r["url"] for r in fresh.orderBy("url").limit(max(0, most - n)).collect()]  # bounded by the page limit
-        fetched.append(got)
-    if store is not None:
-        files.write_pages(store.filter("error is null"), output)
-    for got in fetched:
-        got.unpersist()
-    return n
+def crawl(spark: SparkSession, opts: options.Options, url: str, depth: int, most: int, output: str, state: str | None = None) -> int:
+    """Crawl a site and store its pages as files; with ``state``, go on with a crawl that has that folder."""
+    folder = state or f"{shared_folder(spark)}/crawl-{uuid.uuid4().hex}"
+    fetch = frontier.from_web(opts.user_agent, opts.crawl_delay_ms, opts.max_concurrent_requests)
+    got = frontier.crawl(spark.createDataFrame([(url,)], "url string"), folder, fetch, frontier.Rules(depth, True, most))
+    files.write_pages(got.filter("error is null"), output)
+    return got.count()
 
 
 def stored_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Pages that crawl() stored, or HTML files."""
-    try:
-        return spark.read.parquet(path).select(F.col("name").alias("doc_id"), F.col("value").alias("html"))
-    except Exception:
-        return files.read_html(spark, path).select(F.col("name").alias("doc_id"), "html")
+    """Pages in HTML files."""
+    return files.read_html(spark, path).select(F.col("name").alias("doc_id"), "html")
 
 
 def run(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -99,7 +80,7 @@ def run(args: list[str] | None = None, spark: SparkSession | None = None) -> int
         files.write_markdown(made, target)
 
     def to_index(name: str, source: str, target: str) -> None:
-        docs = spark.read.parquet(source).withColumn("source_url", files.X.source_url(F.col("markdown")))
+        docs = files.read_markdown(spark, source).withColumn("doc_id", F.xxhash64("name"))
         files.write_toc(index_markdown(docs, name, completer), target)
 
     def load_index(path: str | None) -> DataFrame | None:
@@ -107,7 +88,7 @@ def run(args: list[str] | None = None, spark: SparkSession | None = None) -> int
         return None if found.isEmpty() else found if path else toc.merge([found], "merged")
 
     if a.command == "crawl":
-        print(f"{crawl(spark, opts, a.url, a.depth, a.pages, a.output or str(opts.raw_dir))} pages")
+        print(f"{crawl(spark, opts, a.url, a.depth, a.pages, a.output or str(opts.raw_dir), a.state)} pages")
     elif a.command == "convert":
         to_markdown(a.input, a.output or str(opts.markdown_dir))
     elif a.command == "index":

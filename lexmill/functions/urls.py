@@ -62,6 +62,6 @@ def join(base: Column, link: Column) -> Column:
 
 def links(html: Column, base: Column) -> Column:
     """Distinct normalized http links of a page, in order of their first place."""
-    found = F.filter(F.transform(F.regexp_extract_all(html, F.lit(HREF), F.lit(1)), F.trim), lambda x: ~x.rlike(NO_LINK))
+    found = F.filter(F.transform(F.regexp_extract_all(html, F.lit(HREF), F.lit(1)), lambda x: F.trim(x)), lambda x: ~x.rlike(NO_LINK))
     whole = F.filter(F.transform(found, lambda x: join(base, x)), lambda x: x.rlike(r"\Ahttps?://"))
     return F.array_distinct(F.transform(whole, normalize))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,8 @@ from .functions import text as X
 from .functions import urls as L
 from .operators import bm25, bloom, chunking, convert, crawl, dom, signposts, toc
 from .plans import index, retrieve, streams
+from .steps import shared_folder
+from .streaming import frontier
 from .streaming import thinking as stream_thinking
 from .streaming import urls as stream_urls
 
@@ -470,6 +473,29 @@ def stream_discovered_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.run_available(stream_urls.discovered(stream)).select("url")
 
 
+def _web(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of the table, each URL once, as a web that hangs together: with links from each to the pages of eight times its number, put first as pages may break off within a tag."""
+    pages = table(spark, sf_dir, "pages").groupBy(L.normalize(F.col("url")).alias("url")).agg(F.min("page_id").alias("page_id"), F.min_by("html", "page_id").alias("html"))
+    wanted = pages.select("url", F.explode(F.sequence(F.col("page_id") * 8 + 1, F.col("page_id") * 8 + 8)).alias("to"))
+    to = pages.select(F.col("page_id").alias("to"), F.format_string('<a href="%s">more</a>', "url").alias("a"))
+    more = wanted.join(to, "to").groupBy("url").agg(F.array_join(F.collect_list("a"), "").alias("more"))  # eight at most
+    return pages.join(more, "url", "left").select("url", F.concat(F.coalesce("more", F.lit("")), "html").alias("html"), "page_id")
+
+
+@query(f"""WITH RECURSIVE p AS MATERIALIZED (SELECT {sql_normal('url')} AS url, min(page_id) AS page_id, min_by(html, page_id) AS html FROM pages GROUP BY ALL),
+  links AS MATERIALIZED (SELECT a.url AS src, b.url AS dst FROM p a JOIN p b ON b.page_id > 0 AND (b.page_id - 1) // 8 = a.page_id UNION SELECT src, dst FROM ({_SQL_EDGES.replace('FROM pages)', 'FROM p)')})),
+  walk AS (SELECT url, 0 AS depth FROM p WHERE page_id = 0 UNION SELECT dst, depth + 1 FROM walk JOIN links ON src = url WHERE depth < 40),
+  found AS MATERIALIZED (SELECT url, min(depth)::INT AS depth FROM walk GROUP BY ALL),
+  parents AS (SELECT f.url, min(src) AS parent_url FROM found f JOIN links ON dst = f.url JOIN found g ON g.url = src AND g.depth = f.depth - 1 GROUP BY ALL)
+  SELECT url, depth, parent_url, CASE WHEN page_id IS NULL THEN 404 ELSE 200 END AS status_code FROM found LEFT JOIN parents USING (url) LEFT JOIN p USING (url)""")
+def stream_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream that feeds itself walks from one page to all that can be reached, missing pages included."""
+    web = _web(spark, sf_dir)
+    seeds = web.filter("page_id = 0").select("url")
+    got = frontier.crawl(seeds, f"{shared_folder(spark)}/crawl-{uuid.uuid4().hex}", frontier.from_table(web.select("url", "html")), frontier.Rules(max_depth=40, same_domain=False))
+    return got.select("url", "depth", "parent_url", "status_code")
+
+
 @query("""SELECT doc_id AS answer_id, sha256(regexp_replace(replace(replace(text, 'th', '<think>'), 'er', '</think>'), '(?s)<think>.*?</think>|<think>.*$', '', 'g')) AS shown_sha FROM documents
   WHERE regexp_replace(replace(replace(text, 'th', '<think>'), 'er', '</think>'), '(?s)<think>.*?</think>|<think>.*$', '', 'g') <> ''""")
 def stream_thinking_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

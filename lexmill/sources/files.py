@@ -9,6 +9,7 @@ from .. import schemas
 from ..functions import text as X
 from ..operators.crawl import keep_last_of_content
 from ..operators.toc import COLUMNS
+from . import texts
 
 
 def _whole(spark: SparkSession, path: str, pattern: str) -> DataFrame:
@@ -32,16 +33,21 @@ def page_files(pages: DataFrame, order: str = "crawled_at", html: str = "content
     return kept.select(F.concat("content_hash", F.lit(".html")).alias("name"), F.concat(X.page_header(F.col("url"), F.col("crawled_at"), F.col("depth")), F.col(html)).alias("value"), "content_hash")
 
 
-def write_pages(pages: DataFrame, path: str, order: str = "crawled_at", html: str = "content") -> None:
-    """Store pages, dealt out by the first digits of their content's hash."""
-    files = page_files(pages, order, html)
-    files.select("name", "value", F.substring("content_hash", 1, 2).alias("shard")).write.mode("overwrite").partitionBy("shard").parquet(path)
+def write_pages(pages: DataFrame, path: str, order: str = "crawled_at", html: str = "content", mode: str = "overwrite") -> None:
+    """Store pages as ``<hash of the content>.html``, with their URL, time and depth in comments."""
+    texts.write(page_files(pages, order, html), path, mode)
 
 
-def write_markdown(docs: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Store ``markdown`` with its source in a comment, by key."""
+def markdown_files(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``name`` and ``value`` of files of ``markdown``, named by ``key`` without the ending of a page, with the source in a comment."""
     url = F.col("source_url") if "source_url" in docs.columns else F.lit(None).cast("string")
-    docs.select(key, X.with_source(F.col("markdown"), url).alias("markdown")).write.mode("overwrite").parquet(path)
+    stem = F.regexp_replace(F.col(key).cast("string"), r"\.html\z", "")
+    return docs.select(F.concat(stem, F.lit(".md")).alias("name"), X.with_source(F.col("markdown"), url).alias("value"))
+
+
+def write_markdown(docs: DataFrame, path: str, key: str = "doc_id", mode: str = "overwrite") -> None:
+    """Store documents as ``<key>.md``."""
+    texts.write(markdown_files(docs, key), path, mode)
 
 
 def toc_documents(toc: DataFrame) -> DataFrame:
@@ -52,9 +58,18 @@ def toc_documents(toc: DataFrame) -> DataFrame:
     return grouped.select(F.lit("1.0").alias("version"), "source_name", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("created_at"), F.size("found").alias("entry_count"), F.transform("found", lambda x: x["entry"]).alias("entries"))
 
 
-def write_toc(toc: DataFrame, path: str) -> None:
-    """Store indexes as JSON, one a line."""
-    toc_documents(toc).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+def toc_files(toc: DataFrame) -> DataFrame:
+    """``name`` and ``value`` of an indented JSON file for each index.  A file holds a whole index, so it must fit into a task."""
+    docs = toc_documents(toc)
+    return docs.select(F.concat("source_name", F.lit(".json")).alias("name"), F.to_json(F.struct(*docs.columns), {"pretty": "true", "ignoreNullFields": "false"}).alias("value"))
+
+
+def write_toc(toc: DataFrame, path: str, indented: bool = True, mode: str = "overwrite") -> None:
+    """Store indexes as ``<source>.json``, or not ``indented``, as JSON lines, one an index."""
+    if indented:
+        texts.write(toc_files(toc), path, mode)
+    else:
+        toc_documents(toc).write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
 def read_toc(spark: SparkSession, path: str) -> DataFrame:
