@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions import answers as A
 from ..functions import text as X
 from ..operators import bm25
 from ..operators.completion import Completer, complete
+from ..operators.explore import walk
 from ..operators.toc import entries, lookup
 from ..steps import keep
 
@@ -74,57 +77,41 @@ def _facts_by_words(query: F.Column, content: F.Column) -> F.Column:
     return F.array_join(F.filter(sentences, lambda s: F.arrays_overlap(X.tokens(s), asked)), " ")
 
 
-def extract(wanted: DataFrame, toc: DataFrame, completer: Completer | None = None) -> DataFrame:
-    """``facts``, ``needs_parent``, ``parent_target`` for each of ``wanted`` (``query_id``, ``query``, ``rank``, ``chunk_id``) that the index has."""
-    rows = wanted.join(lookup(toc, wanted).select("chunk_id", "header", "parent_id", "raw_markdown"), "chunk_id")
-    part = F.substring("raw_markdown", 1, CONTEXT)
+#: What sections say about a query and whether they send on to their parent, without a model: columns of the query and of the content.
+Rule = Callable[[F.Column, F.Column], tuple[F.Column, F.Column]]
+
+
+def words_or_parent(query: F.Column, content: F.Column) -> tuple[F.Column, F.Column]:
+    """Sentences that share a word with the query; a section without any asks for its parent."""
+    facts = _facts_by_words(query, content)
+    return facts, facts == ""
+
+
+def extract(wanted: DataFrame, toc: DataFrame, completer: Completer | None = None, rule: Rule = words_or_parent) -> DataFrame:
+    """``query_id``, ``query``, ``chunk_id``, ``facts``, ``needs_parent``, ``target`` for each of ``wanted`` (``query_id``, ``query``, ``chunk_id``) that the index has."""
+    rows = wanted.join(lookup(toc, wanted).select("chunk_id", "header", F.nullif("parent_id", F.lit("")).alias("parent_id"), F.substring("raw_markdown", 1, CONTEXT).alias("part")), "chunk_id")
     if completer is None:
-        none = F.lit(None).cast("string")
-        return rows.select("query_id", "query", "rank", "chunk_id", "parent_id", _facts_by_words(F.col("query"), part).alias("facts"), F.lit(False).alias("needs_parent"), none.alias("parent_target"))
+        facts, asks = rule(F.col("query"), F.col("part"))
+        return rows.select("query_id", "query", "chunk_id", F.when(asks, "").otherwise(facts).alias("facts"), asks.alias("needs_parent"), F.col("parent_id").alias("target"))
     template = "Question:\n%s\n\nSection %s, titled %s, inside of section %s:\n%s"
-    prompts = rows.select("query_id", "query", "rank", "chunk_id", "parent_id", F.format_string(template, "query", "chunk_id", "header", F.coalesce(F.nullif("parent_id", F.lit("")), F.lit("none")), part).alias("prompt"))
-    asked = keep(complete(prompts, completer, EXTRACT))
-    return asked.withColumn("e", A.extracted(F.coalesce("answer", F.lit("")), F.col("parent_id"))).select("query_id", "query", "rank", "chunk_id", "parent_id", "e.*")
+    prompts = rows.select("query_id", "query", "chunk_id", "parent_id", F.format_string(template, "query", "chunk_id", "header", F.coalesce("parent_id", F.lit("none")), "part").alias("prompt"))
+    answered = complete(prompts, completer, EXTRACT).withColumn("e", A.extracted(F.coalesce("answer", F.lit("")), F.col("parent_id")))
+    return answered.select("query_id", "query", "chunk_id", "e.facts", "e.needs_parent", F.coalesce(F.nullif("e.parent_target", F.lit("")), "parent_id").alias("target"))
 
 
-def explore(wanted: DataFrame, toc: DataFrame, completer: Completer | None = None, most_parents: int = PARENTS) -> DataFrame:
+def explore(wanted: DataFrame, toc: DataFrame, completer: Completer | None = None, most_parents: int = PARENTS, rule: Rule = words_or_parent) -> DataFrame:
     """``query_id``, ``answer``, ``chunks_explored``, ``parent_explorations`` for ``wanted`` (``query_id``, ``query``, ``rank``, ``chunk_id``).
 
-    A chunk may ask for its parent, which is explored right after it; a query
-    gets ``most_parents`` of them.  Each round of parents is one join.
+    Sections may send on to their parents, ``most_parents`` times a query; see operators.explore.
     """
-    first = Window.partitionBy("query_id", "chunk_id").orderBy("rank")
-    todo = wanted.withColumn("rank", F.array("rank")).withColumn("_k", F.row_number().over(first)).filter("_k = 1").drop("_k")
-    explored, found, used = todo, None, None
-    for _ in range(most_parents + 1):
-        got = extract(todo, toc, completer)
-        found = got if found is None else found.unionByName(got)
-        asks = got.filter("needs_parent").select("query_id", "query", F.concat("rank", F.array(F.lit(0))).alias("rank"), F.coalesce(F.nullif("parent_target", F.lit("")), F.col("parent_id")).alias("chunk_id")).filter("chunk_id is not null")
-        fresh = asks.join(explored.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-        one = Window.partitionBy("query_id", "chunk_id").orderBy("rank")
-        fresh = fresh.withColumn("_k", F.row_number().over(one)).filter("_k = 1").drop("_k").select("query_id", "query", "rank", "chunk_id")
-        spent = F.coalesce("spent", F.lit(0))
-        if used is not None:
-            fresh = fresh.join(used, "query_id", "left")
-        else:
-            fresh = fresh.withColumn("spent", F.lit(0))
-        order = Window.partitionBy("query_id").orderBy("rank")
-        todo = fresh.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") + spent <= most_parents).select("query_id", "query", "rank", "chunk_id")
-        if completer is not None:
-            todo = keep(todo)
-        counted = todo.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("spent"))
-        used = counted if used is None else used.unionByName(counted).groupBy("query_id").agg(F.sum("spent").cast("int").alias("spent"))
-        explored = explored.unionByName(todo)
-        if completer is None:
-            break  # the stand-in never asks
-    told = found.filter("facts <> ''").groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "facts"))), lambda x: F.format_string("From %s:\n%s", x["chunk_id"], x["facts"])), "\n\n").alias("told"))
-    base = explored.groupBy("query_id").agg(F.first("query").alias("query"), F.count(F.lit(1)).cast("int").alias("chunks_explored")).join(used, "query_id", "left").join(told, "query_id", "left")
-    rows = base.select("query_id", "query", "chunks_explored", F.coalesce("spent", F.lit(0)).alias("parent_explorations"), "told")
-    nothing = F.coalesce(X.strip(F.col("told")), F.lit("")) == ""
+    visited = walk(wanted, lambda rows: extract(rows, toc, completer, rule), most_parents)
+    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("facts") != "", F.struct("rank", "chunk_id", "facts")))), lambda x: F.format_string("From %s:\n%s", x["chunk_id"], x["facts"])), "\n\n")
+    by_query = visited.groupBy("query_id").agg(F.first("query").alias("query"), F.count(F.lit(1)).cast("int").alias("chunks_explored"), F.count_if(F.size("rank") > 1).cast("int").alias("parent_explorations"), told.alias("told"))
+    nothing = X.strip(F.col("told")) == ""
     if completer is None:
-        return rows.select("query_id", F.when(nothing, NOT_FOUND).otherwise(F.col("told")).alias("answer"), "chunks_explored", "parent_explorations")
+        return by_query.select("query_id", F.when(nothing, NOT_FOUND).otherwise(F.col("told")).alias("answer"), "chunks_explored", "parent_explorations")
     prompt = F.when(~nothing, F.format_string("Question:\n%s\n\nNotes:\n%s", "query", "told"))
-    asked = keep(complete(rows.withColumn("prompt", prompt), completer, SYNTHESIZE, temperature=0.3))
+    asked = keep(complete(by_query.withColumn("prompt", prompt), completer, SYNTHESIZE, temperature=0.3))
     return asked.select("query_id", F.when(nothing, NOT_FOUND).otherwise(X.strip(F.col("answer"))).alias("answer"), "chunks_explored", "parent_explorations")
 
 

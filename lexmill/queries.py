@@ -5,15 +5,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import answers as A
 from .functions import text as X
 from .functions import urls as L
-from .operators import bm25, bloom, chunking, convert, crawl, dom, signposts, toc
+from .operators import bm25, bloom, chunking, convert, crawl, dom, explore, signposts, toc
 from .plans import index, retrieve, streams
-from .steps import shared_folder
+from .steps import keep, shared_folder
 from .streaming import frontier
 from .streaming import thinking as stream_thinking
 from .streaming import urls as stream_urls
@@ -410,7 +410,30 @@ def route_by_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def retrieve_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return retrieve.retrieve(asked, _toc(spark, sf_dir))
+    return retrieve.retrieve(asked, keep(_toc(spark, sf_dir)))
+
+
+#: Words under which a section sends on to the one around it, in explore_parents.
+_FEW_WORDS = 40
+
+
+@query(f"""WITH RECURSIVE {_SQL_MD_TOC}, asks AS MATERIALIZED (SELECT chunk_id, header, parent_id, len({sql_words('substr(content, 1, 3000)')}) < {_FEW_WORDS} AS asks FROM firsts),
+  walk AS (SELECT doc_id AS query_id, list(chunk_id ORDER BY pos) AS todo, CAST([] AS VARCHAR[]) AS explored, 0 AS used FROM chunks WHERE header_level = 3 GROUP BY ALL
+    UNION ALL SELECT query_id, CASE WHEN sent THEN list_prepend(parent_id, todo[2:]) ELSE todo[2:] END, CASE WHEN list_contains(explored, todo[1]) THEN explored ELSE list_append(explored, todo[1]) END, used + sent::INT FROM (
+      SELECT w.*, a.parent_id, coalesce(NOT list_contains(explored, todo[1]) AND a.asks AND used < 2 AND parent_id IS NOT NULL AND NOT list_contains(list_append(explored, todo[1]), parent_id), false) AS sent
+      FROM walk w LEFT JOIN asks a ON a.chunk_id = w.todo[1] WHERE len(todo) > 0)),
+  visits AS (SELECT query_id, used AS parents, unnest(explored) AS chunk_id, unnest(range(len(explored)))::INT AS place FROM walk WHERE len(todo) = 0)
+  SELECT query_id, place, chunk_id, header, coalesce(asks, false) AS needs_parent, parents FROM visits LEFT JOIN asks USING (chunk_id)""")
+def explore_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's innermost sections are explored; short ones send on to the sections around them, two times a document."""
+    index_ = keep(_md_toc(spark, sf_dir))
+    wanted = index_.filter("header_level = 3").select(F.col("doc_id").alias("query_id"), F.lit("").alias("query"), F.col("pos").alias("rank"), "chunk_id")
+    short = lambda query, content: (content, X.word_count(content) < _FEW_WORDS)
+    visited = explore.walk(wanted, lambda rows: retrieve.extract(rows, index_, rule=short), 2)
+    of_query = Window.partitionBy("query_id")
+    placed = visited.withColumn("place", F.row_number().over(of_query.orderBy("rank")) - 1).withColumn("parents", F.count_if(F.size("rank") > 1).over(of_query).cast("int"))
+    headers = toc.lookup(index_, visited).select("chunk_id", "header")
+    return placed.join(headers, "chunk_id", "left").select("query_id", "place", "chunk_id", "header", F.coalesce("needs_parent", F.lit(False)).alias("needs_parent"), "parents")
 
 
 @query()
