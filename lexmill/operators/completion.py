@@ -3,46 +3,103 @@
 from __future__ import annotations
 
 import json
+import threading
 import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import partial
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-#: system text, prompt, temperature, most tokens -> answer
-Completer = Callable[[str, str, float, int], str]
+from .. import schemas
+
+class Reply(NamedTuple):
+    """What a model gave: its answer, why it ended there, and tokens of the prompt and of the answer, where it tells."""
+
+    answer: str
+    finish_reason: str | None = None
+    prompt_tokens: int | None = None
+    completion_tokens: int | None = None
+
+
+#: system text, prompt, temperature, most tokens -> answer, alone or with its accounts
+Completer = Callable[[str, str, float, int], str | Reply]
 #: Statuses of a server that may answer later: too early, too many requests, and its own faults.
 LATER = (408, 425, 429)
+REPLY = "answer string, finish_reason string, prompt_tokens int, completion_tokens int, error string"
+
 
+class Pace:
+    """Lets calls through at a rate, and ``burst`` of them at once after a rest.  Threads may share one."""
 
-def complete(prompts: DataFrame, completer: Completer, system: str = "", temperature: float = 0.1, max_tokens: int = 2048) -> DataFrame:
-    """``prompts`` with ``answer``: the model's answer to each ``prompt``, or null where the call failed.
+    def __init__(self, per_second: float, burst: int = 1, now: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> None:
+        self.gap, self.now, self.sleep, self.lock = 1.0 / per_second, now, sleep, threading.Lock()
+        self.credit = burst * self.gap
+        self.free = now() - self.credit
 
-    The completer is sent to the workers, which call it once a row, batch by
-    batch; a failure costs a row its answer and not the job.
+    def wait(self) -> None:
+        with self.lock:
+            self.free = max(self.free, self.now() - self.credit) + self.gap
+            rest = self.free - self.now()
+        if rest > 0:
+            self.sleep(rest)
+
+
+def ask(prompts: DataFrame, completer: Completer, system: str = "", temperature: float = 0.1, max_tokens: int = 2048, at_once: int = 1, per_second: float | None = None, tasks: int | None = None) -> DataFrame:
+    """``prompts`` with ``reply``, a struct of REPLY, for each ``prompt``; where a call failed it has an ``error`` and no answer.
+
+    The completer is sent to the workers.  Each task has ``at_once`` calls under way
+    at most, and begins ``per_second`` of them at most; with ``tasks``, rows are dealt
+    out to so many, so a server sees ``tasks * at_once`` calls at a time.  Rows keep
+    their order and pass batch by batch.  A null prompt is no call and has a null reply.
     """
 
-    def ask(prompt: str | None) -> str | None:
-        try:
-            return None if prompt is None else completer(system, prompt, temperature, max_tokens)
-        except Exception:
+    kind = to_arrow_schema(schemas.struct(f"reply struct<{REPLY}>")).field(0).type
+
+    def one(pace: Pace | None, prompt: str | None) -> dict | None:
+        if prompt is None:
             return None
+        if pace:
+            pace.wait()
+        try:
+            got = completer(system, prompt, temperature, max_tokens)
+        except Exception as e:
+            return {"error": f"{type(e).__name__}: {e}"}
+        return (Reply(got) if isinstance(got, str) else got)._asdict()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            answers = [ask(p) for p in b.column(b.schema.get_field_index("prompt")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(answers, pa.string())], [*b.schema.names, "answer"])
+        pace = Pace(per_second, at_once) if per_second else None
+        with ThreadPoolExecutor(at_once) as pool:
+            for b in batches:
+                replies = pool.map(partial(one, pace), b.column(b.schema.get_field_index("prompt")).to_pylist())
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(replies), kind)], [*b.schema.names, "reply"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema)
-    return prompts.mapInArrow(run, f"{kinds}, answer string")
+    rows = prompts if tasks is None else prompts.repartition(tasks)
+    return rows.mapInArrow(run, f"{kinds}, reply struct<{REPLY}>")
+
+
+def complete(prompts: DataFrame, completer: Completer, system: str = "", temperature: float = 0.1, max_tokens: int = 2048, **how: object) -> DataFrame:
+    """``prompts`` with ``answer``: as ask(), but with the answer alone, null where the call failed."""
+    return ask(prompts, completer, system, temperature, max_tokens, **how).withColumn("answer", F.col("reply.answer")).drop("reply")
 
 
-def http_completer(base_url: str, model: str, api_key: str = "", timeout: float = 120.0, attempts: int = 3) -> Completer:
+def usage(asked: DataFrame, *by: str) -> DataFrame:
+    """Calls, failures and tokens of what ask() gave, in all or by some columns; null replies are no calls."""
+    tokens = lambda c: F.coalesce(F.sum(f"reply.{c}"), F.lit(0).cast("long")).alias(c)
+    calls = asked.filter("reply is not null")
+    return calls.groupBy(*by).agg(F.count(F.lit(1)).alias("calls"), F.count("reply.error").alias("failed"), F.count_if(F.col("reply.finish_reason") == "length").alias("cut_off"), tokens("prompt_tokens"), tokens("completion_tokens"))
+
+
+def http_completer(base_url: str, model: str, api_key: str = "", timeout: float = 120.0, attempts: int = 3, stop: list[str] | None = None) -> Completer:
     """A completer for a server with a chat-completions endpoint; lost connections and busy servers are tried again."""
-    return partial(_post, base_url.rstrip("/") + "/chat/completions", model, api_key, timeout, attempts)
+    return partial(_post, base_url.rstrip("/") + "/chat/completions", model, api_key, timeout, attempts, stop)
 
 
 def http_stream(base_url: str, model: str, api_key: str = "", timeout: float = 120.0) -> Callable[[str, str, float, int], Iterator[str]]:
@@ -53,7 +110,8 @@ def http_stream(base_url: str, model: str, api_key: str = "", timeout: float = 1
 def is_alive(completer: Completer) -> bool:
     """Whether a model answers."""
     try:
-        return bool(completer("", "Say 'ok'", 0.0, 5).strip())
+        got = completer("", "Are you there? Reply with yes.", 0.0, 5)
+        return bool((got if isinstance(got, str) else got.answer).strip())
     except Exception:
         return False
 
@@ -73,12 +131,12 @@ def _request(url: str, model: str, api_key: str, system: str, prompt: str, tempe
     return urllib.request.Request(url, body, {"Content-Type": "application/json", "Authorization": f"Bearer {api_key}"})
 
 
-def _post(url: str, model: str, api_key: str, timeout: float, attempts: int, system: str, prompt: str, temperature: float, max_tokens: int) -> str:
-    request = _request(url, model, api_key, system, prompt, temperature, max_tokens)
+def _post(url: str, model: str, api_key: str, timeout: float, attempts: int, stop: list[str] | None, system: str, prompt: str, temperature: float, max_tokens: int) -> Reply:
+    request = _request(url, model, api_key, system, prompt, temperature, max_tokens, **({"stop": stop} if stop else {}))
     for k in range(attempts):
         try:
             with urllib.request.urlopen(request, timeout=timeout) as r:
-                return text_of(json.load(r))
+                return reply_of(json.load(r))
         except (urllib.error.URLError, TimeoutError) as e:
             refused = isinstance(e, urllib.error.HTTPError) and e.code < 500 and e.code not in LATER
             if refused or k == attempts - 1:
@@ -113,6 +171,14 @@ def without_thinking(tokens: Iterator[str]) -> Iterator[str]:
         yield buffer
 
 
+def reply_of(response: object) -> Reply:
+    """A response's text and accounts; what it doesn't tell is None."""
+    told = response if isinstance(response, dict) else {}
+    counts = told.get("usage") or {}
+    choice = (told.get("choices") or [{}])[0]
+    return Reply(text_of(response), choice.get("finish_reason"), counts.get("prompt_tokens"), counts.get("completion_tokens"))
+
+
 def text_of(response: object) -> str:
     """Text of a response: a string, a list of blocks, or the old ``text`` field."""
     if isinstance(response, str):

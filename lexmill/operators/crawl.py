@@ -35,6 +35,21 @@ def count_urls(pages: DataFrame, url: str = "url", error: float = 0.01) -> DataF
     return pages.select(u).agg(F.count_distinct("url").alias("n_urls")).join(about, how="cross")  # one row each
 
 
+def url_sketches(pages: DataFrame, *by: str, url: str = "url", lg_k: int = 14) -> DataFrame:
+    """A sketch of the distinct normalized URLs of each part (``by``); ``sketch`` is kept and united later.
+
+    Sketches of parts that were made at different times add up: united_count() of
+    them is that of one sketch of all.  With 2^14 registers the relative standard
+    error is 0.8 %.  Null URLs are not counted.
+    """
+    return pages.groupBy(*by).agg(F.hll_sketch_agg(L.normalize(F.col(url)), F.lit(lg_k)).alias("sketch"))
+
+
+def united_count(sketches: DataFrame, *by: str) -> DataFrame:
+    """``n_urls_about`` from the ``sketch`` of several parts."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_urls_about"))
+
+
 def crawl(links: DataFrame, seeds: DataFrame, max_depth: int = 3, same_domain: bool = True, max_pages: int | None = None, failed: DataFrame | None = None) -> DataFrame:
     """``seed``, ``url``, ``depth``, ``parent_url`` of the pages that a breadth-first crawl visits.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import answers as A
 from .functions import text as X
 from .functions import urls as L
-from .operators import bm25, bloom, chunking, convert, crawl, dom, explore, signposts, toc
+from .operators import bm25, bloom, chunking, completion, convert, crawl, dom, explore, postings, signposts, toc
 from .plans import index, retrieve, streams
 from .steps import keep, shared_folder
 from .streaming import frontier
@@ -169,6 +169,22 @@ def url_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("n_urls", (F.abs(F.col("n_urls_about") - F.col("n_urls")) <= 0.05 * F.col("n_urls")).alias("about_right"))
 
 
+_SQL_LAST_SEGMENT = "regexp_extract(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1), '([^.]*)$', 1)"
+
+
+@query(f"""SELECT ending, count(DISTINCT {sql_normal('url')}) AS n_urls, true AS about_right, true AS as_of_all FROM (SELECT url, {_SQL_LAST_SEGMENT} AS ending FROM pages) GROUP BY ending
+  UNION ALL SELECT 'all', count(DISTINCT {sql_normal('url')}), true, true FROM pages""")
+def url_counts_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of ten batches of pages, united for each ending of host names and for all: against exact counts, and against one sketch of all."""
+    pages = table(spark, sf_dir, "pages").select("url", F.regexp_extract(F.regexp_extract(L.authority(F.col("url")), r"\A([^:]*)", 1), r"([^.]*)\z", 1).alias("ending"), F.pmod(F.xxhash64("page_id"), F.lit(10)).alias("batch"))
+    parts = keep(crawl.url_sketches(pages, "batch", "ending"))
+    united = crawl.united_count(parts, "ending").unionByName(crawl.united_count(parts).withColumn("ending", F.lit("all")))
+    exact = pages.select("ending", L.normalize(F.col("url")).alias("url")).groupBy("ending").agg(F.count_distinct("url").alias("n_urls")).unionByName(crawl.count_urls(pages).select(F.lit("all").alias("ending"), "n_urls"))
+    at_once = crawl.united_count(crawl.url_sketches(pages, "ending"), "ending").unionByName(crawl.united_count(crawl.url_sketches(pages)).withColumn("ending", F.lit("all"))).withColumnRenamed("n_urls_about", "at_once")
+    joined = united.join(exact, "ending").join(at_once, "ending")
+    return joined.select("ending", "n_urls", (F.abs(F.col("n_urls_about") - F.col("n_urls")) <= F.greatest(F.lit(1.0), 0.04 * F.col("n_urls"))).alias("about_right"), (F.abs(F.col("n_urls_about") - F.col("at_once")) <= 0.02 * F.col("n_urls")).alias("as_of_all"))
+
+
 @query()
 def bloom_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bloom.Bloom(100_000, 0.01)
@@ -398,6 +414,22 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.search(table(spark, sf_dir, "documents"), asked, 5).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
+@query(SQL["bm25_topk"])
+def bm25_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search from an index in tables by shard of the term, of which it reads what the queries ask for."""
+    folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    terms = bm25.tokenized(table(spark, sf_dir, "documents"))
+    posted = postings.postings(terms)
+    posted.hint("rebalance", "shard").write.partitionBy("shard").parquet(f"{folder}/postings")
+    posted = spark.read.schema(posted.schema).parquet(f"{folder}/postings")
+    totals = postings.counts(posted)
+    totals.hint("rebalance", "shard").write.partitionBy("shard").parquet(f"{folder}/counts")
+    totals = spark.read.schema(totals.schema).parquet(f"{folder}/counts")
+    stats = keep(postings.statistics(terms.select(F.size("terms").alias("dl")), totals))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return postings.search(posted, totals, stats, asked, 5).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
 @query(f"""WITH {_SQL_TOC}, shown AS (SELECT DISTINCT doc_id, chunk_id, term FROM (SELECT doc_id, chunk_id, unnest({sql_tokens('dense_signpost')}) AS term FROM (SELECT * FROM toc ORDER BY doc_id LIMIT 50))),
   asked AS (SELECT DISTINCT item_id, unnest({sql_tokens('text')}) AS term FROM benchmark), hits AS (SELECT item_id, doc_id, chunk_id, count(*) AS shared FROM asked JOIN shown USING (term) GROUP BY ALL),
   best AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS k FROM hits), ids AS (SELECT item_id, string_agg(chunk_id, ',' ORDER BY k) AS ids FROM best WHERE k <= 5 GROUP BY ALL)
@@ -476,6 +508,34 @@ def answer_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(k == 3, F.col("text")).otherwise(e["facts"]).alias("facts"), e["needs_parent"].alias("needs_parent"), e["parent_target"].alias("parent_target"))
 
 
+#: Tokens that the model of model_usage answers with, at most.
+_MOST_TOKENS = 20
+
+
+def _repeats(system: str, prompt: str, temperature: float, max_tokens: int) -> completion.Reply:
+    """A model that says the beginning of its prompt again, counts words as tokens, and refuses long prompts."""
+    words = prompt.split(" ")
+    if len(words) > 60:
+        raise ValueError("the prompt is too long")
+    return completion.Reply(" ".join(words[:max_tokens]), "length" if len(words) > max_tokens else "stop", len(words), min(len(words), max_tokens))
+
+
+@query(f"""SELECT role, count(*) AS calls, count(*) FILTER (n > 60) AS failed, count(*) FILTER (n > {_MOST_TOKENS} AND n <= 60) AS cut_off, coalesce(sum(n) FILTER (n <= 60), 0)::BIGINT AS prompt_tokens,
+  coalesce(sum(least(n, {_MOST_TOKENS})) FILTER (n <= 60), 0)::BIGINT AS completion_tokens FROM (SELECT role, len(string_split(text, ' ')) AS n FROM conversations WHERE text IS NOT NULL) GROUP BY role""")
+def model_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model would be asked about every turn of the conversations, and the accounts of its replies."""
+    turns = table(spark, sf_dir, "conversations").select("role", F.col("text").alias("prompt"))
+    return completion.usage(completion.ask(turns, _repeats, max_tokens=_MOST_TOKENS, at_once=4), "role")
+
+
+@query(f"""SELECT conv_id, turn, array_to_string(string_split(text, ' ')[1:{_MOST_TOKENS}], ' ') AS answer, CASE WHEN n > {_MOST_TOKENS} THEN 'length' ELSE 'stop' END AS finish_reason
+  FROM (SELECT *, len(string_split(text, ' ')) AS n FROM conversations WHERE text IS NOT NULL) WHERE n <= 60""")
+def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The replies that did not fail."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("prompt"))
+    return completion.ask(turns, _repeats, max_tokens=_MOST_TOKENS, at_once=4).filter("reply.answer is not null").select("conv_id", "turn", "reply.answer", "reply.finish_reason")
+
+
 @query("SELECT item_id AS query_id, unnest(string_split(text, '')) AS char, (generate_subscripts(string_split(text, ''), 1) - 1)::INT AS k FROM benchmark")
 def answer_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.characters(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("answer")))
