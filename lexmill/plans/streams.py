@@ -23,3 +23,18 @@ def run_available(stream: DataFrame) -> DataFrame:
     query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+#: The state store that stateful processors with timers ask for.
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_timed(stream: DataFrame) -> DataFrame:
+    """As run_available(), with the state store that timers need; the session's own setting is put back."""
+    conf = stream.sparkSession.conf
+    before = conf.get(_PROVIDER[0])
+    conf.set(*_PROVIDER)
+    try:
+        return run_available(stream)
+    finally:
+        conf.set(_PROVIDER[0], before)

@@ -589,3 +589,24 @@ def stream_thinking_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = streams.run_available(stream_thinking.filter_thinking(tokens))
     joined = shown.groupBy("answer_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "shown"))), lambda x: x["shown"]), "").alias("text"))
     return joined.select("answer_id", F.sha2("text", 256).alias("shown_sha"))
+
+
+#: Milliseconds after its tokens that an answer without a last one is given up, in stream_thinking_timeout.
+_PATIENCE_MS = 20_500
+_SQL_MARKED = "regexp_replace(replace(replace(text, 'th', '<think>'), 'er', '</think>'), '(?s)<think>.*?</think>', '', 'g')"
+
+
+@query(f"""WITH t AS (SELECT doc_id, text, doc_id % 3 = 0 AS done, doc_id + {_PATIENCE_MS / 1000} < (SELECT max(doc_id) FROM documents) AS late FROM documents WHERE text IS NOT NULL AND text <> ''),
+  v AS (SELECT *, {_SQL_MARKED} AS v FROM t), shown AS (SELECT *, CASE WHEN contains(v, '<think>') THEN regexp_replace(v, '(?s)<think>.*$', '') WHEN done OR late THEN v || '<thi' ELSE v END AS shown FROM v)
+  SELECT doc_id AS answer_id, sha256(shown) AS shown_sha, CASE WHEN done THEN 'last' WHEN late THEN 'timeout' END AS ended FROM shown WHERE shown <> '' OR done OR late""")
+def stream_thinking_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with marks put in, streamed four characters at a time, of which only every third has a last token; an answer a second, in the order of ids.
+
+    Those that are not among the last are given up, so what they held back is shown.
+    """
+    marked = F.concat(F.replace(F.replace("text", F.lit("th"), F.lit("<think>")), F.lit("er"), F.lit("</think>")), F.lit("<thi"))
+    docs = streams.read_stream(spark, f"{sf_dir}/documents.parquet", 1 << 30).filter("text <> ''").select(F.col("doc_id").alias("answer_id"), F.timestamp_seconds(F.col("doc_id") + 1).alias("at"), F.regexp_extract_all(marked, F.lit("(?s).{1,4}"), F.lit(0)).alias("tokens"))
+    tokens = docs.select("answer_id", "at", F.posexplode("tokens").alias("seq", "token"), F.size("tokens").alias("n")).select("answer_id", "at", F.col("seq").cast("long").alias("seq"), "token", ((F.col("seq") == F.col("n") - 1) & (F.col("answer_id") % 3 == 0)).alias("last"))
+    shown = streams.run_timed(stream_thinking.filter_thinking_within(tokens, _PATIENCE_MS))
+    joined = shown.groupBy("answer_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "shown"))), lambda x: x["shown"]), "").alias("text"), F.max("ended").alias("ended"))
+    return joined.select("answer_id", F.sha2("text", 256).alias("shown_sha"), "ended")

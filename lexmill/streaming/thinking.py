@@ -6,6 +6,8 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 START, END = "<think>", "</think>"
@@ -57,3 +59,61 @@ def filter_thinking(stream: DataFrame) -> DataFrame:
 
     kind = stream.schema["answer_id"].dataType.simpleString()
     return stream.groupBy("answer_id").applyInPandasWithState(run, f"answer_id {kind}, seq long, shown string", "buffer string, inside boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+class _Answer(StatefulProcessor):
+    """State of an answer: what is held back, whether a thought is open, the last token's number, and when patience ends."""
+
+    def __init__(self, patience_ms: int) -> None:
+        self.patience = patience_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("answer", "buffer string, inside boolean, seq long, until long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        buffer, inside, seq, until = self.state.get() if self.state.exists() else ("", False, -1, None)
+        tokens = pd.concat(list(rows)).sort_values("seq")
+        found, over = [], False
+        for seq, token, last in zip(tokens["seq"], tokens["token"], tokens["last"], strict=True):
+            shown, buffer, inside = step(buffer, inside, token or "")
+            over = over or bool(last)
+            if last:
+                shown += "" if inside else buffer
+            if shown or last:
+                found.append((key[0], int(seq), shown, "last" if last else None))
+        if until is not None:
+            self.handle.deleteTimer(until)
+        if over:
+            self.state.clear()
+        else:
+            until = int(tokens["at_ms"].max()) + self.patience if until is None else max(until, int(tokens["at_ms"].max()) + self.patience)
+            self.handle.registerTimer(until)
+            self.state.update((buffer, bool(inside), int(seq), until))
+        yield _shown(found)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        buffer, inside, seq, _ = self.state.get()
+        self.state.clear()
+        yield _shown([(key[0], seq + 1, "" if inside else buffer, "timeout")])
+
+    def close(self) -> None:
+        pass
+
+
+def _shown(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["answer_id", "seq", "shown", "ended"])
+
+
+def filter_thinking_within(stream: DataFrame, patience_ms: int, late: str = "0 seconds", time: str = "at") -> DataFrame:
+    """As filter_thinking(), with ``ended``: ``last`` at an answer's last token, ``timeout`` where none came in time.
+
+    ``time`` is when a token came.  When the watermark, the latest time less ``late``,
+    passes an answer's latest token by ``patience_ms``, what was held back is let
+    through and the answer's state goes, so no answer stays in state for ever.
+    Tokens that come behind the watermark are dropped.  The state store must be
+    RocksDB, which plans.streams.run_timed() sees to.
+    """
+    kind = stream.schema["answer_id"].dataType.simpleString()
+    rows = stream.withColumn("at_ms", F.unix_millis(time)).withWatermark(time, late)
+    return rows.groupBy("answer_id").transformWithStateInPandas(_Answer(patience_ms), f"answer_id {kind}, seq long, shown string, ended string", "Append", "EventTime")
