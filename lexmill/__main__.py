@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import options, service
-from .operators import convert, toc
+from . import observe, options, service
+from .operators import convert, dom, toc
 from .operators.completion import Completer, http_completer
 from .plans.index import index_markdown
 from .plans.retrieve import retrieve
@@ -55,8 +55,11 @@ def crawl(spark: SparkSession, opts: options.Options, url: str, depth: int, most
     """Crawl a site and store its pages as files; with ``state``, go on with a crawl that has that folder."""
     folder = state or f"{shared_folder(spark)}/crawl-{uuid.uuid4().hex}"
     fetch = frontier.from_web(opts.user_agent, opts.crawl_delay_ms, opts.max_concurrent_requests)
-    got = frontier.crawl(spark.createDataFrame([(url,)], "url string"), folder, fetch, frontier.Rules(depth, True, most))
-    files.write_pages(got.filter("error is null"), output)
+    with observe.stream_progress(spark, "crawl"):
+        got = frontier.crawl(spark.createDataFrame([(url,)], "url string"), folder, fetch, frontier.Rules(depth, True, most))
+    watched, seen = observe.watched(got, "pages", pages=F.count(F.lit(1)), failed=F.count("error"), characters=F.sum("content_length"))
+    files.write_pages(watched, output, keep="error is null")
+    seen.log()
     return got.count()
 
 
@@ -71,13 +74,13 @@ def run(args: list[str] | None = None, spark: SparkSession | None = None) -> int
     if getattr(a, "js", False):
         print("pages are not rendered in a browser; leave --js out to fetch them as they are", file=sys.stderr)
         return 2
+    observe.log_to_console(opts.log_level)
     spark = spark or SparkSession.builder.appName("lexmill").getOrCreate()
-    completer: Completer | None = http_completer(opts.llm_base_url, opts.llm_model, opts.llm_api_key, opts.llm_timeout) if a.model else None
+    completer: Completer | None = http_completer(opts.llm_base_url, opts.llm_model, opts.llm_api_key, opts.llm_timeout, temperature=opts.llm_temperature, max_tokens=opts.llm_max_tokens) if a.model else None
 
     def to_markdown(source: str, target: str) -> None:
-        found = stored_pages(spark, source)
-        made = convert.convert(found, "doc_id", "html", completer).join(found.select("doc_id", files.X.page_url(F.col("html")).alias("source_url")), "doc_id")
-        files.write_markdown(made, target)
+        found = stored_pages(spark, source).withColumn("source_url", files.X.page_url(F.col("html")))
+        files.write_markdown(convert.convert(found, "doc_id", "html", completer, splitter=dom.Splitter(max_tokens=opts.max_tokens_per_chunk), carry=("source_url",)), target)
 
     def to_index(name: str, source: str, target: str) -> None:
         docs = files.read_markdown(spark, source).withColumn("doc_id", F.xxhash64("name"))

@@ -28,8 +28,8 @@ class Reply(NamedTuple):
     completion_tokens: int | None = None
 
 
-#: system text, prompt, temperature, most tokens -> answer, alone or with its accounts
-Completer = Callable[[str, str, float, int], str | Reply]
+#: system text, prompt, temperature, most tokens -> answer, alone or with its accounts.  A temperature or number of tokens that is None is left to the completer.
+Completer = Callable[[str, str, float | None, int | None], str | Reply]
 #: Statuses of a server that may answer later: too early, too many requests, and its own faults.
 LATER = (408, 425, 429)
 REPLY = "answer string, finish_reason string, prompt_tokens int, completion_tokens int, error string"
@@ -51,7 +51,7 @@ class Pace:
             self.sleep(rest)
 
 
-def ask(prompts: DataFrame, completer: Completer, system: str = "", temperature: float = 0.1, max_tokens: int = 2048, at_once: int = 1, per_second: float | None = None, tasks: int | None = None) -> DataFrame:
+def ask(prompts: DataFrame, completer: Completer, system: str = "", temperature: float | None = None, max_tokens: int | None = None, at_once: int = 1, per_second: float | None = None, tasks: int | None = None) -> DataFrame:
     """``prompts`` with ``reply``, a struct of REPLY, for each ``prompt``; where a call failed it has an ``error`` and no answer.
 
     The completer is sent to the workers.  Each task has ``at_once`` calls under way
@@ -85,7 +85,7 @@ def ask(prompts: DataFrame, completer: Completer, system: str = "", temperature:
     return rows.mapInArrow(run, f"{kinds}, reply struct<{REPLY}>")
 
 
-def complete(prompts: DataFrame, completer: Completer, system: str = "", temperature: float = 0.1, max_tokens: int = 2048, **how: object) -> DataFrame:
+def complete(prompts: DataFrame, completer: Completer, system: str = "", temperature: float | None = None, max_tokens: int | None = None, **how: object) -> DataFrame:
     """``prompts`` with ``answer``: as ask(), but with the answer alone, null where the call failed."""
     return ask(prompts, completer, system, temperature, max_tokens, **how).withColumn("answer", F.col("reply.answer")).drop("reply")
 
@@ -97,9 +97,12 @@ def usage(asked: DataFrame, *by: str) -> DataFrame:
     return calls.groupBy(*by).agg(F.count(F.lit(1)).alias("calls"), F.count("reply.error").alias("failed"), F.count_if(F.col("reply.finish_reason") == "length").alias("cut_off"), tokens("prompt_tokens"), tokens("completion_tokens"))
 
 
-def http_completer(base_url: str, model: str, api_key: str = "", timeout: float = 120.0, attempts: int = 3, stop: list[str] | None = None) -> Completer:
-    """A completer for a server with a chat-completions endpoint; lost connections and busy servers are tried again."""
-    return partial(_post, base_url.rstrip("/") + "/chat/completions", model, api_key, timeout, attempts, stop)
+def http_completer(base_url: str, model: str, api_key: str = "", timeout: float = 120.0, attempts: int = 3, stop: list[str] | None = None, temperature: float = 0.1, max_tokens: int = 2048) -> Completer:
+    """A completer for a server with a chat-completions endpoint; lost connections and busy servers are tried again.
+
+    ``temperature`` and ``max_tokens`` hold for calls that name none.
+    """
+    return partial(_post, base_url.rstrip("/") + "/chat/completions", model, api_key, timeout, attempts, stop, (temperature, max_tokens))
 
 
 def http_stream(base_url: str, model: str, api_key: str = "", timeout: float = 120.0) -> Callable[[str, str, float, int], Iterator[str]]:
@@ -131,8 +134,8 @@ def _request(url: str, model: str, api_key: str, system: str, prompt: str, tempe
     return urllib.request.Request(url, body, {"Content-Type": "application/json", "Authorization": f"Bearer {api_key}"})
 
 
-def _post(url: str, model: str, api_key: str, timeout: float, attempts: int, stop: list[str] | None, system: str, prompt: str, temperature: float, max_tokens: int) -> Reply:
-    request = _request(url, model, api_key, system, prompt, temperature, max_tokens, **({"stop": stop} if stop else {}))
+def _post(url: str, model: str, api_key: str, timeout: float, attempts: int, stop: list[str] | None, defaults: tuple[float, int], system: str, prompt: str, temperature: float | None, max_tokens: int | None) -> Reply:
+    request = _request(url, model, api_key, system, prompt, defaults[0] if temperature is None else temperature, defaults[1] if max_tokens is None else max_tokens, **({"stop": stop} if stop else {}))
     for k in range(attempts):
         try:
             with urllib.request.urlopen(request, timeout=timeout) as r:

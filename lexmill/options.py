@@ -10,7 +10,14 @@ from pathlib import Path
 
 @dataclass(frozen=True)
 class Options:
-    """Settings; each may be given by an environment variable of its name, in any case."""
+    """Settings; each may be given by an environment variable of its name, in any case.
+
+    Checked and otherwise without effect: ``max_signpost_tokens``, ``max_context_tokens``
+    and ``render_js``; ``max_depth``, as crawls name their depth; the Bloom filter's size
+    and rate, as URLs are deduplicated exactly.
+    """
+
+    # The names and their defaults, so that one environment works everywhere.
 
     llm_base_url: str = "http://127.0.0.1:8000/v1"
     llm_api_key: str = "sk-local"

@@ -27,15 +27,15 @@ def read_markdown(spark: SparkSession, path: str, pattern: str = "*.md", source_
     return _whole(spark, path, pattern).select("path", "name", F.col("content").alias("markdown"), X.source_url(F.col("content"), given).alias("source_url"))
 
 
-def page_files(pages: DataFrame, order: str = "crawled_at", html: str = "content") -> DataFrame:
-    """``name`` and ``value`` of the files that a crawl stores: named by content, of equal contents the last."""
-    kept = keep_last_of_content(pages, order, html)
+def page_files(pages: DataFrame, order: str = "crawled_at", html: str = "content", keep: str = "true") -> DataFrame:
+    """``name`` and ``value`` of the files that a crawl stores: named by content, of equal contents the last; of pages that ``keep`` holds for."""
+    kept = keep_last_of_content(pages.filter(keep), order, html)
     return kept.select(F.concat("content_hash", F.lit(".html")).alias("name"), F.concat(X.page_header(F.col("url"), F.col("crawled_at"), F.col("depth")), F.col(html)).alias("value"), "content_hash")
 
 
-def write_pages(pages: DataFrame, path: str, order: str = "crawled_at", html: str = "content", mode: str = "overwrite") -> None:
+def write_pages(pages: DataFrame, path: str, order: str = "crawled_at", html: str = "content", mode: str = "overwrite", keep: str = "true") -> None:
     """Store pages as ``<hash of the content>.html``, with their URL, time and depth in comments."""
-    texts.write(page_files(pages, order, html), path, mode)
+    texts.write(page_files(pages, order, html, keep), path, mode)
 
 
 def markdown_files(docs: DataFrame, key: str = "doc_id") -> DataFrame:
