@@ -7,6 +7,7 @@ import logging
 import os
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,15 +27,14 @@ def settings(name: str, given: str | None = None) -> dict:
     return known
 
 
-def has_files(spark: SparkSession, path: str) -> bool:
-    """Whether a folder is there, by the file system that it belongs to."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A table that a job writes; without rows where it has not been written yet."""
-    return spark.read.schema(schema).parquet(path) if has_files(spark, path) else spark.createDataFrame([], schema)
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def write_partitions(df: DataFrame, path: str, by: list[str], log: logging.Logger, rows_a_file: int) -> None:
@@ -47,7 +47,7 @@ def write_partitions(df: DataFrame, path: str, by: list[str], log: logging.Logge
     log.info("wrote partitions by %s to %s", ", ".join(by), path)
 
 
-def main(run: Callable[[SparkSession], DataFrame], name: str) -> int:
+def main(run: Callable[[SparkSession], object], name: str) -> int:
     """Run a job in a session of its own, which ends with it."""
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(name)s %(message)s")
     spark = SparkSession.builder.appName(name).getOrCreate()

@@ -1,6 +1,6 @@
 """Keep a BM25 index of documents up to date: only files that are new are read.
 
-    python -m jobs.search_index --source /data/documents.parquet --target /data/search [--config mine.json]
+    python -m jobs.search_index --source /data/documents.parquet --target /data/search [--config mine.json] [--ask "what to look for"]
 
 ``source`` is a folder of Parquet files with ``doc_id`` and ``text``, to which files
 are added.  They are read as a stream that ends with what is there; its checkpoint,
@@ -127,14 +127,28 @@ def search(spark: SparkSession, target: str, queries: DataFrame, top_k: int = 5,
     return postings.search(there, postings.added_up(_table(spark, target, "counts")), last, queries, top_k, digits=digits)
 
 
+def answer(spark: SparkSession, target: str, question: str, conf: dict) -> None:
+    """Print the best documents for a question."""
+    asked = spark.createDataFrame([(0, question)], "query_id long, query string")
+    for r in search(spark, target, asked, digits=conf["shard_digits"]).orderBy("rank").collect():  # five rows
+        print(r["rank"], r["doc_id"], round(r["score"], 4), sep="\t")
+
+
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="search_index", description="Keep a BM25 index of documents up to date.")
     p.add_argument("--source", required=True)
     p.add_argument("--target", required=True)
-    p.add_argument("--config")
+    p.add_argument("--config", help="a JSON file with settings of your own")
+    p.add_argument("--ask", help="then print the best documents for this")
     a = p.parse_args(args)
     conf = common.settings(NAME, a.config)
-    return common.main(lambda spark: run(spark, a.source, a.target, conf), NAME)
+
+    def work(spark: SparkSession) -> None:
+        run(spark, a.source, a.target, conf)
+        if a.ask:
+            answer(spark, a.target.rstrip("/"), a.ask, conf)
+
+    return common.main(work, NAME)
 
 
 if __name__ == "__main__":

@@ -102,7 +102,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--source", required=True)
     p.add_argument("--target", required=True)
     p.add_argument("--snapshot", required=True, help="a name that sorts after those of earlier snapshots, such as a date")
-    p.add_argument("--config")
+    p.add_argument("--config", help="a JSON file with settings of your own")
     a = p.parse_args(args)
     conf = common.settings(NAME, a.config)
     return common.main(lambda spark: run(spark, a.source, a.target, a.snapshot, conf), NAME)

@@ -16,10 +16,15 @@ def read_stream(spark: SparkSession, path: str, files_at_a_time: int = 4, **opti
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_a_time).options(**options).parquet(pattern)
 
 
-def run_available(stream: DataFrame) -> DataFrame:
-    """Run over all that is there, in micro-batches, and read what was written."""
+def new_folder(spark: SparkSession) -> str:
+    """A folder for a stream's state and output."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def run_available(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """Run over all that is there, in micro-batches, and read what was written.  With the ``folder`` of an earlier run, go on from there."""
     spark = stream.sparkSession
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = folder or new_folder(spark)
     query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")

@@ -28,6 +28,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -97,17 +98,15 @@ def visited(spark: SparkSession, folder: str) -> DataFrame:
     return _stored(spark, f"{folder}/pages", f"{VISITED}, batch long")
 
 
-def _is_there(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def add_seeds(seeds: DataFrame, folder: str) -> None:
     """Put ``url``s into a crawl's frontier that are not there yet."""
     spark = seeds.sparkSession
     fresh = seeds.filter("url is not null").select(L.normalize(F.col("url")).alias("url")).distinct()
-    if _is_there(spark, f"{folder}/frontier"):
+    try:
         fresh = fresh.join(frontier(spark, folder).select("url"), "url", "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # there is no frontier yet
+            raise
     fresh.select("url", L.authority(F.col("url")).alias("site"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent_url")).write.mode("append").parquet(f"{folder}/frontier/found_in=-1")
 
 

@@ -115,3 +115,19 @@ def test_of_a_site_over_http(spark, tmp_path):
 def test_links_keep_their_digits(spark):
     df = spark.createDataFrame([("http://a.com/", "<a href='/p0'><a href='1/p1'><a href=' /p2 '>")], "url string, html string")
     assert df.select(L.links(F.col("html"), F.col("url"))).first()[0] == ["http://a.com/p0", "http://a.com/1/p1", "http://a.com/p2"]
+
+
+def test_urls_by_event_time(spark, tmp_path):
+    """A repeat within the time is dropped, one after it is not, and what comes too late is nothing."""
+    from lexmill.plans import streams
+    from lexmill.streaming import urls
+
+    def run(*rows):
+        spark.createDataFrame(rows, "url string, s long").select("url", F.timestamp_seconds("s").alias("at")).write.mode("append").parquet(str(tmp_path / "in"))
+        seen = urls.unique(streams.read_stream(spark, str(tmp_path / "in")), time="at", within="60 seconds")
+        return sorted(r["url"] for r in streams.run_available(seen.select("url"), str(tmp_path / "c")).collect())
+
+    assert run(("http://a/", 100), ("http://a#x", 101), ("http://b", 100)) == ["http://a", "http://b"]
+    assert run(("http://a", 130), ("http://c", 42)) == ["http://a", "http://b", "http://c"]  # a is a repeat, c just in time
+    assert run(("http://d", 69), ("http://e", 300)) == ["http://a", "http://b", "http://c", "http://e"]  # d is too late
+    assert run(("http://a", 301)) == ["http://a", "http://a", "http://b", "http://c", "http://e"]  # a was forgotten

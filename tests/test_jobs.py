@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import json
 import logging
+import os
+import subprocess
+import sys
 from collections import Counter
 
 import pytest
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 from jobs import common, queries, search_index, site_map
 from lexmill.operators import bm25
 
+from .conftest import ROOT
 from .oracle import compare, connect
 
 DOCS, PAGES = "doc_id long, text string, lang string", "page_id long, url string, html string"
@@ -173,6 +177,29 @@ def test_settings(tmp_path):
         common.settings("site_map", str(tmp_path / "c.json"))
 
 
+def test_a_table_that_is_broken_is_no_table_that_is_missing(spark, tmp_path):
+    assert common.stored(spark, str(tmp_path / "none"), "a long").collect() == []
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "x.parquet").write_text("no parquet")
+    with pytest.raises(Exception, match="x.parquet"):
+        common.stored(spark, str(tmp_path / "t"), "a long").collect()
+
+
+def test_as_processes(tmp_path, data):
+    """The command lines make a session, log to the console, answer, and end; a second run takes nothing."""
+    env = os.environ | {"PYTHONPATH": ROOT}
+    job = lambda *args: subprocess.run([sys.executable, "-m", *args], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    index = ["jobs.search_index", "--source", f"{data}/documents.parquet", "--target", str(tmp_path / "i")]
+    first = job(*index)
+    assert first.returncode == 0 and "read 200 rows in 1 batches" in first.stderr
+    again = job(*index, "--ask", "the")
+    assert again.returncode == 0 and "read 0 rows in 0 batches" in again.stderr
+    assert [line.split("\t")[0] for line in again.stdout.splitlines()] == list("12345")[: len(again.stdout.splitlines())]
+    mapped = job("jobs.site_map", "--source", f"{data}/pages.parquet", "--target", str(tmp_path / "m"), "--snapshot", "d1")
+    assert mapped.returncode == 0 and "wrote snapshot d1, after None" in mapped.stderr
+    assert job("jobs.site_map", "--source", str(tmp_path / "nowhere"), "--target", str(tmp_path / "m"), "--snapshot", "d2").returncode != 0
+
+
 def test_command_lines(spark, data, tmp_path, monkeypatch):
     """They read their arguments and settings; the session they would make and end is the tests' here."""
     monkeypatch.setattr(common, "main", lambda run, name: run(spark) and 0)
