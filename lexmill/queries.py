@@ -554,18 +554,17 @@ def stream_unique_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WITHIN = "3630 seconds"
 
 
-@query(f"""WITH p AS (SELECT page_id, {sql_normal('url')} AS url, max(page_id) FILTER (page_id % 2 = 0) OVER () AS latest FROM pages)
-  SELECT DISTINCT url FROM p WHERE page_id % 2 = 0 UNION ALL
-  SELECT DISTINCT url FROM p WHERE page_id % 2 = 1 AND page_id > latest - 60.5 AND url NOT IN (SELECT url FROM p WHERE page_id % 2 = 0 AND page_id > latest - 121)""")
+@query(f"""WITH p AS (SELECT {sql_normal('url')} AS url, min(page_id) AS page_id FROM pages GROUP BY ALL)
+  SELECT url FROM p WHERE page_id % 2 = 0 UNION ALL SELECT url FROM p WHERE page_id % 2 = 1 AND page_id > (SELECT max(page_id) FROM p WHERE page_id % 2 = 0) - 60.5""")
 def stream_urls_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     """URLs of a stream by event time, each once within an hour: every second page comes in a first run; in a second run all others come, and the first again.
 
     Pages of the second run that are more than an hour behind the latest of the first
-    are late and dropped, so a URL that only those have is missing.  A URL that was
-    seen longer ago than the stream remembers comes again.
+    are late and dropped, so a URL that only those have is missing.  A URL counts with
+    its first page alone, as which of several a stream sees first is not defined.
     """
     folder = streams.new_folder(spark)
-    pages = table(spark, sf_dir, "pages").select("url", "page_id", F.timestamp_seconds(F.col("page_id") * 60 + 60).alias("at"))
+    pages = table(spark, sf_dir, "pages").groupBy(L.normalize(F.col("url")).alias("url")).agg(F.min("page_id").alias("page_id")).select("url", "page_id", F.timestamp_seconds(F.col("page_id") * 60 + 60).alias("at"))
     for run in (pages.filter("page_id % 2 = 0"), pages):
         run.write.mode("append").parquet(f"{folder}/in")
         seen = stream_urls.unique(streams.read_stream(spark, f"{folder}/in", 1 << 30), time="at", within=_WITHIN)
