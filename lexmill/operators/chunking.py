@@ -11,7 +11,7 @@ LEVELS = 6
 _MARK, _STAND_IN = "\x01", "﷑"
 
 
-def chunk_markdown(docs: DataFrame, min_chars: int = 100, with_header: bool = True) -> DataFrame:
+def chunk_markdown(docs: DataFrame, min_chars: int = 100, with_header: bool = True, also: dict[str, F.Column] | None = None) -> DataFrame:
     """Chunks of ``doc_id``, ``markdown`` and, if there, ``source_url``: the chunk columns with ``doc_id`` and ``pos``.
 
     A document without headers is one chunk of level 0 and any size.  Otherwise
@@ -20,7 +20,9 @@ def chunk_markdown(docs: DataFrame, min_chars: int = 100, with_header: bool = Tr
     repeat in a document, the last chunk of an id gets the children.
 
     One shuffle by document finds parents and children; texts are cut by
-    built-in expressions only.
+    built-in expressions only.  What is told of a chunk's ``content``, and more columns
+    of it (``also``), is computed before, so a plan that leaves the content out does
+    not shuffle it.
     """
     if "source_url" not in docs.columns:
         docs = docs.withColumn("source_url", F.lit(None).cast("string"))
@@ -36,7 +38,14 @@ def chunk_markdown(docs: DataFrame, min_chars: int = 100, with_header: bool = Tr
     rows = (
         cut.select("doc_id", "source_url", "pos", whole.alias("whole"), is_head.alias("is_head"), header.alias("header"), F.when(is_head, F.length(F.regexp_extract(part, start, 1))).otherwise(0).alias("header_level"), content.alias("content"))
         .filter(F.col("whole") | (F.length("content") >= min_chars))
-        .withColumn("chunk_id", X.chunk_id(F.when(F.col("whole"), "root").when(~F.col("is_head"), "preamble").otherwise(F.col("header")), F.col("content")))
+        .withColumns({
+            "chunk_id": X.chunk_id(F.when(F.col("whole"), "root").when(~F.col("is_head"), "preamble").otherwise(F.col("header")), F.col("content")),
+            "first_sentence": X.first_sentence(F.col("content")),
+            "last_sentence": X.last_sentence(F.col("content")),
+            "char_count": F.length("content"),
+            "word_count": X.word_count(F.col("content")),
+            **(also or {}),
+        })
     )
     earlier = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     last_of = [F.max(F.when(F.col("header_level") == k, F.struct("pos", "chunk_id"))).over(earlier) for k in range(1, LEVELS)]
@@ -48,13 +57,8 @@ def chunk_markdown(docs: DataFrame, min_chars: int = 100, with_header: bool = Tr
         placed.withColumn("is_last", F.col("pos") == F.max("pos").over(same_id))
         .join(children, ["doc_id", "chunk_id"], "left")
         .select(
-            "doc_id", "pos", "chunk_id", "content", "header", "header_level",
-            X.first_sentence(F.col("content")).alias("first_sentence"),
-            X.last_sentence(F.col("content")).alias("last_sentence"),
-            "parent_id",
+            "doc_id", "pos", "chunk_id", "content", "header", "header_level", "first_sentence", "last_sentence", "parent_id",
             F.when(F.col("is_last") & F.col("found").isNotNull(), F.transform("found", lambda x: x["child"])).otherwise(F.array().cast("array<string>")).alias("children_ids"),
-            "source_url",
-            F.length("content").alias("char_count"),
-            X.word_count(F.col("content")).alias("word_count"),
+            "source_url", "char_count", "word_count", *(also or {}),
         )
     )

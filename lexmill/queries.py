@@ -458,14 +458,14 @@ _FEW_WORDS = 40
   SELECT query_id, place, chunk_id, header, coalesce(asks, false) AS needs_parent, parents FROM visits LEFT JOIN asks USING (chunk_id)""")
 def explore_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's innermost sections are explored; short ones send on to the sections around them, two times a document."""
-    index_ = keep(_md_toc(spark, sf_dir))
-    wanted = index_.filter("header_level = 3").select(F.col("doc_id").alias("query_id"), F.lit("").alias("query"), F.col("pos").alias("rank"), "chunk_id")
-    short = lambda query, content: (content, X.word_count(content) < _FEW_WORDS)
-    visited = explore.walk(wanted, lambda rows: retrieve.extract(rows, index_, rule=short), 2)
+    few = X.word_count(F.substring("content", 1, retrieve.CONTEXT)) < _FEW_WORDS
+    chunks = keep(chunking.chunk_markdown(markdown_docs(spark, sf_dir), also={"few": few}).select("doc_id", "pos", "chunk_id", "header", "header_level", "parent_id", "few"))
+    first = keep(toc.entries(chunks).select("chunk_id", "header", "parent_id", "few"))
+    wanted = chunks.filter("header_level = 3").select(F.col("doc_id").alias("query_id"), F.lit("").alias("query"), F.col("pos").alias("rank"), "chunk_id")
+    visited = explore.walk(wanted, lambda rows: rows.join(first, "chunk_id").select("query_id", "query", "chunk_id", F.lit("").alias("facts"), F.col("few").alias("needs_parent"), F.col("parent_id").alias("target")), 2)
     of_query = Window.partitionBy("query_id")
     placed = visited.withColumn("place", F.row_number().over(of_query.orderBy("rank")) - 1).withColumn("parents", F.count_if(F.size("rank") > 1).over(of_query).cast("int"))
-    headers = toc.lookup(index_, visited).select("chunk_id", "header")
-    return placed.join(headers, "chunk_id", "left").select("query_id", "place", "chunk_id", "header", F.coalesce("needs_parent", F.lit(False)).alias("needs_parent"), "parents")
+    return placed.join(first.select("chunk_id", "header"), "chunk_id", "left").select("query_id", "place", "chunk_id", "header", F.coalesce("needs_parent", F.lit(False)).alias("needs_parent"), "parents")
 
 
 @query()
