@@ -169,20 +169,17 @@ def url_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("n_urls", (F.abs(F.col("n_urls_about") - F.col("n_urls")) <= 0.05 * F.col("n_urls")).alias("about_right"))
 
 
-_SQL_LAST_SEGMENT = "regexp_extract(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1), '([^.]*)$', 1)"
-
-
-@query(f"""SELECT ending, count(DISTINCT {sql_normal('url')}) AS n_urls, true AS about_right, true AS as_of_all FROM (SELECT url, {_SQL_LAST_SEGMENT} AS ending FROM pages) GROUP BY ending
+@query(f"""SELECT {SQL_AUTHORITY.format('url')} AS site, count(DISTINCT {sql_normal('url')}) AS n_urls, true AS about_right, true AS as_of_all FROM pages GROUP BY ALL
   UNION ALL SELECT 'all', count(DISTINCT {sql_normal('url')}), true, true FROM pages""")
 def url_counts_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sketches of ten batches of pages, united for each ending of host names and for all: against exact counts, and against one sketch of all."""
-    pages = table(spark, sf_dir, "pages").select("url", F.regexp_extract(F.regexp_extract(L.authority(F.col("url")), r"\A([^:]*)", 1), r"([^.]*)\z", 1).alias("ending"), F.pmod(F.xxhash64("page_id"), F.lit(10)).alias("batch"))
-    parts = keep(crawl.url_sketches(pages, "batch", "ending"))
-    united = crawl.united_count(parts, "ending").unionByName(crawl.united_count(parts).withColumn("ending", F.lit("all")))
-    exact = pages.select("ending", L.normalize(F.col("url")).alias("url")).groupBy("ending").agg(F.count_distinct("url").alias("n_urls")).unionByName(crawl.count_urls(pages).select(F.lit("all").alias("ending"), "n_urls"))
-    at_once = crawl.united_count(crawl.url_sketches(pages, "ending"), "ending").unionByName(crawl.united_count(crawl.url_sketches(pages)).withColumn("ending", F.lit("all"))).withColumnRenamed("n_urls_about", "at_once")
-    joined = united.join(exact, "ending").join(at_once, "ending")
-    return joined.select("ending", "n_urls", (F.abs(F.col("n_urls_about") - F.col("n_urls")) <= F.greatest(F.lit(1.0), 0.04 * F.col("n_urls"))).alias("about_right"), (F.abs(F.col("n_urls_about") - F.col("at_once")) <= 0.02 * F.col("n_urls")).alias("as_of_all"))
+    """Sketches of ten batches of pages, united for each site and for all: against exact counts, and against one sketch of all."""
+    pages = table(spark, sf_dir, "pages").select("url", L.authority(F.col("url")).alias("site"), F.pmod(F.xxhash64("page_id"), F.lit(10)).alias("batch"))
+    parts = keep(crawl.url_sketches(pages, "batch", "site"))
+    united = crawl.united_count(parts, "site").unionByName(crawl.united_count(parts).withColumn("site", F.lit("all")))
+    exact = pages.select("site", L.normalize(F.col("url")).alias("url")).groupBy("site").agg(F.count_distinct("url").alias("n_urls")).unionByName(crawl.count_urls(pages).select(F.lit("all").alias("site"), "n_urls"))
+    at_once = crawl.united_count(crawl.url_sketches(pages, "site"), "site").unionByName(crawl.united_count(crawl.url_sketches(pages)).withColumn("site", F.lit("all"))).withColumnRenamed("n_urls_about", "at_once")
+    joined = united.join(exact, "site").join(at_once, "site")
+    return joined.select("site", "n_urls", (F.abs(F.col("n_urls_about") - F.col("n_urls")) <= F.greatest(F.lit(1.0), 0.04 * F.col("n_urls"))).alias("about_right"), (F.abs(F.col("n_urls_about") - F.col("at_once")) <= 0.02 * F.col("n_urls")).alias("as_of_all"))
 
 
 @query()

@@ -74,14 +74,14 @@ class _Answer(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         buffer, inside, seq, until = self.state.get() if self.state.exists() else ("", False, -1, None)
         tokens = pd.concat(list(rows)).sort_values("seq")
-        found, over = [], False
+        shown, over = [], False
         for seq, token, last in zip(tokens["seq"], tokens["token"], tokens["last"], strict=True):
-            shown, buffer, inside = step(buffer, inside, token or "")
-            over = over or bool(last)
+            through, buffer, inside = step(buffer, inside, token or "")
+            shown.append(through)
             if last:
-                shown += "" if inside else buffer
-            if shown or last:
-                found.append((key[0], int(seq), shown, "last" if last else None))
+                shown.append("" if inside else buffer)
+                over = True
+        text = "".join(shown)
         if until is not None:
             self.handle.deleteTimer(until)
         if over:
@@ -90,7 +90,7 @@ class _Answer(StatefulProcessor):
             until = int(tokens["at_ms"].max()) + self.patience if until is None else max(until, int(tokens["at_ms"].max()) + self.patience)
             self.handle.registerTimer(until)
             self.state.update((buffer, bool(inside), int(seq), until))
-        yield _shown(found)
+        yield _shown([(key[0], int(seq), text, "last" if over else None)] if text or over else [])
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         buffer, inside, seq, _ = self.state.get()
@@ -106,7 +106,7 @@ def _shown(rows: list[tuple]) -> pd.DataFrame:
 
 
 def filter_thinking_within(stream: DataFrame, patience_ms: int, late: str = "0 seconds", time: str = "at") -> DataFrame:
-    """As filter_thinking(), with ``ended``: ``last`` at an answer's last token, ``timeout`` where none came in time.
+    """As filter_thinking(), a row for what an answer's tokens of a batch let through (``seq``: its last token's), with ``ended``: ``last`` at an answer's last token, ``timeout`` where none came in time.
 
     ``time`` is when a token came.  When the watermark, the latest time less ``late``,
     passes an answer's latest token by ``patience_ms``, what was held back is let
