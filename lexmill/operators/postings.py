@@ -22,17 +22,18 @@ def shard(term: F.Column, digits: int = SHARD_DIGITS) -> F.Column:
     return F.substring(F.sha2(term, 256), 1, digits)
 
 
-def postings(terms: DataFrame, key: str = "doc_id", digits: int = SHARD_DIGITS) -> DataFrame:
-    """``term``, ``key``, ``tf``, ``dl``, ``shard`` from ``key``, ``terms``, a row each.
-
-    A document's terms are sorted and their runs counted within its row, so nothing is
-    shuffled; equal keys stay documents of their own.
-    """
-    in_order = terms.select(key, F.array_sort("terms").alias("s"), F.size("terms").alias("dl"))
+def within_rows(terms: DataFrame, *keys: str) -> DataFrame:
+    """``keys``, ``dl``, ``term``, ``tf`` from ``keys``, ``terms``: a row's terms are sorted and their runs counted where they are; nothing is shuffled."""
+    in_order = terms.select(*keys, F.array_sort("terms").alias("s"), F.size("terms").alias("dl"))
     begins = F.filter(F.sequence(F.lit(0), F.greatest(F.col("dl") - 1, F.lit(0))), lambda i: (i < F.col("dl")) & ((i == 0) | (F.get("s", i) != F.get("s", i - 1))))
-    at = in_order.select(key, "s", "dl", begins.alias("b"))
-    each = at.select(key, "dl", F.explode(F.transform("b", lambda i, k: F.struct(F.get("s", i).alias("term"), (F.coalesce(F.get("b", k + 1), F.col("dl")) - i).cast("long").alias("tf")))).alias("x"))
-    return each.select("x.term", key, "x.tf", "dl", shard(F.col("x.term"), digits).alias("shard"))
+    at = in_order.select(*keys, "s", "dl", begins.alias("b"))
+    each = F.transform("b", lambda i, k: F.struct(F.get("s", i).alias("term"), (F.coalesce(F.get("b", k + 1), F.col("dl")) - i).cast("long").alias("tf")))
+    return at.select(*keys, "dl", F.explode(each).alias("x")).select(*keys, "dl", "x.term", "x.tf")
+
+
+def postings(terms: DataFrame, key: str = "doc_id", digits: int = SHARD_DIGITS) -> DataFrame:
+    """``term``, ``key``, ``tf``, ``dl``, ``shard`` from ``key``, ``terms``, a document a row; equal keys stay documents of their own."""
+    return within_rows(terms, key).select("term", key, "tf", "dl", shard(F.col("term"), digits).alias("shard"))
 
 
 def counts(posted: DataFrame, sign: int = 1) -> DataFrame:

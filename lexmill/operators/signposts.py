@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..steps import keep
+from . import bm25, postings
 from .completion import Completer, complete
 
 # Fixed value: the form of a signpost.
@@ -35,15 +36,27 @@ def generate(chunks: DataFrame, completer: Completer | None = None, top_terms: i
     return from_answers(by_terms(chunks, top_terms))
 
 
+#: Terms, at most, whose counts are broadcast: some 60 MB.
+MOST_BROADCAST = 1_000_000
+
+
 def by_terms(chunks: DataFrame, top_terms: int = 3) -> DataFrame:
-    """``answer``: the header as theme and the terms of the highest TF-IDF as entities; a stand-in for a model."""
-    n = chunks.agg(F.count(F.lit(1)).alias("n"))  # one row
+    """``answer``: the header as theme and the terms of the highest TF-IDF as entities; a stand-in for a model.
+
+    Terms are counted within a chunk's row.  While the counts of chunks that have a
+    term are few enough to be broadcast, a chunk's terms never leave its task but for
+    the best; with more, they are joined by term.
+    """
     keys = ["doc_id", "pos"]
-    tf = chunks.select(*keys, F.explode(X.tokens(F.col("content"))).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms = chunks.select(*keys, X.tokens(F.col("content")).alias("terms"))
+    counts = keep(bm25.term_counts(terms))
+    n = counts.filter("term is null").select(F.col("df").alias("n"))  # one row, or none
+    df = counts.filter("term is not null")
+    few = counts.count() <= MOST_BROADCAST
     weight = F.round(F.col("tf") * F.log(F.col("n") / F.col("df")), 9)
     best = Window.partitionBy(*keys).orderBy(F.desc("weight"), "term")
-    top = tf.join(df, "term").join(F.broadcast(n), how="cross").select(*keys, "term", weight.alias("weight")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_terms)
+    weighed = postings.within_rows(terms, *keys).join(F.broadcast(df) if few else df, "term").join(F.broadcast(n), how="cross").select(*keys, "term", weight.alias("weight"))
+    top = weighed.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_terms)
     listed = top.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]), ", ").alias("terms"))
     clean = F.regexp_replace("header", r"[\[\],]", " ")
     return chunks.join(listed, keys, "left").select(*keys, "chunk_id", "header", F.format_string("[%s] + [%s] + [What is %s?]", clean, F.coalesce("terms", clean), clean).alias("answer"))
