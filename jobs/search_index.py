@@ -76,20 +76,26 @@ def index_batch(batch: DataFrame, segment: int, target: str, conf: dict) -> int:
     finally:
         terms.unpersist()
     mine, earlier = F.col("segment") == segment, F.col("segment") < segment
-    before = read("documents").filter(earlier).join(read("replaced").filter(earlier).select("doc_id", F.col("old_segment").alias("segment")), ["doc_id", "segment"], "left_anti")
-    gone = before.join(read("documents").filter(mine).select("doc_id"), "doc_id", "left_semi").select("doc_id", F.col("segment").alias("old_segment"))
-    write(gone, "replaced")
-    replaced = read("replaced").filter(mine).select("doc_id", F.col("old_segment").alias("segment"))
-    taken = read("postings").filter(earlier).join(replaced, ["doc_id", "segment"], "left_semi")
-    change = postings.counts(read("postings").filter(mine)).unionByName(postings.counts(taken, -1))
+    documents = read("documents")
+    again = documents.filter(earlier).join(documents.filter(mine).select("doc_id"), "doc_id", "left_semi")  # first, as few come again
+    gone = again.join(read("replaced").filter(earlier).select("doc_id", F.col("old_segment").alias("segment")), ["doc_id", "segment"], "left_anti")
+    write(gone.select("doc_id", F.col("segment").alias("old_segment")), "replaced")
+    posted, replaced = read("postings"), read("replaced").filter(mine).select("doc_id", F.col("old_segment").alias("segment"))
+    change, n_replaced = postings.counts(posted.filter(mine)), replaced.count()
+    if n_replaced:  # else the earlier postings need not be read
+        change = change.unionByName(postings.counts(posted.filter(earlier).join(replaced, ["doc_id", "segment"], "left_semi"), -1))
     write(change.groupBy("term", "shard").agg(F.sum("df").alias("df")), "counts", "shard")
-    log.info("segment %d: %s, replacing %s", segment, common.numbers(read("documents").filter(mine), F.count(F.lit(1)).alias("documents"), F.sum("dl").alias("tokens")), replaced.count())
+    written = common.numbers(documents.filter(mine), F.count(F.lit(1)).alias("documents"), F.sum("dl").alias("tokens"))
+    log.info("segment %d: %s, %d postings, replacing %d documents", segment, written, posted.filter(mine).count(), n_replaced)
     return found["rows"]
 
 
 def run(spark: SparkSession, source: str, target: str, conf: dict | None = None) -> DataFrame:
     """Index what is new in ``source``; the index as it then stands, as whole_index() gives it."""
     conf, target = conf or common.settings(NAME), target.rstrip("/")
+    before = _table(spark, target, "counts").select(F.length("shard")).first()
+    if before and before[0] != conf["shard_digits"]:
+        raise ValueError(f"the index has shards of {before[0]} digits, not of {conf['shard_digits']}; index into another folder")
     stream = streams.read_stream(spark, source, conf["files_per_batch"], maxFileAge=conf["longest_delay_of_a_file"])
     rows: list[int] = []
     query = stream.writeStream.foreachBatch(lambda df, k: rows.append(index_batch(df, k, target, conf))).option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start()

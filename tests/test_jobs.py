@@ -105,6 +105,14 @@ def test_index_of_batches_is_that_of_all(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "many/documents")).select("segment").distinct().count() == 3
 
 
+def test_an_index_keeps_its_shards(spark, tmp_path):
+    conf = common.settings("search_index")
+    add_file(spark, [(1, "ant", "en")], DOCS, tmp_path / "docs")
+    search_index.run(spark, str(tmp_path / "docs"), str(tmp_path / "index"), conf)
+    with pytest.raises(ValueError, match="shards of 1 digits"):
+        search_index.run(spark, str(tmp_path / "docs"), str(tmp_path / "index"), conf | {"shard_digits": 2})
+
+
 def test_search_of_the_index_is_bm25(spark, data, tmp_path):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     asked = spark.read.parquet(f"{data}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
