@@ -407,7 +407,7 @@ def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of the lists that have texts of several classes, with the ``class``; stored."""
     classed = store(_classed(lists, labels))
     several = classed.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.max("found").alias("any"), F.count(F.lit(1)).alias("_n")).filter("x != y and any").select("band", "_n")
-    out = store(spread_join(classed, store(several), "band", "_n", 0).drop("_n"))
+    out = store(spread_join(classed, store(several), "band", "_n", classed.count()).drop("_n"))
     drop_stored(lists)
     return out
 
@@ -416,7 +416,7 @@ def _leaders(lists: DataFrame) -> DataFrame:
     """``band`` and ``key`` of at most LEADERS texts of each list, outside of its largest class."""
     sizes = lists.groupBy("band", "class").agg(F.count(F.lit(1)).alias("size"))
     largest = sizes.groupBy("band").agg(F.max_by("class", "size").alias("largest"), F.sum("size").alias("_n"))
-    outside = spread_join(lists, store(largest), "band", "_n", 0).filter("class != largest")
+    outside = spread_join(lists, store(largest), "band", "_n", lists.count()).filter("class != largest")
     return outside.groupBy("band", F.pmod(F.xxhash64("key"), F.lit(LEADERS)).alias("k")).agg(F.min("key").alias("key")).select("band", "key")
 
 
