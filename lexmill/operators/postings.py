@@ -24,7 +24,7 @@ def shard(term: F.Column, digits: int = SHARD_DIGITS) -> F.Column:
 
 def within_rows(terms: DataFrame, *keys: str) -> DataFrame:
     """``keys``, ``dl``, ``term``, ``tf`` from ``keys``, ``terms``: a row's terms are sorted and their runs counted where they are; nothing is shuffled."""
-    in_order = terms.select(*keys, F.array_sort("terms").alias("s"), F.size("terms").alias("dl"))
+    in_order = terms.select(*keys, F.sort_array("terms").alias("s"), F.size("terms").alias("dl"))
     begins = F.filter(F.sequence(F.lit(0), F.greatest(F.col("dl") - 1, F.lit(0))), lambda i: (i < F.col("dl")) & ((i == 0) | (F.get("s", i) != F.get("s", i - 1))))
     at = in_order.select(*keys, "s", "dl", begins.alias("b"))
     each = F.transform("b", lambda i, k: F.struct(F.get("s", i).alias("term"), (F.coalesce(F.get("b", k + 1), F.col("dl")) - i).cast("long").alias("tf")))
