@@ -52,6 +52,8 @@ def _system(path: str) -> tuple[pafs.FileSystem, str]:
 class _Writer(DataSourceWriter):
     def __init__(self, path: str, overwrite: bool) -> None:
         self.path, self.overwrite, self.run = path.rstrip("/"), overwrite, uuid.uuid4().hex
+        fs, base = _system(self.path)
+        fs.create_dir(self._pending(base), recursive=True)
 
     def _pending(self, base: str) -> str:
         return posixpath.join(base, f"_pending-{self.run}")
@@ -60,7 +62,7 @@ class _Writer(DataSourceWriter):
         fs, base = _system(self.path)
         task = TaskContext.get()
         folder = posixpath.join(self._pending(base), f"{task.partitionId()}-{task.taskAttemptId()}")
-        fs.create_dir(folder, recursive=True)
+        fs.create_dir(folder, recursive=False)  # once the run is aborted, a task that begins late finds no place to write to
         names: list[str] = []
         for row in iterator:
             name = row["name"]
