@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 START, END = "<think>", "</think>"
 
@@ -33,76 +34,92 @@ def step(buffer: str, inside: bool, token: str) -> tuple[str, str, bool]:
         return "".join(out), buffer[len(buffer) - hold :], inside
 
 
-def filter_thinking(stream: DataFrame) -> DataFrame:
-    """``answer_id``, ``seq``, ``shown`` from a stream of ``answer_id``, ``seq``, ``token``, ``last``.
+def united(stream: DataFrame) -> DataFrame:
+    """``stream`` with tokens of an answer that follow each other in an Arrow batch as one row, so that what is shuffled are texts, not tokens.
 
-    State is a few characters an answer; it goes with the answer's last token,
-    which also lets through what was held back.
+    Only tokens whose numbers follow and whose other columns are equal are united,
+    none behind a last one; ``seq`` and ``last`` are those of the last of them.  What
+    step() lets through of them is the same as token by token.
     """
-
-    def run(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        buffer, inside = state.get if state.exists else ("", False)
-        tokens = pd.concat(list(frames)).sort_values("seq")
-        rows, over = [], False
-        for seq, token, last in zip(tokens["seq"], tokens["token"], tokens["last"], strict=True):
-            shown, buffer, inside = step(buffer, inside, token or "")
-            if last:
-                shown += "" if inside else buffer
-                over = True
-            if shown:
-                rows.append((key[0], seq, shown))
-        if over:
-            state.remove()
-        else:
-            state.update((buffer, inside))
-        yield pd.DataFrame(rows, columns=["answer_id", "seq", "shown"])
-
-    kind = stream.schema["answer_id"].dataType.simpleString()
-    return stream.groupBy("answer_id").applyInPandasWithState(run, f"answer_id {kind}, seq long, shown string", "buffer string, inside boolean", "append", GroupStateTimeout.NoTimeout)
+    names = stream.columns
+    others = [c for c in names if c not in ("seq", "token", "last")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            seq = b.column("seq")
+            same = [pc.equal(pc.subtract(seq[1:], seq[:-1]), 1), pc.invert(pc.fill_null(b.column("last"), False))[:-1], *[pc.equal(b.column(c)[1:], b.column(c)[:-1]) for c in others]]
+            breaks = np.flatnonzero(~np.logical_and.reduce([pc.fill_null(x, False).to_numpy(zero_copy_only=False) for x in same]))
+            ends = pa.array(np.append(breaks, n - 1))
+            text = pc.fill_null(b.column("token"), "").cast(pa.string())
+            _, offsets, data = text.buffers()
+            bounds = np.frombuffer(offsets, np.int32)[text.offset : text.offset + n + 1][np.concatenate(([0], breaks + 1, [n]))]
+            joined = pa.StringArray.from_buffers(len(ends), pa.py_buffer(bounds), data or pa.py_buffer(b""))  # tokens lie one behind the other already
+            yield pa.RecordBatch.from_arrays([joined if c == "token" else b.column(c).take(ends) for c in names], names=names)
+
+    return stream.mapInArrow(run, stream.schema)
 
 
 class _Answer(StatefulProcessor):
-    """State of an answer: what is held back, whether a thought is open, the last token's number, and when patience ends."""
+    """State of an answer: what is held back, whether a thought is open, the last token's number, and when patience, if it ends, does."""
 
-    def __init__(self, patience_ms: int) -> None:
+    def __init__(self, patience_ms: int | None = None) -> None:
         self.patience = patience_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("answer", "buffer string, inside boolean, seq long, until long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        buffer, inside, seq, until = self.state.get() if self.state.exists() else ("", False, -1, None)
-        tokens = pd.concat(list(rows)).sort_values("seq")
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803
+        known = self.state.get()
+        buffer, inside, seq, until = known or ("", False, -1, None)
+        tokens = sorted(rows, key=lambda r: r["seq"])
         shown, over = [], False
-        for seq, token, last in zip(tokens["seq"], tokens["token"], tokens["last"], strict=True):
-            through, buffer, inside = step(buffer, inside, token or "")
+        for r in tokens:
+            through, buffer, inside = step(buffer, inside, r["token"] or "")
+            seq = r["seq"]
             shown.append(through)
-            if last:
+            if r["last"]:
                 shown.append("" if inside else buffer)
                 over = True
-        text = "".join(shown)
         if until is not None:
             self.handle.deleteTimer(until)
-        if over:
+        if not over:
+            if self.patience is not None:
+                latest = max(r["at_ms"] for r in tokens) + self.patience
+                until = latest if until is None else max(until, latest)
+                self.handle.registerTimer(until)
+            self.state.update((buffer, inside, seq, until))
+        elif known:
             self.state.clear()
-        else:
-            until = int(tokens["at_ms"].max()) + self.patience if until is None else max(until, int(tokens["at_ms"].max()) + self.patience)
-            self.handle.registerTimer(until)
-            self.state.update((buffer, bool(inside), int(seq), until))
-        yield _shown([(key[0], int(seq), text, "last" if over else None)] if text or over else [])
+        text = "".join(shown)
+        if text or over:
+            yield Row(answer_id=key[0], seq=seq, shown=text, ended="last" if over else None)
 
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:  # noqa: N802, N803
         buffer, inside, seq, _ = self.state.get()
         self.state.clear()
-        yield _shown([(key[0], seq + 1, "" if inside else buffer, "timeout")])
+        yield Row(answer_id=key[0], seq=seq + 1, shown="" if inside else buffer, ended="timeout")
 
     def close(self) -> None:
         pass
 
 
-def _shown(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["answer_id", "seq", "shown", "ended"])
+def _filtered(stream: DataFrame, answer: _Answer, time_mode: str) -> DataFrame:
+    kind = stream.schema["answer_id"].dataType.simpleString()
+    return stream.groupBy("answer_id").transformWithState(answer, f"answer_id {kind}, seq long, shown string, ended string", "Append", time_mode)
+
+
+def filter_thinking(stream: DataFrame) -> DataFrame:
+    """``answer_id``, ``seq``, ``shown`` from a stream of ``answer_id``, ``seq``, ``token``, ``last``: a row for what an answer's tokens of a batch let through (``seq``: its last token's).
+
+    State is a few characters an answer; it goes with the answer's last token,
+    which also lets through what was held back.  The state store must be RocksDB,
+    which plans.streams.run_timed() sees to.
+    """
+    return _filtered(united(stream), _Answer(), "None").filter("shown <> ''").drop("ended")
 
 
 def filter_thinking_within(stream: DataFrame, patience_ms: int, late: str = "0 seconds", time: str = "at") -> DataFrame:
@@ -114,6 +131,5 @@ def filter_thinking_within(stream: DataFrame, patience_ms: int, late: str = "0 s
     Tokens that come behind the watermark are dropped.  The state store must be
     RocksDB, which plans.streams.run_timed() sees to.
     """
-    kind = stream.schema["answer_id"].dataType.simpleString()
-    rows = stream.withColumn("at_ms", F.unix_millis(time)).withWatermark(time, late)
-    return rows.groupBy("answer_id").transformWithStateInPandas(_Answer(patience_ms), f"answer_id {kind}, seq long, shown string, ended string", "Append", "EventTime")
+    rows = united(stream).withColumn("at_ms", F.unix_millis(time)).withWatermark(time, late)
+    return _filtered(rows, _Answer(patience_ms), "EventTime")

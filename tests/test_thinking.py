@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 from lexmill.plans import streams
 from lexmill.streaming import thinking
@@ -57,3 +58,27 @@ def test_the_setting_is_put_back(spark, tmp_path):
     batch(spark, tmp_path / "in", [(1, 0, "a", True, 0)])
     got = streams.run_timed(thinking.filter_thinking_within(streams.read_stream(spark, str(tmp_path / "in")), 1000))
     assert [tuple(r) for r in got.collect()] == [(1, 0, "a", "last")] and spark.conf.get(streams._PROVIDER[0]) == before
+
+
+def test_tokens_are_united_before_they_are_shuffled(spark):
+    rows = [(1, 0, "a<th", False, 0), (1, 1, None, None, 0), (1, 2, "ink>é", True, 0), (1, 3, "b", False, 0), (1, 5, "c", False, 0), (2, 6, "d", False, 0), (2, 7, "e", False, 1), (None, 8, "f", False, 1), (None, 9, "", False, 1)]
+    df = spark.createDataFrame([(i, k, t, last, at(s)) for i, k, t, last, s in rows], SCHEMA).coalesce(1)
+    found = [(r["answer_id"], r["seq"], r["token"], r["last"]) for r in thinking.united(df).collect()]
+    assert found == [(1, 2, "a<think>é", True), (1, 3, "b", False), (1, 5, "c", False), (2, 6, "d", False), (2, 7, "e", False), (None, 8, "f", False), (None, 9, "", False)]
+
+
+def test_united_tokens_let_through_the_same():
+    pick = random.Random(7)
+    for _ in range(2000):
+        text = "".join(pick.choice(["<think>", "</think>", "<th", "</", "<", "x", "ink>"]) for _ in range(pick.randrange(12)))
+        buffer, inside, shown = "", False, []
+        for k in range(0, len(text), 4):
+            through, buffer, inside = thinking.step(buffer, inside, text[k : k + 4])
+            shown.append(through)
+        assert thinking.step("", False, text) == ("".join(shown), buffer, inside)
+
+
+def test_a_row_for_what_a_batch_lets_through(spark, tmp_path):
+    batch(spark, tmp_path / "in", [(1, k, t, k == 5, 0) for k, t in enumerate(["a<", "thin", "k>no", "</th", "ink>b", "c<"])])
+    got = streams.run_timed(thinking.filter_thinking(streams.read_stream(spark, str(tmp_path / "in")).drop("at")))
+    assert [tuple(r) for r in got.collect()] == [(1, 5, "abc<")]
