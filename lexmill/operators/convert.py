@@ -27,13 +27,12 @@ def convert(pages: DataFrame, key: str = "doc_id", html: str = "html", completer
     row = F.sha2(F.concat(*[x for c in (key, *carry) for x in (F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("\n"))], F.coalesce(html, F.lit(""))), 256)
     kept = [key, *carry, "original_html_size", "_row"]
     rows = pages.select(key, *carry, F.length(html).alias("original_html_size"), row.alias("_row"), F.col(html).alias("html"))
-    if prune:
-        rows = dom.prune(rows, kept, "html", pruner).select(*kept, F.col("pruned_html").alias("html"))
-    pieces = dom.split(rows, kept, "html", splitter)
     if completer is None:
-        made = dom.markdown(pieces, [*kept, "chunk_index"], "content").withColumnRenamed("markdown", "answer")
+        made = dom.to_pieces(rows, kept, "html", pruner, splitter, prune).withColumnRenamed("markdown", "answer")
     else:
-        asked = pieces.select(*kept, "chunk_index", F.format_string("HTML:\n%s", "content").alias("prompt"))
+        if prune:
+            rows = dom.prune(rows, kept, "html", pruner).select(*kept, F.col("pruned_html").alias("html"))
+        asked = dom.split(rows, kept, "html", splitter).select(*kept, "chunk_index", F.format_string("HTML:\n%s", "content").alias("prompt"))
         made = keep(complete(asked, completer, SYSTEM)).withColumn("answer", X.strip_fence(F.col("answer")))
     parts = F.array_sort(F.collect_list(F.struct("chunk_index", "answer")))
     parts = F.filter(parts, lambda x, i: (i == 0) | (x["chunk_index"] != F.element_at(parts, F.greatest(i, F.lit(1)))["chunk_index"]))  # equal rows
