@@ -343,12 +343,10 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
     judged = [verified(_ordered(crowded.filter("key != lead")))]
     labels = extended(None, near(judged[0]))
 
-    classed = store(_classed(crowded.select("band", "key"), labels))
-    split = classed.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count(F.lit(1)).alias("n"), F.min("key").alias("b")).filter("x != y").select("band", "n", "b")
-    split = store(split)
-    hanging = components(spread_join(classed, split, "band", "n", n_crowded).select(F.col("key").alias("a"), "b").filter("a != b"))
+    split = store(_split(crowded, judged[0], labels))
+    hanging = components(spread_join(crowded.select("band", "key"), split, "band", "n", n_crowded).select(F.col("key").alias("a"), "b").filter("a != b"))
     rest = store(hanging.join(bodies, F.col("node") == F.col("id")).select(F.col("root").alias("group"), F.col("node").alias("key"), "text"))
-    drop_stored(buckets, crowded, classed, split)
+    drop_stored(buckets, crowded, split)
     groups = rest.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes"))
     groups = store(groups.select("group", ((F.col("n") <= TOGETHER_TEXTS) & (F.col("bytes") <= TOGETHER_BYTES)).alias("small"), "n"))
 
@@ -361,9 +359,9 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
     together = store(rest.join(groups.filter("small"), "group").select("group", "key", "text").groupBy("group").applyInArrow(compare, "a binary, b binary"))
     labels = extended(labels, together)
     n_rest = rest.count()
-    lists = _lists(store(spread_join(rest, groups.filter("not small"), "group", "n", n_rest).select("key", "text")), idf, threshold, width)
+    lists = _lists(store(spread_join(rest, groups.filter("not small"), "group", "n", n_rest).select("key", "text")), labels, idf, threshold, width)
     while lists is not None:
-        lists = _open_lists(lists, labels)
+        lists = _open_lists(lists)
         if not lists.count():
             break
         some = store(_leaders(lists))
@@ -377,7 +375,7 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
         judged.append(verified(pairs))
         labels = extended(labels, near(judged[-1]))
         # Those that have been compared with all others of the list are done.
-        left = store(lists.drop("class").join(some, ["band", "key"], "left_anti"))
+        left = store(_classed(lists.drop("class").join(some, ["band", "key"], "left_anti"), labels))
         drop_stored(lists, some)
         lists = left
     drop_stored(bodies, rest)
@@ -385,8 +383,20 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH
     return links, labels, texts, n_docs
 
 
-def _lists(rest: DataFrame, idf, threshold: float, width: int) -> DataFrame | None:
-    """Where the texts ``rest`` look for each other: ``key``, ``band`` and what prefix() says; stored.  None if there are no such texts."""
+def _split(crowded: DataFrame, judged: DataFrame, labels: DataFrame) -> DataFrame:
+    """``band``, ``n`` and one text, ``b``, of each bucket of ``crowded`` whose texts are in several classes.
+
+    A text near its bucket's leader is in the leader's class, so only those apart from it are looked up.
+    """
+    met = crowded.select("band", "n", F.col("lead").alias("b"), F.col("key").alias("a"), F.least("lead", "key").alias("lead"), F.greatest("lead", "key").alias("key"))
+    apart = met.join(judged.filter("not near").select("lead", "key"), ["lead", "key"]).select("band", "n", "a", "b")
+    root_of = lambda x: labels.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+    several = F.coalesce("a_root", "a") != F.coalesce("b_root", "b")
+    return apart.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").filter(several).select("band", "n", "b").distinct()
+
+
+def _lists(rest: DataFrame, labels: DataFrame, idf, threshold: float, width: int) -> DataFrame | None:
+    """Where the texts ``rest`` look for each other: ``key``, ``class``, ``band`` and what prefix() says; stored.  None if there are no such texts."""
     if rest.isEmpty():
         return None
     # Any order of shingles will do; one by frequency among these texts keeps the lists short.
@@ -394,20 +404,21 @@ def _lists(rest: DataFrame, idf, threshold: float, width: int) -> DataFrame | No
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, t in ((k + j, t) for k, some in slices_of(b.column(1)) for j, t in enumerate(some)):
+            for i, t in ((k + j, t) for k, some in slices_of(b.column(2)) for j, t in enumerate(some)):
                 bands, found, rests, whole = prefix(t, idf.value, rarest.value, threshold, width)
                 n = len(bands)
                 if n:
-                    yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()] * n, pa.binary()), pa.array(bands), pa.array(found), pa.array(rests), pa.array(np.full(n, whole))], ["key", "band", "found", "rest", "whole"])
+                    keys, of_class = (pa.array([b.column(c)[i].as_py()] * n, pa.binary()) for c in (0, 1))
+                    yield pa.RecordBatch.from_arrays([keys, of_class, pa.array(bands), pa.array(found), pa.array(rests), pa.array(np.full(n, whole))], ["key", "class", "band", "found", "rest", "whole"])
 
-    return store(rest.mapInArrow(prefixes, "key binary, band long, found boolean, rest double, whole double"))
+    # The class is looked up once a text, not once a list.
+    return store(_classed(rest, labels).select("key", "class", "text").mapInArrow(prefixes, "key binary, class binary, band long, found boolean, rest double, whole double"))
 
 
-def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of the lists that have texts of several classes, with the ``class``; stored."""
-    classed = store(_classed(lists, labels))
-    several = classed.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.max("found").alias("any"), F.count(F.lit(1)).alias("_n")).filter("x != y and any").select("band", "_n")
-    out = store(spread_join(classed, store(several), "band", "_n", classed.count()).drop("_n"))
+def _open_lists(lists: DataFrame) -> DataFrame:
+    """Rows of the lists that have texts of several classes; stored."""
+    several = lists.groupBy("band").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.max("found").alias("any"), F.count(F.lit(1)).alias("_n")).filter("x != y and any").select("band", "_n")
+    out = store(spread_join(lists, store(several), "band", "_n", lists.count()).drop("_n"))
     drop_stored(lists)
     return out
 

@@ -132,6 +132,18 @@ def test_near_duplicates_by_either_way(spark, monkeypatch, together):
     assert len(links) == len(texts) - len({root(i) for i in range(len(texts))}) and all(root(i) == root(j) for i, j in links)
 
 
+def test_near_duplicates_look_up_classes_once_a_text(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TOGETHER_TEXTS", 0)
+    asked, real = [], neardup._classed
+    monkeypatch.setattr(neardup, "_classed", lambda members, labels: asked.append(members.count()) or real(members, labels))
+    rng = random.Random(4)
+    vocab = [f"w{k}" for k in range(3000)]
+    base = [rng.choice(vocab) for _ in range(150)]
+    texts = [" ".join(rng.choice(vocab) if rng.random() < 0.03 else w for w in base) for _ in range(70)]
+    neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert asked and asked[0] <= len(texts)
+
+
 def test_near_duplicates_of_awkward_rows(docs, rows, nothing):
     got = neardup.classes(docs).collect()
     same_rows(got, rows)
