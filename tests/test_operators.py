@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexmill import options, service
-from lexmill.operators import bloom, bm25, chunking, convert, crawl, dom, signposts, toc
+from lexmill.operators import bloom, bm25, chunking, convert, crawl, dom, postings, signposts, toc
 from lexmill.plans import retrieve
 from lexmill.sources import files, pages
 from lexmill.streaming.thinking import END, START, step
@@ -280,3 +280,19 @@ def test_page_files(spark):
     rows = spark.createDataFrame([("u1", "same", 1), ("u2", "same", 2), ("u3", "else", 3)], "url string, content string, depth int").withColumn("crawled_at", F.expr("timestamp_seconds(depth)"))
     got = files.page_files(rows).collect()
     assert len(got) == 2 and any("<!-- URL: u2 -->" in r["value"] for r in got)
+
+
+def test_bm25_scores_are_not_shuffled_before_the_best_are_known(spark):
+    docs = spark.createDataFrame([(k, f"a b{k} c{k % 3} d{k % 2}") for k in range(20)], "doc_id long, text string")
+    asked = spark.createDataFrame([(0, "a c1 b3"), (1, "d1 d1 c2")], "query_id long, query string")
+    terms = bm25.tokenized(docs)
+    posted = postings.postings(terms)
+    totals = postings.counts(posted)
+    by_rows = bm25.search(docs, asked)
+    by_index = postings.search(posted, totals, postings.statistics(terms.select(F.size("terms").alias("dl")), totals), asked)
+    by_terms = bm25.search(docs, asked, ready=bm25.prepared(docs))
+    for found in (by_rows, by_index, by_terms):
+        assert "hashpartitioning(query_id#" in (plan := found._jdf.queryExecution().executedPlan().toString())
+        assert not [x for x in plan.splitlines() if "hashpartitioning(query_id#" in x and "doc_id#" in x]
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 6)) for r in df.collect())
+    assert rows(by_rows) == rows(by_index) == rows(by_terms) and len(rows(by_rows)) == 10
