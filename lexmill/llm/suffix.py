@@ -498,6 +498,7 @@ class LoserTree:
 
 _RUN_COLUMNS = ("shared", "ends", "rest", "backs", "left", "ids", "places", "mask")
 _RUN_ROWS = pa.schema([("bucket", pa.int32()), ("th", pa.binary()), *[(k, pa.binary()) for k in _RUN_COLUMNS], ("ths", pa.binary()), ("names", pa.binary())])
+_MASK_PARTS = pa.schema([("bucket", pa.int32()), ("ths", pa.binary()), ("sizes", pa.binary()), ("places", pa.binary()), ("mask", pa.binary())])
 _MASK_ROWS = pa.schema([("th", pa.binary()), ("places", pa.binary()), ("mask", pa.binary())])
 
 
@@ -506,6 +507,14 @@ def _masks(s: Suffixes, repeated: np.ndarray, names: list[bytes]) -> list[tuple[
     return [(names[t], p.astype("<i8").tobytes(), m.astype("<u4").tobytes()) for t, (p, m) in _by_text(s.th[i], s.places[i], repeated[i])]
 
 
+def _parted_masks(found: list[tuple[bytes, bytes, bytes]], n_parts: int) -> list[tuple]:
+    """Texts and their masks, as one row for each part that their texts belong to."""
+    by_part: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
+    for x in found:
+        by_part.setdefault(part_of(x[0], n_parts), []).append(x)
+    return [(k, b"".join(t for t, _, _ in of), _planes(np.array([len(p) // 8 for _, p, _ in of], "<u4")), _planes(np.frombuffer(b"".join(p for _, p, _ in of), "<i8")), _planes(np.frombuffer(b"".join(m for _, _, m in of), "<u4"))) for k, of in sorted(by_part.items())]
+
+
 def merge_runs(runs: list[tuple[Suffixes, np.ndarray]]) -> tuple[Suffixes, np.ndarray]:
     """One sorted run of several."""
     length = runs[0][0].right.shape[1]
@@ -521,7 +530,7 @@ def merge_runs(runs: list[tuple[Suffixes, np.ndarray]]) -> tuple[Suffixes, np.nd
 
 
 def repeated_strings(texts: DataFrame, shared: DataFrame, n_suffixes: int, length: int = LENGTH) -> DataFrame:
-    """``th``, ``places``, ``mask`` (binaries): strings of a text that start in a document of a smaller id.
+    """``th``, ``places``, ``mask`` (binaries), one row a text: its strings that start in a document of a smaller id.
 
     ``texts``: ``th``, ``id``, ``text``, one row a text.
     """
@@ -602,13 +611,23 @@ def repeated_strings(texts: DataFrame, shared: DataFrame, n_suffixes: int, lengt
                 s, prefixes = merge_runs(runs)
                 s.th = number[s.th]
                 found += _masks(s, settle(s, prefixes), names)
-            for k in range(0, len(found), 5000):
-                yield _batch(found[k : k + 5000], _MASK_ROWS)
+            if found:
+                yield _batch(_parted_masks(found, n_buckets), _MASK_PARTS)
+
+    def regroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _buckets(batches):
+            names, number = numbered([x for r in rows for x in names_of(r["ths"])])
+            sizes, places, mask = (np.concatenate([_from_planes(r[k], kind) for r in rows]) for k, kind in (("sizes", "<u4"), ("places", "<i8"), ("mask", "<u4")))
+            told = [(names[t], p.astype("<i8").tobytes(), m.astype("<u4").tobytes()) for t, (p, m) in _by_text(np.repeat(number, sizes.astype(np.int64)), places, mask)]
+            for k in range(0, len(told), 5000):
+                yield _batch(told[k : k + 5000], _MASK_ROWS)
 
     told = shared.filter("th is not null").groupBy("th").agg(F.collect_list("places").alias("places"))  # at most a text's anchors
     kinds = "bucket int, th binary, " + ", ".join(f"{k} binary" for k in _RUN_COLUMNS) + ", ths binary, names binary"
     sent = texts.join(told, "th").select("th", "id", "text", "places").mapInArrow(cut_up, kinds)
-    return sent.repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(merge, "th binary, places binary, mask binary")
+    merged = sent.repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(merge, "bucket int, ths binary, sizes binary, places binary, mask binary")
+    # A text's masks come from many buckets, the more the larger the table; they go to its part in blobs, and leave it as one row a text.
+    return merged.repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(regroup, "th binary, places binary, mask binary")
 
 
 def _bits(low: int, high: int) -> int:

@@ -596,6 +596,19 @@ def test_repeats_at_heavy_anchors(spark, monkeypatch):
     assert measured(df) == as_counter(rows)
 
 
+def test_repeats_come_back_as_one_row_a_text(spark, monkeypatch):
+    for name, value in (("SUFFIXES_A_FLUSH", 50), ("SUFFIXES_A_BUCKET", 30)):
+        monkeypatch.setattr(suffix, name, value)
+    rng = random.Random(9)
+    passages = ["".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(3)]
+    rows = [(i, f"{i} {passages[i % 3]} {rng.random()} {passages[(i + 1) % 3]}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    texts = df.selectExpr("unhex(substring(sha2(text, 256), 1, 32)) as th", "doc_id as id", "text").cache()
+    found = [bytes(r["th"]) for r in suffix.repeated_strings(texts, suffix.shared_anchors(texts, 20_000).cache(), 1000).collect()]
+    assert len(found) == len(set(found)) > 0
+    assert measured(df) == as_counter(rows)
+
+
 def test_one_name_for_two_strings():
     """Strings whose hashes agree are still told apart."""
     n = 6
