@@ -42,6 +42,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,9 +50,11 @@ from .common import cut, parts_for, step
 from .shingles import U, _powers, mix, numbers
 
 LENGTH, ANCHOR = 50, 24
-#: Window starts judged together; places of a piece fit in 22 bits.
-PIECE = 1 << 20
+#: Window starts of a text judged together, and bytes of texts whose anchors are found at once; places there fit in 22 bits.
+PIECE, BLOCK = 65_000, 1 << 16
 _PLACE_BITS = 22
+#: Bytes that a task sends on at once.
+SENT_AT_ONCE = 1 << 20
 #: Anchors and suffixes that a task gathers before it sends them on, and that a bucket should hold.
 ANCHORS_A_FLUSH, ANCHORS_A_BUCKET = 500_000, 800_000
 SUFFIXES_A_FLUSH, SUFFIXES_A_BUCKET = 120_000, 400_000
@@ -82,14 +85,17 @@ def part_of(name: bytes, n_parts: int) -> int:
     return int.from_bytes(name[:8], "little") % n_parts
 
 
-def anchors(piece: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Place and hash of each anchor of a piece, and the first and last start of the strings it belongs to."""
+def anchors(piece: np.ndarray, length: int = LENGTH, ends: np.ndarray | tuple = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Place and hash of each anchor of a piece, and the first and last start of the strings it belongs to.
+
+    No string goes over one of the ``ends``, which are ``length`` bytes apart or more.
+    """
     wide = length - ANCHOR + 1
     n = len(piece) - length + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
         return none, np.zeros(0, U), none, none
-    up, down = _powers(max(20, int(len(piece)).bit_length()))
+    up, down = _powers(max(16, (len(piece) - 1).bit_length()))
     sums = np.zeros(len(piece) + 1, U)
     np.cumsum(_BYTE[piece] * up[: len(piece)], out=sums[1:])
     hashes = mix((sums[ANCHOR:] - sums[:-ANCHOR]) * down[: len(piece) - ANCHOR + 1])
@@ -101,9 +107,17 @@ def anchors(piece: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.nda
     if span < wide:
         least = np.minimum(least[: len(least) - (wide - span)], least[wide - span :])
     places = (least[:n] & U((1 << _PLACE_BITS) - 1)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
+    changes = np.concatenate([[True], places[1:] != places[:-1], [True]])
+    if not len(ends):
+        edges = np.flatnonzero(changes)
+        at = places[edges[:-1]]
+        return at, hashes[at], edges[:-1], edges[1:] - 1
+    within = np.ones(n, bool)
+    within[(np.asarray(ends)[:, None] - np.arange(1, length)).ravel()] = False
+    first = np.flatnonzero(within & (changes[:-1] | np.concatenate([[True], ~within[:-1]])))
+    last = np.flatnonzero(within & (changes[1:] | np.concatenate([~within[1:], [True]])))
     at = places[first]
-    return at, hashes[at], first, np.append(first[1:], n) - 1
+    return at, hashes[at], first, last
 
 
 def pieces_of(text: bytes, length: int = LENGTH) -> Iterator[tuple[int, np.ndarray]]:
@@ -113,6 +127,44 @@ def pieces_of(text: bytes, length: int = LENGTH) -> Iterator[tuple[int, np.ndarr
         yield at, data[at : at + PIECE + length - 1]
 
 
+def anchors_of(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[np.ndarray, ...]]:
+    """Anchors of texts, a block of their pieces at a time: the block's bytes, each anchor's text (its number) and place there, and what anchors() tells."""
+
+    def blocks() -> Iterator[list[tuple[int, int, np.ndarray]]]:
+        block, size = [], 0
+        for k, text in enumerate(texts):
+            for base, piece in pieces_of(text, length):
+                if block and size + len(piece) > BLOCK:
+                    yield block
+                    block, size = [], 0
+                block.append((k, base, piece))
+                size += len(piece)
+        if block:
+            yield block
+
+    for block in blocks():
+        numbers, bases, pieces = zip(*block, strict=True)
+        sizes = np.array([len(p) for p in pieces])
+        ends = np.cumsum(sizes)
+        data = np.concatenate(pieces)
+        at, keys, first, last = anchors(data, length, ends[:-1])
+        piece = np.searchsorted(ends, at, side="right")
+        yield data, np.array(numbers, np.int64)[piece], at + (np.array(bases, np.int64) - ends + sizes)[piece], at, keys, first, last
+
+
+def _together(rows: Iterator[tuple], text: int, most: int) -> Iterator[list[tuple]]:
+    """Rows, some at a time, whose texts have ``most`` characters or little more, or one long text."""
+    some, size = [], 0
+    for r in rows:
+        some.append(r)
+        size += len(r[text])
+        if size >= most:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def _planes(x: np.ndarray, width: int | None = None) -> bytes:
     """Little-endian numbers by byte planes, which compress better; their lowest bytes alone if a width is given."""
     return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1)[:, :width].T).tobytes()
@@ -146,6 +198,19 @@ def _buckets(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]
         yield at, held
 
 
+def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of SENT_AT_ONCE bytes or one row more, so that neither side holds all of them in another form."""
+    some, size = [], 0
+    for r in rows:
+        some.append(r)
+        size += sum(len(x) for x in r if isinstance(x, bytes))
+        if size >= SENT_AT_ONCE:
+            yield _batch(some, schema)
+            some, size = [], 0
+    if some:
+        yield _batch(some, schema)
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) or [()] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
@@ -166,12 +231,11 @@ def _by_text(texts: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, lis
 
 
 def _runs_of(keys: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by key and text, starts of the keys' runs, and whether a run has several texts."""
-    order = np.lexsort((texts, keys))
+    """Order by key, where texts stay as they are, starts of the keys' runs, and whether a run has several texts."""
+    order = np.argsort(keys, kind="stable")
     k, t = keys[order], texts[order]
     starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    ends = np.append(starts[1:], len(k)) - 1
-    return order, starts, t[starts] != t[ends]
+    return order, starts, np.minimum.reduceat(t, starts) != np.maximum.reduceat(t, starts)
 
 
 def shared_anchors(texts: DataFrame, n_bytes: int, length: int = LENGTH) -> DataFrame:
@@ -184,13 +248,13 @@ def shared_anchors(texts: DataFrame, n_bytes: int, length: int = LENGTH) -> Data
     heavy_from = max(HEAVY_LEAST, int(HEAVY_SHARE * n_bytes / 14))
 
     def send(keys: np.ndarray, owner: np.ndarray, places: np.ndarray, names: list[bytes]) -> Iterator[pa.RecordBatch]:
-        order, starts, several = _runs_of(keys, owner)
+        order, starts, several = _runs_of(keys, owner)  # in a run by text, as they came
         keys, owner, places = keys[order], owner[order], places[order]
         del order
         run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(keys))))
         new_text = np.concatenate([[True], (owner[1:] != owner[:-1]) | (run[1:] != run[:-1])])
         known = np.flatnonzero(new_text & several[run])
-        rows = [(part_of(names[t], n_buckets), names[t], None, None, None, p.astype("<i8").tobytes()) for t, (p,) in _by_text(owner[known], places[known])]
+        yield from _batches(((part_of(names[t], n_buckets), names[t], None, None, None, p.astype("<i8").tobytes()) for t, (p,) in _by_text(owner[known], places[known])), _ANCHOR_ROWS)
         # Of a key that several texts here have, two suffice to tell the others.
         ordinal = np.cumsum(new_text) - 1
         ordinal -= ordinal[starts][run]
@@ -200,12 +264,15 @@ def shared_anchors(texts: DataFrame, n_bytes: int, length: int = LENGTH) -> Data
         out, bucket = out[order], bucket[order]
         edges = np.searchsorted(bucket, np.arange(n_buckets + 1))
         del order, run, new_text, ordinal, starts, several, bucket
-        for b in range(n_buckets):
-            i = out[edges[b] : edges[b + 1]]
-            if len(i):
-                table, at = np.unique(owner[i], return_inverse=True)
-                rows.append((b, None, _planes((keys[i] // U(n_buckets)).astype("<u8"), KEY_BYTES), b"".join(names[t] for t in table), _planes(at.astype("<u4")), _planes(places[i].astype("<i8"))))
-        yield _batch(rows, _ANCHOR_ROWS)
+
+        def blobs() -> Iterator[tuple]:
+            for b in range(n_buckets):
+                i = out[edges[b] : edges[b + 1]]
+                if len(i):
+                    table, at = np.unique(owner[i], return_inverse=True)
+                    yield b, None, _planes((keys[i] // U(n_buckets)).astype("<u8"), KEY_BYTES), b"".join(names[t] for t in table), _planes(at.astype("<u4")), _planes(places[i].astype("<i8"))
+
+        yield from _batches(blobs(), _ANCHOR_ROWS)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[], [], []]
@@ -221,14 +288,13 @@ def shared_anchors(texts: DataFrame, n_bytes: int, length: int = LENGTH) -> Data
             yield from send(keys, owner, places, of)
 
         for b in batches:
-            for th, text in _rows(b, 0, 1):
-                names.append(th)
-                for base, piece in pieces_of(text.encode(), length):
-                    at, keys, _, _ = anchors(piece, length)
+            for some in _together(_rows(b, 0, 1), 1, min(4 * BLOCK, 14 * ANCHORS_A_FLUSH)):
+                for _, who, at, _, keys, _, _ in anchors_of([t.encode() for _, t in some], length):
                     held[0].append(keys)
-                    held[1].append(np.full(len(at), len(names) - 1, np.int32))
-                    held[2].append(at + base)
+                    held[1].append((who + len(names)).astype(np.int32))
+                    held[2].append(at)
                     size += len(at)
+                names += [th for th, _ in some]
                 if size >= ANCHORS_A_FLUSH:
                     yield from flush()
         if size:
@@ -308,11 +374,9 @@ class Suffixes:
 
     def trim(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Blank what no string of the mask covers; returns how many bytes count on the right and left."""
-        bits = (self.mask[:, None] >> np.arange(length - ANCHOR + 1, dtype=np.uint32)) & 1
-        lowest = bits.argmax(axis=1)
-        highest = bits.shape[1] - 1 - bits[:, ::-1].argmax(axis=1)
+        lowest, highest = (np.frexp(x.astype(np.float64))[1].astype(np.int64) - 1 for x in (self.mask & (~self.mask + np.uint32(1)), self.mask))
         rights = length - lowest
-        self.right = np.where(np.arange(length) < rights[:, None], self.right, 0).astype(np.uint8)
+        self.right = self.right * (np.arange(length, dtype=np.uint8) < rights.astype(np.uint8)[:, None])
         return rights, highest
 
     @staticmethod
@@ -320,28 +384,35 @@ class Suffixes:
         return Suffixes(*(np.concatenate([getattr(p, k) for p in parts]) for k in Suffixes.COLUMNS))
 
 
-def suffixes_of(th: int, doc_id: int, text: bytes, shared: np.ndarray, length: int = LENGTH) -> Suffixes | None:
-    """The suffixes of a text at anchors whose hashes are those at the places ``shared``."""
-    parts = []
-    keys_at: list[np.ndarray] = []
-    found = [(base, piece, *anchors(piece, length)) for base, piece in pieces_of(text, length)]
-    for base, _, at, keys, _, _ in found:
-        keys_at.append(keys[np.isin(at + base, shared)])
-    told = np.unique(np.concatenate(keys_at)) if keys_at else np.zeros(0, U)
-    back = length - ANCHOR
-    for base, piece, at, keys, first, last in found:
-        i = np.flatnonzero(np.isin(keys, told))
+def suffixes_of(texts: list[tuple[int, int, bytes, np.ndarray]], length: int = LENGTH) -> list[Suffixes]:
+    """The suffixes of texts (number, id, bytes, places ``shared``) at anchors whose hashes are those that the text has at those places."""
+    place_of = lambda who, at: (who << 40) | at
+    shared = np.unique(np.concatenate([place_of(k, at) for k, (*_, at) in enumerate(texts)]))
+    found = list(anchors_of([t for _, _, t, _ in texts], length))
+    names = [keys ^ mix(who.astype(U)) for _, who, _, _, keys, _, _ in found]  # a text's hashes; names that are equal by chance only send more
+    told = np.unique(np.concatenate([n[_among(place_of(who, place), shared)] for n, (_, who, place, *_) in zip(names, found, strict=True)] or [np.zeros(0, U)]))
+    numbers, ids = (np.array([t[k] for t in texts], np.int64) for k in (0, 1))
+    parts, back = [], length - ANCHOR
+    for n, (data, who, place, at, keys, first, last) in zip(names, found, strict=True):
+        i = np.flatnonzero(_among(n, told))
         if not len(i):
             continue
-        at, first, last, keys = at[i], first[i], last[i], keys[i]
-        padded = np.concatenate([np.zeros(back, np.uint8), piece, np.zeros(length, np.uint8)])
-        right = padded[at[:, None] + (back + np.arange(length))]
-        left = padded[at[:, None] + (back - 1 - np.arange(back))]
+        who, place, at, keys, first, last = (x[i] for x in (who, place, at, keys, first, last))
+        padded = np.concatenate([np.zeros(back, np.uint8), data, np.zeros(length, np.uint8)])
+        # Bytes of other texts are among these, but no string of the mask has them.
+        right = sliding_window_view(padded, length)[at + back]
+        left = np.ascontiguousarray(sliding_window_view(padded, back)[at][:, ::-1])
         low, high = (at - last).astype(np.uint64), (at - first).astype(np.uint64)
         mask = ((U(1) << (high + U(1))) - (U(1) << low)).astype(np.uint32)
-        n = len(i)
-        parts.append(Suffixes(right, left, np.full(n, doc_id, np.int64), np.full(n, th, np.int64), at + base, mask, keys))
-    return Suffixes.join(parts) if parts else None
+        parts.append(Suffixes(right, left, ids[who], numbers[who], place, mask, keys))
+    return parts
+
+
+def _among(x: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which values are among ``some``, which are in order."""
+    if not len(some):
+        return np.zeros(len(x), bool)
+    return some[np.minimum(np.searchsorted(some, x), len(some) - 1)] == x
 
 
 def sort_suffixes(s: Suffixes) -> tuple[Suffixes, np.ndarray]:
@@ -355,7 +426,9 @@ def common_prefixes(right: np.ndarray) -> np.ndarray:
     if not len(right):
         return np.zeros(0, np.int64)
     differ = right[1:] != right[:-1]
-    return np.concatenate([[0], np.where(differ.any(axis=1), differ.argmax(axis=1), right.shape[1])])
+    at = differ.argmax(axis=1)
+    at[(at == 0) & ~differ[:, 0]] = right.shape[1]
+    return np.concatenate([[0], at])
 
 
 def settle(s: Suffixes, prefixes: np.ndarray) -> np.ndarray:
@@ -367,16 +440,20 @@ def settle(s: Suffixes, prefixes: np.ndarray) -> np.ndarray:
     length, back = s.right.shape[1], s.left.shape[1]
     repeated = np.zeros(len(s), np.uint32)
     before = np.zeros(len(s), U)
+    nearest = np.maximum(prefixes, np.append(prefixes[1:], 0))[: len(s)]  # prefix shared with a neighbour
     for a in range(back + 1):
-        i = np.flatnonzero((s.mask >> np.uint32(a)) & np.uint32(1))
+        i = np.flatnonzero(((s.mask >> np.uint32(a)) & np.uint32(1)).astype(bool) & (nearest >= length - a))
         if len(i) > 1:
-            group = np.cumsum(prefixes < length - a).astype(U)
-            name = mix(group[i] * U(0x9E3779B97F4A7C15) + mix(before[i] + U(a)))
-            order = np.argsort(name, kind="stable")
-            if _differ(group[i[order]], s.left[i[order], :a], name[order]):  # two strings have one name
-                order = np.lexsort((*s.left[i, :a].T, group[i]))
+            group = np.cumsum(prefixes < length - a).astype(U)[i]
+            name = mix(group * U(0x9E3779B97F4A7C15) + mix(before[i] + U(a)))
+            order = np.argsort(name)
+            name = name[order]
+            same = name[1:] == name[:-1]
+            k = np.flatnonzero(same)
+            if _differ(group[order], s.left[i[order], :a], k):  # two strings have one name
+                order = np.lexsort((*s.left[i, :a].T, group))
+                same = (group[order][1:] == group[order][:-1]) & (s.left[i[order[1:]], :a] == s.left[i[order[:-1]], :a]).all(axis=1)
             i = i[order]
-            same = (group[i][1:] == group[i][:-1]) & (s.left[i[1:], :a] == s.left[i[:-1], :a]).all(axis=1)
             starts = np.flatnonzero(np.concatenate([[True], ~same]))
             ids = s.ids[i]
             least = np.repeat(np.minimum.reduceat(ids, starts), np.diff(np.append(starts, len(ids))))
@@ -386,10 +463,9 @@ def settle(s: Suffixes, prefixes: np.ndarray) -> np.ndarray:
     return repeated
 
 
-def _differ(group: np.ndarray, left: np.ndarray, name: np.ndarray) -> bool:
-    """Whether neighbours have one name and yet differ."""
-    same = name[1:] == name[:-1]
-    return bool((same & ((group[1:] != group[:-1]) | (left[1:] != left[:-1]).any(axis=1))).any())
+def _differ(group: np.ndarray, left: np.ndarray, k: np.ndarray) -> bool:
+    """Whether one of the k-th differs from the next."""
+    return bool((group[k] != group[k + 1]).any() or (left[k] != left[k + 1]).any())
 
 
 def front_code(s: Suffixes, prefixes: np.ndarray, rights: np.ndarray, lefts: np.ndarray) -> dict[str, bytes]:
@@ -414,7 +490,7 @@ def decode(run: dict[str, bytes], length: int = LENGTH) -> tuple[Suffixes, np.nd
     right = np.zeros((len(shared), length), np.uint8)
     right[own] = np.frombuffer(run["rest"], np.uint8)
     # Before its own bytes a suffix has those of the last one that had its own there.
-    from_row = np.maximum.accumulate(np.where(column >= shared[:, None], np.arange(len(shared))[:, None], 0), axis=0)
+    from_row = np.maximum.accumulate(np.where(column >= shared[:, None], np.arange(len(shared), dtype=np.int32)[:, None], np.int32(0)), axis=0)
     right = right[from_row, column]
     left = np.zeros((len(shared), back), np.uint8)
     left[np.arange(back) < backs[:, None]] = np.frombuffer(run["left"], np.uint8)
@@ -526,7 +602,8 @@ def merge_runs(runs: list[tuple[Suffixes, np.ndarray]]) -> tuple[Suffixes, np.nd
     run, place, prefix = LoserTree([(strings(s), p.tolist()) for s, p in runs]).merge()
     firsts = np.cumsum([0, *[len(s) for s, _ in runs]])
     order = firsts[np.array(run, np.int64)] + np.array(place, np.int64)
-    return Suffixes.join([s for s, _ in runs]).take(order), np.array(prefix, np.int64)
+    del run, place
+    return Suffixes(*(np.concatenate([getattr(s, k) for s, _ in runs])[order] for k in Suffixes.COLUMNS)), np.array(prefix, np.int64)
 
 
 def repeated_strings(texts: DataFrame, shared: DataFrame, n_suffixes: int, length: int = LENGTH) -> DataFrame:
@@ -558,37 +635,37 @@ def repeated_strings(texts: DataFrame, shared: DataFrame, n_suffixes: int, lengt
     def send(s: Suffixes, names: list[bytes]) -> Iterator[pa.RecordBatch]:
         s, prefixes = sort_suffixes(s)
         repeated = settle(s, prefixes)
-        rows = [(part_of(t, n_buckets), t, *[None] * 6, p, m, None, None) for t, p, m in _masks(s, repeated, names)]
+        yield from _batches(((part_of(t, n_buckets), t, *[None] * 6, p, m, None, None) for t, p, m in _masks(s, repeated, names)), _RUN_ROWS)
         s.mask = s.mask & ~repeated
         s = s.take(np.flatnonzero(s.mask))
         if len(s):
-            s, bucket = dealt(s)
-            rights, lefts = s.trim(length)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) > 0, [True]]))
-            for first, end in zip(edges[:-1], edges[1:], strict=True):
-                i = order[first:end]
-                part = s.take(i)
-                # Blanking leaves the order as it was or makes it right again.
-                ranked = np.argsort(np.ascontiguousarray(part.right).view(f"S{length}").ravel(), kind="stable")
-                part = part.take(ranked)
-                table, part.th = np.unique(part.th, return_inverse=True)
-                run = front_code(part, common_prefixes(part.right), rights[i][ranked], lefts[i][ranked])
-                rows.append((int(bucket[i[0]]), None, *[run[k] for k in _RUN_COLUMNS], run["th"], b"".join(names[t] for t in table)))
-        yield _batch(rows, _RUN_ROWS)
+            yield from _batches(coded(s, names), _RUN_ROWS)
+
+    def coded(s: Suffixes, names: list[bytes]) -> Iterator[tuple]:
+        s, bucket = dealt(s)
+        rights, lefts = s.trim(length)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) > 0, [True]]))
+        for first, end in zip(edges[:-1], edges[1:], strict=True):
+            i = order[first:end]
+            part = s.take(i)
+            # Blanking leaves the order as it was or makes it right again.
+            ranked = np.argsort(np.ascontiguousarray(part.right).view(f"S{length}").ravel(), kind="stable")
+            part = part.take(ranked)
+            table, part.th = np.unique(part.th, return_inverse=True)
+            run = front_code(part, common_prefixes(part.right), rights[i][ranked], lefts[i][ranked])
+            yield int(bucket[i[0]]), None, *[run[k] for k in _RUN_COLUMNS], run["th"], b"".join(names[t] for t in table)
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Suffixes] = []
         names: list[bytes] = []
         size = 0
         for b in batches:
-            for th, doc_id, text, places in _rows(b, 0, 1, 2, 3):
-                shared_places = np.concatenate([np.frombuffer(p, "<i8") for p in places])
-                s = suffixes_of(len(names), doc_id, text.encode(), shared_places, length)
-                names.append(th)
-                if s is not None:
-                    held.append(s)
-                    size += len(s)
+            for some in _together(_rows(b, 0, 1, 2, 3), 2, min(4 * BLOCK, 14 * SUFFIXES_A_FLUSH)):
+                found = suffixes_of([(len(names) + k, doc_id, text.encode(), np.frombuffer(b"".join(places), "<i8")) for k, (_, doc_id, text, places) in enumerate(some)], length)
+                names += [th for th, *_ in some]
+                held += found
+                size += sum(map(len, found))
                 if size >= SUFFIXES_A_FLUSH:
                     yield from send(Suffixes.join(held), names)
                     held, names, size = [], [], 0

@@ -609,6 +609,26 @@ def test_repeats_come_back_as_one_row_a_text(spark, monkeypatch):
     assert measured(df) == as_counter(rows)
 
 
+def test_anchors_of_many_texts_at_once(monkeypatch):
+    """As of each text's pieces alone, however texts are put together; and what is sent on goes in small batches."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abc d") for _ in range(n)).encode() for n in (0, 49, 50, 51, 700, 50, 99, 100, 3000, 120, 10)]
+    monkeypatch.setattr(suffix, "PIECE", 500)
+    want = []
+    for k, t in enumerate(texts):
+        for base, piece in suffix.pieces_of(t):
+            want += [(k, base + p, h, p - l, p - f) for p, h, f, l in zip(*map(np.ndarray.tolist, suffix.anchors(piece)), strict=True)]
+    for most in (1, 600, 1 << 16):
+        monkeypatch.setattr(suffix, "BLOCK", most)
+        got = []
+        for data, who, place, at, keys, first, last in suffix.anchors_of(texts):
+            assert all(bytes(data[a : a + 24]) == texts[w][p : p + 24] for w, p, a in zip(who, place, at, strict=True))
+            got += list(zip(who.tolist(), place.tolist(), keys.tolist(), (at - last).tolist(), (at - first).tolist(), strict=True))
+        assert got == want
+    batches = list(suffix._batches(((k, bytes(16), bytes(400_000), None) for k in range(20)), suffix._PART_ROWS.remove(4)))
+    assert [r for b in batches for r in b.column(0).to_pylist()] == list(range(20)) and max(b.num_rows for b in batches) == 3
+
+
 def test_one_name_for_two_strings():
     """Strings whose hashes agree are still told apart."""
     n = 6
