@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from urllib.parse import urljoin
 
@@ -44,6 +45,27 @@ def test_clean_markdown(spark):
     assert one(spark, "", X.clean_markdown) == ""
 
 
+def test_clean_markdown_line_by_line(spark):
+    """Against a definition, with white space of other scripts and many blank lines; lines are not made rows of an array."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["\n", "\n", " ", "\t", "\xa0", "\u2003", "\u2028", "\r", "\x0b", "\x1c", "\u200b", "a", "é", "```", "```markdown"]) for _ in range(rng.randint(0, 40))) for _ in range(600)]
+    texts += ["a" + "\n\xa0" * 20_000 + "\nb", "a" + " " * 20_000 + "b", "```", "``````", "```markdown", "```markdown```", "```markdown\n```\n"]
+    white = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+    strip = lambda t: re.sub(f"^{white}+|{white}+\\Z", "", t)
+
+    def clean(t):
+        t = re.sub("\n{3,}", "\n\n", t)
+        lines = [x.strip(" \t") for x in t.split("\n")]
+        return strip("\n".join(x for k, x in enumerate(lines) if strip(x) or not k or strip(lines[k - 1])))
+
+    def fence(t):
+        return re.sub(f"{white}*```\\Z", "", re.sub(f"\\A```markdown{white}*", "", strip(t)))
+
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string").select("k", X.clean_markdown(F.col("t")).alias("c"), X.strip_fence(F.col("t")).alias("f"))
+    assert {r["k"]: (r["c"], r["f"]) for r in df.collect()} == {k: (clean(t), fence(t)) for k, t in enumerate(texts)}
+    assert "lambdafunction" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_urls(spark):
     base = "http://h.example:80/a/b/c;p?q=1#f"
     for link in ["x", "./x", "../x", "../../../x", "/x", "//o.example/y", "?z=2", "http://k/", "x?y#z", "/a/./b/../c", "x/.."]:
