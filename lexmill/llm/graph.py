@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,16 +27,43 @@ def _with_least(links: DataFrame, total: int) -> DataFrame:
     return joined.select("a", "b", "m")
 
 
+def _few(links: DataFrame) -> DataFrame:
+    """components() of at most FEW_LINKS links: one task keeps each node's parent, a lesser node of its component."""
+    kind = links.schema["a"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+
+        def root(x):  # noqa: ANN001, ANN202
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for b in batches:
+            for pair in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x, y = map(root, pair)
+                parent[max(x, y)] = min(x, y)
+            of = b.schema.field(0).type
+        if parent:
+            yield pa.RecordBatch.from_arrays([pa.array(list(parent), of), pa.array([root(x) for x in list(parent)], of)], ["node", "root"])
+
+    return links.select("a", "b").coalesce(1).mapInArrow(run, f"node {kind}, root {kind}")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``root``, the least node of its component, from links ``a``, ``b``.
 
     Large-star and small-star steps alternate until nothing changes.  A step
     aggregates the least neighbour of each node (partially before the shuffle)
     and joins it back; the links of a node that has many stay where they are.
-    The number of links never grows.
+    The number of links never grows.  Few links are joined up in one task, with the
+    same result: each step costs several exchanges, however little there is to do.
     """
     links = store(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
     before = _state(links)
+    if before[0] <= FEW_LINKS:
+        return _few(links)
     while before[0]:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: larger neighbours link to the least

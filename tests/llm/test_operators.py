@@ -198,6 +198,25 @@ def test_components(spark):
     assert got == {x: root(x) for x in parent}
 
 
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_components_of_few_and_many_links(spark, monkeypatch, few):
+    """The same classes either way; few links take no exchange once they are told apart."""
+    monkeypatch.setattr(graph, "FEW_LINKS", few)
+    rng = random.Random(13)
+    name = lambda k: bytes([200 - k, k])
+    links = [(name(rng.randint(0, 60)), name(rng.randint(0, 60))) for _ in range(45)]
+    want = {x: {x} for pair in links for x in pair if pair[0] != pair[1]}
+    for a, b in links:
+        if a != b:
+            both = want[a] | want[b]
+            for x in both:
+                want[x] = both
+    got = graph.components(spark.createDataFrame(links, "a binary, b binary"))
+    assert {bytes(r["node"]): bytes(r["root"]) for r in got.collect()} == {x: min(c) for x, c in want.items()}
+    assert few == 0 or "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 # 3: language
 
 
