@@ -37,13 +37,14 @@ def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def write_partitions(df: DataFrame, path: str, by: list[str], log: logging.Logger, rows_a_file: int) -> None:
+def write_partitions(df: DataFrame, path: str, by: list[str], log: logging.Logger, rows_a_file: int, unpack: Callable[[DataFrame], DataFrame] = lambda x: x) -> None:
     """Replace the partitions that ``df`` has rows of, and no others.
 
     Rows are dealt out by partition; Spark splits a partition that holds far more than
     others over several tasks, so one with a third of all rows is no bottleneck.
+    ``unpack`` makes the rows to be written of those that are dealt out, where they are.
     """
-    df.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_a_file).partitionBy(*by).parquet(path)
+    unpack(df.hint("rebalance", *by)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_a_file).partitionBy(*by).parquet(path)
     log.info("wrote partitions by %s to %s", ", ".join(by), path)
 
 

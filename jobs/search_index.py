@@ -28,11 +28,10 @@ import argparse
 import logging
 import sys
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.operators import bm25, postings
+from lexmill.operators import bm25, postings, signposts
 from lexmill.plans import streams
 
 from . import common
@@ -67,14 +66,12 @@ def index_batch(batch: DataFrame, segment: int, target: str, conf: dict) -> int:
     found = common.numbers(batch, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("doc_id").isNull()).alias("without_id"))
     log.info("batch %d: %s", segment, found)
     spark, digits = batch.sparkSession, conf["shard_digits"]
-    write = lambda df, name, *by: common.write_partitions(df.withColumn("segment", F.lit(segment).cast("long")), f"{target}/{name}", ["segment", *by], log, conf["rows_a_file"])
+    write = lambda df, name, *by, unpack=None: common.write_partitions(df.withColumn("segment", F.lit(segment).cast("long")), f"{target}/{name}", ["segment", *by], log, conf["rows_a_file"], *([unpack] if unpack else []))
     read = lambda name: _table(spark, target, name)
-    terms = bm25.tokenized(_one_a_document(batch)).persist(StorageLevel.DISK_ONLY)
-    try:
-        write(terms.select("doc_id", F.size("terms").alias("dl")), "documents")
-        write(postings.postings(terms, digits=digits), "postings", "shard")
-    finally:
-        terms.unpersist()
+    terms = bm25.tokenized(_one_a_document(batch))  # made twice: they take more room than the texts
+    write(terms.select("doc_id", F.size("terms").alias("dl")), "documents")
+    with postings.open_files(spark):
+        write(postings.pieces(terms, digits=digits), "postings", "shard", unpack=postings.of_pieces)
     mine, earlier = F.col("segment") == segment, F.col("segment") < segment
     documents = read("documents")
     again = documents.filter(earlier).join(documents.filter(mine).select("doc_id"), "doc_id", "left_semi")  # first, as few come again
@@ -122,7 +119,8 @@ def live_documents(spark: SparkSession, target: str) -> DataFrame:
 def whole_index(spark: SparkSession, target: str) -> DataFrame:
     """``term``, ``df``, ``doc_id``, ``tf``, ``dl``, ``shard`` of every document that is there."""
     there = postings.live(_table(spark, target, "postings"), _table(spark, target, "replaced"))
-    return there.join(postings.added_up(_table(spark, target, "counts")).select("term", "df"), "term").select("term", "df", "doc_id", "tf", "dl", "shard")
+    totals = postings.added_up(_table(spark, target, "counts")).select("term", "df")
+    return postings.with_counts(there, totals, signposts.least_broadcast(totals)).select("term", "df", "doc_id", "tf", "dl", "shard")
 
 
 def search(spark: SparkSession, target: str, queries: DataFrame, top_k: int = 5, digits: int = postings.SHARD_DIGITS) -> DataFrame:

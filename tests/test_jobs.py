@@ -127,6 +127,21 @@ def test_search_of_the_index_is_bm25(spark, data, tmp_path):
     assert "PartitionFilters: [isnotnull(shard" in plan and "shard#" in plan  # other shards' folders are not read
 
 
+def test_whole_index_shuffles_only_postings_of_rare_terms(spark, tmp_path, monkeypatch):
+    """Where terms are too many to be broadcast, the most frequent ones are; the result is that of all."""
+    texts = {k: f"all t{k % 2} u{k % 5} rare{k}" for k in range(30)}
+    add_file(spark, [(k, v, "en") for k, v in texts.items()], DOCS, tmp_path / "docs")
+    monkeypatch.setattr(search_index.signposts, "MOST_BROADCAST", 10)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = search_index.run(spark, str(tmp_path / "docs"), str(tmp_path / "index"))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") == 2 and "Union" in plan
+        assert fresh(found) == by_hand(texts)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_index_of_nothing(spark, tmp_path):
     add_file(spark, [], DOCS, tmp_path / "docs")
     assert search_index.run(spark, str(tmp_path / "docs"), str(tmp_path / "index")).count() == 0

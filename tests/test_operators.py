@@ -296,3 +296,21 @@ def test_bm25_scores_are_not_shuffled_before_the_best_are_known(spark):
         assert not [x for x in plan.splitlines() if "hashpartitioning(query_id#" in x and "doc_id#" in x]
     rows = lambda df: sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 6)) for r in df.collect())
     assert rows(by_rows) == rows(by_index) == rows(by_terms) and len(rows(by_rows)) == 10
+
+
+@pytest.mark.parametrize("digits", [1, 2])
+def test_pieces_are_postings(spark, digits):
+    texts = ["a b a _ é1 東京 É1 b", "", None, "x", " ".join(f"w{k % 40}" for k in range(100))]
+    terms = bm25.tokenized(spark.createDataFrame([(k // 2, v) for k, v in enumerate(texts * 2)], "doc_id long, text string"))
+    pieces = postings.pieces(terms, digits=digits)
+    found, plain = postings.of_pieces(pieces), postings.postings(terms, digits=digits)
+    assert found.dtypes == plain.dtypes and sorted(found.collect()) == sorted(plain.collect())
+
+
+def test_postings_are_written_without_a_sort(spark):
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    with pytest.raises(OSError), postings.open_files(spark):
+        assert int(spark.conf.get(name)) == postings.MOST_OPEN
+        raise OSError
+    assert spark.conf.get(name) == before
