@@ -27,14 +27,14 @@ def chunk_markdown(docs: DataFrame, min_chars: int = 100, with_header: bool = Tr
     if "source_url" not in docs.columns:
         docs = docs.withColumn("source_url", F.lit(None).cast("string"))
     # Mark each header, then cut at the marks; a mark in the text itself is put aside meanwhile.
-    body = F.translate("markdown", _MARK, _STAND_IN)
+    body = F.replace("markdown", F.lit(_MARK), F.lit(_STAND_IN))
     parts = F.split(F.regexp_replace(body, f"(?dmU)^{X.HEADER}$", f"{_MARK}$0"), _MARK)
     cut = docs.select("doc_id", "source_url", F.length("markdown").alias("chars"), F.posexplode(parts).alias("pos", "part"))
-    part = F.translate("part", _STAND_IN, _MARK)
+    part = F.replace("part", F.lit(_STAND_IN), F.lit(_MARK))
     is_head, whole = F.col("pos") > 0, (F.col("pos") == 0) & (F.length("part") == F.col("chars"))
     start = rf"(?dU)\A{X.HEADER}"
-    header = F.when(whole, "Document").when(~is_head, "Preamble").otherwise(X.strip(F.regexp_extract(part, start, 2)))
-    content = F.when(whole, part).when(is_head & F.lit(not with_header), X.strip(F.regexp_replace(part, start, ""))).otherwise(X.strip(part))
+    header = F.when(whole, "Document").when(~is_head, "Preamble").otherwise(X.trimmed(F.regexp_extract(part, start, 2)))
+    content = F.when(whole, part).when(is_head & F.lit(not with_header), X.trimmed(F.regexp_replace(part, start, ""))).otherwise(X.trimmed(part))
     rows = (
         cut.select("doc_id", "source_url", "pos", whole.alias("whole"), is_head.alias("is_head"), header.alias("header"), F.when(is_head, F.length(F.regexp_extract(part, start, 1))).otherwise(0).alias("header_level"), content.alias("content"))
         .filter(F.col("whole") | (F.length("content") >= min_chars))

@@ -314,3 +314,11 @@ def test_postings_are_written_without_a_sort(spark):
         assert int(spark.conf.get(name)) == postings.MOST_OPEN
         raise OSError
     assert spark.conf.get(name) == before
+
+
+def test_chunks_are_trimmed_of_any_white_space_and_keep_the_mark(spark):
+    white, body = " 　\x85 \t\n", "\x01" + "b" * 120 + "\x01"
+    rows = spark.createDataFrame([(1, f"{white}{body}{white}\n# one\xa0 two　\n{body}{white}")], "doc_id long, markdown string")
+    got = chunking.chunk_markdown(rows).orderBy("pos").collect()
+    assert [r["header"] for r in got] == ["Preamble", "one\xa0 two"]
+    assert [r["content"] for r in got] == [body, f"# one\xa0 two　\n{body}"]
