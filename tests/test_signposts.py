@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexmill import queries as engine
-from lexmill.operators import signposts
+from lexmill.functions import text as X
+from lexmill.operators import postings, signposts
 
 
 def test_how_frequent_terms_must_be(spark, monkeypatch):
@@ -30,3 +32,12 @@ def test_only_rare_terms_are_joined_by_term(spark, data, monkeypatch, most):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert found == whole and "BroadcastHashJoin" in plan and "LeftAnti" in plan
+
+
+def test_tokens_of_a_row_are_found_and_sorted_once(spark):
+    """A filter on the runs' size, put under them, would do so for every term of a text."""
+    docs = spark.createDataFrame([(1, "b a b"), (2, "")], "doc_id long, text string")
+    found = postings.within_rows(docs.select("doc_id", X.tokens(F.col("text")).alias("terms")), "doc_id")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sort_array(") == plan.count("regexp_extract_all(") == 1
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 3, "a", 1), (1, 3, "b", 2)]
