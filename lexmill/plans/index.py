@@ -1,4 +1,4 @@
-"""From pages to an index, as one lazy plan."""
+"""From pages to an index; what is read several times on the way is kept."""
 
 from __future__ import annotations
 
@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from ..operators import chunking, convert, dom, signposts, toc
 from ..operators.completion import Completer
+from ..steps import keep
 
 
 def index_markdown(docs: DataFrame, source_name: str, completer: Completer | None = None, min_chars: int = 100) -> DataFrame:
-    """Index of ``doc_id``, ``markdown`` and, if there, ``source_url``."""
-    chunks = chunking.chunk_markdown(docs, min_chars)
+    """Index of ``doc_id``, ``markdown`` and, if there, ``source_url``.
+
+    Chunks are kept: signposts read them several times, and pages should be converted once.
+    """
+    chunks = keep(chunking.chunk_markdown(docs, min_chars))
     return toc.build(chunks, signposts.generate(chunks, completer), source_name)
 
 
