@@ -43,7 +43,7 @@ def test_tokens_of_a_row_are_found_and_sorted_once(spark):
     assert sorted(tuple(r) for r in found.collect()) == [(1, 3, "a", 1), (1, 3, "b", 2)]
 
 
-@pytest.mark.parametrize("name", ["route_by_words", "toc_build"])
+@pytest.mark.parametrize("name", ["route_by_words", "toc_build", "toc_signposts"])
 def test_no_filter_sorts_tokens(spark, data, name):
     plan = engine.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("sort_array(") == 1 and not [x for x in plan.split("\n") if "Filter" in x and "sort_array(" in x]
